@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from dealframe.llm import op1_quality, op6_langid
+from dealframe.llm import op1_quality, op3_ngram_join, op6_langid
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_crf": op1_quality.query,
+    "op3_ngram_jaccard": op3_ngram_join.query,
     "op6_language_id": op6_langid.query,
 }
 ORACLE: dict[str, str] = {}
