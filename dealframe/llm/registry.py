@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from dealframe.llm import op1_quality, op3_ngram_join, op6_langid
+from dealframe.llm import (
+    op1_quality,
+    op3_ngram_join,
+    op5_sentencepiece,
+    op6_langid,
+    op9_token_counts,
+    op10_decontam,
+)
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_crf": op1_quality.query,
     "op3_ngram_jaccard": op3_ngram_join.query,
+    "op5_sentencepiece": op5_sentencepiece.query,
     "op6_language_id": op6_langid.query,
+    "op9_token_counts": op9_token_counts.query,
+    "op10_decontamination": op10_decontam.query,
 }
 ORACLE: dict[str, str] = {}
 
