@@ -97,10 +97,10 @@ def decode(ids: list[int], vocab: Pieces) -> str:
 
 def with_ids(docs: DataFrame, vocab: Pieces, keep: list[str] | None = None, out: str = "ids") -> DataFrame:
     """``keep`` (default: all columns) and the ids of the whole text."""
-    held = docs.sparkSession.sparkContext.broadcast(vocab)
+    held = docs.sparkSession.sparkContext.broadcast(vars(vocab))
 
     def make():
-        enc = Encoder(held.value)
+        enc = Encoder(Pieces(**held.value))
 
         def batch(b: pa.RecordBatch) -> list[pa.Array]:
             got = [enc.encode(x.as_py()) for x in b.column("text")]
@@ -115,10 +115,10 @@ def with_ids(docs: DataFrame, vocab: Pieces, keep: list[str] | None = None, out:
 
 def with_text(tokens: DataFrame, vocab: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns and the decoded text of ``ids`` (null ids: empty)."""
-    held = tokens.sparkSession.sparkContext.broadcast(vocab)
+    held = tokens.sparkSession.sparkContext.broadcast(vars(vocab))
 
     def make():
-        vocab = held.value
+        vocab = Pieces(**held.value)
         return lambda b: [pa.array([decode(x.as_py() or [], vocab) for x in b.column(ids)], pa.string())]
 
     return append_columns(tokens, tokens.columns, [(out, T.StringType())], make)

@@ -74,10 +74,10 @@ def terminal_counts(tokens: set[str], vocab: Pieces) -> dict[str, int]:
 
 def with_counts(docs: DataFrame, vocab: Pieces, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: all columns), n_pretokens and n_tokens of the whole text."""
-    held = docs.sparkSession.sparkContext.broadcast(vocab)
+    held = docs.sparkSession.sparkContext.broadcast(vars(vocab))
 
     def make():
-        vocab = held.value
+        vocab = Pieces(**held.value)
 
         def batch(b: pa.RecordBatch) -> list[pa.Array]:
             pre, tok = [], []
