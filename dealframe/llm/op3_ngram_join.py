@@ -94,14 +94,14 @@ def _heavy(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, d1, d2, g, e, prefix) of every text: set size, set digest, group, extra and prefix tokens."""
+    """(doc_id, n, d1, d2, g, prefix) of every text: set size, set digest, group and prefix tokens."""
     heavy = docs.sparkSession.sparkContext.broadcast(_heavy(docs, k))
 
     def make():
         sets, hot = Sets(k), heavy.value
 
         def batch(b: pa.RecordBatch) -> list[pa.Array]:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], []]
             pre, lens = [], []
             for s in sets(b.column("text")):
                 n = len(s)
@@ -122,27 +122,32 @@ def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 pre.append(order[: n - need + 1 + e])
                 lens.append(len(pre[-1]))
                 group = mix((cold if 2 * len(cold) >= n else s) ^ SEED).min()
-                for c, v in zip(cols, (n, *digest(s), int(group.view(np.int64)), e), strict=True):
+                for c, v in zip(cols, (n, *digest(s), int(group.view(np.int64))), strict=True):
                     c.append(v)
             flat = np.concatenate(pre).view(np.int64) if pre else np.zeros(0, np.int64)
             offs = np.zeros(len(lens) + 1, np.int32)
             np.cumsum(lens, out=offs[1:])
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             return [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)] + [pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))]
 
         return batch
 
-    new = [("n", T.IntegerType()), ("d1", T.LongType()), ("d2", T.LongType()), ("g", T.LongType()), ("e", T.IntegerType()), ("prefix", T.ArrayType(T.LongType()))]
+    new = [("n", T.IntegerType()), ("d1", T.LongType()), ("d2", T.LongType()), ("g", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
     return append_columns(docs.select("doc_id", "text"), ["doc_id"], new, make)
 
 
-def qualify(reps: DataFrame, percent: int) -> DataFrame:
-    """(doc, g): texts and the other groups that they must open, by the token-group matrix."""
-    post = reps.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n", "e", "g")
+def qualify(seen: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(doc, g): representatives and the other groups that they must open, by the token-group matrix.
+
+    Tokens of all rows are dealt out once; copies change nothing in which tokens two
+    groups share, and leave before the matrix is asked.
+    """
+    post = seen.where("doc_id is not null").select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n", "g")
     post = post.repartition(parts(post.sparkSession), "token")
     live = post.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
     sizes = reps.groupBy("g").agg(F.count("*").alias("members"))
-    rows = post.join(live, "token").join(sizes, "g")
+    extra = F.expr(f"least({EXTRA}, ({percent} * n + 99) div 100 - 1)").cast("int")
+    rows = post.join(live, "token").join(reps.select(F.col("doc_id").alias("doc"), "g"), ["doc", "g"], "left_semi").join(sizes, "g").withColumn("e", extra)
     matrix = rows.groupBy("token", "g", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("e").alias("ge"))
     q, m = rows.alias("q"), matrix.alias("m")
     hit = q.join(m, "token").where("(q.members, q.g) < (m.members, m.g)")
@@ -214,16 +219,13 @@ def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _links(percent: int):
+def _links(k: int, percent: int):
     """mapInArrow over rows sorted by (g, mb, qb): spanning forests of the links of each unit."""
 
     def unit(held: dict[int, list]) -> tuple[list[int], list[int]]:
-        left = held.get(0, []) + held.get(2, [])
-        right = held.get(1, []) + held.get(3, [])
         kinds = [(held.get(0, []), held.get(1) or held.get(0, []))] if 0 in held or 1 in held else []
         if held.get(2) and held.get(3):
             kinds.append((held[2], held[3]))
-        del left, right
         a, b = [], []
         for x, y in kinds:
             if not x or not y:
@@ -240,19 +242,18 @@ def _links(percent: int):
         return a, b
 
     def run(batches):
-        key, held = None, {}
+        key, held, sets = None, {}, Sets(k)
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(5)]
-            sets = batch.column(5)
             a, b = [], []
-            for i, (g, mb, qb, side, doc) in enumerate(zip(*cols, strict=True)):
+            for g, mb, qb, side, doc, tokens in zip(*cols, sets(batch.column(5)), strict=True):
                 if (g, mb, qb) != key:
                     if held:
                         x, y = unit(held)
                         a += x
                         b += y
                     key, held = (g, mb, qb), {}
-                held.setdefault(side, []).append((doc, np.frombuffer(sets[i].as_buffer(), np.uint64)))
+                held.setdefault(side, []).append((doc, tokens))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         if held:
@@ -263,37 +264,25 @@ def _links(percent: int):
     return run
 
 
-def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, seen: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links between representatives that span every component."""
-    units = Written(_units(reps, qualify(reps, percent)))
-    wanted = units.df.select("doc").distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.doc).select("doc", "text")
-
-    def make():
-        sets = Sets(k)
-        return lambda b: [pa.array([s.tobytes() for s in sets(b.column("text"))], pa.binary())]
-
-    # A repeated doc_id must not meet itself twice; its rows have one class each, and any row of the class will do.
-    own = append_columns(texts, ["doc"], [("tokens", T.BinaryType())], make).dropDuplicates(["doc", "tokens"])
-    rows = units.df.join(own, "doc").select("g", "mb", "qb", "side", "doc", "tokens")
+    units = Written(_units(reps, qualify(seen, reps, percent)))
+    rows = units.df.join(docs.withColumnRenamed("doc_id", "doc"), "doc").select("g", "mb", "qb", "side", "doc", "text")
     rows = rows.repartition(parts(docs.sparkSession), "g", "mb", "qb").sortWithinPartitions("g", "mb", "qb")
-    return rows.mapInArrow(_links(percent), "a long, b long")
+    return rows.mapInArrow(_links(k, percent), "a long, b long")
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    seen = Written(describe(docs, k, percent))
-    valid = seen.df.where("n > 0 and doc_id is not null")
-    rep = valid.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    ids = rep.select(F.col("rep").alias("doc_id"), "d1", "d2", "n")
-    reps = valid.join(ids, ["doc_id", "d1", "d2", "n"]).dropDuplicates(["doc_id", "d1", "d2"])
-    reps = Written(reps.select("doc_id", "n", "e", "g", "prefix"))
-    same = valid.join(rep, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links(docs, reps.df, k, percent).unionByName(same))
-    reps.drop()
-    out = seen.df.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
-    out = out.join(found.df.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    seen = Written(describe(docs, k, percent)).df
+    valid = seen.where("n > 0 and doc_id is not null")
+    rep = valid.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("g").alias("g"))
+    reps = Written(rep.select(F.col("rep").alias("doc_id"), "n", "g")).df
+    same = valid.select("doc_id", "d1", "d2", "n").join(rep, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = components(links(docs, seen, reps, k, percent).unionByName(same)).df
+    out = seen.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
+    out = out.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -9,6 +9,7 @@ from dealframe.llm import (
     op3_ngram_join,
     op5_sentencepiece,
     op6_langid,
+    op8_chat,
     op9_token_counts,
     op10_decontam,
 )
@@ -18,10 +19,11 @@ QUERIES: dict[str, Callable] = {
     "op3_ngram_jaccard": op3_ngram_join.query,
     "op5_sentencepiece": op5_sentencepiece.query,
     "op6_language_id": op6_langid.query,
+    "op8_chat_format": op8_chat.query,
     "op9_token_counts": op9_token_counts.query,
     "op10_decontamination": op10_decontam.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_chat_format": op8_chat.ORACLE}
 
 
 def queries() -> dict[str, Callable]:
