@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from dealframe.llm import (
     op1_quality,
+    op2_extract,
     op3_ngram_join,
+    op4_embed_dedup,
     op5_sentencepiece,
     op6_langid,
     op8_chat,
@@ -16,7 +18,9 @@ from dealframe.llm import (
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_crf": op1_quality.query,
+    "op2_html_extract": op2_extract.query,
     "op3_ngram_jaccard": op3_ngram_join.query,
+    "op4_embedding_dedup": op4_embed_dedup.query,
     "op5_sentencepiece": op5_sentencepiece.query,
     "op6_language_id": op6_langid.query,
     "op8_chat_format": op8_chat.query,
