@@ -11,6 +11,7 @@ from dealframe.llm import (
     op4_embed_dedup,
     op5_sentencepiece,
     op6_langid,
+    op7_lm,
     op8_chat,
     op9_token_counts,
     op10_decontam,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable] = {
     "op4_embedding_dedup": op4_embed_dedup.query,
     "op5_sentencepiece": op5_sentencepiece.query,
     "op6_language_id": op6_langid.query,
+    "op7_lm_score": op7_lm.query,
     "op8_chat_format": op8_chat.query,
     "op9_token_counts": op9_token_counts.query,
     "op10_decontamination": op10_decontam.query,
