@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from dealframe.plans import core_queries  # noqa: F401
+    from dealframe.plans import bridge_queries, core_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
