@@ -26,14 +26,12 @@ def hypothetical_matchpoints(df: DataFrame, keys: list[str], actual: str, column
     counts = df.groupBy(*keys, F.col(actual).alias("_v")).agg(F.count("*").alias("_n"))
     lists = counts.groupBy(*keys).agg(F.collect_list(F.struct("_v", "_n")).alias("_scores"))
     out = df.join(lists, keys)
-    for c in columns:
-        points = F.aggregate(
-            "_scores",
-            F.lit(0.0),
-            lambda a, x, c=c: a + F.when(F.col(c) > x["_v"], x["_n"] * 1.0).when(F.col(c) == x["_v"], x["_n"] * 0.5).otherwise(0.0),
-        )
-        out = out.withColumn(f"MP_{c}", points)
-    return out.drop("_scores")
+
+    def points(c: str) -> Column:
+        won = lambda x: F.when(F.col(c) > x["_v"], x["_n"] * 1.0).when(F.col(c) == x["_v"], x["_n"] * 0.5).otherwise(0.0)
+        return F.aggregate("_scores", F.lit(0.0), lambda a, x: a + won(x))
+
+    return out.withColumns({f"MP_{c}": points(c) for c in columns}).drop("_scores")
 
 
 def distinct_score_percentage(df: DataFrame, keys: list[str], actual: str, column: str, out: str) -> DataFrame:
