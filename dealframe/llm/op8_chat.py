@@ -57,7 +57,8 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     jump, k = Written(step), 0
     while jump.df.take(1):
         j = jump.df.select("tree", F.col("id").alias("up"), F.col("up").alias("to"))
-        path = path.unionByName(path.join(j, ["tree", "up"]).select("tree", "leaf", F.col("to").alias("up"), (F.col("steps") + (1 << k)).alias("steps")))
+        # Written each round: a plan that holds its own predecessors doubles with every round.
+        path = Written(path.unionByName(path.join(j, ["tree", "up"]).select("tree", "leaf", F.col("to").alias("up"), (F.col("steps") + (1 << k)).alias("steps")))).df
         jump, k = Written(jump.df.join(j, ["tree", "up"]).select("tree", "id", F.col("to").alias("up"))), k + 1
     body = messages.select("tree", F.col("id").alias("up"), "role", "text", "score")
     full = path.join(body, ["tree", "up"])
