@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the game: the IMP scale's upper differences for 0, 1, 2, ... IMPs.
-IMP_UPPER = [10, 40, 80, 120, 160, 210, 260, 310, 360, 420, 490, 590, 740, 890, 1090, 1290, 1490, 1740, 1990, 2240, 2490, 2990, 3490, 3990]
+# Fixed values of the game: the least differences of scores for 1, 2, ... 24 IMPs.
+IMP_LOWER = [20, 50, 90, 130, 170, 220, 270, 320, 370, 430, 500, 600, 750, 900, 1100, 1300, 1500, 1750, 2000, 2250, 2500, 3000, 3500, 4000]
 
 
 def imp(diff: Column) -> Column:
     """0 to 24 IMPs of a difference of scores, unsigned."""
     d = F.abs(diff)
-    return F.array_size(F.filter(F.array(*[F.lit(x) for x in IMP_UPPER]), lambda x: x < d))
+    return F.array_size(F.filter(F.array(*[F.lit(x) for x in IMP_LOWER]), lambda x: x <= d))
 
 
 def imp_signed(diff: Column) -> Column:

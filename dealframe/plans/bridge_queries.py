@@ -126,7 +126,8 @@ def contract_scores(spark, sf_dir):
     return d.select("index", S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, F.col("tricks")).alias("score"), (F.col("tricks") - F.col("level") - 6).alias("result"))
 
 
-IMP_VALUES = ", ".join(f"({lo + 1}, {hi}, {i})" for i, (lo, hi) in enumerate(zip([-1, *S.IMP_UPPER], [*S.IMP_UPPER, 10**9], strict=True)))
+IMP_ROWS = [(lo, hi - 1, i) for i, (lo, hi) in enumerate(zip([0, *S.IMP_LOWER], [*S.IMP_LOWER, 10**9], strict=True))]
+IMP_VALUES = ", ".join(map(str, IMP_ROWS))
 
 
 @query("imp_scale", f"select d.v::int as diff, imp as imp from range(0, 6000, 7) d(v), (values {IMP_VALUES}) t(lo, hi, imp) where d.v between lo and hi")
@@ -139,8 +140,7 @@ def imp_scale(spark, sf_dir):
     f"""select imp, count(*) as n, round(avg(d), 4) as avg_diff from (select floor(abs(l_extendedprice - 30000) / 10)::bigint as d from lineitem) x, (values {IMP_VALUES}) t(lo, hi, imp) where d between lo and hi group by imp""",
 )
 def imp_bucket_join(spark, sf_dir):
-    rows = [(lo + 1, hi, i) for i, (lo, hi) in enumerate(zip([-1, *S.IMP_UPPER], [*S.IMP_UPPER, 10**9], strict=True))]
-    t = spark.createDataFrame(rows, "lo long, hi long, imp int")
+    t = spark.createDataFrame(IMP_ROWS, "lo long, hi long, imp int")
     x = table(spark, sf_dir, "lineitem").select(F.floor(F.abs(F.col("l_extendedprice") - 30000) / 10).alias("d"))
     return x.join(F.broadcast(t), F.col("d").between(F.col("lo"), F.col("hi"))).groupBy("imp").agg(F.count("*").alias("n"), F.round(F.avg("d"), 4).alias("avg_diff"))
 
