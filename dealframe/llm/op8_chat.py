@@ -76,8 +76,8 @@ def formatted(turns: Column) -> Column:
 
     def one(t: Column) -> Column:
         end = F.when(t["role"] == "assistant", F.lit(END)).otherwise(F.lit(CLOSE))
-        # A colon in a role is escaped too: the first plain separator ends it.
-        role = F.replace(escape(t["role"]), F.lit(":"), F.lit("\\:"))
+        # A separator in a role is broken too: the first whole one ends the role.
+        role = F.replace(escape(t["role"]), F.lit(SEP), F.lit(SEP[0] + "\\" + SEP[1:]))
         return F.concat(F.lit(OPEN), role, F.lit(SEP), escape(t["text"]), end)
 
     return F.array_join(F.transform(turns, one), "")
