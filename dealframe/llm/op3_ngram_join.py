@@ -40,7 +40,9 @@ HEAVY_MAX = 200_000
 #: Texts that make a token widely shared, and those within a chunk that make it a candidate.
 HEAVY_TEXTS, HEAVY_LOCAL, HEAVY_CHUNK = 32, 5, 4_000_000
 EXTRA = 2
-BLOCK_ROWS = 256
+#: Rows (a text in a block of comparisons) that may be broadcast, some 40 bytes each; the count is checked.
+UNITS_MAX = 1_000_000
+BLOCK_ROWS = 512
 SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -136,18 +138,68 @@ def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return append_columns(docs.select("doc_id", "text"), ["doc_id"], new, make)
 
 
+def _pack(shards: int):
+    """mapInArrow over (doc_id, g, prefix): tokens, documents and groups dealt to shards, a packed row a shard and batch."""
+
+    def run(batches):
+        for b in batches:
+            flat = b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            lens = np.diff(b.column(2).offsets.to_numpy()) if len(b) else []
+            doc = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), lens)
+            g = np.repeat(b.column(1).to_numpy(zero_copy_only=False), lens)
+            to = (mix(flat) % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            flat, doc, g, to = flat[order], doc[order], g[order], to[order]
+            cuts = np.flatnonzero(np.diff(to, prepend=-1, append=shards))
+            runs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            # Differences of ids compress to little.
+            load = [flat[i:j].tobytes() + np.diff(doc[i:j], prepend=0).tobytes() + g[i:j].tobytes() for i, j in runs]
+            yield pa.RecordBatch.from_arrays([pa.array([int(to[i]) for i, _ in runs], pa.int32()), pa.array(load, pa.binary())], names=["shard", "load"])
+
+    return run
+
+
+def _live(batches):
+    """mapInArrow over packed rows sorted by shard: (token, doc, g) of the tokens that two groups share."""
+
+    def flush(held):
+        tok, doc, g = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(tok, kind="stable")
+        tok, doc, g = tok[order], doc[order], g[order]
+        at = np.flatnonzero(np.diff(tok, prepend=tok[0] ^ np.uint64(1)))
+        live = np.minimum.reduceat(g, at) != np.maximum.reduceat(g, at)
+        keep = np.repeat(live, np.diff(at, append=len(tok)))
+        return pa.RecordBatch.from_arrays([pa.array(tok[keep].view(np.int64)), pa.array(doc[keep]), pa.array(g[keep])], names=["token", "doc", "g"])
+
+    key, held = None, []
+    for b in batches:
+        for shard, load in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if shard != key:
+                if held:
+                    yield flush(held)
+                key, held = shard, []
+            x = np.frombuffer(load.as_buffer(), np.int64)
+            m = len(x) // 3
+            held.append((x[:m].view(np.uint64), np.cumsum(x[m : 2 * m]), x[2 * m :]))
+    if held:
+        yield flush(held)
+
+
 def qualify(seen: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(doc, g): representatives and the other groups that they must open, by the token-group matrix.
 
-    Tokens of all rows are dealt out once; copies change nothing in which tokens two
-    groups share, and leave before the matrix is asked.
+    Tokens of all rows are dealt out once, packed; copies change nothing in which
+    tokens two groups share, and leave before the matrix is asked.
     """
-    post = seen.where("doc_id is not null").select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n", "g")
-    post = post.repartition(parts(post.sparkSession), "token")
-    live = post.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
+    spark = seen.sparkSession
+    shards = 4 * parts(spark)
+    post = seen.where("doc_id is not null and n > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "g", "prefix")
+    post = post.mapInArrow(_pack(shards), "shard int, load binary").repartition(parts(spark), "shard").sortWithinPartitions("shard")
+    live = post.mapInArrow(_live, "token long, doc long, g long")
     sizes = reps.groupBy("g").agg(F.count("*").alias("members"))
     extra = F.expr(f"least({EXTRA}, ({percent} * n + 99) div 100 - 1)").cast("int")
-    rows = post.join(live, "token").join(reps.select(F.col("doc_id").alias("doc"), "g"), ["doc", "g"], "left_semi").join(sizes, "g").withColumn("e", extra)
+    rows = live.join(reps.select(F.col("doc_id").alias("doc"), "g", "n"), ["doc", "g"]).join(sizes, "g").withColumn("e", extra)
+    rows = Written(rows.distinct()).df
     matrix = rows.groupBy("token", "g", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("e").alias("ge"))
     q, m = rows.alias("q"), matrix.alias("m")
     hit = q.join(m, "token").where("(q.members, q.g) < (m.members, m.g)")
@@ -267,7 +319,11 @@ def _links(k: int, percent: int):
 def links(docs: DataFrame, seen: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links between representatives that span every component."""
     units = Written(_units(reps, qualify(seen, reps, percent)))
-    rows = units.df.join(docs.withColumnRenamed("doc_id", "doc"), "doc").select("g", "mb", "qb", "side", "doc", "text")
+    texts, where = docs.withColumnRenamed("doc_id", "doc"), units.df
+    if where.count() <= UNITS_MAX:
+        # Few texts are compared: they go straight to their units. With more rows texts and units meet by a shuffle.
+        where = F.broadcast(where)
+    rows = texts.join(where, "doc").select("g", "mb", "qb", "side", "doc", "text")
     rows = rows.repartition(parts(docs.sparkSession), "g", "mb", "qb").sortWithinPartitions("g", "mb", "qb")
     return rows.mapInArrow(_links(k, percent), "a long, b long")
 
