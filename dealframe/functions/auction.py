@@ -69,22 +69,22 @@ def _bids(toks: Column) -> Column:
 def contract(toks: Column) -> Column:
     """Last bid of an auction, null when passed out."""
     bids = _bids(toks)
-    return F.when(F.size(bids) > 0, F.element_at(bids, -1)["t"])
+    return F.when(F.size(bids) > 0, F.try_element_at(bids, F.lit(-1))["t"])
 
 
 def declarer(toks: Column, dealer: Column) -> Column:
     """Direction that first named the strain for the side of the last bid."""
     bids = _bids(toks)
-    last = F.element_at(bids, -1)
+    last = F.try_element_at(bids, F.lit(-1))
     same = F.filter(bids, lambda x: (F.substring(x["t"], 2, 1) == F.substring(last["t"], 2, 1)) & ((last["i"] - x["i"]) % 2 == 0))
-    at = (F.instr(F.lit(SEATS), dealer) - 1 + F.element_at(same, 1)["i"]) % 4
+    at = (F.instr(F.lit(SEATS), dealer) - 1 + F.try_element_at(same, F.lit(1))["i"]) % 4
     return F.when(F.size(bids) > 0, F.substring(F.lit(SEATS), at + 1, F.lit(1)))
 
 
 def doubling(toks: Column) -> Column:
     """'', 'X' or 'XX': the last double after the last bid."""
     bids = _bids(toks)
-    after = F.slice(toks, F.element_at(bids, -1)["i"] + 2, F.size(toks))
+    after = F.slice(toks, F.try_element_at(bids, F.lit(-1))["i"] + 2, F.size(toks))
     last = F.filter(after, lambda t: t.isin("X", "XX"))
     return F.when(F.size(bids) > 0, F.coalesce(F.try_element_at(last, F.lit(-1)), F.lit("")))
 

@@ -1,7 +1,7 @@
 """Deals, auctions and contracts derived from the orders table by arithmetic, in Spark and in SQL.
 
-The shared tables hold no bridge data. An affine permutation of 52 cards gives each
-order a deal; small lists of auctions are dealt out by key.
+The shared tables hold no bridge data. Each order's 52 cards are put in the order of an
+arithmetic key and dealt out; small lists of auctions are dealt out by key too.
 """
 
 from __future__ import annotations
@@ -38,11 +38,11 @@ def deals(spark, sf_dir: str) -> DataFrame:
     """index, Dealer, Vul, Hand_N..Hand_W (S.H.D.C), auction, level, strain, dbl, tricks."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
     k = F.col("index")
-    a0 = (k % 26) * 2 + 1
-    o = o.withColumn("_a", F.when(a0 % 13 == 0, a0 + 2).otherwise(a0)).withColumn("_b", (k * 7) % 52)
+    mixed = F.transform(F.sequence(F.lit(0), F.lit(51)), lambda c: (((k % 100003) * (c * 7919 + 104729) + c * c * 31) % 10007) * 64 + c)
+    o = o.withColumn("_p", F.transform(F.array_sort(mixed), lambda x: (x % 64).cast("int")))
 
     def suit(h: int, s: int):
-        held = F.filter(F.sequence(F.lit(0), F.lit(12)), lambda r: F.floor(((F.col("_a") * (s * 13 + r) + F.col("_b")) % 52) / 13) == h)
+        held = F.filter(F.sequence(F.lit(0), F.lit(12)), lambda r: F.array_contains(F.slice("_p", 13 * h + 1, 13), r + 13 * s))
         return F.array_join(F.transform(held, lambda r: F.substring(F.lit(RANKS), r + 1, F.lit(1))), "")
 
     hands = [F.concat_ws(".", *[suit(h, s) for s in range(4)]).alias(f"Hand_{d}") for h, d in enumerate("NESW")]
@@ -61,7 +61,7 @@ def deals(spark, sf_dir: str) -> DataFrame:
 
 
 def _suit_sql(h: int, s: int) -> str:
-    return f"array_to_string(list_transform(list_filter(range(13), lambda r: ((a * ({s} * 13 + r) + b) % 52) // 13 = {h}), lambda r: substr('{RANKS}', r + 1, 1)), '')"
+    return f"array_to_string(list_transform(list_filter(range(13), lambda r: list_contains(p[{13 * h + 1}:{13 * h + 13}], r + {13 * s})), lambda r: substr('{RANKS}', r + 1, 1)), '')"
 
 
 def _hand_sql(h: int, d: str) -> str:
@@ -70,8 +70,8 @@ def _hand_sql(h: int, d: str) -> str:
 
 #: The same deals as a CTE named deals.
 DEALS_SQL = f"""deals0 as (
-  select o_orderkey as index, o_orderkey as k, case when ((o_orderkey % 26) * 2 + 1) % 13 = 0 then (o_orderkey % 26) * 2 + 3 else (o_orderkey % 26) * 2 + 1 end as a,
-    (o_orderkey * 7) % 52 as b from orders
+  select o_orderkey as index, o_orderkey as k,
+    list_transform(list_sort(list_transform(range(52), lambda c: (((o_orderkey % 100003) * (c * 7919 + 104729) + c * c * 31) % 10007) * 64 + c)), lambda x: x % 64) as p from orders
 ), deals as (
   select index, substr('NESW', (k % 4 + 1)::int, 1) as Dealer, (['None', 'N_S', 'E_W', 'Both'])[((k // 4) % 4 + 1)::int] as Vul,
     {", ".join(_hand_sql(h, d) for h, d in enumerate("NESW"))},
