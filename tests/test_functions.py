@@ -96,3 +96,48 @@ def test_compiler_agrees_with_python(spark, rule):
     got = {(r["a"], r["b"]): r["x"] for r in df.select("a", "b", dsl.compile_criteria(rule, df.columns).alias("x")).collect()}
     text = rule.replace("&", " and ").replace("|", " or ")
     assert got == {(a, b): bool(eval(text, {"a": a, "b": b})) for a, b in rows}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("12-14 HCP; 5+ !S", ["HCP >= 12", "HCP <= 14", "SL_S >= 5"]),
+        ("8- total points, stop in !H", ["Total_Points <= 8", "Stop_H"]),
+        ("balanced; !S >= !H; 4 !C; odd words", ["Balanced", "SL_S >= SL_H", "SL_C >= 4", "SL_C <= 4", "odd words"]),
+    ],
+)
+def test_phrases(text, want):
+    from dealframe.functions.phrases import rewrite
+
+    assert rewrite(text) == want
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [("5431", [(5, 5), (4, 4), (3, 3), (1, 1)]), ("5-4-3-1", [(5, 5), (4, 4), (3, 3), (1, 1)]), ("[3:5],4+,3-,x", [(3, 5), (4, 13), (0, 3), (0, 13)]), ("3--x", None), ("54", None)],
+)
+def test_shapes(pattern, want):
+    from dealframe.functions.shape import parse_shape
+
+    assert parse_shape(pattern) == want
+
+
+@pytest.mark.parametrize(
+    ("auction", "some"),
+    [
+        ("1N", {"is_opening", "is_notrump_opening", "is_one_level_opening"}),
+        ("1N-P-2C", {"is_stayman", "is_response"}),
+        ("1S-P-2S", {"is_raise", "is_single_raise"}),
+        ("1S-X", {"is_takeout_double"}),
+        ("1S-P-4C", {"is_splinter", "is_jump"}),
+        ("1H-P-P-1S", {"is_balancing", "is_overcall"}),
+        ("1D-1S-2S", {"is_cuebid"}),
+        ("P-P-1S", {"is_opening"}),
+        ("P-1D-P-1S-P-2S-X", set()),
+    ],
+)
+def test_categories(spark, auction, some):
+    from dealframe.functions import categories
+
+    got = set(one(spark, categories.names(A.tokens(F.lit(auction)))))
+    assert some <= got
