@@ -111,8 +111,8 @@ def names(text: str) -> list[str]:
     return sorted({t for t in scan(text) if re.match(r"[A-Za-z_]", t) and t not in ("and", "or", "not")})
 
 
-def compile_criteria(text: str, columns: list[str], rename=lambda n: n, on_missing: str = "false") -> Column:
-    """A boolean column. on_missing: false, true (pass) or error."""
+def compile_filter(text: str, columns: list[str], rename=lambda n: n, on_missing: str = "false") -> Column:
+    """A condition for ``where``: null where a comparison is unknown, plain enough to reach the scan."""
     known = set(columns)
 
     def value(t: tuple) -> Column:
@@ -143,7 +143,7 @@ def compile_criteria(text: str, columns: list[str], rename=lambda n: n, on_missi
             a, b = truth(t[1]), truth(t[2])
             return a & b if kind == "&" else a | b
         if kind == "not":
-            return ~truth(t[1])
+            return ~F.coalesce(truth(t[1]), F.lit(False))
         try:
             if kind in COMPARE:
                 a, b = value(t[1]), value(t[2])
@@ -154,11 +154,16 @@ def compile_criteria(text: str, columns: list[str], rename=lambda n: n, on_missi
             if on_missing == "error":
                 raise CriteriaError(f"no column {e}") from None
             return F.lit(on_missing == "true")
-        return F.coalesce(out, F.lit(False))
+        return out
 
     return truth(parse(text))
 
 
+def compile_criteria(text: str, columns: list[str], rename=lambda n: n, on_missing: str = "false") -> Column:
+    """A boolean column, never null. on_missing: false, true (pass) or error."""
+    return F.coalesce(compile_filter(text, columns, rename, on_missing), F.lit(False))
+
+
 def failed(criteria: list[str], columns: list[str], **kw) -> Column:
     """The criteria that a row fails, in order."""
     return F.array_compact(F.array(*[F.when(~compile_criteria(c, columns, **kw), F.lit(c)) for c in criteria]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dealframe.functions.dsl import compile_criteria, failed
+from dealframe.functions.dsl import compile_criteria, compile_filter, failed
 from dealframe.plans.registry import query
 from dealframe.session import table
 
@@ -13,7 +13,7 @@ from dealframe.session import table
 @query("criteria_range_count", "SELECT count(*) AS n FROM lineitem WHERE l_quantity >= 15 AND l_quantity <= 17")
 def criteria_range_count(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
-    return t.where(compile_criteria("l_quantity >= 15 & l_quantity <= 17", t.columns)).agg(F.count("*").alias("n"))
+    return t.where(compile_filter("l_quantity >= 15 & l_quantity <= 17", t.columns)).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -69,7 +69,7 @@ def modulo_sample(spark, sf_dir):
 def criteria_dsl(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
     rule = "((l_quantity + 2 * l_linenumber >= 20 & l_discount < 0.05) | not (l_tax > 0.04)) and l_quantity % 2 == 0"
-    return t.where(compile_criteria(rule, t.columns)).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return t.where(compile_filter(rule, t.columns)).groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
 @query(
