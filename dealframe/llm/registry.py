@@ -15,6 +15,7 @@ from dealframe.llm import (
     op8_chat,
     op9_token_counts,
     op10_decontam,
+    oracles,
 )
 
 QUERIES: dict[str, Callable] = {
@@ -29,7 +30,11 @@ QUERIES: dict[str, Callable] = {
     "op9_token_counts": op9_token_counts.query,
     "op10_decontamination": op10_decontam.query,
 }
-ORACLE: dict[str, str] = {"op8_chat_format": op8_chat.ORACLE}
+ORACLE: dict[str, str] = {
+    "op3_ngram_jaccard": oracles.JACCARD,
+    "op4_embedding_dedup": oracles.COSINE,
+    "op8_chat_format": op8_chat.ORACLE,
+}
 
 
 def queries() -> dict[str, Callable]:
