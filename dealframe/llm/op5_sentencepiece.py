@@ -20,7 +20,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dealframe.llm._common import append_columns, table
@@ -125,9 +124,31 @@ def with_text(tokens: DataFrame, vocab: Pieces, ids: str = "ids", out: str = "de
 
 
 def encoded(docs: DataFrame, vocab: Pieces) -> DataFrame:
-    """(doc_id, n_tokens, ids, n_chars_decoded, round_trip) of every row."""
-    t = with_text(with_ids(docs.select("doc_id", "text"), vocab), vocab)
-    return t.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.length("decoded").cast("long").alias("n_chars_decoded"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    """(doc_id, n_tokens, ids, n_chars_decoded, round_trip) of every row, coded and decoded in one pass."""
+    held = docs.sparkSession.sparkContext.broadcast(vars(vocab))
+
+    def make():
+        vocab = Pieces(**held.value)
+        enc = Encoder(vocab)
+
+        def batch(b: pa.RecordBatch) -> list[pa.Array]:
+            got, chars, same = [], [], []
+            for x in b.column("text"):
+                text = x.as_py() or ""
+                got.append(enc.encode(text))
+                back = decode(np.frombuffer(got[-1], np.int32).tolist(), vocab)
+                chars.append(len(back))
+                same.append(back == text)
+            sizes = np.array([len(x) // 4 for x in got], np.int64)
+            offs = np.zeros(len(got) + 1, np.int32)
+            np.cumsum(sizes, out=offs[1:])
+            ids = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(got), np.int32)))
+            return [pa.array(sizes), ids, pa.array(chars, pa.int64()), pa.array(same)]
+
+        return batch
+
+    new = [("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), ("n_chars_decoded", T.LongType()), ("round_trip", T.BooleanType())]
+    return append_columns(docs.select("doc_id", "text"), ["doc_id"], new, make)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
