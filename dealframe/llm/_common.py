@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A shared table; only Spark opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,6 +58,13 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on: texts are long, and a batch is held by both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def append_columns(
     df: DataFrame,
     keep: list[str],
@@ -65,6 +76,7 @@ def append_columns(
     ``make()`` runs once a task and returns batch -> arrays. A kept column with
     the name of a new one is dropped.
     """
+    bound_batches(df.sparkSession)
     names = {n for n, _ in new}
     keep = [k for k in dict.fromkeys(keep) if k not in names]
     schema = T.StructType([df.schema[k] for k in keep] + [T.StructField(n, t, True) for n, t in new])

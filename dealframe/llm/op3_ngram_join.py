@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealframe.llm._common import Written, append_columns, parts, table
+from dealframe.llm._common import Written, append_columns, bound_batches, parts, table
 from dealframe.llm._graph import components
 from dealframe.llm._text import Words, blocks, mix, shingles
 
@@ -38,7 +38,7 @@ PERCENT = 85
 #: Entries of the broadcast table of widely shared tokens at most (8 bytes each).
 HEAVY_MAX = 200_000
 #: Texts that make a token widely shared, and those within a chunk that make it a candidate.
-HEAVY_TEXTS, HEAVY_LOCAL, HEAVY_CHUNK = 32, 5, 4_000_000
+HEAVY_TEXTS, HEAVY_LOCAL, HEAVY_CHUNK = 32, 5, 2_000_000
 EXTRA = 2
 #: Rows (a text in a block of comparisons) that may be broadcast, some 40 bytes each; the count is checked.
 UNITS_MAX = 1_000_000
@@ -330,6 +330,7 @@ def links(docs: DataFrame, seen: DataFrame, reps: DataFrame, k: int, percent: in
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     seen = Written(describe(docs, k, percent)).df
     valid = seen.where("n > 0 and doc_id is not null")
