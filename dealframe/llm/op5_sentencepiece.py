@@ -38,18 +38,35 @@ class Encoder:
         for piece, (i, score) in vocab.normal.items():
             self.automaton.add_word(piece, (len(piece), i, score))
         self.automaton.make_automaton()
+        self.singles = {p for p in vocab.normal if len(p) == 1}
 
     def viterbi(self, s: str) -> list[int]:
         """Ids of the best path of s."""
-        normal, unk = self.vocab.normal, self.vocab.unk_score
+        if not self.singles.issuperset(s):
+            return self._with_unknown(s)
         low = float("-inf")
+        best, start, piece = [0.0] + [low] * len(s), [0] * (len(s) + 1), [0] * (len(s) + 1)
+        for end, (n, i, score) in self.automaton.iter(s):
+            end += 1
+            value = best[end - n] + score
+            if value > best[end]:
+                best[end], start[end], piece[end] = value, end - n, i
+        out, p = [], len(s)
+        while p:
+            out.append(piece[p])
+            p = start[p]
+        return out[::-1]
+
+    def _with_unknown(self, s: str) -> list[int]:
+        """The same with unknown steps over characters that are no piece."""
+        unk, low = self.vocab.unk_score, float("-inf")
         best, back = [0.0] + [low] * len(s), [(0, -1)] * (len(s) + 1)
         done = 0
 
         def settle(upto: int) -> None:
-            # Characters that are no piece: an unknown step, after the pieces that end there.
+            # After the pieces that end there, before any that starts there.
             for p in range(done, upto):
-                if s[p] not in normal and best[p] + unk > best[p + 1]:
+                if s[p] not in self.singles and best[p] + unk > best[p + 1]:
                     best[p + 1], back[p + 1] = best[p] + unk, (p, -1)
 
         for end, (n, i, score) in self.automaton.iter(s):
