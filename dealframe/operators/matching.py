@@ -18,8 +18,26 @@ def bucket_range_match(deals: DataFrame, ranges: DataFrame, dims: list[str], key
     ``{dim}_min`` and ``{dim}_max`` for each dim. With more boxes than may be
     broadcast, both sides are cut by the first dim into unit cells and joined on them.
     """
+    hit, bounds = _hits(deals.select(*dims).distinct(), ranges, dims, count)
+    return deals.select(key, *dims).join(hit, dims).join(ranges.select(range_key, *bounds), bounds).select(key, range_key)
+
+
+def bucket_range_summary(deals: DataFrame, ranges: DataFrame, dims: list[str], key: str, range_key: str) -> DataFrame:
+    """(range_key, n, first, last): how many deals each box holds, and their least and greatest key.
+
+    The same match with its pairs left unexpanded: deals are counted by value tuple,
+    and the counts are added up by distinct box. Boxes without a deal are left out.
+    """
+    buckets = deals.groupBy(*dims).agg(F.count("*").alias("_n"), F.min(key).alias("_first"), F.max(key).alias("_last"))
+    hit, bounds = _hits(buckets, ranges, dims, None)
+    sums = hit.groupBy(*bounds).agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    both = ranges.select(range_key, *bounds).join(sums, bounds)
+    return both.groupBy(range_key).agg(F.sum("_n").alias("n"), F.min("_first").alias("first"), F.max("_last").alias("last"))
+
+
+def _hits(buckets: DataFrame, ranges: DataFrame, dims: list[str], count: int | None) -> tuple[DataFrame, list[str]]:
+    """Buckets (one row a value tuple) beside every distinct box around them, and the names of the bounds."""
     bounds = [f"{d}_{e}" for d in dims for e in ("min", "max")]
-    buckets = deals.select(*dims).distinct()
     boxes = ranges.select(*bounds).distinct()
     inside = [F.col(d).between(F.col(f"{d}_min"), F.col(f"{d}_max")) for d in dims]
     cond = inside[0]
@@ -30,8 +48,8 @@ def bucket_range_match(deals: DataFrame, ranges: DataFrame, dims: list[str], key
     else:
         d = dims[0]
         cells = boxes.withColumn("_cell", F.explode(F.sequence(F.floor(f"{d}_min").cast("long"), F.floor(f"{d}_max").cast("long"))))
-        hit = buckets.withColumn("_cell", F.floor(d).cast("long")).join(cells, "_cell").where(cond)
-    return deals.select(key, *dims).join(hit, dims).join(ranges.select(range_key, *bounds), bounds).select(key, range_key)
+        hit = buckets.withColumn("_cell", F.floor(d).cast("long")).join(cells, "_cell").where(cond).drop("_cell")
+    return hit, bounds
 
 
 def template_division(pairs: DataFrame, required: DataFrame, item: str, template: str, prop: str) -> DataFrame:

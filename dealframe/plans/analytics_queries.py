@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dealframe.operators import matching, rules, stats, tournament
-from dealframe.plans.registry import query
+from dealframe.plans.registry import query, sample
 from dealframe.session import table
 
 
@@ -87,11 +87,13 @@ def elo_fold(spark, sf_dir):
       r as (select p_partkey as bt, p_size as q_min, p_size + 5 as q_max, p_partkey % 5 as ln_min, p_partkey % 5 + 2 as ln_max from part where p_partkey <= 60)
     select bt, count(*) as n, min(k) as first_k, max(k) as last_k from d join r on q between q_min and q_max and ln between ln_min and ln_max group by bt""",
 )
-def bucket_range_match(spark, sf_dir):
-    d = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").alias("q"), F.col("l_linenumber").alias("ln"))
-    p = table(spark, sf_dir, "part").where("p_partkey <= 60")
+def bucket_range_match(spark, sf_dir, whole=False):
+    d = sample(table(spark, sf_dir, "lineitem"), "l_orderkey % 4 = 0", whole).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").alias("q"), F.col("l_linenumber").alias("ln"))
+    p = sample(table(spark, sf_dir, "part"), "p_partkey <= 60", whole)
     k, s = F.col("p_partkey"), F.col("p_size")
     r = p.select(k.alias("bt"), s.alias("q_min"), (s + 5).alias("q_max"), (k % 5).alias("ln_min"), (k % 5 + 2).alias("ln_max"))
+    if whole:
+        return matching.bucket_range_summary(d, r, ["q", "ln"], "k", "bt").select("bt", "n", F.col("first").alias("first_k"), F.col("last").alias("last_k"))
     m = matching.bucket_range_match(d, r, ["q", "ln"], "k", "bt", count=60)
     return m.groupBy("bt").agg(F.count("*").alias("n"), F.min("k").alias("first_k"), F.max("k").alias("last_k"))
 

@@ -12,7 +12,7 @@ from dealframe.functions.shape import shape_filter, sorted_shape_filter
 from dealframe.operators import matching
 from dealframe.plans.bridge_queries import DP, HCP, IMP_VALUES, LEN, LTC, SCORE_SQL, TOK, W
 from dealframe.plans.deals import deals
-from dealframe.plans.registry import query
+from dealframe.plans.registry import query, sample
 from dealframe.session import table
 
 NODES = f"nodes as (select distinct array_to_string({TOK}[1:i], '-') as node, i::int as depth, {TOK}[i] as call, case when i > 1 then array_to_string({TOK}[1:i - 1], '-') else '' end as parent from deals, range(1, 16) r(i) where i <= len({TOK}))"
@@ -78,11 +78,13 @@ def shape_patterns(spark, sf_dir):
     f"""{W}, d as (select index, ({HCP})::int as hcp, (({LEN})[1])::int as sl from deals where index % 3 = 0), r as (select p_partkey as bt, p_size % 20 as hcp_min, p_size % 20 + 4 as hcp_max, p_partkey % 5 as sl_min, p_partkey % 5 + 3 as sl_max from part where p_partkey <= 100)
     select bt, count(*) as matching_deal_count, min(index) as first_deal from d join r on hcp between hcp_min and hcp_max and sl between sl_min and sl_max group by 1""",
 )
-def hand_range_match(spark, sf_dir):
+def hand_range_match(spark, sf_dir, whole=False):
     s = H.suits(F.col("Hand_N"))
-    d = deals(spark, sf_dir).where("index % 3 = 0").select("index", H.hcp(s).cast("int").alias("hcp"), F.element_at(H.lengths(s), 1).cast("int").alias("sl"))
+    d = sample(deals(spark, sf_dir), "index % 3 = 0", whole).select("index", H.hcp(s).cast("int").alias("hcp"), F.element_at(H.lengths(s), 1).cast("int").alias("sl"))
     k, z = F.col("p_partkey"), F.col("p_size")
-    r = table(spark, sf_dir, "part").where("p_partkey <= 100").select(k.alias("bt"), (z % 20).alias("hcp_min"), (z % 20 + 4).alias("hcp_max"), (k % 5).alias("sl_min"), (k % 5 + 3).alias("sl_max"))
+    r = sample(table(spark, sf_dir, "part"), "p_partkey <= 100", whole).select(k.alias("bt"), (z % 20).alias("hcp_min"), (z % 20 + 4).alias("hcp_max"), (k % 5).alias("sl_min"), (k % 5 + 3).alias("sl_max"))
+    if whole:
+        return matching.bucket_range_summary(d, r, ["hcp", "sl"], "index", "bt").select("bt", F.col("n").alias("matching_deal_count"), F.col("first").alias("first_deal"))
     m = matching.bucket_range_match(d, r, ["hcp", "sl"], "index", "bt", count=100)
     return m.groupBy("bt").agg(F.count("*").alias("matching_deal_count"), F.min("index").alias("first_deal"))
 

@@ -22,8 +22,13 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def sample(df, condition: str, whole: bool):
+    """Rows that meet ``condition``, or all rows: a query and its ``_whole`` twin differ in this alone."""
+    return df if whole else df.where(condition)
+
+
 def _load() -> None:
-    from dealframe.plans import analytics_queries, bidding_queries, bridge_queries, core_queries, results_queries  # noqa: F401
+    from dealframe.plans import analytics_queries, bidding_queries, bridge_queries, core_queries, results_queries, whole_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

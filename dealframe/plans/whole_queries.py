@@ -1,0 +1,32 @@
+"""Twins, named ``_whole``, of the queries that read a sample of their tables.
+
+The sample's query keeps its SQL as it is. A twin runs the same plan over all rows, and
+its SQL is the sample's with the filters, and nothing else, left out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from dealframe.plans import analytics_queries as an
+from dealframe.plans import bidding_queries as bid
+from dealframe.plans.registry import _ORACLE, query
+
+
+def without(sql: str, *cuts: str | tuple[str, str]) -> str:
+    """SQL without each of ``cuts`` (or with the second of a pair in its place), all of which it must hold once."""
+    for cut in cuts:
+        old, new = cut if isinstance(cut, tuple) else (cut, "")
+        if sql.count(old) != 1:
+            raise ValueError(f"{old!r} is in the SQL {sql.count(old)} times")
+        sql = sql.replace(old, new)
+    return sql
+
+
+def _whole(name: str, fn: Callable, *cuts: str | tuple[str, str]) -> None:
+    query(f"{name}_whole", without(_ORACLE[name], *cuts))(partial(fn, whole=True))
+
+
+_whole("hand_range_match", bid.hand_range_match, " where index % 3 = 0", " where p_partkey <= 100")
+_whole("bucket_range_match", an.bucket_range_match, " where l_orderkey % 4 = 0", " where p_partkey <= 60")
