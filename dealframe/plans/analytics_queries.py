@@ -168,8 +168,8 @@ BOUNDS_SQL = """b as (select l_suppkey as k, (['HCP', 'SL_S', 'TP'])[(l_linenumb
   loose as (select k, name, op, case when op in ('>=', '>') then min(v) else max(v) end as v from b group by k, name, op)"""
 
 
-def _bounds(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").where("l_orderkey % 16 = 0")
+def _bounds(spark, sf_dir, whole=False):
+    t = sample(table(spark, sf_dir, "lineitem"), "l_orderkey % 16 = 0", whole)
     name = F.element_at(F.array(F.lit("HCP"), F.lit("SL_S"), F.lit("TP")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     op = F.element_at(F.array(F.lit(">="), F.lit("<="), F.lit(">"), F.lit("<")), (F.col("l_partkey") % 4 + 1).cast("int"))
     return t.select(F.col("l_suppkey").alias("k"), name.alias("name"), op.alias("op"), F.col("l_quantity").alias("v"))
@@ -180,8 +180,8 @@ def _bounds(spark, sf_dir):
     f"""with {BOUNDS_SQL}, s as (select k, name, max(case op when '>=' then v when '>' then v + 1 end) as lo, min(case op when '<=' then v when '<' then v - 1 end) as hi from loose group by 1, 2)
     select l.k, l.name, l.op, l.v from loose l join s using (k, name) where lo is null or hi is null or lo <= hi""",
 )
-def dedupe_bounds(spark, sf_dir):
-    return rules.dedupe_bounds(_bounds(spark, sf_dir), ["k"], "name", "op", "v").select("k", "name", "op", "v")
+def dedupe_bounds(spark, sf_dir, whole=False):
+    return rules.dedupe_bounds(_bounds(spark, sf_dir, whole), ["k"], "name", "op", "v").select("k", "name", "op", "v")
 
 
 @query(
@@ -189,8 +189,8 @@ def dedupe_bounds(spark, sf_dir):
     f"""with {BOUNDS_SQL}, base as (select name, op, min(v) as v from loose where k % 2 = 0 and op <> '<' group by 1, 2), new as (select name, op, max(v) as v from loose where k % 2 = 1 group by 1, 2)
     select name, op, coalesce(b.v, n.v) as value, b.v is null as learned from base b full join new n using (name, op)""",
 )
-def rule_merge(spark, sf_dir):
-    b = _bounds(spark, sf_dir)
+def rule_merge(spark, sf_dir, whole=False):
+    b = _bounds(spark, sf_dir, whole)
     loose = b.groupBy("k", "name", "op").agg(F.when(F.col("op").isin(">=", ">"), F.min("v")).otherwise(F.max("v")).alias("v"))
     base = loose.where("k % 2 = 0 and op <> '<'").groupBy("name", "op").agg(F.min("v").alias("value"))
     new = loose.where("k % 2 = 1").groupBy("name", "op").agg(F.max("v").alias("value"))

@@ -132,8 +132,8 @@ def imp_vs_par(spark, sf_dir):
     "seat_rotation",
     f"""{W} select index, p.v::int as passes, (((s.v - 1 - p.v + 8) % 4) + 1)::int as orig, s.v::int as display, ([Hand_N, Hand_E, Hand_S, Hand_W])[(((s.v - 1 - p.v + 8) % 4) + 1)::int] as hand from deals, range(4) p(v), range(1, 5) s(v) where index % 20 = 0""",
 )
-def seat_rotation(spark, sf_dir):
-    d = deals(spark, sf_dir).where("index % 20 = 0").withColumn("h", F.array(*[F.col(f"Hand_{x}") for x in "NESW"]))
+def seat_rotation(spark, sf_dir, whole=False):
+    d = sample(deals(spark, sf_dir), "index % 20 = 0", whole).withColumn("h", F.array(*[F.col(f"Hand_{x}") for x in "NESW"]))
     e = d.select("index", "h", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("passes")).withColumn("display", F.explode(F.sequence(F.lit(1), F.lit(4))))
     orig = F.pmod(F.col("display") - 1 - F.col("passes"), F.lit(4)) + 1
     return e.select("index", "passes", orig.alias("orig"), "display", F.element_at("h", orig).alias("hand"))

@@ -8,7 +8,7 @@ from dealframe.functions import auction as A
 from dealframe.functions import hand as H
 from dealframe.functions import scoring as S
 from dealframe.plans.deals import DEALS_SQL, deals
-from dealframe.plans.registry import query
+from dealframe.plans.registry import query, sample
 from dealframe.session import table
 
 W = f"with {DEALS_SQL}"
@@ -246,8 +246,8 @@ def contract_keys(spark, sf_dir):
       s as (select index, w, ({SCORE_SQL}) as score from p)
     select index, round(sum(w * score)::double / sum(w), 4) as ev from s group by index""",
 )
-def expected_values(spark, sf_dir):
-    d = deals(spark, sf_dir).where("index % 5 = 0")
+def expected_values(spark, sf_dir, whole=False):
+    d = sample(deals(spark, sf_dir), "index % 5 = 0", whole)
     v = A.side_vulnerable(F.col("Vul"), F.lit("N"))
     tricks = F.sequence(F.lit(0), F.lit(13))
     weights = F.transform(tricks, lambda t: (1 + (F.col("index") * (t + 3)) % 17).cast("double"))
@@ -261,8 +261,8 @@ def expected_values(spark, sf_dir):
     f"""{W}, x as (select *, Vul in ('Both', 'N_S') as v from deals), s as (select index, tricks, level, ({SCORE_SQL}) as score from x)
     select index, tricks - level - 6 as result, score from s where level <= 3""",
 )
-def result_from_score(spark, sf_dir):
-    d = deals(spark, sf_dir).where("level <= 3")
+def result_from_score(spark, sf_dir, whole=False):
+    d = sample(deals(spark, sf_dir), "level <= 3", whole)
     v = A.side_vulnerable(F.col("Vul"), F.lit("N"))
     scores = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda t: S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, t))
     d = d.select("index", "level", S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, F.col("tricks")).alias("score"), scores.alias("_all"))

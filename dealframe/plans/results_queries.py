@@ -11,7 +11,7 @@ from dealframe.functions import scoring as S
 from dealframe.operators import tournament
 from dealframe.plans.bridge_queries import AUC, DECL, HCP, LEN, SCORE_SQL, SUIT, W
 from dealframe.plans.deals import deals
-from dealframe.plans.registry import query
+from dealframe.plans.registry import query, sample
 from dealframe.session import table
 from dealframe.sources import boards
 
@@ -43,8 +43,8 @@ GRID = "select l.v::int as level, s.v::int as strain from range(1, 8) l(v), rang
       s as (select index, level, strain, ({SCORE_SQL})::int as sc from x), r as (select *, row_number() over (partition by index order by sc desc, level, strain) as r from s)
     select index, sc as best_score, level::varchar || substr('CDHSN', strain + 1, 1) as best_contract from r where r = 1""",
 )
-def best_contract(spark, sf_dir):
-    d = deals(spark, sf_dir).where("index % 10 = 0")
+def best_contract(spark, sf_dir, whole=False):
+    d = sample(deals(spark, sf_dir), "index % 10 = 0", whole)
     v = A.side_vulnerable(F.col("Vul"), F.lit("N"))
     # The best of all 35 contracts within the row: an array's maximum, not a join and a sort.
     cells = [
@@ -71,8 +71,8 @@ def role_columns(spark, sf_dir):
     f"""{W}, s as (select index, i.v::int as i, ({SUIT})[i.v::int] as s from deals, range(1, 5) i(v) where index % 4 = 0), q as (select *, length(s) as n, 4 * contains(s, 'A')::int + 3 * contains(s, 'K')::int + 2 * contains(s, 'Q')::int + contains(s, 'J')::int as h from s)
     select i, count(*) filter (where n >= 5 or (n = 4 and h >= 3)) as biddable, count(*) filter (where n >= 6 or (n = 5 and h >= 3)) as rebiddable, count(*) filter (where contains(s, 'A') or (contains(s, 'K') and n >= 2) or (contains(s, 'Q') and n >= 3)) as stopped from q group by 1""",
 )
-def suit_quality(spark, sf_dir):
-    d = deals(spark, sf_dir).where("index % 4 = 0").select(F.posexplode(H.suits(F.col("Hand_N"))).alias("p", "s"))
+def suit_quality(spark, sf_dir, whole=False):
+    d = sample(deals(spark, sf_dir), "index % 4 = 0", whole).select(F.posexplode(H.suits(F.col("Hand_N"))).alias("p", "s"))
     s, n, h = F.col("s"), F.length("s"), H.suit_hcp(F.col("s"))
     return d.groupBy((F.col("p") + 1).alias("i")).agg(
         F.count_if((n >= 5) | ((n == 4) & (h >= 3))).alias("biddable"),
@@ -102,9 +102,9 @@ def critical_mistakes(spark, sf_dir):
 
 
 @query("explain_text", f"{W} select index, 'North holds ' || ({HCP})::int || ' points and ' || (({LEN})[1])::int || ' spades' as text from deals where index % 50 = 0")
-def explain_text(spark, sf_dir):
+def explain_text(spark, sf_dir, whole=False):
     s = H.suits(F.col("Hand_N"))
-    return deals(spark, sf_dir).where("index % 50 = 0").select("index", F.format_string("North holds %d points and %d spades", H.hcp(s).cast("int"), F.element_at(H.lengths(s), 1)).alias("text"))
+    return sample(deals(spark, sf_dir), "index % 50 = 0", whole).select("index", F.format_string("North holds %d points and %d spades", H.hcp(s).cast("int"), F.element_at(H.lengths(s), 1)).alias("text"))
 
 
 @query("belief_trace", f"{W}, a as (select i.v::int as step, array_to_string(string_split(auction, '-')[1:i.v::int], '-') as node, ({HCP})::int as hcp from deals, range(1, 5) i(v) where len(string_split(auction, '-')) >= i.v) select step, node, count(*) as n, round(avg(hcp), 4) as hcp_mean, min(hcp) as lo, max(hcp) as hi from a group by 1, 2")
@@ -125,8 +125,8 @@ def sql_facade(spark, sf_dir):
 
 
 @query("lin_round_trip", f"{W} select index, Hand_N, Hand_E, Hand_S, Hand_W, auction from deals where index % 25 = 0")
-def lin_round_trip(spark, sf_dir):
-    d = deals(spark, sf_dir).where("index % 25 = 0")
+def lin_round_trip(spark, sf_dir, whole=False):
+    d = sample(deals(spark, sf_dir), "index % 25 = 0", whole)
     hand = lambda x: F.concat(*[F.concat(F.lit(s), F.get(F.split(F.col(f"Hand_{x}"), r"\.", -1), F.lit(i))) for i, s in enumerate("SHDC")])
     calls = F.array_join(F.transform(F.split("auction", "-"), lambda t: F.concat(F.lit("mb|"), t, F.lit("|"))), "")
     lin = F.concat(F.lit("st||md|3"), hand("S"), F.lit(","), hand("W"), F.lit(","), hand("N"), F.lit("|sv|o|ah|Board 1|"), calls, F.lit("pg||"))

@@ -11,6 +11,9 @@ from functools import partial
 
 from dealframe.plans import analytics_queries as an
 from dealframe.plans import bidding_queries as bid
+from dealframe.plans import bridge_queries as br
+from dealframe.plans import core_queries as core
+from dealframe.plans import results_queries as res
 from dealframe.plans.registry import _ORACLE, query
 
 
@@ -30,3 +33,14 @@ def _whole(name: str, fn: Callable, *cuts: str | tuple[str, str]) -> None:
 
 _whole("hand_range_match", bid.hand_range_match, " where index % 3 = 0", " where p_partkey <= 100")
 _whole("bucket_range_match", an.bucket_range_match, " where l_orderkey % 4 = 0", " where p_partkey <= 60")
+
+_whole("group_by_sequence", core.group_by_sequence, " where event_id % 10 = user_id % 10")
+_whole("dedupe_bounds", an.dedupe_bounds, " where l_orderkey % 16 = 0")
+_whole("rule_merge", an.rule_merge, " where l_orderkey % 16 = 0")
+_whole("seat_rotation", bid.seat_rotation, " where index % 20 = 0")
+_whole("expected_values", br.expected_values, " where index % 5 = 0")
+_whole("result_from_score", br.result_from_score, " where level <= 3")
+_whole("best_contract", res.best_contract, " where d.index % 10 = 0")
+_whole("suit_quality", res.suit_quality, " where index % 4 = 0")
+_whole("explain_text", res.explain_text, " where index % 50 = 0")
+_whole("lin_round_trip", res.lin_round_trip, " where index % 25 = 0")

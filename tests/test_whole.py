@@ -31,3 +31,37 @@ def test_bucket_range_match_whole_reads_all_rows(spark, sf):
     got = registry.queries()["bucket_range_match_whole"](spark, sf).collect()
     assert {r["bt"]: (r["n"], r["first_k"], r["last_k"]) for r in got} == want
     assert max(want) > 60
+
+
+EACH = {"seat_rotation": 16, "expected_values": 1, "result_from_score": 1, "best_contract": 1, "explain_text": 1, "lin_round_trip": 1}
+
+
+@pytest.mark.parametrize("name", EACH)
+def test_every_deal_has_its_rows(spark, sf, name):
+    deals = {r[0]: EACH[name] for r in table(spark, sf, "orders").select("o_orderkey").collect()}
+    got = registry.queries()[f"{name}_whole"](spark, sf).groupBy("index").count().collect()
+    assert {r["index"]: r["count"] for r in got} == deals
+
+
+def test_sequences_hold_every_event(spark, sf):
+    seqs = {}
+    for r in sorted(table(spark, sf, "events").select("ts", "event_id", "user_id", "event_type").collect()):
+        seqs.setdefault(r["user_id"], []).append(r["event_type"])
+    want = {s for s in map("-".join, seqs.values()) if s[0] in "cv"}
+    got = [r["seq"] for r in registry.queries()["group_by_sequence_whole"](spark, sf).collect()]
+    assert len(got) == min(25, len(want)) and set(got) <= want
+
+
+def test_loosest_bounds_of_all_rows(spark, sf):
+    want = {}
+    for k, n, p, v in table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", "l_partkey", "l_quantity").collect():
+        at = (k, ["HCP", "SL_S", "TP"][n % 3], [">=", "<=", ">", "<"][p % 4])
+        want[at] = (min if at[2][0] == ">" else max)(v, want.get(at, v))
+    got = {(r["k"], r["name"], r["op"]): r["v"] for r in registry.queries()["dedupe_bounds_whole"](spark, sf).collect()}
+    assert got and all(want[at] == v for at, v in got.items())
+    new = {}
+    for (k, name, op), v in want.items():
+        if k % 2:
+            new[name, op] = max(v, new.get((name, op), v))
+    learned = {(r["name"], r["op"]): r["value"] for r in registry.queries()["rule_merge_whole"](spark, sf).where("learned").collect()}
+    assert learned == {at: v for at, v in new.items() if at in learned} and learned
