@@ -132,15 +132,16 @@ STEPS_SQL = """ev as (select user_id as u, event_type as t, row_number() over (p
   steps as (select a.u, a.i as step, coalesce(string_agg(b.t, '-' order by b.i), '') as prefix, a.t as next_bid from first4 a left join first4 b on a.u = b.u and b.i < a.i group by a.u, a.i, a.t)"""
 
 
-def _steps(spark, sf_dir):
+def _steps(spark, sf_dir, whole=False):
     e = table(spark, sf_dir, "events")
-    toks = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]), 1, 4)
+    toks = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
+    toks = toks if whole else F.slice(toks, 1, 4)
     return rules.auction_steps(e.groupBy(F.col("user_id").alias("u")).agg(toks.alias("toks")), "u", "toks")
 
 
 @query("prefix_explode", f"with {STEPS_SQL} select prefix, next_bid, count(*) as n from steps group by 1, 2")
-def prefix_explode(spark, sf_dir):
-    return _steps(spark, sf_dir).groupBy("prefix", "next_bid").agg(F.count("*").alias("n"))
+def prefix_explode(spark, sf_dir, whole=False):
+    return _steps(spark, sf_dir, whole).groupBy("prefix", "next_bid").agg(F.count("*").alias("n"))
 
 
 LIFT_SQL = f"""{STEPS_SQL}, facts as (select c_custkey as u, (c_acctbal > 0)::int as rich, (c_nationkey % 2 = 0)::int as even from customer),
@@ -149,19 +150,19 @@ LIFT_SQL = f"""{STEPS_SQL}, facts as (select c_custkey as u, (c_acctbal > 0)::in
   m as (select o.prefix, o.next_bid, o.criterion, pos_count, n - pos_count as neg_count, p / pos_count as pos_rate, case when n > pos_count then (f - p) / (n - pos_count) end as neg_rate from own o join tot t using (prefix, criterion))"""
 
 
-def _metrics(spark, sf_dir):
+def _metrics(spark, sf_dir, whole=False):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("u"), (F.col("c_acctbal") > 0).alias("rich"), (F.col("c_nationkey") % 2 == 0).alias("even"))
-    return rules.score_criteria(_steps(spark, sf_dir), c, "u", ["rich", "even"])
+    return rules.score_criteria(_steps(spark, sf_dir, whole), c, "u", ["rich", "even"])
 
 
 @query("prefix_lift", f"with {LIFT_SQL} select prefix, next_bid, criterion, pos_count, neg_count::bigint as neg_count, round(pos_rate, 6) as pos_rate, round(neg_rate, 6) as neg_rate, round(case when neg_rate > 0 then pos_rate / neg_rate end, 6) as lift from m")
-def prefix_lift(spark, sf_dir):
-    return _metrics(spark, sf_dir).select("prefix", "next_bid", "criterion", "pos_count", "neg_count", *[F.round(c, 6).alias(c) for c in ("pos_rate", "neg_rate", "lift")])
+def prefix_lift(spark, sf_dir, whole=False):
+    return _metrics(spark, sf_dir, whole).select("prefix", "next_bid", "criterion", "pos_count", "neg_count", *[F.round(c, 6).alias(c) for c in ("pos_rate", "neg_rate", "lift")])
 
 
 @query("rule_filter", f"with {LIFT_SQL} select prefix, next_bid, criterion, pos_count from m where (neg_rate is null or neg_rate = 0 or pos_rate / neg_rate >= 1.02) and pos_rate >= 0.3 and floor(pos_rate * pos_count) >= 2 and coalesce(neg_rate, 0) <= 0.99")
-def rule_filter(spark, sf_dir):
-    return rules.accept(_metrics(spark, sf_dir), 1.02, 0.3, 2, 0.99).select("prefix", "next_bid", "criterion", "pos_count")
+def rule_filter(spark, sf_dir, whole=False):
+    return rules.accept(_metrics(spark, sf_dir, whole), 1.02, 0.3, 2, 0.99).select("prefix", "next_bid", "criterion", "pos_count")
 
 
 BOUNDS_SQL = """b as (select l_suppkey as k, (['HCP', 'SL_S', 'TP'])[(l_linenumber % 3 + 1)::int] as name, (['>=', '<=', '>', '<'])[(l_partkey % 4 + 1)::int] as op, l_quantity as v from lineitem where l_orderkey % 16 = 0),

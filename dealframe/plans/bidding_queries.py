@@ -34,8 +34,8 @@ def bidding_nodes(spark, sf_dir):
     "list_next_bids",
     f"""{W}, {NODES} select parent, call, (case when call = 'P' then 3 when call in ('X', 'XX') then 2 else 1 end)::int as class, (case when call = 'P' then 1 when call = 'X' then 2 when call = 'XX' then 3 else 3 + (substr(call, 1, 1)::int - 1) * 5 + instr('CDHSN', substr(call, 2, 1)) end)::int as code from nodes where depth <= 3""",
 )
-def list_next_bids(spark, sf_dir):
-    n = _nodes(spark, sf_dir).where("depth <= 3")
+def list_next_bids(spark, sf_dir, whole=False):
+    n = sample(_nodes(spark, sf_dir), "depth <= 3", whole)
     kind = F.when(F.col("call") == "P", 3).when(F.col("call").isin("X", "XX"), 2).otherwise(1)
     return n.select("parent", "call", kind.alias("class"), A.bid_code(F.col("call")).cast("int").alias("code")).orderBy("parent", "class", "code")
 

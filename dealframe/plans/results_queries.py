@@ -108,12 +108,12 @@ def explain_text(spark, sf_dir, whole=False):
 
 
 @query("belief_trace", f"{W}, a as (select i.v::int as step, array_to_string(string_split(auction, '-')[1:i.v::int], '-') as node, ({HCP})::int as hcp from deals, range(1, 5) i(v) where len(string_split(auction, '-')) >= i.v) select step, node, count(*) as n, round(avg(hcp), 4) as hcp_mean, min(hcp) as lo, max(hcp) as hi from a group by 1, 2")
-def belief_trace(spark, sf_dir):
+def belief_trace(spark, sf_dir, whole=False):
     s = H.suits(F.col("Hand_N"))
     d = deals(spark, sf_dir).select(A.tokens(F.col("auction")).alias("t"), H.hcp(s).cast("int").alias("hcp"))
     # Hands are counted by auction and value before the steps are expanded.
     d = d.groupBy("t", "hcp").agg(F.count("*").alias("n"))
-    e = d.select("t", "hcp", "n", F.explode(F.sequence(F.lit(1), F.least(F.size("t"), F.lit(4)))).alias("step"))
+    e = d.select("t", "hcp", "n", F.explode(F.sequence(F.lit(1), F.size("t") if whole else F.least(F.size("t"), F.lit(4)))).alias("step"))
     e = e.select("step", F.array_join(F.slice("t", F.lit(1), F.col("step")), "-").alias("node"), "hcp", "n")
     return e.groupBy("step", "node").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("hcp") * F.col("n")) / F.sum("n"), 4).alias("hcp_mean"), F.min("hcp").alias("lo"), F.max("hcp").alias("hi"))
 

@@ -44,3 +44,8 @@ _whole("best_contract", res.best_contract, " where d.index % 10 = 0")
 _whole("suit_quality", res.suit_quality, " where index % 4 = 0")
 _whole("explain_text", res.explain_text, " where index % 50 = 0")
 _whole("lin_round_trip", res.lin_round_trip, " where index % 25 = 0")
+_whole("prefix_explode", an.prefix_explode, " where i <= 4")
+_whole("prefix_lift", an.prefix_lift, " where i <= 4")
+_whole("rule_filter", an.rule_filter, " where i <= 4")
+_whole("belief_trace", res.belief_trace, ("range(1, 5)", "range(1, 16)"))
+_whole("list_next_bids", bid.list_next_bids, " where depth <= 3")

@@ -4,6 +4,7 @@ import pytest
 
 from dealframe.operators import matching
 from dealframe.plans import registry
+from dealframe.plans.deals import AUCTIONS
 from dealframe.session import table
 
 
@@ -65,3 +66,27 @@ def test_loosest_bounds_of_all_rows(spark, sf):
             new[name, op] = max(v, new.get((name, op), v))
     learned = {(r["name"], r["op"]): r["value"] for r in registry.queries()["rule_merge_whole"](spark, sf).where("learned").collect()}
     assert learned == {at: v for at, v in new.items() if at in learned} and learned
+
+
+def test_steps_of_all_events(spark, sf):
+    seqs, rich = {}, {r[0]: r[1] > 0 for r in table(spark, sf, "customer").select("c_custkey", "c_acctbal").collect()}
+    for r in sorted(table(spark, sf, "events").select("ts", "event_id", "user_id", "event_type").collect()):
+        seqs.setdefault(r["user_id"], []).append(r["event_type"])
+    want, lift = {}, {}
+    for u, s in seqs.items():
+        for i, t in enumerate(s):
+            at = ("-".join(s[:i]), t)
+            want[at] = want.get(at, 0) + 1
+            if u in rich:
+                lift[at] = lift.get(at, 0) + 1
+    got = {(r["prefix"], r["next_bid"]): r["n"] for r in registry.queries()["prefix_explode_whole"](spark, sf).collect()}
+    assert got == want and max(p.count("-") for p, _ in got) > 3
+    rows = registry.queries()["prefix_lift_whole"](spark, sf).where("criterion = 'rich'").collect()
+    assert {(r["prefix"], r["next_bid"]): r["pos_count"] for r in rows} == lift
+
+
+def test_every_step_of_an_auction(spark, sf):
+    want = {"-".join(t[: i + 1]) for a in AUCTIONS for t in [a.split("-")] for i in range(len(t))}
+    assert {r["node"] for r in registry.queries()["belief_trace_whole"](spark, sf).collect()} == want
+    calls = {(n.rpartition("-")[0], n.rpartition("-")[2]) for n in want}
+    assert {(r["parent"], r["call"]) for r in registry.queries()["list_next_bids_whole"](spark, sf).collect()} == calls
