@@ -90,3 +90,19 @@ def test_every_step_of_an_auction(spark, sf):
     assert {r["node"] for r in registry.queries()["belief_trace_whole"](spark, sf).collect()} == want
     calls = {(n.rpartition("-")[0], n.rpartition("-")[2]) for n in want}
     assert {(r["parent"], r["call"]) for r in registry.queries()["list_next_bids_whole"](spark, sf).collect()} == calls
+
+
+def test_elo_carries_ratings_across_event_types(spark, sf):
+    rows = table(spark, sf, "events").select("ts", "event_id", "user_id", "value").collect()
+    rating, played, want = {}, {}, {}
+    for r in sorted(rows):
+        a, b, won = r["user_id"] % 50, r["event_id"] % 49 + 50, float(r["value"] % 2 >= 1)
+        x, y = rating.get(a, 1500.0), rating.get(b, 1500.0)
+        gain = won - 1 / (1 + 10 ** ((y - x) / 400))
+        for player, own, sign in ((a, x, 1), (b, y, -1)):
+            rating[player] = own + sign * gain * (36 if played.get(player, 0) < 100 else 24)
+            played[player] = played.get(player, 0) + 1
+        want[r["event_id"]] = (rating[a], rating[b])
+    got = {r["event_id"]: (r["new_first"], r["new_second"]) for r in registry.queries()["elo_fold"](spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], abs=1e-5) for i in want)
