@@ -16,8 +16,9 @@ plus more than four standard deviations.
 Case and ASCII punctuation don't count: words are what stands between these and
 white space, in lower case.
 
-Defined cases: null and empty texts and items match nothing; a text or item of
-fewer than five words is one shingle; a text shorter than an item is one window;
+Defined cases: null and empty texts and items match nothing; an item of
+fewer than five words is one shingle, and texts are read in shingles of its length
+for it; a text of fewer is one shingle; a text shorter than an item is one window;
 a null id is carried; repeated rows are reported each; ties go to the first
 window; other columns are ignored; empty tables give no rows.
 """
@@ -119,6 +120,15 @@ class Index:
         close = POP[np.arange(256)[:, None] ^ np.arange(256)[None]] <= RADIUS // CUTS
         self.near = [close[:, self.prints[:, c]] for c in range(CUTS)]
 
+    @classmethod
+    def by_length(cls, ids: list[int], texts: list[str | None], k: int, threshold: float) -> list[Index]:
+        """An index of the items of k words or more, and one for each shorter length, shingled by that length."""
+        words, kinds = word_reader(), []
+        for _, _, data, offs in blocks(normal(pa.array(texts, pa.large_string()))):
+            kinds += np.minimum(np.diff(words.spans(data, offs)[2]), k).tolist()
+        held = {n: [i for i, x in enumerate(kinds) if x == n] for n in sorted(set(kinds) - {0})}
+        return [cls([ids[i] for i in at], [texts[i] for i in at], n, threshold) for n, at in held.items()]
+
     def anchors(self, s: np.ndarray) -> np.ndarray:
         """Positions of s that hold a shingle of some item."""
         at = np.flatnonzero(self.seen[(s & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
@@ -195,22 +205,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: flo
 
 def _pass(docs: DataFrame, rows: list[tuple[int, str]], k: int, threshold: float, schema: T.StructType) -> DataFrame:
     def run(batches):
-        index = Index([r[0] for r in rows], [r[1] for r in rows], k, threshold)
-        words = index.words
+        indexes = Index.by_length([r[0] for r in rows], [r[1] for r in rows], k, threshold)
+        words = word_reader()
         for b in batches:
             at, cols = [], [[], [], [], []]
-            for i, _, data, offs in blocks(normal(b.column(1))) if index.ids else ():
+            for i, _, data, offs in blocks(normal(b.column(1))) if indexes else ():
                 st, en, first = words.spans(data, offs)
                 h = words.hashes(data, st, en)
-                # One look at the whole block: texts without an item's shingle are left at once.
-                maybe = index.anchors(shingles(h, k)) if len(h) >= k else np.zeros(0, np.int64)
-                short = np.flatnonzero(np.diff(first) < k)
-                own = np.searchsorted(first, maybe, "right") - 1
-                for d in np.unique(np.concatenate([own, short])).tolist():
-                    for item, (sim, w, n) in sorted(index.search(h[first[d] : first[d + 1]]).items()):
-                        at.append(i + d)
-                        for c, v in zip(cols, (index.ids[item], sim, w, n), strict=True):
-                            c.append(v)
+                for index in indexes:
+                    # One look at the whole block: texts without an item's shingle are left at once.
+                    maybe = index.anchors(shingles(h, index.k)) if len(h) >= index.k else np.zeros(0, np.int64)
+                    short = np.flatnonzero(np.diff(first) < index.k)
+                    own = np.searchsorted(first, maybe, "right") - 1
+                    for d in np.unique(np.concatenate([own, short])).tolist():
+                        for item, (sim, w, n) in sorted(index.search(h[first[d] : first[d + 1]]).items()):
+                            at.append(i + d)
+                            for c, v in zip(cols, (index.ids[item], sim, w, n), strict=True):
+                                c.append(v)
             if at:
                 ids = b.column(0).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from dealframe.llm import op4_embed_dedup
+from dealframe.llm import op4_embed_dedup, op10_decontam
 
 
 def test_embeddings_at_many_cells(spark, monkeypatch):
@@ -21,3 +21,11 @@ def test_embeddings_at_many_cells(spark, monkeypatch):
     assert link.sum() >= 600
     assert [got[i] for i in range(600)] == link.sum(1).tolist()
     assert [got[i] for i in (1000, 1001, 1002)] == [1, 1, 0]
+
+
+def test_short_items_within_longer_texts(spark):
+    items = [(1, "alpha"), (2, "beta gamma"), (3, "one two three"), (4, "four words are enough"), (5, "this one has five words")]
+    docs = [(i, f"some text before {t}, and after") for i, t in items] + [(i + 10, t) for i, t in items] + [(20, "beta and gamma, one or two or three"), (21, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = op10_decontam.hits(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["similarity"], r["first_word"]) for r in got) == [(i, i, 1.0, 3) for i in range(1, 6)] + [(i + 10, i, 1.0, 0) for i in range(1, 6)]
