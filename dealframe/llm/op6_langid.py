@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from dealframe.llm._common import append_columns, remainder, table
 
@@ -30,8 +31,6 @@ ORDERS = 3
 FACTORS = [0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35]
 #: Texts of each language in the training sample at most (the first by hash of id).
 MAX_PER_LANG = 600
-#: Languages learned at most (the most frequent).
-MAX_LANGS = 200
 REJECT_BELOW = 0.5
 SCALE = 20.0
 
@@ -128,14 +127,9 @@ def fit(texts: list[str], langs: list[str]) -> LangModel:
 def train(docs: DataFrame, max_per_lang: int = MAX_PER_LANG) -> LangModel:
     """Fit on at most ``max_per_lang`` texts of each language outside the held-out fold (crc32 mod 4 = 2)."""
     ids = docs.where("lang is not null and text is not null and doc_id is not null").where(remainder("doc_id", 4) != 2)
-    langs = [r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    if not langs:
-        return fit([], [])
-    # One bounded top-n a language: no window over a hot language.
-    picked = None
-    for x in langs:
-        top = ids.where(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_lang)
-        picked = top if picked is None else picked.unionByName(top)
+    # One top-n of every language: tasks pass on at most max_per_lang rows of each before the shuffle.
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = ids.select("doc_id", "lang", F.row_number().over(first).alias("_r")).where(F.col("_r") <= max_per_lang).drop("_r")
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])

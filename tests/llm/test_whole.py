@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from dealframe.llm import op4_embed_dedup, op10_decontam
+from dealframe.llm import op4_embed_dedup, op6_langid, op10_decontam
 
 
 def test_embeddings_at_many_cells(spark, monkeypatch):
@@ -29,3 +29,10 @@ def test_short_items_within_longer_texts(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = op10_decontam.hits(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert sorted((r["doc_id"], r["item_id"], r["similarity"], r["first_word"]) for r in got) == [(i, i, 1.0, 3) for i in range(1, 6)] + [(i + 10, i, 1.0, 0) for i in range(1, 6)]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, "".join(chr(0x4E00 + 8 * (i % 205) + j) for j in range(6)), f"l{i % 205:03d}") for i in range(205 * 6)]
+    docs = spark.createDataFrame([*rows, (9999, "none", None)], "doc_id long, text string, lang string")
+    model = op6_langid.train(docs, 3)
+    assert model.langs == sorted({x for _, _, x in rows})
