@@ -1,4 +1,4 @@
-"""LM scoring by a weighted backoff automaton over smoothed word n-grams.
+"""LM scoring by the closed form of a weighted backoff automaton over smoothed word n-grams.
 
 Counts of all n-grams of the training fold are gathered from the whole corpus by a
 sharded count service: each block of texts sends its distinct n-grams once, packed
@@ -7,13 +7,14 @@ every block the totals of what it asked for. So no n-gram is sent more than once
 block, no shard holds a key of another, and nothing but two totals (tokens, distinct
 tokens) comes to the driver.
 
-With its totals a block has the states and arcs that its texts can reach: a state
+The scores are those of this automaton, of which no state or arc is built: a state
 is a context, an arc a seen n-gram with probability
 (c(hw) + K p(w | h')) / (c(h) + K), the failure arc to the shorter context h' has
 weight K / (c(h) + K) (Dirichlet smoothing, a proper distribution), and the root is
-the add-one unigram (c(w) + 1) / (N + V + 1). A text is traversed left to right
-once; the state is carried, failure arcs are followed until an arc or the root
-takes the token, and log10 probabilities are summed. Tokens that the training fold
+the add-one unigram (c(w) + 1) / (N + V + 1). As an
+arc's probability holds its failure weight, p = (c + K p') / (c(h) + K) is evaluated
+for all tokens of a block at once, from the unigram upwards, and log10 probabilities
+are summed over each text. Tokens that the training fold
 doesn't have are one unknown token to every state.
 
 Defined cases: null and empty texts are the end token alone; a text is as many
