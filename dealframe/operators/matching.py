@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dealframe.written import Written
+
 #: Range rows that may be broadcast; beyond that the range join runs on a coarse grid.
 BROADCAST_ROWS = 500_000
 
@@ -70,13 +72,22 @@ def invert_capped(matches: DataFrame, deal: str, node: str, cap: int) -> DataFra
     return top.groupBy(node).agg(F.sort_array(F.collect_list(deal)).alias("deals"))
 
 
-def reachable(edges: DataFrame, goals: DataFrame, parent: str, child: str, rounds: int = 64) -> DataFrame:
-    """Nodes from which a goal can be reached: goals and all their ancestors, by semi-joins up the edges."""
-    found = goals.select(F.col(goals.columns[0]).alias("node")).distinct()
-    front = found
-    for _ in range(rounds):
-        front = edges.join(front, edges[child] == front.node).select(F.col(parent).alias("node")).distinct().join(found, "node", "left_anti")
-        if not front.take(1):
-            break
-        found = found.unionByName(front)
-    return found
+def reachable(edges: DataFrame, goals: DataFrame, parent: str, child: str) -> DataFrame:
+    """Nodes from which a goal can be reached: goals and all their ancestors, by semi-joins up the edges.
+
+    Each round's front and the nodes found so far are written to the shared folder, so
+    no plan grows with the rounds; rounds go on until a front is empty. Null ends lead nowhere.
+    """
+    up = edges.select(F.col(parent).alias("node"), F.col(child).alias("_below")).where("node is not null").distinct()
+    start = goals.select(F.col(goals.columns[0]).alias("node")).where("node is not null").distinct()
+    found = front = Written(start)
+    while front.df.take(1):
+        new = up.join(front.df.withColumnRenamed("node", "_below"), "_below", "left_semi").select("node").distinct()
+        last, front = front, Written(new.join(found.df, "node", "left_anti"))
+        grown = Written(found.df.unionByName(front.df))
+        for old in {found, last}:
+            old.drop()
+        found = grown
+    if front is not found:
+        front.drop()
+    return found.df
