@@ -1,11 +1,7 @@
-"""Shared pieces: tables, the shared folder, lineage cuts and Arrow column appending."""
+"""Shared pieces: tables, folds, Arrow column appending; written tables come from the core."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dealframe.written import Scratch, Written, shared_dir  # noqa: F401
+
 
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 1000
@@ -23,32 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="dealframe-ckpt-")
-        atexit.register(shutil.rmtree, at, True)
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-class Written:
-    """A table in the shared folder: cuts lineage, survives lost executors, can be dropped early."""
-
-    def __init__(self, df: DataFrame):
-        spark = df.sparkSession
-        self.spark, self.path = spark, f"{shared_dir(spark)}/dealframe/{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealframe.llm._common import Written
+from dealframe.written import Written
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -27,27 +27,22 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> Written:
+def components(edges: DataFrame) -> Written:
     """(node, component) of every node with an edge; component: the least node reachable.
 
     edges: long columns a and b. Rounds grow with the logarithm of the longest
-    path. Each round is written to the shared folder; a round reads nothing older.
+    path and go on until a round changes no edge. Each round is written to the
+    shared folder; a round reads nothing older.
     """
     e = Written(edges.where("a <> b").select("a", "b").distinct())
-
-    def state(w: Written):
-        return w.df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-
-    before = state(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while True:
         n = Written(_small(_large(e.df)))
+        # Edges are distinct, so equal numbers and nothing new mean equal sets.
+        same = n.df.count() == e.df.count() and not n.df.join(e.df, ["a", "b"], "left_anti").take(1)
         e.drop()
-        e, after = n, state(n)
-        if after == before:
+        e = n
+        if same:
             break
-        before = after
     out = Written(e.df.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.df.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
     e.drop()
     return out
