@@ -2,7 +2,9 @@
 
 Every line has features of its own and of its neighbours. The two-state chain is
 trained on a bounded sample of labelled documents, whose lines take the document's
-label. A document's quality is the length-weighted mean of its lines' posterior
+label: the mean over texts of the log-likelihood of those labels, with one L2 penalty.
+As a text's lines share a label, the chain learns to keep its state, and a line
+between others is judged by them too. A document's quality is the length-weighted mean of its lines' posterior
 marginals (forward-backward), mapped to a probability by a logistic curve fitted
 on the same sample.
 
@@ -27,6 +29,9 @@ from dealframe.llm._text import Words, blocks
 
 #: Labelled documents that the classifier is fitted on at most (the first by hash of id).
 MAX_TRAIN_DOCS = 3000
+#: Bytes of text that it is fitted on at most.
+MAX_TRAIN_BYTES = 50_000_000
+PENALTY = 1e-3
 THRESHOLD = 0.7
 
 OWN = 14
@@ -110,8 +115,8 @@ class LineFeatures:
         return x, size, first
 
 
-def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(line is good) by forward-backward, and the expected transitions (2 x 2).
+def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """P(line is good) by forward-backward, the expected transitions (2 x 2), and the sum of the texts' log partition functions.
 
     emit: the log-odds of good of each line. Texts advance together, longest first,
     so that a step costs as many rows as there are texts of that length or more.
@@ -126,10 +131,13 @@ def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[n
     e = np.exp(e - np.maximum(emit, 0)[:, None])
     t = np.exp(trans - trans.max())
     fw, bw = np.empty((n, 2)), np.ones((n, 2))
+    logz = np.maximum(emit, 0).sum() + trans.max() * (size - 1).sum()
     for s, k in enumerate(active):
         at = start[:k] + s
         v = e[at] if not s else (fw[at - 1] @ t) * e[at]
-        fw[at] = v / v.sum(1, keepdims=True)
+        total = v.sum(1, keepdims=True)
+        fw[at] = v / total
+        logz += np.log(total).sum()
     pairs = np.zeros((2, 2))
     for s in range(len(active) - 1, 0, -1):
         at = start[: active[s]] + s
@@ -140,7 +148,7 @@ def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[n
         joint = fw[at - 1][:, :, None] * t[None] * m[:, None, :]
         pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
     post = fw * bw
-    return post[:, 1] / post.sum(1), pairs
+    return post[:, 1] / post.sum(1), pairs, float(logz)
 
 
 @dataclass
@@ -151,7 +159,7 @@ class QualityModel:
 
     def documents(self, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The length-weighted mean marginal of each text."""
-        good, _ = marginals(x @ self.weights, first, self.trans)
+        good, _, _ = marginals(x @ self.weights, first, self.trans)
         w = size + 1
         return np.add.reduceat(good * w, first[:-1]) / np.add.reduceat(w, first[:-1])
 
@@ -168,11 +176,17 @@ def _adam(params: list[np.ndarray], grad, steps: int, rate: float) -> None:
             p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-9)
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 150) -> QualityModel:
-    """Maximum conditional likelihood with a small L2 penalty."""
-    y = np.asarray(labels, np.float64)
-    if not len(y):
-        return QualityModel(np.zeros(WIDTH), np.zeros((2, 2)), (0.0, 0.0))
+@dataclass
+class Sample:
+    """The lines of the training texts: features, lengths, first line of each text, and the texts' labels."""
+
+    x: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+    y: np.ndarray
+
+
+def lines_of(texts: list[str], labels: list[int]) -> Sample:
     feats, xs, sizes, firsts, base = LineFeatures(), [], [], [0], 0
     for _, _, data, offs in blocks(pa.array(texts, pa.large_string())):
         x, size, first = feats(data, offs)
@@ -180,24 +194,30 @@ def fit(texts: list[str], labels: list[int], steps: int = 150) -> QualityModel:
         sizes.append(size)
         firsts += [*(first[1:] + base)]
         base += len(x)
-    x, size, first = np.vstack(xs), np.concatenate(sizes), np.asarray(firsts)
-    n = np.diff(first)
-    target = np.repeat(y, n)
-    seen = np.zeros((2, 2))
-    for v in (0, 1):
-        seen[v, v] = (n[y == v] - 1).sum()
-    # Every text weighs the same, however many lines it has.
-    weight = np.repeat(1 / n, n)
-    w, trans = np.zeros(WIDTH), np.zeros((2, 2))
+    return Sample(np.vstack(xs), np.concatenate(sizes), np.asarray(firsts), np.asarray(labels, np.float64))
 
-    def grad():
-        good, pairs = marginals(x @ w, first, trans)
-        g = x.T @ ((good - target) * weight) / len(y) + 1e-4 * w
-        return [g, (pairs - seen) / max(1.0, seen.sum()) + 0.05 * trans]
 
-    _adam([w, trans], grad, steps, 0.1)
+def objective(s: Sample, w: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The loss and its gradients: the mean over texts of -log P(all lines have the text's label) + PENALTY / 2 |parameters|^2."""
+    emit = s.x @ w
+    good, pairs, logz = marginals(emit, s.first, trans)
+    n = np.diff(s.first)
+    target = np.repeat(s.y, n)
+    seen = np.diag([(n[s.y == v] - 1).sum() for v in (0, 1)]).astype(float)
+    path = float(emit @ target + (seen * trans).sum())
+    loss = (logz - path) / len(s.y) + PENALTY / 2 * (w @ w + (trans * trans).sum())
+    return loss, s.x.T @ (good - target) / len(s.y) + PENALTY * w, (pairs - seen) / len(s.y) + PENALTY * trans
+
+
+def fit(texts: list[str], labels: list[int], steps: int = 200) -> QualityModel:
+    """The least ``objective``; then a logistic curve from a text's mean marginal to the probability of its label."""
+    if not len(labels):
+        return QualityModel(np.zeros(WIDTH), np.zeros((2, 2)), (0.0, 0.0))
+    s = lines_of(texts, labels)
+    w, trans = np.zeros(WIDTH), np.zeros((2, 2))
+    _adam([w, trans], lambda: objective(s, w, trans)[1:], steps, 0.05)
     model = QualityModel(w, trans, (0.0, 0.0))
-    mean = model.documents(x, size, first) - 0.5
+    mean, y = model.documents(s.x, s.size, s.first) - 0.5, s.y
     curve = [np.array([4.0, 0.0])]
 
     def slope():
@@ -209,15 +229,28 @@ def fit(texts: list[str], labels: list[int], steps: int = 150) -> QualityModel:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> QualityModel:
-    """Fit on at most ``max_docs`` labelled documents outside the held-out fold (crc32 mod 4 = 2)."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_bytes: int = MAX_TRAIN_BYTES) -> QualityModel:
+    """Fit on at most ``max_docs`` labelled documents of ``max_bytes`` in all, outside the held-out fold (crc32 mod 4 = 2).
+
+    An id with both labels teaches nothing; of an id's rows the shortest (then least) text teaches.
+    """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(remainder("doc_id", 4) != 2)
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("_label"))
-    ids = docs.select("doc_id").join(known, "doc_id").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    return fit([r["text"] or "" for r in rows], [r["_label"] for r in rows])
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("_label"), F.max("quality").alias("_other")).where("_label = _other").drop("_other")
+    sizes = docs.where("doc_id is not null").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("_len")).groupBy("doc_id").agg(F.min("_len").alias("_len"))
+    # Ids and lengths alone are ranked; texts are fetched for the ids that stay within both bounds.
+    ranked = sizes.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()
+    picked, room = [], max_bytes
+    for r in ranked:
+        if r["_len"] <= room:
+            picked.append((r["doc_id"], r["_label"], r["_len"]))
+            room -= r["_len"]
+    if not picked:
+        return fit([], [])
+    want = docs.sparkSession.createDataFrame(picked, f"doc_id {dict(docs.dtypes)['doc_id']}, _label int, _len long")
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_len", F.octet_length("text").cast("long"))
+    rows = text.join(F.broadcast(want), ["doc_id", "_len"]).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_label").alias("_label")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    return fit([r["text"] for r in rows], [r["_label"] for r in rows])
 
 
 def with_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, out: str = "score") -> DataFrame:

@@ -31,6 +31,8 @@ ORDERS = 3
 FACTORS = [0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35]
 #: Texts of each language in the training sample at most (the first by hash of id).
 MAX_PER_LANG = 600
+#: Bytes of text in the sample at most, shared out evenly; each language has one text at least.
+MAX_BYTES = 100_000_000
 REJECT_BELOW = 0.5
 SCALE = 20.0
 
@@ -124,14 +126,30 @@ def fit(texts: list[str], langs: list[str]) -> LangModel:
     return LangModel(names, (w * idf[:, None] * SCALE).astype(np.float32), bias, float(best))
 
 
-def train(docs: DataFrame, max_per_lang: int = MAX_PER_LANG) -> LangModel:
-    """Fit on at most ``max_per_lang`` texts of each language outside the held-out fold (crc32 mod 4 = 2)."""
-    ids = docs.where("lang is not null and text is not null and doc_id is not null").where(remainder("doc_id", 4) != 2)
+def sample(docs: DataFrame, max_per_lang: int, max_bytes: int) -> DataFrame:
+    """(lang, text): at most ``max_per_lang`` whole rows of each language, in all at most ``max_bytes`` but for one text a language.
+
+    A row is picked by itself, by (hash of id, id, hash of text): an id that stands in
+    several rows teaches each of its texts under that row's own language, once.
+    """
+    ok = docs.where("lang is not null and text is not null and doc_id is not null").where(remainder("doc_id", 4) != 2)
+    row = ["doc_id", "lang", F.xxhash64("text").alias("_h"), F.octet_length("text").cast("long").alias("_len")]
     # One top-n of every language: tasks pass on at most max_per_lang rows of each before the shuffle.
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = ids.select("doc_id", "lang", F.row_number().over(first).alias("_r")).where(F.col("_r") <= max_per_lang).drop("_r")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_h")
+    top = ok.select(*row).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= max_per_lang)
+    top = top.groupBy("doc_id", "lang", "_h", "_len").agg(F.min("_r").alias("_r"))
+    share = F.lit(max_bytes) / F.greatest(F.count_distinct("lang"), F.lit(1))
+    room = top.agg(share.alias("_share"))
+    run = F.sum("_len").over(Window.partitionBy("lang").orderBy("_r"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_r"))
+    top = top.select("doc_id", "lang", "_h", run.alias("_run"), place.alias("_at")).join(F.broadcast(room)).where("_at = 1 or _run <= _share").select("doc_id", "lang", "_h")
+    rows = ok.select("doc_id", "lang", F.xxhash64("text").alias("_h"), "text").join(F.broadcast(top), ["doc_id", "lang", "_h"])
+    return rows.groupBy("doc_id", "lang", "_h").agg(F.min("text").alias("text")).orderBy("doc_id", "lang", "_h").select("lang", "text")
+
+
+def train(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, max_bytes: int = MAX_BYTES) -> LangModel:
+    """Fit on a bounded sample of rows outside the held-out fold (crc32 mod 4 = 2); every language is learned."""
+    rows = sample(docs, max_per_lang, max_bytes).collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
