@@ -13,7 +13,8 @@ gets a backslash after its first character. ``parse`` gives the turns back.
 
 Defined cases: null text and null role are empty; turns with equal numbers are in
 order of role and text, and repeated rows are turns each; a message whose parent
-is missing is a root; rows with a null conversation form one conversation of that
+is missing is a root; a message on a cycle of parents, or below one, belongs to no
+path, as it has no root; rows with a null conversation form one conversation of that
 null id; other columns are ignored; an empty table gives no conversations.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dealframe.llm._common import Written, table
+from dealframe.llm._common import Scratch, Written, table
 
 OPEN, CLOSE, END, SEP = "[INST] ", " [/INST]", "</s>", ": "
 #: Strings that mean something in the template.
@@ -48,18 +49,24 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
 
     messages: tree, id, parent, role, text, score. turns: array of (n, role, text), root first.
     """
+    tmp = Scratch()
     parents = messages.where("parent is not null").select("tree", F.col("parent").alias("id")).distinct()
     leaves = messages.select("tree", "id").join(parents, ["tree", "id"], "left_anti")
     # A leaf's own ancestors are all that is needed: jumps are for all messages, paths for leaves.
     known = messages.select("tree", F.col("id").alias("parent"))
     step = messages.where("parent is not null").join(known, ["tree", "parent"], "left_semi").select("tree", "id", F.col("parent").alias("up"))
+    most = messages.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    jumps = [tmp.keep(step)]
+    # A chain is shorter than its tree has messages: whoever can still jump that far stands on or below a cycle.
+    while jumps[-1].take(1) and 1 << (len(jumps) - 1) <= most:
+        j = jumps[-1].select("tree", F.col("id").alias("up"), F.col("up").alias("to"))
+        jumps.append(tmp.keep(jumps[-1].join(j, ["tree", "up"]).select("tree", "id", F.col("to").alias("up"))))
+    leaves = leaves.join(jumps.pop().select("tree", "id"), ["tree", "id"], "left_anti")
     path = leaves.select("tree", F.col("id").alias("leaf"), F.col("id").alias("up"), F.lit(0).alias("steps"))
-    jump, k = Written(step), 0
-    while jump.df.take(1):
-        j = jump.df.select("tree", F.col("id").alias("up"), F.col("up").alias("to"))
+    for k, jump in enumerate(jumps):
+        j = jump.select("tree", "id", F.col("up").alias("to")).withColumnRenamed("id", "up")
         # Written each round: a plan that holds its own predecessors doubles with every round.
-        path = Written(path.unionByName(path.join(j, ["tree", "up"]).select("tree", "leaf", F.col("to").alias("up"), (F.col("steps") + (1 << k)).alias("steps")))).df
-        jump, k = Written(jump.df.join(j, ["tree", "up"]).select("tree", "id", F.col("to").alias("up"))), k + 1
+        path = tmp.keep(path.unionByName(path.join(j, ["tree", "up"]).select("tree", "leaf", F.col("to").alias("up"), (F.col("steps") + (1 << k)).alias("steps"))))
     body = messages.select("tree", F.col("id").alias("up"), "role", "text", "score")
     full = path.join(body, ["tree", "up"])
     paths = full.groupBy("tree", "leaf").agg(
@@ -68,7 +75,7 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
         F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"),
     )
     order = Window.partitionBy("tree", "root").orderBy(F.desc("score"), "leaf")
-    return paths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("tree", "leaf", "rank", "turns")
+    return tmp.result(paths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("tree", "leaf", "rank", "turns"))
 
 
 def formatted(turns: Column) -> Column:
@@ -103,11 +110,20 @@ def loss_spans(c: Column) -> Column:
 
 
 def from_turns(conversations: DataFrame) -> DataFrame:
-    """Messages (tree, id, parent, role, text, score) of a table of turns: each turn answers the one before."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    t = conversations.withColumn("id", F.row_number().over(order).cast("long"))
+    """Messages (tree, id, parent, role, text, score) of a table of turns: each turn answers the one before.
+
+    Turns are numbered from a sort by ranges, so that one conversation of any size is
+    spread: a turn's number is its place in its range plus the turns of ranges before.
+    """
     tree = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).cast("long").alias("conv_id")).alias("tree")
-    return t.select(tree, "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    turns = conversations.select(tree, "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    ranged = Written(turns.repartitionByRange("tree", "turn", "role", "text").withColumn("_part", F.spark_partition_id())).df
+    before = Window.partitionBy("tree").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("tree", "_part").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("tree", "_part").orderBy("turn", "role", "text"))
+    t = ranged.withColumn("_at", place).join(counts, ["tree", "_part"]).withColumn("id", (F.col("_at") + F.col("_before")).cast("long"))
+    return t.select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
