@@ -5,11 +5,17 @@ bounded sample (at most SAMPLE vectors); centroids closer than the link threshol
 are merged, so that a dense cluster isn't cut up. Every class is assigned to its
 nearest cell and also visits every cell that may hold a link which would otherwise
 be missed. Let x in cell c and y in cell d be linked: the amounts by which each lies
-nearer to its own centroid than to the other's sum to (c - d)(x - y), at most
-|c - d| |x - y|, so for one of the two it is at most half of that, and that one
-visits. No linked pair is missed, whatever the number of cells. Cells are cut into blocks of about BLOCK_ROWS, and blocks meet in
-tasks of bounded size as matrix products in double precision. A pair is judged in
-one cell only. The tests compare with brute force.
+nearer to its own centroid than to the other's sum to (c - d)(x - y), so for one of
+the two it is at most half of that, and that one visits. The sum is |c - d| |x - y|
+times the cosine of the angle between the two differences: 1 at most, and for
+directions that don't know of the cells a number with mean 0 and deviation
+1 / sqrt(d), d being the effective dimension of the vectors about their centroids
+(the participation ratio of their covariance, from the sample). Vectors visit up to
+SIGMAS such deviations, or up to the exact bound where that is less, so the chance
+to miss a link is below 0.0001 whatever the number of cells. Cells are cut into
+blocks of about BLOCK_ROWS, and blocks meet in tasks of bounded size as matrix
+products in double precision. A pair is judged in one cell only. The tests compare
+with brute force.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; vectors of each length are compared among themselves
@@ -26,13 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealframe.llm._common import Written, parts, table
+from dealframe.llm._common import Scratch, parts, table
 from dealframe.llm._graph import components
 
 COSINE = 0.9
 #: Vectors that the index is fitted on at most (the first by hash of id), and cells at most.
 SAMPLE, CELLS_MAX, CELL_ROWS = 16_384, 4096, 400
 BLOCK_ROWS = 1024
+#: Deviations of a link's share that a vector visits.
+SIGMAS = 4.0
+#: A class of more rows is joined to its rows by broadcast; there are at most rows / HOT of them.
+HOT = 10_000
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -58,17 +68,27 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, cosine: float = CO
     return c[keep]
 
 
-def _classes(vectors: DataFrame) -> DataFrame:
-    """(vec, n, embedding): one row for each distinct valid vector, its least id and its number of ids."""
+def effective_dimension(x: np.ndarray, c: np.ndarray) -> float:
+    """The participation ratio of the covariance of unit rows about their nearest centroids; of the rows where these have no spread."""
+    near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+    d = x - c[near]
+    spread = np.linalg.eigvalsh(d.T @ d)
+    return float(spread.sum() ** 2 / (spread * spread).sum()) if spread.sum() > 1e-9 else 1.0
+
+
+def _digested(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding, key): key is a 256-bit digest of a valid vector's components, null for others."""
     ok = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    valid = vectors.where(F.col("vec_id").isNotNull() & ok & F.exists("embedding", lambda v: v != 0))
-    return valid.groupBy("embedding").agg(F.min("vec_id").alias("vec"), F.count("*").alias("n"))
+    valid = F.col("vec_id").isNotNull() & ok & F.exists("embedding", lambda v: v != 0)
+    # -0.0 and 0.0 are the same component.
+    text = F.array_join(F.transform("embedding", lambda v: (v + F.lit(0.0)).cast("string")), ",")
+    return vectors.select("vec_id", "embedding", F.when(valid, F.sha2(text, 256)).alias("key"))
 
 
-def _assign(classes: DataFrame, cells: np.ndarray, cosine: float) -> DataFrame:
+def _assign(classes: DataFrame, cells: np.ndarray, cosine: float, share: float) -> DataFrame:
     """(vec, n, v, home, visits): components as bytes of doubles, nearest cell, other cells to visit."""
     gaps = np.sqrt(np.maximum(2 - 2 * (cells @ cells.T), 0))
-    held = classes.sparkSession.sparkContext.broadcast((cells, gaps * np.sqrt(max(0.0, (1 - cosine) / 2)) + 1e-6))
+    held = classes.sparkSession.sparkContext.broadcast((cells, gaps * share * np.sqrt(max(0.0, (1 - cosine) / 2)) + 1e-6))
 
     def run(batches):
         c, reach = held.value
@@ -172,31 +192,41 @@ def _compare(cosine: float):
 
 def neighbours(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector of vectors (vec_id, embedding)."""
-    spark = vectors.sparkSession
+    spark, tmp = vectors.sparkSession, Scratch()
     vectors = vectors.select(F.col("vec_id").cast("long"), "embedding")
     named = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    vectors = named.unionByName(vectors.where("vec_id is null"))
-    classes = Written(_classes(vectors)).df
+    rows = tmp.keep(_digested(named.unionByName(vectors.where("vec_id is null"))))
+    by_key = rows.where("key is not null").groupBy("key")
+    classes = tmp.keep(by_key.agg(F.min("vec_id").alias("vec"), F.count("*").alias("n"), F.min_by("embedding", "vec_id").alias("embedding")))
     links = spark.createDataFrame([], "a long, b long, n long")
     for d, total in classes.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect():
         same = classes.where(F.size("embedding") == d)
         sample = same.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("embedding").collect()
         x = unit_rows(np.array([r[0] for r in sample], np.float64))
         cells = spherical_kmeans(x, max(1, min(CELLS_MAX, -(-total // CELL_ROWS))), cosine=cosine)
-        rows = Written(_assign(same, cells, cosine)).df
-        units = _units(rows).repartition(parts(spark), "cell", "mb", "qb").sortWithinPartitions("cell", "mb", "qb")
-        links = links.unionByName(Written(units.mapInArrow(_compare(cosine), "a long, b long, n long")).df)
-    found = components(links.where("b is not null").select("a", "b")).df
+        share = min(1.0, SIGMAS / np.sqrt(effective_dimension(x, cells)))
+        placed = tmp.keep(_assign(same, cells, cosine, share))
+        units = _units(placed).repartition(parts(spark), "cell", "mb", "qb").sortWithinPartitions("cell", "mb", "qb")
+        links = links.unionByName(tmp.keep(units.mapInArrow(_compare(cosine), "a long, b long, n long")))
+    found = tmp.keep(components(links.where("b is not null").select("a", "b")))
     counts = links.where("b is null").groupBy(F.col("a").alias("vec")).agg(F.sum("n").alias("more"))
-    reps = classes.join(counts, "vec", "left").join(found.withColumnRenamed("node", "vec"), "vec", "left")
-    reps = reps.select("embedding", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "vec").alias("component"))
-    out = vectors.join(reps, (vectors.vec_id.isNotNull()) & (vectors.embedding == reps.embedding), "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select(
-        "vec_id",
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("vec_id").isNotNull(), component).alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+    reps = classes.select("key", "vec", "n").join(counts, "vec", "left").join(found.withColumnRenamed("node", "vec"), "vec", "left")
+    reps = tmp.keep(reps.select("key", "n", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "vec").alias("component")))
+    # Rows meet their class by its digest; classes of many copies are few and are broadcast.
+    few = reps.where(F.col("n") > HOT).drop("n")
+    hot = F.broadcast(few.select(F.col("key").alias("_key"), F.struct("links", "component").alias("_hot")))
+    ids = rows.select("vec_id", "key").join(hot, F.col("key") == F.col("_key"), "left")
+    cold = ids.where("_hot is null and key is not null").drop("_hot", "_key").join(reps.where(F.col("n") <= HOT).drop("n"), "key").select("vec_id", "links", "component")
+    rest = ids.where("_hot is not null").select("vec_id", "_hot.links", "_hot.component")
+    lone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
+    out = cold.unionByName(rest).unionByName(lone)
+    return tmp.result(
+        out.select(
+            "vec_id",
+            F.col("links").cast("long").alias("n_links"),
+            F.when(F.col("vec_id").isNotNull(), F.col("component")).alias("component_id"),
+            F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"),
+        )
     )
 
 

@@ -56,7 +56,8 @@ def test_marginals_are_those_of_all_paths():
     rng = np.random.default_rng(1)
     emit, trans = rng.normal(size=7), rng.normal(size=(2, 2))
     first = np.array([0, 4, 5, 7])
-    got, _ = op1_quality.marginals(emit, first, trans)
+    got, _, logz = op1_quality.marginals(emit, first, trans)
+    every = 0.0
     for a, b in zip(first[:-1], first[1:], strict=True):
         n = b - a
         total, good = 0.0, np.zeros(n)
@@ -66,6 +67,8 @@ def test_marginals_are_those_of_all_paths():
             total += w
             good += w * np.array(y)
         assert np.allclose(got[a:b], good / total)
+        every += math.log(total)
+    assert logz == pytest.approx(every)
 
 
 PAGES = [

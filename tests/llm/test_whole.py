@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from dealframe.llm import op4_embed_dedup, op6_langid, op10_decontam
+from dealframe.llm import op1_quality, op4_embed_dedup, op6_langid, op8_chat, op10_decontam
 
 
 def test_embeddings_at_many_cells(spark, monkeypatch):
@@ -36,3 +36,76 @@ def test_every_language_is_learned(spark):
     docs = spark.createDataFrame([*rows, (9999, "none", None)], "doc_id long, text string, lang string")
     model = op6_langid.train(docs, 3)
     assert model.langs == sorted({x for _, _, x in rows})
+
+
+def test_crf_gradient_is_that_of_its_objective():
+    rng = np.random.default_rng(8)
+    s = op1_quality.lines_of(["A good line of words.\nAnother one follows here.\n", "#### $$$ !!!\n| | |", "", "one"], [1, 0, 1, 0])
+    w, trans = rng.normal(size=op1_quality.WIDTH) * 0.3, rng.normal(size=(2, 2)) * 0.3
+    _, gw, gt = op1_quality.objective(s, w, trans)
+    for p, g in ((w, gw), (trans, gt)):
+        for at in np.ndindex(p.shape):
+            keep, h = p[at], 1e-5
+            p[at] = keep + h
+            up = op1_quality.objective(s, w, trans)[0]
+            p[at] = keep - h
+            down = op1_quality.objective(s, w, trans)[0]
+            p[at] = keep
+            assert g[at] == np.float64(g[at]) and abs((up - down) / (2 * h) - g[at]) < 1e-6
+
+
+def test_crf_transitions_matter():
+    """A line that tells little by itself goes with the lines around it, through the chain alone."""
+    emit = np.array([2.0, -0.5, 2.0, -2.0, -0.5, -2.0])
+    first = np.array([0, 3, 6])
+    alone, _, _ = op1_quality.marginals(emit, first, np.zeros((2, 2)))
+    chained, _, _ = op1_quality.marginals(emit, first, np.array([[1.5, -1.5], [-1.5, 1.5]]))
+    assert (alone[1] < 0.5) and (chained[1] > 0.5) and (chained[4] < alone[4] < 0.5)
+    texts = ["good words stand here.\nx\nmore good words stand here."] * 20 + ["$$$ ### !!!\nx\n### $$$ !!!"] * 20
+    m = op1_quality.fit(texts, [1] * 20 + [0] * 20)
+    assert m.trans[0, 0] + m.trans[1, 1] > m.trans[0, 1] + m.trans[1, 0] + 0.5
+
+
+def test_training_rows_are_bounded_and_keep_their_own_label(spark):
+    rows = [(1, f"text {i}", "en") for i in range(50)] + [(1, f"texto {i}", "es") for i in range(50)] + [(2, "nulle", None), (2, "deux", "fr")] + [(3, "same", "en")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = op6_langid.sample(docs, 10, 10_000).collect()
+    assert len(got) <= 30 and {r["lang"] for r in got} == {"en", "es", "fr"}
+    assert all((r["text"].startswith("texto")) == (r["lang"] == "es") for r in got) and ("nulle" not in {r["text"] for r in got})
+    assert len(op6_langid.sample(docs, 10, 1).collect()) == 3
+    many = spark.createDataFrame([(5, f"line {i}") for i in range(500)] + [(6, "b"), (7, "c" * 99)], "doc_id long, text string")
+    labels = spark.createDataFrame([(5, 1), (6, 0), (7, 1), (7, 0)], "doc_id long, quality int")
+    seen = []
+    keep, op1_quality.fit = op1_quality.fit, lambda t, y, **k: seen.append((t, y))
+    try:
+        op1_quality.train(many, labels, 10)
+        op1_quality.train(many, labels, 10, 3)
+    finally:
+        op1_quality.fit = keep
+    assert all(len(t) <= 2 and len(t) == len(y) and "c" * 99 not in t for t, y in seen) and sum(map(len, seen[1][0])) <= 3
+
+
+def test_reply_cycles_end(spark):
+    rows = [("t", 1, 2), ("t", 2, 1), ("t", 3, 1), ("t", 4, None), ("t", 5, 4), ("u", 7, 7), ("v", 8, 99), ("w", 1, None)] + [("x", i, i - 1 if i else 30) for i in range(31)]
+    df = spark.createDataFrame([(t, i, p, "user", f"m{i}", 0.0, 1) for t, i, p in rows], "tree string, id long, parent long, role string, text string, score double, rank int")
+    got = {(r["tree"], r["leaf"]): [x["text"] for x in r["turns"]] for r in op8_chat.branches(df).collect()}
+    assert got == {("t", 5): ["m4", "m5"], ("v", 8): ["m8"], ("w", 1): ["m1"]}
+
+
+def test_turns_are_numbered_whatever_their_ranges(spark):
+    rows = [(1, i // 2, "user" if i % 2 else "assistant", f"t{i}") for i in range(300)] + [(None, i, None, None) for i in range(40)] + [(2, 0, "a", "b")] * 3
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = op8_chat.from_turns(df.withColumn("id", df.turn)).collect()
+    for none, conv, n in ((False, 1, 300), (True, 0, 40), (False, 2, 3)):
+        mine = sorted((r for r in got if r["tree"]["none"] == none and r["tree"]["conv_id"] == conv), key=lambda r: r["id"])
+        assert [r["id"] for r in mine] == list(range(1, n + 1)) and [r["parent"] for r in mine] == [None, *range(1, n)]
+        if conv == 1:
+            assert [r["text"] for r in mine] == [t for _, _, _, t in sorted(rows[:300], key=lambda x: x[1:])]
+
+
+def test_hot_vectors_and_the_share_of_visits(spark, monkeypatch):
+    monkeypatch.setattr(op4_embed_dedup, "HOT", 3)
+    rows = [(i, [1.0, 0.0, -0.0]) for i in range(10)] + [(20, [0.0, 1.0, 0.0]), (21, [0.0, 1.0, 0.0]), (22, [0.0, 0.0, 2.0]), (23, [1.0, 0.001, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in op4_embed_dedup.neighbours(df).collect()}
+    assert got == {**{i: (10, 0, i == 0) for i in range(10)}, 20: (1, 20, True), 21: (1, 20, False), 22: (0, 22, True), 23: (10, 0, False)}
