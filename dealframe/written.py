@@ -27,10 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
 class Written:
     """A table in the shared folder. It can be dropped early, and goes at the end of the application otherwise."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, **options):
+        """options: of the Parquet writer."""
         spark = df.sparkSession
         self.spark, self.path = spark, f"{shared_dir(spark)}/dealframe/{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.options(**options).parquet(self.path)
         fs, path = self._place()
         fs.deleteOnExit(path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
@@ -51,9 +52,9 @@ class Scratch:
     def __init__(self) -> None:
         self.held: list[Written] = []
 
-    def keep(self, df: DataFrame | Written) -> DataFrame:
+    def keep(self, df: DataFrame | Written, **options) -> DataFrame:
         """df, written (or taken over)."""
-        w = df if isinstance(df, Written) else Written(df)
+        w = df if isinstance(df, Written) else Written(df, **options)
         self.held.append(w)
         return w.df
 
