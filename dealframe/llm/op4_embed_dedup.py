@@ -77,12 +77,12 @@ def effective_dimension(x: np.ndarray, c: np.ndarray) -> float:
 
 
 def _digested(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding, key): key is a 256-bit digest of a valid vector's components, null for others."""
+    """(vec_id, embedding, key): key is a 128-bit digest of a valid vector's components, null for others."""
     ok = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     valid = F.col("vec_id").isNotNull() & ok & F.exists("embedding", lambda v: v != 0)
     # -0.0 and 0.0 are the same component.
-    text = F.array_join(F.transform("embedding", lambda v: (v + F.lit(0.0)).cast("string")), ",")
-    return vectors.select("vec_id", "embedding", F.when(valid, F.sha2(text, 256)).alias("key"))
+    v = F.transform("embedding", lambda v: v + F.lit(0.0))
+    return vectors.select("vec_id", "embedding", F.when(valid, F.struct(F.xxhash64(v).alias("a"), F.xxhash64(v, F.lit(1)).alias("b"))).alias("key"))
 
 
 def _assign(classes: DataFrame, cells: np.ndarray, cosine: float, share: float) -> DataFrame:
