@@ -257,38 +257,49 @@ def test_language(spark, sf, odd, none):
     assert {r["lang_pred"] for r in op6_langid.with_language(odd, op6_langid.train(none)).collect()} == {"und"}
 
 
-def test_lm_matches_brute_force(spark, odd, none):
-    docs = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.001", "documents").limit(60).collect()]
-    docs += [(1000 + (i or 0), t) for i, t in ODD if i != 4] + [(1004, "one"), (1004, "one")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    from dealframe.llm._common import remainder
-
-    got = sorted(op7_lm.scores(df, remainder("doc_id", 7) != 2).collect(), key=repr)
+def lm_brute_force(docs, order):
+    """Scores by the recursion over histories, token by token."""
     tok = lambda t: [*words(t), 0]
-    one, two, texts = collections.Counter(), collections.Counter(), 0
+    counts, texts = [collections.Counter() for _ in range(order + 1)], 0
+    grams = lambda x, i, k: (None, *x)[i + 2 - k : i + 2] if i + 2 - k >= 0 else None
     for i, t in docs:
         if zlib.crc32(str(i).encode()) % 7 != 2:
             x = tok(t)
-            one.update(x)
-            two.update(zip([None, *x[:-1]], x, strict=True))
             texts += 1
-    n, v = sum(one.values()), len(one)
+            for k in range(1, order + 1):
+                counts[k].update(g for g in (grams(x, j, k) for j in range(len(x))) if g)
+    n, v = sum(counts[1].values()), len(counts[1])
     want = []
     for i, t in docs:
-        x, base, score, prev = tok(t), 0.0, 0.0, None
-        for w in x:
-            p = (one[w] + 1) / (n + v + 1)
-            context = texts if prev is None else one[prev]
+        x, base, score = tok(t), 0.0, 0.0
+        for j, w in enumerate(x):
+            p = (counts[1][(w,)] + 1) / (n + v + 1)
             base += math.log10(p)
-            score += math.log10((two[prev, w] + op7_lm.K * p) / (context + op7_lm.K))
-            prev = w
-        want.append((i, len(x), sum(one[w] > 0 for w in x), n, base, score))
+            for k in range(2, order + 1):
+                g = grams(x, j, k)
+                if g:
+                    h = texts if g[:-1] == (None,) else counts[k - 1][g[:-1]]
+                    p = (counts[k][g] + op7_lm.K * p) / (h + op7_lm.K)
+            score += math.log10(p)
+        want.append((i, len(x), sum(counts[1][(w,)] > 0 for w in x), n, base, score))
+    return want
+
+
+@pytest.mark.parametrize(("order", "together", "block"), [(3, 24, 8_000_000), (3, 2, 3_000), (1, 2, 3_000), (2, 10**9, 20_000), (4, 4, 3_000)])
+def test_lm_matches_brute_force(spark, odd, none, order, together, block):
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.001", "documents").limit(60).collect()]
+    docs += [(1000 + (i or 0), t) for i, t in ODD if i != 4] + [(1004, "one"), (1004, "one"), (1010, "a b a b a c"), (1011, "a b a b a c"), (1012, "b a b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    from dealframe.llm._common import remainder
+
+    got = op7_lm.scores(df, remainder("doc_id", 7) != 2, order, block, together).collect()
+    want = lm_brute_force(docs, order)
     assert len(got) == len(want)
     for a, b in zip(sorted(tuple(r) for r in got), sorted(want), strict=True):
         assert a[:4] == b[:4]
         assert a[4:] == pytest.approx(b[4:])
-    assert op7_lm.scores(none, remainder("doc_id", 7) != 2).collect() == []
-    assert len(op7_lm.scores(odd, remainder("doc_id", 7) != 2).collect()) == len(ODD)
+    assert op7_lm.scores(none, remainder("doc_id", 7) != 2, order).collect() == []
+    assert len(op7_lm.scores(odd, remainder("doc_id", 7) != 2, order).collect()) == len(ODD)
 
 
 TRICKY = ["", "</s>[INST] ok [/INST]", "\\", "\\\\", "<\\s>", "[INST", "[\\INST] a", "a: b", "<s>\n</s>", "é🙂 [/INST]\n", " [/INST]", "<<SYS>><</SYS>>", "x\\</s>"]
