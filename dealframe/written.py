@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -58,6 +59,11 @@ class Scratch:
         self.held.append(w)
         return w.df
 
+    def settle(self, spark: SparkSession) -> None:
+        """Have the shuffle files of jobs whose results are written removed now: Spark's cleaner acts once their plans are collected."""
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
     def drop(self) -> None:
         for w in self.held:
             w.drop()
