@@ -44,7 +44,7 @@ ORDER = 3
 #: Pseudo-count of the shorter context.
 K = 4.0
 #: Bytes of text of a block (or one longer text).
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Texts that still advance together; fewer are walked one by one.
 TOGETHER = 24
 END = np.uint64(0x5E5E5E5E5E5E5E5E)
@@ -101,7 +101,7 @@ class Keys:
     def __init__(self, keys: np.ndarray, shards: int) -> None:
         self.shards = np.uint64(shards)
         to = keys % self.shards
-        self.order = np.lexsort((keys, to))
+        self.order = np.lexsort((keys, to)).astype(np.int32)
         self.cuts = np.searchsorted(to[self.order], np.arange(shards + 1, dtype=np.uint64))
         self.asked = keys[self.order]
 
@@ -122,14 +122,14 @@ class Block:
         data, offs = data[offs[0] : offs[-1]], offs - offs[0]
         self.train = rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
         self.tok, self.starts = tokens(words, data, offs)
-        self.used = np.repeat(self.train, np.diff(self.starts))
+        used = np.repeat(self.train, np.diff(self.starts))
         self.keys, self.first, self.at, self.own = [], [], [], []
         for n in range(1, order + 1):
             k, first, at = np.unique(grams(self.tok, self.starts, n), return_index=True, return_inverse=True)
             self.keys.append(k)
-            self.first.append(first)
-            self.at.append(at)
-            self.own.append(np.bincount(at, weights=self.used, minlength=len(k)).astype(np.int64))
+            self.first.append(first.astype(np.int32))
+            self.at.append(at.astype(np.int32))
+            self.own.append(np.bincount(at, weights=used, minlength=len(k)).astype(np.int32))
         self.more: list[np.ndarray] = []  # training counts of each n-gram in other blocks
         self.shared: list[np.ndarray] = []  # whether another block holds it, to train or not
         self.texts = 0  # training texts of all blocks
@@ -351,7 +351,7 @@ class Automaton:
         state, size = [], 2
         for k in range(1, order):
             seen = count[k - 1] > 0
-            ids = np.full(len(seen), -1, np.int64)
+            ids = np.full(len(seen), -1, np.int32)
             ids[seen] = size + np.arange(seen.sum())
             size += int(seen.sum())
             state.append(ids)
@@ -456,6 +456,7 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int
         return rows.repartition(parts(spark), "block").sortWithinPartitions("block", "kind", "shard")
 
     told = [answers(texts.mapInArrow(_ask(order, shards), SCHEMA))]
+    tmp.settle(spark)
     both = np.zeros(2, np.int64)
     for (load,) in told[0].where("block = ''").select("load").collect():
         both += np.frombuffer(bytes(load), np.int64)
@@ -467,6 +468,7 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int
             yield from _chunks(_loads(name, [(b.keys[k - 1][at], b.own[k - 1][at])], shards))
 
         told.append(answers(blocks_with(told).mapInArrow(_by_block(k, k - 2, shards, ask), SCHEMA)))
+        tmp.settle(spark)
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def score(name, b, rows):
