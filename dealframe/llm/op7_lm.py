@@ -95,6 +95,16 @@ def unplanes(buf: np.ndarray, at: int, n: int) -> tuple[np.ndarray, int]:
     return out.reshape(-1).view(np.uint64), at + wide * n
 
 
+def squeeze(load: bytes) -> bytes:
+    """zstd behind the length."""
+    return len(load).to_bytes(8, "little") + pa.compress(load, codec="zstd", asbytes=True)
+
+
+def unsqueeze(load: pa.Scalar) -> np.ndarray:
+    buf = load.as_buffer()
+    return np.frombuffer(pa.decompress(buf[8:], int.from_bytes(buf[:8].to_pybytes(), "little"), codec="zstd"), np.uint8)
+
+
 class Keys:
     """Distinct keys of a block in the order in which shards are asked: by shard, then ascending."""
 
@@ -166,7 +176,7 @@ class Block:
 
 
 def _read(load) -> pa.RecordBatch:
-    return next(iter(pa.ipc.open_stream(pa.BufferReader(load.as_buffer()))))
+    return next(iter(pa.ipc.open_stream(pa.py_buffer(unsqueeze(load)))))
 
 
 def _texts(block_bytes: int):
@@ -177,7 +187,7 @@ def _texts(block_bytes: int):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema) as out:
             out.write_batch(rows)
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "load"])
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary())], names=["block", "load"])
 
     def run(batches):
         held, size = [], 0
@@ -220,7 +230,7 @@ def _loads(name: str, sections: list[tuple[np.ndarray, np.ndarray]], shards: int
         sizes = [k.size(s) for k, _ in asked]
         if any(sizes):
             load = np.array([len(sizes), *sizes], np.int64).tobytes()
-            yield name, s, load + b"".join(k.of(s) + planes(c[k.cuts[s] : k.cuts[s + 1]]) for (k, _), c in zip(asked, counts, strict=True))
+            yield name, s, squeeze(load + b"".join(k.of(s) + planes(c[k.cuts[s] : k.cuts[s + 1]]) for (k, _), c in zip(asked, counts, strict=True)))
 
 
 def _gather(sections: list[np.ndarray], answers: dict[int, list[np.ndarray]], shards: int) -> list[np.ndarray]:
@@ -252,7 +262,7 @@ def _answer(shards: int):
     """mapInArrow over requests sorted by shard: twice what other blocks have of each n-gram asked, plus one where any asked too, in its order; block '': the shard's tokens and distinct tokens."""
 
     def read(shard, load):
-        buf = np.frombuffer(load.as_buffer(), np.uint8)
+        buf = unsqueeze(load)
         n = int(buf[:8].view(np.int64)[0])
         sizes, at, out = buf[8 : 8 + 8 * n].view(np.int64).tolist(), 8 + 8 * n, []
         for m in sizes:
@@ -274,7 +284,7 @@ def _answer(shards: int):
             answers.append(np.split(2 * (total[inverse] - counts) + others, np.cumsum([len(h[1][part][0]) for h in held])[:-1]))
         for k, (name, asked) in enumerate(held):
             load = np.array([len(asked), *[len(x) for x, _ in asked]], np.int64).tobytes()
-            yield name, shard, load + b"".join(planes(a[k]) for a in answers)
+            yield name, shard, squeeze(load + b"".join(planes(a[k]) for a in answers))
         yield "", shard, np.array([seen, distinct], np.int64).tobytes()
 
     def run(batches):
@@ -293,7 +303,7 @@ def _answer(shards: int):
 
 
 def _answers_of(load) -> list[np.ndarray]:
-    buf = np.frombuffer(load.as_buffer(), np.uint8)
+    buf = unsqueeze(load)
     n = int(buf[:8].view(np.int64)[0])
     sizes, at, out = buf[8 : 8 + 8 * n].view(np.int64).tolist(), 8 + 8 * n, []
     for m in sizes:
