@@ -2,16 +2,19 @@
 
 For every distinct item length (in words) a window of that many words slides over
 each text. A window's fingerprint is a 128-bit SimHash of its weighted five-word
-shingles (weight: the times it occurs). The 128 bits are cut into 16 blocks; a
-fingerprint within RADIUS of an item differs from it by at most RADIUS // 16 bits
-in one block at least, so probing every block's neighbourhood finds all items
-within the radius. Candidates are verified by the exact weighted Jaccard
-similarity of the shingles, max(a, b) and min(a, b) summed over shingles.
-
-A window that shares no shingle with any item has similarity 0, so windows are
-fingerprinted only around words that start a shingle of some item; this drops no
-window that could verify. RADIUS is the expected Hamming distance at the threshold
-plus more than four standard deviations.
+shingles (weight: the times it occurs). The 128 bits are cut into 4 blocks of 32; a
+fingerprint within RADIUS of an item differs from it by at most RADIUS // 4 bits in
+one block at least, so the blocks find all items within the radius, and let by 0.4 %
+of the pairs of a window and an item that have nothing in common. Candidates are
+verified by the exact weighted Jaccard similarity of the shingles, max(a, b) and
+min(a, b) summed over shingles.
+
+RADIUS is the expected Hamming distance at the threshold plus three standard
+deviations: of windows with a similarity of exactly 0.8 about one in 700 lies beyond
+it, and next to none above 0.82. A window that shares no shingle with an item of its
+length has similarity 0 to all of them; such windows need no fingerprint and get
+none, which changes no result (``every`` of Index.search gives them one, and the
+tests compare).
 
 Case and ASCII punctuation don't count: words are what stands between these and
 white space, in lower case.
@@ -25,6 +28,8 @@ window; other columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,18 +37,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealframe.llm._common import table
+from dealframe.llm._common import bound_batches, table
 from dealframe.llm._text import Words, blocks, mix, shingles
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BITS, CUTS, RADIUS = 128, 16, 40
-#: Items of one broadcast at most; a larger benchmark is searched in several passes over the texts.
-ITEMS_MAX = 50_000
+BITS, CUTS, RADIUS = 128, 4, 31
+#: Items, and bytes of their texts, that a task holds at most; a larger benchmark is searched in several passes over the texts.
+ITEMS_MAX, ITEMS_BYTES = 50_000, 50_000_000
+#: Pairs of windows and items that are looked at at once.
+PAIRS_AT_ONCE = 4_000_000
 FILTER_BITS = 20
 
-POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
 
 def signs(tokens: np.ndarray) -> np.ndarray:
     """BITS signs (+1 or -1) of each shingle hash."""
@@ -87,8 +92,55 @@ def word_reader() -> Words:
     return words
 
 
+class Group:
+    """The items of one length in words, and the tables of their multi-index search.
+
+    A fingerprint is CUTS blocks of 32 bits. One within RADIUS of an item differs from it
+    by RADIUS // CUTS bits at most in one block at least, and in one 16-bit half of that
+    block by half as many at most. ``table`` says for each value of each half whether an
+    item is that near; windows that it lets by are held against the items block by block,
+    then as a whole.
+    """
+
+    def __init__(self, items: np.ndarray, prints: np.ndarray) -> None:
+        own = np.ascontiguousarray(prints[items])
+        self.items, self.blocks, self.wide = items, own.view(np.uint32), own.view(np.uint64)
+        around = np.flatnonzero(np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)) <= RADIUS // CUTS // 2).astype(np.uint16)
+        halves = own.view(np.uint16)
+        self.table = np.zeros((2 * CUTS, 1 << 16), bool)
+        for c in range(2 * CUTS):
+            for v in np.unique(halves[:, c]):
+                self.table[c, around ^ v] = True
+
+    def survivors(self, prints: np.ndarray):
+        """(windows, items) that agree in a block, as indexes; a bounded number of pairs is looked at at once."""
+        halves = prints.view(np.uint16)
+        maybe = self.table[0][halves[:, 0]]
+        for c in range(1, 2 * CUTS):
+            maybe |= self.table[c][halves[:, c]]
+        rows = np.flatnonzero(maybe)
+        step = max(1, PAIRS_AT_ONCE // max(1, len(self.items)))
+        for lo in range(0, len(rows), step):
+            r = rows[lo : lo + step]
+            b = np.ascontiguousarray(prints[r]).view(np.uint32)
+            hit = np.zeros((len(r), len(self.items)), bool)
+            for c in range(CUTS):
+                hit |= np.bitwise_count(b[:, c, None] ^ self.blocks[None, :, c]) <= RADIUS // CUTS
+            w, i = np.nonzero(hit)
+            yield r[w], i
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all pairs within RADIUS."""
+        ws, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for w, i in self.survivors(prints):
+            ok = np.bitwise_count(np.ascontiguousarray(prints[w]).view(np.uint64) ^ self.wide[i]).sum(1, dtype=np.int64) <= RADIUS
+            ws.append(w[ok])
+            items.append(self.items[i[ok]])
+        return np.concatenate(ws), np.concatenate(items)
+
+
 class Index:
-    """Fingerprints of the items by block value, with every block's neighbourhood."""
+    """The items, their shingles, and a search group for each length."""
 
     def __init__(self, ids: list[int], texts: list[str | None], k: int, threshold: float) -> None:
         self.k, self.threshold = k, threshold
@@ -104,8 +156,9 @@ class Index:
         self.ids = [ids[i] for i in keep]
         self.bags = [self.bags[i] for i in keep]
         self.sizes = [self.sizes[i] for i in keep]
-        prints = [fingerprint(*b) for b in self.bags]
-        self.prints = np.array(prints, np.uint8).reshape(len(prints), BITS // 8)
+        prints = np.array([fingerprint(*b) for b in self.bags], np.uint8).reshape(len(self.bags), BITS // 8)
+        lengths = np.asarray(self.sizes, np.int64)
+        self.groups = {int(n): Group(np.flatnonzero(lengths == n), prints) for n in np.unique(lengths)}
         tokens = np.unique(np.concatenate([b[0] for b in self.bags])) if self.bags else np.zeros(0, np.uint64)
         self.tokens = tokens
         self.lengths_of: list[set[int]] = [set() for _ in tokens]
@@ -114,11 +167,6 @@ class Index:
                 self.lengths_of[t].add(n)
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[(tokens & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-        # near[c][v]: the items whose block c is within RADIUS // CUTS bits of v.
-        width = BITS // CUTS
-        assert width == 8
-        close = POP[np.arange(256)[:, None] ^ np.arange(256)[None]] <= RADIUS // CUTS
-        self.near = [close[:, self.prints[:, c]] for c in range(CUTS)]
 
     @classmethod
     def by_length(cls, ids: list[int], texts: list[str | None], k: int, threshold: float) -> list[Index]:
@@ -137,35 +185,27 @@ class Index:
         i = np.minimum(np.searchsorted(self.tokens, s[at]), len(self.tokens) - 1)
         return at[self.tokens[i] == s[at]]
 
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of all pairs within RADIUS, by the blocks' neighbourhoods."""
-        hit = np.zeros((len(prints), len(self.ids)), bool)
-        for c in range(CUTS):
-            hit |= self.near[c][prints[:, c]]
-        w, i = np.nonzero(hit)
-        ok = POP[prints[w] ^ self.prints[i]].sum(1) <= RADIUS
-        return w[ok], i[ok]
-
-    def search(self, h: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """item position -> (similarity, first word, words) of its best window in a text of word hashes h."""
+    def search(self, h: np.ndarray, every: bool = False) -> dict[int, tuple[float, int, int]]:
+        """item position -> (similarity, first word, words) of its best window in a text of word hashes h.
+
+        every: fingerprint also the windows that share no shingle with an item of their
+        length. Their similarity is 0, so the result is the same.
+        """
         s = shingles(h, self.k)
         best: dict[int, tuple[float, int, int]] = {}
-        at, sizes = self.anchors(s), np.asarray(self.sizes)
-        if not len(at):
-            return best
-        # Windows of an item's length that hold none of its shingles have similarity 0.
+        at = self.anchors(s)
         holds: dict[int, list[int]] = {}
         for p, t in zip(at.tolist(), np.searchsorted(self.tokens, s[at]).tolist(), strict=True):
             for n in self.lengths_of[t]:
                 holds.setdefault(n, []).append(p)
-        for n, near in sorted(holds.items()):
+        for n in sorted(self.groups if every and len(s) else holds):
             words = min(n, len(h))
             width, m = max(1, words - self.k + 1), len(s)
-            for lo, hi in _ranges([(max(0, p - width + 1), min(p, m - width)) for p in near], 4096):
-                w, i = self.candidates(fingerprints(s[lo : hi + width], width))
-                own = sizes[i] == n
+            around = [(0, m - width)] if every else [(max(0, p - width + 1), min(p, m - width)) for p in holds[n]]
+            for lo, hi in _ranges(around, 4096):
+                w, i = self.groups[n].near(fingerprints(s[lo : hi + width], width))
                 bags: dict[int, tuple] = {}
-                for a, item in zip((w[own] + lo).tolist(), i[own].tolist(), strict=True):
+                for a, item in zip((w + lo).tolist(), i.tolist(), strict=True):
                     if a not in bags:
                         bags[a] = bag(s[a : a + width])
                     sim = similarity(bags[a], self.bags[item])
@@ -188,11 +228,11 @@ def _ranges(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
 SCHEMA = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, items_max: int = ITEMS_MAX, items_bytes: int = ITEMS_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the best window of every contaminated pair."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
-    size = items.count()
-    passes = max(1, -(-size // ITEMS_MAX))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("b")).first()
+    passes = max(1, -(-size["n"] // items_max), -(-size["b"] // items_bytes))
     schema = T.StructType([docs.schema["doc_id"], *SCHEMA.fields])
     out = None
     for p in range(passes):
@@ -203,9 +243,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: flo
     return out
 
 
+#: The indexes that this worker built last, by what they were built from; tasks of one pass share them.
+_BUILT: dict[tuple, list[Index]] = {}
+
+
+def _indexes(name: str, rows: list[tuple[int, str]], k: int, threshold: float) -> list[Index]:
+    key = (name, k, threshold)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Index.by_length([r[0] for r in rows], [r[1] for r in rows], k, threshold)
+    return _BUILT[key]
+
+
 def _pass(docs: DataFrame, rows: list[tuple[int, str]], k: int, threshold: float, schema: T.StructType) -> DataFrame:
+    bound_batches(docs.sparkSession)
+    name, held = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(rows)
+
     def run(batches):
-        indexes = Index.by_length([r[0] for r in rows], [r[1] for r in rows], k, threshold)
+        indexes = _indexes(name, held.value, k, threshold)
         words = word_reader()
         for b in batches:
             at, cols = [], [[], [], [], []]

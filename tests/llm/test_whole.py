@@ -109,3 +109,33 @@ def test_hot_vectors_and_the_share_of_visits(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in op4_embed_dedup.neighbours(df).collect()}
     assert got == {**{i: (10, 0, i == 0) for i in range(10)}, 20: (1, 20, True), 21: (1, 20, False), 22: (0, 22, True), 23: (10, 0, False)}
+
+
+def test_every_window_finds_no_more_and_the_blocks_prune(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80).collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    (index,) = op10_decontam.Index.by_length([i for i, _ in items], [t for _, t in items], 5, 0.8)
+    words = op10_decontam.word_reader()
+    looked = passed = found = 0
+    for _, t in docs:
+        for _, _, data, offs in op10_decontam.blocks(op10_decontam.normal(op10_decontam.pa.array([t], op10_decontam.pa.large_string()))):
+            st, en, _ = words.spans(data, offs)
+            h = words.hashes(data, st, en)[:1500]
+            got = index.search(h)
+            assert got == index.search(h, every=True)
+            found += len(got)
+            s = op10_decontam.shingles(h, 5)
+            for n, g in index.groups.items():
+                if len(s) >= n:
+                    prints = op10_decontam.fingerprints(s, n - 4)
+                    looked += len(prints) * len(g.items)
+                    passed += sum(len(w) for w, _ in g.survivors(prints))
+    assert found and looked > 100_000 and passed < 0.01 * looked
+
+
+def test_passes_of_a_large_benchmark_agree(spark):
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(8 + i % 5))) for i in range(40)]
+    docs = spark.createDataFrame([(i, f"a b c {t} d e", i) for i, t in items] + [(99, None, 0)], "doc_id long, text string, similarity int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, rows, size = (sorted(tuple(r) for r in op10_decontam.hits(docs, bench, **k).collect()) for k in ({}, {"items_max": 7}, {"items_bytes": 300}))
+    assert one == rows == size and [r[:2] for r in one] == [(i, i) for i, _ in items]
