@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,9 +61,15 @@ class Scratch:
         return w.df
 
     def settle(self, spark: SparkSession) -> None:
-        """Have the shuffle files of jobs whose results are written removed now: Spark's cleaner acts once their plans are collected."""
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        """Have the shuffle files of jobs whose results are written removed now.
+
+        Spark's cleaner acts once their plans are collected; the second pass gets what the
+        first one let go, and the cleaner runs beside us.
+        """
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self) -> None:
         for w in self.held:
