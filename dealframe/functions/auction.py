@@ -143,6 +143,8 @@ def competitive(toks: Column) -> Column:
     return F.coalesce(F.array_contains(calls, 0), F.lit(False)) & F.coalesce(F.array_contains(calls, 1), F.lit(False))
 
 
+#: Other spellings of calls in patterns.
+CALLS = {**dict.fromkeys(PASSES, "P"), **dict.fromkeys(DOUBLES, "X"), **dict.fromkeys(REDOUBLES, "XX")}
 META = re.compile(r"[\\^$.|?*+()\[\]{}]")
 
 
@@ -162,7 +164,7 @@ def normalize_pattern(pattern: str) -> str:
     p = pattern.strip()
     tail = "$" if p.endswith("$") else ""
     p = p.removesuffix("$")
-    p = re.sub(r"(?<![A-Za-z\\])([1-7](?:nt|[cdhsn])|p|x{1,2})(?![A-Za-z])", lambda m: re.sub("NT$", "N", m[0].upper()), p, flags=re.I)
+    p = re.sub(r"(?<![A-Za-z\\\[\]])([1-7](?:nt|[cdhsn])|pass|p|x{1,2}|rdbl|redouble|dbl|double|d|r)(?![A-Za-z\]])", lambda m: CALLS.get(m[0].upper(), re.sub("NT$", "N", m[0].upper())), p, flags=re.I)
     if re.search(r"(\.\*|\.\+|[*+\])}])$", p):
         return p + tail
     calls = p.lstrip("^").split("-")
@@ -175,6 +177,67 @@ def normalize_pattern(pattern: str) -> str:
     return p + "-P" * max(0, need - trailing) + tail
 
 
+def normalize_pattern_to_seat1(pattern: str) -> str:
+    """The normalised pattern from its first call that isn't a pass."""
+    p = normalize_pattern(pattern)
+    return re.sub(r"^(\^?)(?:P-)+(?=[^P])", r"\1", p)
+
+
+def bid_at_seat(toks: Column, seat: int, nth: int = 1) -> Column:
+    """The ``nth`` call of seat 1 to 4 (1 opens the auction); null where there is none."""
+    return F.get(toks, F.lit(seat - 1 + 4 * (nth - 1)))
+
+
+def opens_at_seat(toks: Column, seat: int) -> Column:
+    """The first call that isn't a pass is made at this seat."""
+    first = F.array_position(F.transform(toks, lambda t: t != "P"), True)
+    return (first > 0) & ((first - 1) % 4 + 1 == seat)
+
+
+def opener(toks: Column, dealer: Column) -> Column:
+    """Direction of the first bid; null without one."""
+    first = F.try_element_at(_bids(toks), F.lit(1))["i"]
+    return F.when(first.isNotNull(), F.substring(F.lit(SEATS), (F.instr(F.lit(SEATS), dealer) - 1 + first) % 4 + 1, F.lit(1)))
+
+
+def next_direction(direction: Column, steps: int = 1) -> Column:
+    return F.substring(F.lit(SEATS), F.pmod(F.instr(F.lit(SEATS), direction) - 1 + steps, F.lit(4)) + 1, F.lit(1))
+
+
+def leader(toks: Column, dealer: Column) -> Column:
+    """Direction that leads: the declarer's left."""
+    return next_direction(declarer(toks, dealer))
+
+
+def strict_dealer(text: Column) -> Column:
+    """N, E, S or W of a direction's letter or name; an error otherwise."""
+    letter = F.upper(F.substring(F.trim(text), 1, 1))
+    return F.when(letter.isin(*SEATS), letter).otherwise(F.raise_error(F.concat(F.lit("not a dealer: "), F.coalesce(text, F.lit("null")))))
+
+
+#: Other spellings of vulnerabilities.
+VULS = {"NONE": "None", "O": "None", "-": "None", "LOVE": "None", "NS": "N_S", "N_S": "N_S", "N-S": "N_S", "EW": "E_W", "E_W": "E_W", "E-W": "E_W", "BOTH": "Both", "ALL": "Both", "B": "Both"}
+
+
+def normal_vul(text: Column) -> Column:
+    """None, N_S, E_W or Both; null for what is no vulnerability."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in VULS.items() for x in kv]), F.upper(F.trim(text)))
+
+
+def vul_bucket(vul: Column, direction: Column) -> Column:
+    """V or NV of a direction."""
+    return F.when(side_vulnerable(vul, direction), "V").otherwise("NV")
+
+
+def encode_vul(vul: Column) -> Column:
+    """None 0, N_S 1, E_W 2, Both 3."""
+    return F.array_position(F.array(F.lit("None"), F.lit("N_S"), F.lit("E_W"), F.lit("Both")), vul).cast("int") - 1
+
+
+def decode_vul(code: Column) -> Column:
+    return F.get(F.array(F.lit("None"), F.lit("N_S"), F.lit("E_W"), F.lit("Both")), code)
+
+
 SCHEDULE_NS = [2, 4, 5, 7, 10, 12, 13, 15]
 SCHEDULE_EW = [3, 4, 6, 7, 9, 10, 13, 16]
 

@@ -1,6 +1,7 @@
 """The criteria language compiled to Spark columns.
 
-``& and`` bind looser than comparisons, ``| or`` looser still, ``not`` tightest.
+``& and`` bind looser than comparisons, ``| or`` looser still. ``not`` denies the
+comparison (or the name, or the parenthesis) that follows it, before ``&`` and ``|``.
 Decimals, ``//`` and ``**`` work, and a # starts a comment. ``on_missing`` says what
 a name without a column means for the comparison it stands in.
 """
@@ -68,13 +69,11 @@ def parse(text: str) -> tuple:
                 raise CriteriaError("missing )")
             take()
             return inner
-        if t == "not":
-            return ("not", atom())
         if t == "-":
             return ("neg", atom())
         if re.match(r"\d", t):
             return ("num", float(t) if "." in t else int(t))
-        if re.match(r"[A-Za-z_]", t) and t not in ("and", "or"):
+        if re.match(r"[A-Za-z_]", t) and t not in ("and", "or", "not"):
             return ("name", t)
         raise CriteriaError(f"unexpected {t!r}")
 
@@ -99,7 +98,13 @@ def parse(text: str) -> tuple:
             left = right
         return left if out is None else out
 
-    both = binary({"&": "&", "and": "&"}, compared)
+    def denied():
+        if peek() == "not":
+            take()
+            return ("not", denied())
+        return compared()
+
+    both = binary({"&": "&", "and": "&"}, denied)
     either = binary({"|": "|", "or": "|"}, both)
     tree = either()
     if peek() is not None:

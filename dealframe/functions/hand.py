@@ -46,6 +46,11 @@ def hcp(hand_suits: Column) -> Column:
     return total(hand_suits, suit_hcp)
 
 
+def points(hand: Column) -> Column:
+    """High-card points of a whole hand, from its string alone."""
+    return 4 * _count(hand, "A") + 3 * _count(hand, "K") + 2 * _count(hand, "Q") + _count(hand, "J")
+
+
 def quick_tricks(hand_suits: Column) -> Column:
     return total(hand_suits, suit_quick_tricks, F.lit(0.0))
 
@@ -80,3 +85,13 @@ def keycards(hand_suits: Column, trump: Column) -> Column:
     aces = total(hand_suits, lambda s: s.contains("A").cast("int"))
     king = F.when(trump > 0, F.element_at(hand_suits, F.greatest(trump, F.lit(1))).contains("K").cast("int")).otherwise(0)
     return aces + king
+
+
+def suit_qualities(s: Column) -> dict[str, Column]:
+    """Biddable, rebiddable and stopped, from a suit's length and points."""
+    n, h = F.length(s), suit_hcp(s)
+    return {
+        "biddable": (n >= 5) | ((n == 4) & (h >= 3)),
+        "rebiddable": (n >= 6) | ((n == 5) & (h >= 3)),
+        "stopped": s.contains("A") | (s.contains("K") & (n >= 2)) | (s.contains("Q") & (n >= 3)),
+    }

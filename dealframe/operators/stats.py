@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+#: Rows of a side that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def cube(df: DataFrame, dims: list[str], sums: list[str] = ()) -> DataFrame:
@@ -14,13 +19,17 @@ def cube(df: DataFrame, dims: list[str], sums: list[str] = ()) -> DataFrame:
 def weighted_stats(cube_df: DataFrame, ranges: DataFrame, key: str, dim: str, lo: str, hi: str) -> DataFrame:
     """Count, mean, population deviation, min and max of ``dim`` over a cube's buckets within each range.
 
-    The cube is the small side of the range join: it has one row a value.
+    Equal ranges are answered once. The cube's side has one row a value; it is broadcast
+    where it has at most BROADCAST_ROWS, beyond that Spark chooses.
     """
-    j = ranges.join(F.broadcast(cube_df.groupBy(dim).agg(F.sum("n").alias("n"))), F.col(dim).between(F.col(lo), F.col(hi)), "left")
+    values, every = cube_df.groupBy(dim).agg(F.sum("n").alias("n")), ranges.select(lo, hi).distinct()
+    side = F.broadcast(values) if values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else values
+    j = every.join(side, F.col(dim).between(F.col(lo), F.col(hi)), "left")
     n = F.sum("n")
     mean = F.sum(F.col(dim) * F.col("n")) / n
     var = F.sum(F.col(dim) * F.col(dim) * F.col("n")) / n - mean * mean
-    return j.groupBy(key).agg(F.coalesce(n, F.lit(0)).alias("n"), mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), F.min(dim).alias("min"), F.max(dim).alias("max"))
+    found = j.groupBy(lo, hi).agg(F.coalesce(n, F.lit(0)).alias("n"), mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), F.min(dim).alias("min"), F.max(dim).alias("max"))
+    return ranges.select(key, lo, hi).join(found, (ranges[lo].eqNullSafe(found[lo])) & (ranges[hi].eqNullSafe(found[hi]))).select(key, "n", "mean", "std", "min", "max")
 
 
 def histogram_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
@@ -57,3 +66,16 @@ def scaling(df: DataFrame, columns: list[str]) -> DataFrame:
     aggs = [f for c in columns for f in (F.avg(c).alias(f"{c}|m"), F.stddev_samp(c).alias(f"{c}|s"))]
     cells = [F.struct(F.lit(c).alias("name"), F.col(f"`{c}|m`").alias("mean"), F.when(F.col(f"`{c}|s`") == 0, 1.0).otherwise(F.col(f"`{c}|s`")).alias("std")) for c in columns]
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
+    """Linearly interpolated quantiles from counts of distinct values: a group's buffer is two numbers a quantile, not its rows."""
+    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_v")
+    cum = hist.withColumn("_c", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cum = cum.join(hist.groupBy(*keys).agg(F.sum("_n").alias("_t")), keys)
+    at = [F.lit(q) * (F.col("_t") - 1) for q in qs]
+    ends = [f(F.when(F.col("_c") > g(p), F.col("_v"))).alias(f"_{n}{i}") for i, p in enumerate(at) for n, f, g in (("lo", F.min, F.floor), ("hi", F.min, F.ceil))]
+    out = cum.groupBy(*keys, "_t").agg(*ends)
+    part = lambda p: p - F.floor(p)
+    return out.select(*keys, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part(p)).alias(f"q{round(q * 100)}") for i, (q, p) in enumerate(zip(qs, at, strict=True))])

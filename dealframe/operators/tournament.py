@@ -4,43 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def matchpoints(df: DataFrame, keys: list[str], score: str, out: str) -> DataFrame:
-    """Average rank less one of each score within its group; null scores get null."""
-    group = Window.partitionBy(*keys)
-    lower = F.rank().over(group.orderBy(F.col(score).asc_nulls_last()))
-    same = F.count("*").over(Window.partitionBy(*keys, score))
-    return df.withColumn(out, F.when(F.col(score).isNotNull(), lower + (same - 1) / 2.0 - 1))
+def places(df: DataFrame, keys: list[str], score: str, asked: DataFrame | None = None) -> DataFrame:
+    """(keys, _x, _below, _same, _all, _kinds, _distinct): how many scores of a group lie below and at each value.
 
+    Values are the group's distinct scores and, where given, those of ``asked`` (keys, _x).
+    Scores are counted by value first, so a running sum sorts a group's values and not its
+    rows. _kinds: distinct scores below; _distinct: of the group.
+    """
+    hist = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_x")).agg(F.count("*").alias("_same"))
+    if asked is not None:
+        hist = hist.unionByName(asked.select(*keys, "_x", F.lit(0).cast("long").alias("_same"))).groupBy(*keys, "_x").agg(F.sum("_same").alias("_same"))
+    w = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    run = hist.withColumns({"_below": F.coalesce(F.sum("_same").over(w), F.lit(0)), "_kinds": F.coalesce(F.sum((F.col("_same") > 0).cast("int")).over(w), F.lit(0))})
+    total = hist.groupBy(*keys).agg(F.sum("_same").alias("_all"), F.count_if(F.col("_same") > 0).alias("_distinct"))
+    return run.join(total, keys)
 
-def hypothetical_matchpoints(df: DataFrame, keys: list[str], actual: str, columns: list[str]) -> DataFrame:
-    """For each column, the row's points against all actual scores of its group: one a win, half a tie.
 
-    A group's scores are counted once for each distinct value, so a large group is no self-join of rows.
-    """
-    counts = df.groupBy(*keys, F.col(actual).alias("_v")).agg(F.count("*").alias("_n"))
-    lists = counts.groupBy(*keys).agg(F.collect_list(F.struct("_v", "_n")).alias("_scores"))
-    out = df.join(lists, keys)
+def matchpoints(df: DataFrame, keys: list[str], score: str, out: str, top: str | None = None) -> DataFrame:
+    """Average rank less one of each score within its group, and the group's top; null scores get null."""
+    p = places(df, keys, score)
+    p = p.select(*keys, F.col("_x").alias(score), (F.col("_below") + (F.col("_same") - 1) / 2.0).alias(out), *([(F.col("_all") - 1).cast("double").alias(top)] if top else []))
+    return df.join(p, [*keys, score], "left")
 
-    def points(c: str) -> Column:
-        won = lambda x: F.when(F.col(c) > x["_v"], x["_n"] * 1.0).when(F.col(c) == x["_v"], x["_n"] * 0.5).otherwise(0.0)
-        return F.aggregate("_scores", F.lit(0.0), lambda a, x: a + won(x))
 
-    return out.withColumns({f"MP_{c}": points(c) for c in columns}).drop("_scores")
+def hypothetical_matchpoints(df: DataFrame, keys: list[str], actual: str, columns: list[str]) -> DataFrame:
+    """For each column, the row's points against all actual scores of its group: one a win, half a tie."""
+    asked = df.select(*keys, F.explode(F.array(*columns)).alias("_x")).where("_x is not null").distinct()
+    p = places(df, keys, actual, asked).select(*keys, "_x", (F.col("_below") + F.col("_same") * 0.5).alias("_p"))
+    out = df
+    for c in columns:
+        out = out.join(p.withColumnsRenamed({"_x": c, "_p": f"MP_{c}"}), [*keys, c], "left")
+    return out
 
 
 def distinct_score_percentage(df: DataFrame, keys: list[str], actual: str, column: str, out: str) -> DataFrame:
     """Share of a group's distinct scores that ``column`` beats, ties counting half."""
-    lists = df.groupBy(*keys).agg(F.collect_set(actual).alias("_s"))
-    j = df.join(lists, keys)
-    beats = F.size(F.filter("_s", lambda x: F.col(column) > x))
-    ties = F.size(F.filter("_s", lambda x: F.col(column) == x))
-    return j.withColumn(out, (beats + 0.5 * ties) / F.size("_s")).drop("_s")
+    p = places(df, keys, actual, df.select(*keys, F.col(column).alias("_x")).where("_x is not null").distinct())
+    share = (F.col("_kinds") + 0.5 * (F.col("_same") > 0).cast("int")) / F.col("_distinct")
+    return df.join(p.select(*keys, F.col("_x").alias(column), share.alias(out)), [*keys, column], "left")
 
 
 def percentage(mp: Column, top: Column) -> Column:
@@ -63,6 +71,12 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.withColumn(out, F.sum(value).over(w))
 
 
+def event_elo(games: DataFrame, keys: list[str], order: list[str], player: str, before: str, after: str) -> DataFrame:
+    """(keys, player, elo_start, elo_end): a player's rating before the first and after the last game of each event."""
+    at = F.struct(*order, before, after)
+    return games.groupBy(*keys, player).agg(F.min(at)[before].alias("elo_start"), F.max(at)[after].alias("elo_end"))
+
+
 def pair_elo(
     boards: DataFrame,
     first: str,
@@ -75,14 +89,19 @@ def pair_elo(
     boost: float = 1.5,
     boost_until: int = 100,
     scale: float = 400.0,
+    pairs: str | None = None,
 ) -> DataFrame:
     """Sequential Elo over boards in order: one row a board with both ratings before and after.
 
     Order-dependent by nature. ``league`` (any column whose values share no player)
-    splits the recurrence; without it one task folds the whole table in a stream.
+    splits the recurrence; without it one task folds the whole table in a stream: each
+    rating depends on all games before it, so no split of connected players is exact.
+    first and second are players, or arrays of partners, who are rated by their mean and
+    move by half the change each. ``pairs`` (pairs in the game's field) scales K by
+    sqrt(max(pairs - 1, 1) / 11).
     """
     keys = [league] if league else []
-    cols = [*keys, *order, first, second, result]
+    cols = [*keys, *order, first, second, result, *([pairs] if pairs else [])]
     data = boards.select(*cols)
     data = data.repartition(league) if league else data.coalesce(1)
     data = data.sortWithinPartitions(*keys, *order)
@@ -92,17 +111,19 @@ def pair_elo(
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rating: dict = {}
         played: dict = {}
+        side = lambda g, x: [(g, p) for p in x] if isinstance(x, list | tuple | np.ndarray) else [(g, x)]
         for f in frames:
             out = []
-            for a, b, r, g in zip(f[first], f[second], f[result], f[league] if league else [None] * len(f), strict=True):
-                ra, rb = rating.get((g, a), initial), rating.get((g, b), initial)
-                expected = 1 / (1 + 10 ** ((rb - ra) / scale))
-                ka = k_base * (boost if played.get((g, a), 0) < boost_until else 1)
-                kb = k_base * (boost if played.get((g, b), 0) < boost_until else 1)
-                na, nb = ra + ka * (r - expected), rb + kb * (expected - r)
-                rating[g, a], rating[g, b] = na, nb
-                played[g, a], played[g, b] = played.get((g, a), 0) + 1, played.get((g, b), 0) + 1
-                out.append((ra, rb, na, nb))
+            for a, b, r, g, n in zip(f[first], f[second], f[result], f[league] if league else [None] * len(f), f[pairs] if pairs else [12] * len(f), strict=True):
+                sides, weight = (side(g, a), side(g, b)), (max(n - 1, 1) / 11) ** 0.5
+                ra, rb = (sum(rating.get(p, initial) for p in s) / len(s) for s in sides)
+                gain = r - 1 / (1 + 10 ** ((rb - ra) / scale))
+                for s, sign in zip(sides, (1, -1), strict=True):
+                    for p in s:
+                        k = k_base * weight * (boost if played.get(p, 0) < boost_until else 1) / len(s)
+                        rating[p] = rating.get(p, initial) + sign * k * gain
+                        played[p] = played.get(p, 0) + 1
+                out.append((ra, rb, *(sum(rating[p] for p in s) / len(s) for s in sides)))
             yield f.assign(**dict(zip(["elo_first", "elo_second", "new_first", "new_second"], zip(*out, strict=True), strict=True)) if out else {})
 
     return data.mapInPandas(fold, schema)

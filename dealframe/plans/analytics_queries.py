@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dealframe.operators import matching, rules, stats, tournament
-from dealframe.plans.registry import query, sample
+from dealframe.operators import matching, relational, rules, stats, tournament
+from dealframe.plans.registry import query
 from dealframe.session import table
 
 
@@ -16,12 +16,7 @@ from dealframe.session import table
 )
 def avg_rank_matchpoints(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
-    # Ranks come from the counts of each distinct score, so a hot group sorts its scores, not its rows.
-    counts = t.groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("c"))
-    lists = counts.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_quantity", "c"))).alias("s"), F.sum("c").alias("n"))
-    below = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.when(x["l_quantity"] < F.col("q"), x["c"]).otherwise(0))
-    points = counts.select("l_suppkey", F.col("l_quantity").alias("q"), "c").join(lists, "l_suppkey").select("l_suppkey", F.col("q").alias("l_quantity"), (below + (F.col("c") - 1) / 2.0).alias("mp"), (F.col("n") - 1).cast("double").alias("top"))
-    return t.join(points, ["l_suppkey", "l_quantity"]).select("l_orderkey", "l_linenumber", "mp", "top")
+    return tournament.matchpoints(t, ["l_suppkey"], "l_quantity", "mp", "top").select("l_orderkey", "l_linenumber", "mp", "top")
 
 
 @query(
@@ -75,7 +70,15 @@ def running_total(spark, sf_dir):
     return tournament.running_total(e, ["user_id"], ["ts", "event_id"], "value", "total").select("event_id", F.round("total", 4).alias("total"))
 
 
-@query("elo_fold")
+#: The games in order, and the recurrence over them: ratings and games played are carried as maps.
+ELO_SQL = """with recursive g as (select row_number() over (order by ts, event_id) as i, event_id, user_id % 50 as a, event_id % 49 + 50 as b, (value % 2 >= 1)::int::double as r from events),
+st as (select 0::bigint as i, 0::bigint as event_id, list_transform(range(100), lambda x: 1500.0::double) as rating, list_transform(range(100), lambda x: 0) as played, 0::double as na, 0::double as nb union all
+  select i, event_id, list_transform(rating, lambda x, p: case p - 1 when a then na when b then nb else x end), list_transform(played, lambda x, p: x + (p - 1 in (a, b))::int), na, nb from (
+    select g.i, g.event_id, g.a, g.b, s.rating, s.played, ra + case when s.played[g.a + 1] < 100 then 36 else 24 end * (g.r - e) as na, rb + case when s.played[g.b + 1] < 100 then 36 else 24 end * (e - g.r) as nb
+    from (select st.*, rating[g.a + 1] as ra, rating[g.b + 1] as rb, 1 / (1 + pow(10, (rating[g.b + 1] - rating[g.a + 1]) / 400)) as e from st join g on g.i = st.i + 1) s join g on g.i = s.i + 1))"""
+
+
+@query("elo_fold", f"{ELO_SQL} select event_id, round(na, 6) as new_first, round(nb, 6) as new_second from st where i > 0")
 def elo_fold(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 50).alias("a"), (F.col("event_id") % 49 + 50).alias("b"), (F.col("value") % 2 >= 1).cast("double").alias("r"))
     # Players meet across event types, so there is no league to split by: one task streams the table.
@@ -84,28 +87,25 @@ def elo_fold(spark, sf_dir):
 
 @query(
     "bucket_range_match",
-    """with d as (select l_orderkey * 10 + l_linenumber as k, l_quantity as q, l_linenumber as ln from lineitem where l_orderkey % 4 = 0),
-      r as (select p_partkey as bt, p_size as q_min, p_size + 5 as q_max, p_partkey % 5 as ln_min, p_partkey % 5 + 2 as ln_max from part where p_partkey <= 60)
+    """with d as (select l_orderkey * 10 + l_linenumber as k, l_quantity as q, l_linenumber as ln from lineitem),
+      r as (select p_partkey as bt, p_size as q_min, p_size + 5 as q_max, p_partkey % 5 as ln_min, p_partkey % 5 + 2 as ln_max from part)
     select bt, count(*) as n, min(k) as first_k, max(k) as last_k from d join r on q between q_min and q_max and ln between ln_min and ln_max group by bt""",
 )
-def bucket_range_match(spark, sf_dir, whole=False):
-    d = sample(table(spark, sf_dir, "lineitem"), "l_orderkey % 4 = 0", whole).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").alias("q"), F.col("l_linenumber").alias("ln"))
-    p = sample(table(spark, sf_dir, "part"), "p_partkey <= 60", whole)
+def bucket_range_match(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").alias("q"), F.col("l_linenumber").alias("ln"))
+    p = table(spark, sf_dir, "part")
     k, s = F.col("p_partkey"), F.col("p_size")
     r = p.select(k.alias("bt"), s.alias("q_min"), (s + 5).alias("q_max"), (k % 5).alias("ln_min"), (k % 5 + 2).alias("ln_max"))
-    if whole:
-        return matching.bucket_range_summary(d, r, ["q", "ln"], "k", "bt").select("bt", "n", F.col("first").alias("first_k"), F.col("last").alias("last_k"))
-    m = matching.bucket_range_match(d, r, ["q", "ln"], "k", "bt", count=60)
-    return m.groupBy("bt").agg(F.count("*").alias("n"), F.min("k").alias("first_k"), F.max("k").alias("last_k"))
+    return matching.bucket_range_summary(d, r, ["q", "ln"], "k", "bt").select("bt", "n", F.col("first").alias("first_k"), F.col("last").alias("last_k"))
 
 
 @query(
     "template_division",
-    """with h as (select distinct l_suppkey as s, l_returnflag || l_linestatus as p from lineitem where l_quantity > 48), t(t, p) as (values (1, 'AF'), (1, 'RF'), (2, 'NO'), (2, 'AF'), (3, 'NO'))
+    """with h as (select distinct l_suppkey as s, l_returnflag || l_linestatus as p from lineitem), t(t, p) as (values (1, 'AF'), (1, 'RF'), (2, 'NO'), (2, 'AF'), (3, 'NO'))
     select s, t from h join t using (p) group by 1, 2 having count(*) = (select count(*) from t x where x.t = t.t)""",
 )
 def template_division(spark, sf_dir):
-    h = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("s"), F.concat("l_returnflag", "l_linestatus").alias("p"))
+    h = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.concat("l_returnflag", "l_linestatus").alias("p"))
     t = spark.createDataFrame([(1, "AF"), (1, "RF"), (2, "NO"), (2, "AF"), (3, "NO")], "t int, p string")
     return matching.template_division(h, t, "s", "t", "p")
 
@@ -129,20 +129,19 @@ def array_key_filter(spark, sf_dir):
     return c.join(m, c.c_custkey == m.d, "left").select("c_custkey", F.coalesce("kept", F.lit("")).alias("kept"))
 
 
-STEPS_SQL = """ev as (select user_id as u, event_type as t, row_number() over (partition by user_id order by ts, event_id) as i from events), first4 as (select * from ev where i <= 4),
+STEPS_SQL = """ev as (select user_id as u, event_type as t, row_number() over (partition by user_id order by ts, event_id) as i from events), first4 as (select * from ev),
   steps as (select a.u, a.i as step, coalesce(string_agg(b.t, '-' order by b.i), '') as prefix, a.t as next_bid from first4 a left join first4 b on a.u = b.u and b.i < a.i group by a.u, a.i, a.t)"""
 
 
-def _steps(spark, sf_dir, whole=False):
+def _steps(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     toks = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
-    toks = toks if whole else F.slice(toks, 1, 4)
     return rules.auction_steps(e.groupBy(F.col("user_id").alias("u")).agg(toks.alias("toks")), "u", "toks")
 
 
 @query("prefix_explode", f"with {STEPS_SQL} select prefix, next_bid, count(*) as n from steps group by 1, 2")
-def prefix_explode(spark, sf_dir, whole=False):
-    return _steps(spark, sf_dir, whole).groupBy("prefix", "next_bid").agg(F.count("*").alias("n"))
+def prefix_explode(spark, sf_dir):
+    return _steps(spark, sf_dir).groupBy("prefix", "next_bid").agg(F.count("*").alias("n"))
 
 
 LIFT_SQL = f"""{STEPS_SQL}, facts as (select c_custkey as u, (c_acctbal > 0)::int as rich, (c_nationkey % 2 = 0)::int as even from customer),
@@ -151,27 +150,27 @@ LIFT_SQL = f"""{STEPS_SQL}, facts as (select c_custkey as u, (c_acctbal > 0)::in
   m as (select o.prefix, o.next_bid, o.criterion, pos_count, n - pos_count as neg_count, p / pos_count as pos_rate, case when n > pos_count then (f - p) / (n - pos_count) end as neg_rate from own o join tot t using (prefix, criterion))"""
 
 
-def _metrics(spark, sf_dir, whole=False):
+def _metrics(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("u"), (F.col("c_acctbal") > 0).alias("rich"), (F.col("c_nationkey") % 2 == 0).alias("even"))
-    return rules.score_criteria(_steps(spark, sf_dir, whole), c, "u", ["rich", "even"])
+    return rules.score_criteria(_steps(spark, sf_dir), c, "u", ["rich", "even"])
 
 
 @query("prefix_lift", f"with {LIFT_SQL} select prefix, next_bid, criterion, pos_count, neg_count::bigint as neg_count, round(pos_rate, 6) as pos_rate, round(neg_rate, 6) as neg_rate, round(case when neg_rate > 0 then pos_rate / neg_rate end, 6) as lift from m")
-def prefix_lift(spark, sf_dir, whole=False):
-    return _metrics(spark, sf_dir, whole).select("prefix", "next_bid", "criterion", "pos_count", "neg_count", *[F.round(c, 6).alias(c) for c in ("pos_rate", "neg_rate", "lift")])
+def prefix_lift(spark, sf_dir):
+    return _metrics(spark, sf_dir).select("prefix", "next_bid", "criterion", "pos_count", "neg_count", *[F.round(c, 6).alias(c) for c in ("pos_rate", "neg_rate", "lift")])
 
 
 @query("rule_filter", f"with {LIFT_SQL} select prefix, next_bid, criterion, pos_count from m where (neg_rate is null or neg_rate = 0 or pos_rate / neg_rate >= 1.02) and pos_rate >= 0.3 and floor(pos_rate * pos_count) >= 2 and coalesce(neg_rate, 0) <= 0.99")
-def rule_filter(spark, sf_dir, whole=False):
-    return rules.accept(_metrics(spark, sf_dir, whole), 1.02, 0.3, 2, 0.99).select("prefix", "next_bid", "criterion", "pos_count")
+def rule_filter(spark, sf_dir):
+    return rules.accept(_metrics(spark, sf_dir), 1.02, 0.3, 2, 0.99).select("prefix", "next_bid", "criterion", "pos_count")
 
 
-BOUNDS_SQL = """b as (select l_suppkey as k, (['HCP', 'SL_S', 'TP'])[(l_linenumber % 3 + 1)::int] as name, (['>=', '<=', '>', '<'])[(l_partkey % 4 + 1)::int] as op, l_quantity as v from lineitem where l_orderkey % 16 = 0),
+BOUNDS_SQL = """b as (select l_suppkey as k, (['HCP', 'SL_S', 'TP'])[(l_linenumber % 3 + 1)::int] as name, (['>=', '<=', '>', '<'])[(l_partkey % 4 + 1)::int] as op, l_quantity as v from lineitem),
   loose as (select k, name, op, case when op in ('>=', '>') then min(v) else max(v) end as v from b group by k, name, op)"""
 
 
-def _bounds(spark, sf_dir, whole=False):
-    t = sample(table(spark, sf_dir, "lineitem"), "l_orderkey % 16 = 0", whole)
+def _bounds(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
     name = F.element_at(F.array(F.lit("HCP"), F.lit("SL_S"), F.lit("TP")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     op = F.element_at(F.array(F.lit(">="), F.lit("<="), F.lit(">"), F.lit("<")), (F.col("l_partkey") % 4 + 1).cast("int"))
     return t.select(F.col("l_suppkey").alias("k"), name.alias("name"), op.alias("op"), F.col("l_quantity").alias("v"))
@@ -182,8 +181,8 @@ def _bounds(spark, sf_dir, whole=False):
     f"""with {BOUNDS_SQL}, s as (select k, name, max(case op when '>=' then v when '>' then v + 1 end) as lo, min(case op when '<=' then v when '<' then v - 1 end) as hi from loose group by 1, 2)
     select l.k, l.name, l.op, l.v from loose l join s using (k, name) where lo is null or hi is null or lo <= hi""",
 )
-def dedupe_bounds(spark, sf_dir, whole=False):
-    return rules.dedupe_bounds(_bounds(spark, sf_dir, whole), ["k"], "name", "op", "v").select("k", "name", "op", "v")
+def dedupe_bounds(spark, sf_dir):
+    return rules.dedupe_bounds(_bounds(spark, sf_dir), ["k"], "name", "op", "v").select("k", "name", "op", "v")
 
 
 @query(
@@ -191,8 +190,8 @@ def dedupe_bounds(spark, sf_dir, whole=False):
     f"""with {BOUNDS_SQL}, base as (select name, op, min(v) as v from loose where k % 2 = 0 and op <> '<' group by 1, 2), new as (select name, op, max(v) as v from loose where k % 2 = 1 group by 1, 2)
     select name, op, coalesce(b.v, n.v) as value, b.v is null as learned from base b full join new n using (name, op)""",
 )
-def rule_merge(spark, sf_dir, whole=False):
-    b = _bounds(spark, sf_dir, whole)
+def rule_merge(spark, sf_dir):
+    b = _bounds(spark, sf_dir)
     loose = b.groupBy("k", "name", "op").agg(F.when(F.col("op").isin(">=", ">"), F.min("v")).otherwise(F.max("v")).alias("v"))
     base = loose.where("k % 2 = 0 and op <> '<'").groupBy("name", "op").agg(F.min("v").alias("value"))
     new = loose.where("k % 2 = 1").groupBy("name", "op").agg(F.max("v").alias("value"))
@@ -263,8 +262,7 @@ def scaling_params(spark, sf_dir):
 @query("category_encoding", "select o_orderstatus, (dense_rank() over (order by o_orderstatus) - 1)::int as code, count(*) as n from orders group by 1")
 def category_encoding(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-    codes = o.agg(F.array_sort(F.collect_set("o_orderstatus")).alias("c"))
-    return o.join(F.broadcast(codes)).select("o_orderstatus", (F.array_position("c", F.col("o_orderstatus")) - 1).cast("int").alias("code"), "n")
+    return relational.with_row_index(o, ["o_orderstatus"], "code").select("o_orderstatus", F.col("code").cast("int").alias("code"), "n")
 
 
 @query(
@@ -281,13 +279,13 @@ def audit_flags(spark, sf_dir):
 
 @query(
     "contradiction_audit",
-    """with b as (select l_suppkey as k, min(l_quantity) filter (where l_linenumber = 1) as hi, max(l_quantity) filter (where l_linenumber = 2) as lo, sum(l_linenumber) filter (where l_orderkey % 50 = 0) as sl from lineitem group by 1)
+    """with b as (select l_suppkey as k, min(l_quantity) filter (where l_linenumber = 1) as hi, max(l_quantity) filter (where l_linenumber = 2) as lo, sum(l_linenumber) as sl from lineitem group by 1)
     select case when lo > hi then 'IMPOSSIBLE_RANGE' when sl > 13 then 'SUIT_LENGTHS_EXCEED_13' when sl < 13 then 'SUIT_LENGTHS_BELOW_13' else 'OK' end as kind, count(*) as n from b group by 1""",
 )
 def contradiction_audit(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
     n = F.col("l_linenumber")
-    b = t.groupBy("l_suppkey").agg(F.min(F.when(n == 1, F.col("l_quantity"))).alias("hi"), F.max(F.when(n == 2, F.col("l_quantity"))).alias("lo"), F.sum(F.when(F.col("l_orderkey") % 50 == 0, n)).alias("sl"))
+    b = t.groupBy("l_suppkey").agg(F.min(F.when(n == 1, F.col("l_quantity"))).alias("hi"), F.max(F.when(n == 2, F.col("l_quantity"))).alias("lo"), F.sum(n).alias("sl"))
     kind = F.when(F.col("lo") > F.col("hi"), "IMPOSSIBLE_RANGE").when(F.col("sl") > 13, "SUIT_LENGTHS_EXCEED_13").when(F.col("sl") < 13, "SUIT_LENGTHS_BELOW_13").otherwise("OK")
     return b.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
@@ -334,7 +332,7 @@ def terminal_filter(spark, sf_dir):
 
 
 TAX_SQL = """x as (select l_returnflag as sev, l_quantity - 25 as imp_diff, l_extendedprice / 1000 - 30 as ev_diff,
-  case when l_linenumber = 1 then 'missed_sacrifice' when l_linenumber = 2 then 'premature_pass' when l_discount > 0.08 then 'wrong_strain' when l_quantity > 40 then 'overbid' when l_quantity < 10 then 'underbid' else 'other' end as family from lineitem where l_quantity < 25)"""
+  case when l_linenumber = 1 then 'missed_sacrifice' when l_linenumber = 2 then 'premature_pass' when l_discount > 0.08 then 'wrong_strain' when l_quantity > 40 then 'overbid' when l_quantity < 10 then 'underbid' else 'other' end as family from lineitem)"""
 
 
 @query(
@@ -342,7 +340,7 @@ TAX_SQL = """x as (select l_returnflag as sev, l_quantity - 25 as imp_diff, l_ex
     f"""with {TAX_SQL} select family, sev, count(*) as n, round(sum(-imp_diff), 2) as imp_loss, round(sum(greatest(-ev_diff, 0)), 2) as ev_loss, round(sum(-imp_diff) * 1000 + sum(greatest(-ev_diff, 0)), 1) as priority from x group by 1, 2""",
 )
 def error_taxonomy_summary(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").where("l_quantity < 25")
+    t = table(spark, sf_dir, "lineitem")
     family = (
         F.when(F.col("l_linenumber") == 1, "missed_sacrifice").when(F.col("l_linenumber") == 2, "premature_pass").when(F.col("l_discount") > 0.08, "wrong_strain")
         .when(F.col("l_quantity") > 40, "overbid").when(F.col("l_quantity") < 10, "underbid").otherwise("other")
@@ -353,10 +351,10 @@ def error_taxonomy_summary(spark, sf_dir):
 
 @query(
     "next_bid_ranking",
-    """select l_suppkey as bid, count(*) filter (where l_returnflag = 'N') as n_nv, count(*) filter (where l_returnflag <> 'N') as n_v, round(avg(l_extendedprice), 2) as avg_par, round(stddev_samp(l_discount), 6) as ev_std from lineitem where l_quantity between 10 and 30 group by 1 order by avg_par desc, 1 limit 15""",
+    """select l_suppkey as bid, count(*) filter (where l_returnflag = 'N') as n_nv, count(*) filter (where l_returnflag <> 'N') as n_v, round(avg(l_extendedprice), 2) as avg_par, round(stddev_samp(l_discount), 6) as ev_std from lineitem group by 1 order by avg_par desc, 1 limit 15""",
 )
 def next_bid_ranking(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").where("l_quantity between 10 and 30")
+    t = table(spark, sf_dir, "lineitem")
     g = t.groupBy(F.col("l_suppkey").alias("bid")).agg(
         F.count_if(F.col("l_returnflag") == "N").alias("n_nv"), F.count_if(F.col("l_returnflag") != "N").alias("n_v"), F.round(F.avg("l_extendedprice"), 2).alias("avg_par"), F.round(F.stddev_samp("l_discount"), 6).alias("ev_std")
     )
@@ -372,9 +370,10 @@ def par_distribution(spark, sf_dir):
 
 @query("describe_quantiles", "select l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) as q25, round(quantile_cont(l_extendedprice, 0.5), 4) as q50, round(stddev_pop(l_extendedprice), 3) as std from lineitem group by 1")
 def describe_quantiles(spark, sf_dir):
-    p = F.percentile("l_extendedprice", [0.25, 0.5])
-    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(p.alias("p"), F.round(F.stddev_pop("l_extendedprice"), 3).alias("std"))
-    return g.select("l_returnflag", F.round(F.element_at("p", 1), 4).alias("q25"), F.round(F.element_at("p", 2), 4).alias("q50"), "std")
+    t = table(spark, sf_dir, "lineitem")
+    std = t.groupBy("l_returnflag").agg(F.round(F.stddev_pop("l_extendedprice"), 3).alias("std"))
+    q = stats.exact_quantiles(t, ["l_returnflag"], "l_extendedprice", [0.25, 0.5])
+    return q.join(std, "l_returnflag").select("l_returnflag", F.round("q25", 4).alias("q25"), F.round("q50", 4).alias("q50"), "std")
 
 
 @query(

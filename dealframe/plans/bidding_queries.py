@@ -11,8 +11,8 @@ from dealframe.functions import scoring as S
 from dealframe.functions.shape import shape_filter, sorted_shape_filter
 from dealframe.operators import matching
 from dealframe.plans.bridge_queries import DP, HCP, IMP_VALUES, LEN, LTC, SCORE_SQL, TOK, W
-from dealframe.plans.deals import deals
-from dealframe.plans.registry import query, sample
+from dealframe.plans.deals import VUL_SQL, deals
+from dealframe.plans.registry import query
 from dealframe.session import table
 
 NODES = f"nodes as (select distinct array_to_string({TOK}[1:i], '-') as node, i::int as depth, {TOK}[i] as call, case when i > 1 then array_to_string({TOK}[1:i - 1], '-') else '' end as parent from deals, range(1, 16) r(i) where i <= len({TOK}))"
@@ -32,10 +32,10 @@ def bidding_nodes(spark, sf_dir):
 
 @query(
     "list_next_bids",
-    f"""{W}, {NODES} select parent, call, (case when call = 'P' then 3 when call in ('X', 'XX') then 2 else 1 end)::int as class, (case when call = 'P' then 1 when call = 'X' then 2 when call = 'XX' then 3 else 3 + (substr(call, 1, 1)::int - 1) * 5 + instr('CDHSN', substr(call, 2, 1)) end)::int as code from nodes where depth <= 3""",
+    f"""{W}, {NODES} select parent, call, (case when call = 'P' then 3 when call in ('X', 'XX') then 2 else 1 end)::int as class, (case when call = 'P' then 1 when call = 'X' then 2 when call = 'XX' then 3 else 3 + (substr(call, 1, 1)::int - 1) * 5 + instr('CDHSN', substr(call, 2, 1)) end)::int as code from nodes""",
 )
-def list_next_bids(spark, sf_dir, whole=False):
-    n = sample(_nodes(spark, sf_dir), "depth <= 3", whole)
+def list_next_bids(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
     kind = F.when(F.col("call") == "P", 3).when(F.col("call").isin("X", "XX"), 2).otherwise(1)
     return n.select("parent", "call", kind.alias("class"), A.bid_code(F.col("call")).cast("int").alias("code")).orderBy("parent", "class", "code")
 
@@ -75,18 +75,15 @@ def shape_patterns(spark, sf_dir):
 
 @query(
     "hand_range_match",
-    f"""{W}, d as (select index, ({HCP})::int as hcp, (({LEN})[1])::int as sl from deals where index % 3 = 0), r as (select p_partkey as bt, p_size % 20 as hcp_min, p_size % 20 + 4 as hcp_max, p_partkey % 5 as sl_min, p_partkey % 5 + 3 as sl_max from part where p_partkey <= 100)
+    f"""{W}, d as (select index, ({HCP})::int as hcp, (({LEN})[1])::int as sl from deals), r as (select p_partkey as bt, p_size % 20 as hcp_min, p_size % 20 + 4 as hcp_max, p_partkey % 5 as sl_min, p_partkey % 5 + 3 as sl_max from part)
     select bt, count(*) as matching_deal_count, min(index) as first_deal from d join r on hcp between hcp_min and hcp_max and sl between sl_min and sl_max group by 1""",
 )
-def hand_range_match(spark, sf_dir, whole=False):
+def hand_range_match(spark, sf_dir):
     s = H.suits(F.col("Hand_N"))
-    d = sample(deals(spark, sf_dir), "index % 3 = 0", whole).select("index", H.hcp(s).cast("int").alias("hcp"), F.element_at(H.lengths(s), 1).cast("int").alias("sl"))
+    d = deals(spark, sf_dir).select("index", H.points(F.col("Hand_N")).cast("int").alias("hcp"), F.element_at(H.lengths(s), 1).cast("int").alias("sl"))
     k, z = F.col("p_partkey"), F.col("p_size")
-    r = sample(table(spark, sf_dir, "part"), "p_partkey <= 100", whole).select(k.alias("bt"), (z % 20).alias("hcp_min"), (z % 20 + 4).alias("hcp_max"), (k % 5).alias("sl_min"), (k % 5 + 3).alias("sl_max"))
-    if whole:
-        return matching.bucket_range_summary(d, r, ["hcp", "sl"], "index", "bt").select("bt", F.col("n").alias("matching_deal_count"), F.col("first").alias("first_deal"))
-    m = matching.bucket_range_match(d, r, ["hcp", "sl"], "index", "bt", count=100)
-    return m.groupBy("bt").agg(F.count("*").alias("matching_deal_count"), F.min("index").alias("first_deal"))
+    r = table(spark, sf_dir, "part").select(k.alias("bt"), (z % 20).alias("hcp_min"), (z % 20 + 4).alias("hcp_max"), (k % 5).alias("sl_min"), (k % 5 + 3).alias("sl_max"))
+    return matching.bucket_range_summary(d, r, ["hcp", "sl"], "index", "bt").select("bt", F.col("n").alias("matching_deal_count"), F.col("first").alias("first_deal"))
 
 
 RULES = [("1N", "HCP >= 15 & HCP <= 17 & Balanced"), ("1S", "HCP >= 11 & SL_S >= 5"), ("1H", "HCP >= 11 & SL_H >= 5 & SL_S < 5"), ("2C", "HCP >= 20")]
@@ -103,7 +100,7 @@ def opening_bids_by_seat(spark, sf_dir):
 
     s = H.suits(F.col("Hand_N"))
     n = H.lengths(s)
-    h = deals(spark, sf_dir).select(H.hcp(s).alias("HCP"), F.element_at(n, 1).alias("SL_S"), F.element_at(n, 2).alias("SL_H"), H.balanced(s).alias("Balanced"))
+    h = deals(spark, sf_dir).select(H.points(F.col("Hand_N")).alias("HCP"), F.element_at(n, 1).alias("SL_S"), F.element_at(n, 2).alias("SL_H"), H.balanced(s).alias("Balanced"))
     bids = F.array_compact(F.array(*[F.when(compile_criteria(rule, h.columns), F.lit(b)) for b, rule in RULES]))
     return h.groupBy(F.array_join(bids, ",").alias("openings")).agg(F.count("*").alias("n"))
 
@@ -111,29 +108,29 @@ def opening_bids_by_seat(spark, sf_dir):
 @query("custom_criteria_impact", f"{W}, h as (select {HCP} as hcp, {LEN} as l from deals) select count(*) as n, count(*) filter (where hcp >= 12) as before, count(*) filter (where hcp >= 12 and l[1] >= 4) as after from h")
 def custom_criteria_impact(spark, sf_dir):
     s = H.suits(F.col("Hand_N"))
-    h = deals(spark, sf_dir).select(H.hcp(s).alias("hcp"), F.element_at(H.lengths(s), 1).alias("sl"))
+    h = deals(spark, sf_dir).select(H.points(F.col("Hand_N")).alias("hcp"), F.element_at(H.lengths(s), 1).alias("sl"))
     return h.agg(F.count("*").alias("n"), F.count_if(F.col("hcp") >= 12).alias("before"), F.count_if((F.col("hcp") >= 12) & (F.col("sl") >= 4)).alias("after"))
 
 
 @query(
     "imp_vs_par",
-    f"""{W}, x as (select *, Vul in ('Both', 'N_S') as v from deals), s as (select index, Dealer, ({SCORE_SQL})::int as sc, (index * 37) % 1200 - 600 as par from x), d as (select index, case when Dealer in ('N', 'S') then sc else -sc end - par as diff from s)
+    f"""{W}, x as (select *, {VUL_SQL} as v from deals), s as (select index, decl, ({SCORE_SQL})::int as sc, (index * 37) % 1200 - 600 as par from x), d as (select index, coalesce(case when decl in ('N', 'S') then sc else -sc end, 0) - par as diff from s)
     select index, diff::bigint as diff, (sign(diff) * imp)::int as imps from d join (values {IMP_VALUES}) t(lo, hi, imp) on abs(diff) between lo and hi""",
 )
 def imp_vs_par(spark, sf_dir):
     d = deals(spark, sf_dir)
-    sc = S.score(F.col("level"), F.col("strain"), F.col("dbl"), A.side_vulnerable(F.col("Vul"), F.lit("N")), F.col("tricks"))
-    ns = F.when(F.col("Dealer").isin("N", "S"), sc).otherwise(-sc)
+    sc = S.score(F.col("level"), F.col("strain"), F.col("dbl"), A.side_vulnerable(F.col("Vul"), F.col("decl")), F.col("tricks"))
+    ns = F.coalesce(F.when(F.col("decl").isin("N", "S"), sc).otherwise(-sc), F.lit(0))
     d = d.select("index", (ns - ((F.col("index") * 37) % 1200 - 600)).cast("long").alias("diff"))
     return d.select("index", "diff", S.imp_signed(F.col("diff")).alias("imps"))
 
 
 @query(
     "seat_rotation",
-    f"""{W} select index, p.v::int as passes, (((s.v - 1 - p.v + 8) % 4) + 1)::int as orig, s.v::int as display, ([Hand_N, Hand_E, Hand_S, Hand_W])[(((s.v - 1 - p.v + 8) % 4) + 1)::int] as hand from deals, range(4) p(v), range(1, 5) s(v) where index % 20 = 0""",
+    f"""{W} select index, p.v::int as passes, (((s.v - 1 - p.v + 8) % 4) + 1)::int as orig, s.v::int as display, ([Hand_N, Hand_E, Hand_S, Hand_W])[(((s.v - 1 - p.v + 8) % 4) + 1)::int] as hand from deals, range(4) p(v), range(1, 5) s(v)""",
 )
-def seat_rotation(spark, sf_dir, whole=False):
-    d = sample(deals(spark, sf_dir), "index % 20 = 0", whole).withColumn("h", F.array(*[F.col(f"Hand_{x}") for x in "NESW"]))
+def seat_rotation(spark, sf_dir):
+    d = deals(spark, sf_dir).withColumn("h", F.array(*[F.col(f"Hand_{x}") for x in "NESW"]))
     e = d.select("index", "h", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("passes")).withColumn("display", F.explode(F.sequence(F.lit(1), F.lit(4))))
     orig = F.pmod(F.col("display") - 1 - F.col("passes"), F.lit(4)) + 1
     return e.select("index", "passes", orig.alias("orig"), "display", F.element_at("h", orig).alias("hand"))
@@ -141,7 +138,7 @@ def seat_rotation(spark, sf_dir, whole=False):
 
 @query("posterior_histograms", f"{W}, h as (select Dealer, ({HCP})::int as hcp from deals) select Dealer, hcp, count(*) as n, round(count(*) / sum(count(*)) over (partition by Dealer), 6) as p from h group by 1, 2")
 def posterior_histograms(spark, sf_dir):
-    h = deals(spark, sf_dir).select("Dealer", H.hcp(H.suits(F.col("Hand_N"))).cast("int").alias("hcp")).groupBy("Dealer", "hcp").agg(F.count("*").alias("n"))
+    h = deals(spark, sf_dir).select("Dealer", H.points(F.col("Hand_N")).cast("int").alias("hcp")).groupBy("Dealer", "hcp").agg(F.count("*").alias("n"))
     t = h.groupBy("Dealer").agg(F.sum("n").alias("t"))
     return h.join(t, "Dealer").select("Dealer", "hcp", "n", F.round(F.col("n") / F.col("t"), 6).alias("p"))
 
@@ -155,16 +152,16 @@ def hand_conservation(spark, sf_dir):
 @query("loser_profile", f"{W} select ({LTC})::int as losers, count(*) as n, round(avg({HCP}), 4) as avg_hcp, max({DP})::int as max_dp from deals group by 1")
 def loser_profile(spark, sf_dir):
     s = H.suits(F.col("Hand_N"))
-    h = deals(spark, sf_dir).select(H.losers(s).cast("int").alias("losers"), H.hcp(s).alias("hcp"), H.distribution_points(s).alias("dp"))
+    h = deals(spark, sf_dir).select(H.losers(s).cast("int").alias("losers"), H.points(F.col("Hand_N")).alias("hcp"), H.distribution_points(s).alias("dp"))
     return h.groupBy("losers").agg(F.count("*").alias("n"), F.round(F.avg("hcp"), 4).alias("avg_hcp"), F.max("dp").cast("int").alias("max_dp"))
 
 
 @query(
     "contract_score_summary",
-    f"""{W}, x as (select *, Vul in ('Both', 'N_S') as v from deals), s as (select level, strain, tricks, ({SCORE_SQL})::int as sc from x)
+    f"""{W}, x as (select *, {VUL_SQL} as v from deals), s as (select level, strain, tricks, ({SCORE_SQL})::int as sc from x)
     select level, strain, count(*) as n, count(*) filter (where tricks >= level + 6) as made, round(avg(sc), 4) as avg_score, max(sc) as best from s group by 1, 2""",
 )
 def contract_score_summary(spark, sf_dir):
-    sc = S.score(F.col("level"), F.col("strain"), F.col("dbl"), A.side_vulnerable(F.col("Vul"), F.lit("N")), F.col("tricks"))
+    sc = S.score(F.col("level"), F.col("strain"), F.col("dbl"), A.side_vulnerable(F.col("Vul"), F.col("decl")), F.col("tricks"))
     d = deals(spark, sf_dir).select("level", "strain", "tricks", sc.alias("sc"))
     return d.groupBy("level", "strain").agg(F.count("*").alias("n"), F.count_if(F.col("tricks") >= F.col("level") + 6).alias("made"), F.round(F.avg("sc"), 4).alias("avg_score"), F.max("sc").alias("best"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from dealframe.functions import auction as A
 from dealframe.functions import hand as H
 from dealframe.functions import scoring as S
-from dealframe.plans.deals import DEALS_SQL, deals
-from dealframe.plans.registry import query, sample
+from dealframe.plans.deals import DEALS_SQL, VUL_SQL, deals, hands
+from dealframe.plans.registry import query
 from dealframe.session import table
 
 W = f"with {DEALS_SQL}"
@@ -33,48 +33,60 @@ def deal_hands(spark, sf_dir):
     return deals(spark, sf_dir).select("index", "Dealer", "Vul", "Hand_N", "Hand_E", "Hand_S", "Hand_W")
 
 
-@query("hand_hcp", f"{W} select index, ({HCP})::int as hcp, ({DP})::int as dp, ({HCP} + {DP})::int as total_points from deals")
+HAND = "string_split(hand, '.')"
+
+
+def _of_hand(sql: str) -> str:
+    """The same expression over each of the four hands."""
+    return sql.replace(SUIT, HAND)
+
+
+@query("hand_hcp", f"{W} select index, dir, ({_of_hand(HCP)})::int as hcp, ({_of_hand(DP)})::int as dp, ({_of_hand(HCP)} + {_of_hand(DP)})::int as total_points from hands")
 def hand_hcp(spark, sf_dir):
-    s = H.suits(F.col("Hand_N"))
-    return deals(spark, sf_dir).select("index", H.hcp(s).cast("int").alias("hcp"), H.distribution_points(s).cast("int").alias("dp"), (H.hcp(s) + H.distribution_points(s)).cast("int").alias("total_points"))
+    h, s = H.points(F.col("hand")), H.suits(F.col("hand"))
+    d = hands(spark, sf_dir).select("index", "dir", h.cast("int").alias("hcp"), H.distribution_points(s).cast("int").alias("dp"))
+    return d.withColumn("total_points", F.col("hcp") + F.col("dp"))
 
 
-@query("hand_quick_tricks", f"{W} select index, ({QT})::double as quick_tricks, ({LTC})::int as losers from deals")
+@query("hand_quick_tricks", f"{W} select index, dir, ({_of_hand(QT)})::double as quick_tricks, ({_of_hand(LTC)})::int as losers from hands")
 def hand_quick_tricks(spark, sf_dir):
-    s = H.suits(F.col("Hand_N"))
-    return deals(spark, sf_dir).select("index", H.quick_tricks(s).alias("quick_tricks"), H.losers(s).cast("int").alias("losers"))
+    s = H.suits(F.col("hand"))
+    return hands(spark, sf_dir).select("index", "dir", H.quick_tricks(s).alias("quick_tricks"), H.losers(s).cast("int").alias("losers"))
 
 
 @query(
     "hand_shape",
-    f"""{W} select index, {SHAPE} as shape, ({SHAPE} in ('4333', '4432') or ({SHAPE} in ('5332', '5422') and (({LEN})[3] = 5 or ({LEN})[4] = 5))) as balanced,
-    (({LEN})[1])::int as sl_s, (({LEN})[2])::int as sl_h, (({LEN})[3])::int as sl_d, (({LEN})[4])::int as sl_c from deals""",
+    _of_hand(
+        f"""{W} select index, dir, {SHAPE} as shape, ({SHAPE} in ('4333', '4432') or ({SHAPE} in ('5332', '5422') and (({LEN})[3] = 5 or ({LEN})[4] = 5))) as balanced,
+    (({LEN})[1])::int as sl_s, (({LEN})[2])::int as sl_h, (({LEN})[3])::int as sl_d, (({LEN})[4])::int as sl_c from hands"""
+    ),
 )
 def hand_shape(spark, sf_dir):
-    s = H.suits(F.col("Hand_N"))
+    s = H.suits(F.col("hand"))
     n = H.lengths(s)
-    return deals(spark, sf_dir).select("index", H.shape(s).alias("shape"), H.balanced(s).alias("balanced"), *[F.element_at(n, i + 1).cast("int").alias(f"sl_{x}") for i, x in enumerate("shdc")])
+    return hands(spark, sf_dir).select("index", "dir", H.shape(s).alias("shape"), H.balanced(s).alias("balanced"), *[F.element_at(n, i + 1).cast("int").alias(f"sl_{x}") for i, x in enumerate("shdc")])
 
 
 @query(
     "hand_keycards",
-    f"""{W} select index, (length(Hand_N) - length(replace(Hand_N, 'A', '')) + case when strain > 0 and strain < 5 and contains(({SUIT})[strain], 'K') then 1 else 0 end)::int as keycards from deals""",
+    f"""{W} select index, dir, (length(hand) - length(replace(hand, 'A', '')) + case when strain < 4 and contains(({HAND})[4 - strain], 'K') then 1 else 0 end)::int as keycards from hands""",
 )
 def hand_keycards(spark, sf_dir):
-    return deals(spark, sf_dir).select("index", H.keycards(H.suits(F.col("Hand_N")), F.col("strain")).cast("int").alias("keycards"))
+    trump = F.when(F.col("strain") < 4, 4 - F.col("strain")).otherwise(0)
+    return hands(spark, sf_dir).select("index", "dir", H.keycards(H.suits(F.col("hand")), trump).cast("int").alias("keycards"))
 
 
 @query(
     "card_presence",
-    f"""{W} select d.dir as dir, s.suit as suit, r.rank as rank, sum(contains(string_split(case d.dir when 'N' then Hand_N when 'E' then Hand_E when 'S' then Hand_S else Hand_W end, '.')[s.i], r.rank)::int)::bigint as n
-    from deals, (values ('N'), ('E'), ('S'), ('W')) d(dir), (values (1, 'S'), (2, 'H'), (3, 'D'), (4, 'C')) s(i, suit), (values ('A'), ('K'), ('Q'), ('J'), ('T')) r(rank) group by all""",
+    f"""{W} select h.dir as dir, s.suit as suit, r.rank as rank, sum(contains(string_split(hand, '.')[s.i], r.rank)::int)::bigint as n
+    from hands h, (values (1, 'S'), (2, 'H'), (3, 'D'), (4, 'C')) s(i, suit), (values {", ".join(f"('{r}')" for r in "AKQJT98765432")}) r(rank) group by all""",
 )
 def card_presence(spark, sf_dir):
-    d = deals(spark, sf_dir)
-    cells = F.array(
-        *[F.struct(F.lit(x).alias("dir"), F.lit(y).alias("suit"), F.lit(r).alias("rank"), F.element_at(H.suits(F.col(f"Hand_{x}")), i + 1).contains(r).cast("int").alias("has")) for x in "NESW" for i, y in enumerate("SHDC") for r in "AKQJT"]
-    )
-    return d.select(F.inline(cells)).groupBy("dir", "suit", "rank").agg(F.sum("has").alias("n"))
+    # The 52 flags of a hand are counted in one pass and turned to rows after that.
+    s = H.suits(F.col("hand"))
+    cells = [(y, r, F.count_if(F.get(s, F.lit(i)).contains(r))) for i, y in enumerate("SHDC") for r in "AKQJT98765432"]
+    one = hands(spark, sf_dir).groupBy("dir").agg(*[c.alias(f"{y}{r}") for y, r, c in cells])
+    return one.select("dir", F.inline(F.array(*[F.struct(F.lit(y).alias("suit"), F.lit(r).alias("rank"), F.col(f"{y}{r}").alias("n")) for y, r, _ in cells])))
 
 
 @query(
@@ -119,10 +131,10 @@ def score_table(spark, sf_dir):
     return g.withColumn("score", S.score(*[F.col(c) for c in ("level", "strain", "dbl", "vul", "tricks")]))
 
 
-@query("contract_scores", f"{W}, x as (select *, Vul in ('Both', 'N_S') as v from deals) select index, ({SCORE_SQL})::int as score, tricks - level - 6 as result from x")
+@query("contract_scores", f"{W}, x as (select *, {VUL_SQL} as v from deals) select index, ({SCORE_SQL})::int as score, tricks - level - 6 as result from x")
 def contract_scores(spark, sf_dir):
     d = deals(spark, sf_dir)
-    v = A.side_vulnerable(F.col("Vul"), F.lit("N"))
+    v = A.side_vulnerable(F.col("Vul"), F.col("decl"))
     return d.select("index", S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, F.col("tricks")).alias("score"), (F.col("tricks") - F.col("level") - 6).alias("result"))
 
 
@@ -182,13 +194,17 @@ def auction_bid_codes(spark, sf_dir):
     return t.groupBy("tok").count().select("tok", A.bid_code(F.col("tok")).cast("int").alias("code"), F.col("count").alias("n"))
 
 
-#: Legality of AUCTIONS, worked out by hand: (legal so far, complete).
-LEGAL = [
-    (1, 1), (1, 1), (1, 1), (1, 1), (1, 1), (1, 1), (1, 1), (1, 1), (1, 1), (0, 0), (0, 0), (1, 0), (0, 0), (1, 1), (1, 1), (1, 1), (1, 1), (1, 1),
-]
+#: Legality, call by call, of the distinct auctions.
+LEGAL_SQL = f"""tk as (select distinct auction, {TOK} as toks from deals),
+st as (select auction, 0 as i, 0 as top, -1 as side, 0 as dbl, 0 as run, true as ok, false as done from tk union all
+  select s.auction, s.i + 1, case when c >= 4 then c else top end, case when c >= 4 then s.i % 2 else side end, case when c >= 4 then 0 when c = 2 then 1 when c = 3 then 2 else dbl end, case when c = 1 then run + 1 else 0 end,
+    ok and not done and (c = 1 or (c >= 4 and c > top) or (c = 2 and top > 0 and dbl = 0 and side <> s.i % 2) or (c = 3 and top > 0 and dbl = 1 and side = s.i % 2)),
+    case when c = 1 then run + 1 >= case when top > 0 then 3 else 4 end else false end
+  from (select st.*, case t.toks[st.i + 1] when 'P' then 1 when 'X' then 2 when 'XX' then 3 else 3 + (substr(t.toks[st.i + 1], 1, 1)::int - 1) * 5 + instr('CDHSN', substr(t.toks[st.i + 1], 2, 1)) end as c from st join tk t using (auction) where st.i < len(t.toks)) s),
+last as (select st.auction, ok, done from st join tk using (auction) where st.i = len(toks))"""
 
 
-@query("auction_legality", f"{W} select index, ({[bool(a) for a, _ in LEGAL]!r})[(index % {len(LEGAL)} + 1)::int] as legal, ({[bool(b) for _, b in LEGAL]!r})[(index % {len(LEGAL)} + 1)::int] as complete from deals")
+@query("auction_legality", f"{W.replace('with ', 'with recursive ', 1)}, {LEGAL_SQL} select index, ok as legal, ok and done as complete from deals join last using (auction)")
 def auction_legality(spark, sf_dir):
     t = A.tokens(F.col("auction"))
     return deals(spark, sf_dir).select("index", A.valid(t).alias("legal"), A.complete(t).alias("complete"))
@@ -229,7 +245,7 @@ def board_schedule(spark, sf_dir):
     return b.select(F.col("id").cast("int").alias("board"), A.board_dealer(F.col("id").cast("int")).alias("dealer"), A.board_vul(F.col("id").cast("int")).alias("vul"))
 
 
-@query("contract_types", f"{W} select case when level = 7 then 'GSlam' when level = 6 then 'SSlam' when level = 5 or (level = 4 and strain >= 2) or (level = 3 and strain = 4) then 'Game' else 'Partial' end as kind, count(*) as n from deals group by 1")
+@query("contract_types", f"{W} select case when level is null then 'Pass' when level = 7 then 'GSlam' when level = 6 then 'SSlam' when level = 5 or (level = 4 and strain >= 2) or (level = 3 and strain = 4) then 'Game' else 'Partial' end as kind, count(*) as n from deals group by 1")
 def contract_types(spark, sf_dir):
     return deals(spark, sf_dir).groupBy(S.contract_type(F.col("level"), F.col("strain")).alias("kind")).agg(F.count("*").alias("n"))
 
@@ -242,13 +258,13 @@ def contract_keys(spark, sf_dir):
 
 @query(
     "expected_values",
-    f"""{W}, p as (select index, level, strain, dbl, Vul in ('Both', 'N_S') as v, t.v::int as tricks, 1 + (index * (t.v + 3)) % 17 as w from deals, range(14) t(v) where index % 5 = 0),
+    f"""{W}, p as (select index, level, strain, dbl, {VUL_SQL} as v, t.v::int as tricks, 1 + (index * (t.v + 3)) % 17 as w from deals, range(14) t(v)),
       s as (select index, w, ({SCORE_SQL}) as score from p)
     select index, round(sum(w * score)::double / sum(w), 4) as ev from s group by index""",
 )
-def expected_values(spark, sf_dir, whole=False):
-    d = sample(deals(spark, sf_dir), "index % 5 = 0", whole)
-    v = A.side_vulnerable(F.col("Vul"), F.lit("N"))
+def expected_values(spark, sf_dir):
+    d = deals(spark, sf_dir)
+    v = A.side_vulnerable(F.col("Vul"), F.col("decl"))
     tricks = F.sequence(F.lit(0), F.lit(13))
     weights = F.transform(tricks, lambda t: (1 + (F.col("index") * (t + 3)) % 17).cast("double"))
     scores = F.transform(tricks, lambda t: S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, t).cast("double"))
@@ -258,12 +274,12 @@ def expected_values(spark, sf_dir, whole=False):
 
 @query(
     "result_from_score",
-    f"""{W}, x as (select *, Vul in ('Both', 'N_S') as v from deals), s as (select index, tricks, level, ({SCORE_SQL}) as score from x)
-    select index, tricks - level - 6 as result, score from s where level <= 3""",
+    f"""{W}, x as (select *, {VUL_SQL} as v from deals), s as (select index, tricks, level, ({SCORE_SQL}) as score from x)
+    select index, tricks - level - 6 as result, score from s""",
 )
-def result_from_score(spark, sf_dir, whole=False):
-    d = sample(deals(spark, sf_dir), "level <= 3", whole)
-    v = A.side_vulnerable(F.col("Vul"), F.lit("N"))
+def result_from_score(spark, sf_dir):
+    d = deals(spark, sf_dir)
+    v = A.side_vulnerable(F.col("Vul"), F.col("decl"))
     scores = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda t: S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, t))
     d = d.select("index", "level", S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, F.col("tricks")).alias("score"), scores.alias("_all"))
     # The tricks are read back from the score's place among all scores of the contract.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dealframe.functions.dsl import compile_criteria, compile_filter, failed
-from dealframe.plans.registry import query, sample
+from dealframe.plans.registry import query
 from dealframe.session import table
 
 
@@ -18,11 +18,11 @@ def criteria_range_count(spark, sf_dir):
 
 @query(
     "group_by_sequence",
-    """with s as (select e.user_id, string_agg(event_type, '-' order by ts, event_id) as seq, avg(value) as v from events e where event_id % 10 = user_id % 10 group by e.user_id)
+    """with s as (select e.user_id, string_agg(event_type, '-' order by ts, event_id) as seq, avg(value) as v from events e group by e.user_id)
     select seq, count(*) as n, round(avg(v), 4) as avg_value from s where seq like 'c%' or seq like 'v%' group by seq order by n desc, seq limit 25""",
 )
-def group_by_sequence(spark, sf_dir, whole=False):
-    e = sample(table(spark, sf_dir, "events"), "event_id % 10 = user_id % 10", whole)
+def group_by_sequence(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
     s = e.groupBy("user_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]), "-").alias("seq"),
         F.avg("value").alias("v"),

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dealframe.functions import auction as A
 from dealframe.session import table
+from dealframe.written import Written
 
 RANKS = "AKQJT98765432"
 AUCTIONS = [
@@ -34,32 +36,71 @@ AUCTIONS = [
 ]
 
 
+def contract_of(auction: str) -> tuple[int | None, int | None, int | None, int | None]:
+    """(level, strain, doubling, steps from the dealer to the declarer) of a list's auction, worked out call by call for the SQL."""
+    level = strain = dbl = None
+    named: dict[tuple[int, str], int] = {}
+    at = 0
+    for i, call in enumerate(auction.split("-")):
+        if call[0].isdigit():
+            level, strain, dbl = int(call[0]), "CDHSN".index(call[1]), 0
+            at = named.setdefault((i % 2, call[1]), i)
+        elif call in ("X", "XX") and level:
+            dbl = len(call)
+    return level, strain, dbl, at % 4 if level else None
+
+
+_DEALT: dict[tuple[str, str], Written] = {}
+
+
 def deals(spark, sf_dir: str) -> DataFrame:
-    """index, Dealer, Vul, Hand_N..Hand_W (S.H.D.C), auction, level, strain, dbl, tricks."""
+    """index, Dealer, Vul, Hand_N..Hand_W (S.H.D.C), auction, its level, strain, dbl and decl, and tricks.
+
+    Dealt once a session and table, and read back.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DEALT:
+        _DEALT[key] = Written(_deal(spark, sf_dir))
+    return _DEALT[key].df
+
+
+def _deal(spark, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
     k = F.col("index")
     mixed = F.transform(F.sequence(F.lit(0), F.lit(51)), lambda c: (((k % 100003) * (c * 7919 + 104729) + c * c * 31) % 10007) * 64 + c)
-    o = o.withColumn("_p", F.transform(F.array_sort(mixed), lambda x: (x % 64).cast("int")))
-
-    def suit(h: int, s: int):
-        held = F.filter(F.sequence(F.lit(0), F.lit(12)), lambda r: F.array_contains(F.slice("_p", 13 * h + 1, 13), r + 13 * s))
-        return F.array_join(F.transform(held, lambda r: F.substring(F.lit(RANKS), r + 1, F.lit(1))), "")
-
-    hands = [F.concat_ws(".", *[suit(h, s) for s in range(4)]).alias(f"Hand_{d}") for h, d in enumerate("NESW")]
-    auction = F.element_at(F.array(*[F.lit(x) for x in AUCTIONS]), (F.pmod(k, F.lit(len(AUCTIONS))) + 1).cast("int"))
+    o = o.withColumn("_p", F.array_sort(mixed))
+    # A hand is a set of bits, one a card; a suit's 13 bits name its string in a fixed table.
+    bits = F.array(*[F.lit(1 << c).cast("long") for c in range(52)])
+    hand = lambda h: F.aggregate(F.slice("_p", 13 * h + 1, 13), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.get(bits, (x % 64).cast("int"))))
+    o = o.select("index", *[hand(h).alias(f"_{d}") for h, d in enumerate("NESW")])
+    held = F.array(*[F.lit("".join(r for i, r in enumerate(RANKS) if m >> i & 1)) for m in range(1 << 13)])
+    suit = lambda d, s: F.get(held, F.shiftright(f"_{d}", 13 * s).bitwiseAND(F.lit(8191)).cast("int"))
+    said = spark.createDataFrame(list(enumerate(AUCTIONS)), "_k long, auction string")
+    t = A.tokens(F.col("auction"))
+    strain = (F.instr(F.lit("CDHSN"), F.substring(A.contract(t), 2, 1)) - 1).cast("int")
+    said = said.select("_k", "auction", F.substring(A.contract(t), 1, 1).cast("int").alias("level"), strain.alias("strain"), F.length(A.doubling(t)).alias("dbl"), A.declarer(t, F.lit("N")).alias("_decl"))
+    o = o.join(F.broadcast(said), F.pmod(k, F.lit(len(AUCTIONS))) == F.col("_k"))
+    dealer = F.substring(F.lit("NESW"), (k % 4 + 1).cast("int"), F.lit(1))
     return o.select(
         "index",
-        F.substring(F.lit("NESW"), (k % 4 + 1).cast("int"), F.lit(1)).alias("Dealer"),
+        dealer.alias("Dealer"),
         F.element_at(F.array(*[F.lit(v) for v in ("None", "N_S", "E_W", "Both")]), (F.floor(k / 4) % 4 + 1).cast("int")).alias("Vul"),
-        *hands,
-        auction.alias("auction"),
-        (1 + k % 7).cast("int").alias("level"),
-        (F.floor(k / 7) % 5).cast("int").alias("strain"),
-        (F.floor(k / 35) % 3).cast("int").alias("dbl"),
+        *[F.concat_ws(".", *[suit(d, s) for s in range(4)]).alias(f"Hand_{d}") for d in "NESW"],
+        "auction",
+        "level",
+        "strain",
+        "dbl",
+        A.next_direction(dealer, F.instr(F.lit("NESW"), F.col("_decl")) - 1).alias("decl"),
         (F.floor(k / 11) % 14).cast("int").alias("tricks"),
     )
 
 
+def hands(spark, sf_dir: str) -> DataFrame:
+    """The four hands of every deal as rows: index, Dealer, Vul, dir, hand, strain."""
+    four = F.array(*[F.struct(F.lit(d).alias("dir"), F.col(f"Hand_{d}").alias("hand")) for d in "NESW"])
+    return deals(spark, sf_dir).select("index", "Dealer", "Vul", "strain", F.inline(four))
+
+
 def _suit_sql(h: int, s: int) -> str:
     return f"array_to_string(list_transform(list_filter(range(13), lambda r: list_contains(p[{13 * h + 1}:{13 * h + 13}], r + {13 * s})), lambda r: substr('{RANKS}', r + 1, 1)), '')"
 
@@ -68,6 +109,10 @@ def _hand_sql(h: int, d: str) -> str:
     return " || '.' || ".join(_suit_sql(h, s) for s in range(4)) + f" as Hand_{d}"
 
 
+def _sql_list(i: int) -> str:
+    return "[" + ", ".join("null" if (x := contract_of(a)[i]) is None else str(x) for a in AUCTIONS) + "]"
+
+
 #: The same deals as a CTE named deals.
 DEALS_SQL = f"""deals0 as (
   select o_orderkey as index, o_orderkey as k,
@@ -76,6 +121,10 @@ DEALS_SQL = f"""deals0 as (
   select index, substr('NESW', (k % 4 + 1)::int, 1) as Dealer, (['None', 'N_S', 'E_W', 'Both'])[((k // 4) % 4 + 1)::int] as Vul,
     {", ".join(_hand_sql(h, d) for h, d in enumerate("NESW"))},
     ({AUCTIONS!r})[(k % {len(AUCTIONS)} + 1)::int] as auction,
-    (1 + k % 7)::int as level, ((k // 7) % 5)::int as strain, ((k // 35) % 3)::int as dbl, ((k // 11) % 14)::int as tricks
+    {", ".join(f"({_sql_list(i)})[(k % {len(AUCTIONS)} + 1)::int] as {n}" for i, n in enumerate(("level", "strain", "dbl")))},
+    substr('NESW', ((k % 4 + ({_sql_list(3)})[(k % {len(AUCTIONS)} + 1)::int]) % 4 + 1)::int, 1) as decl, ((k // 11) % 14)::int as tricks
   from deals0
-)"""
+), hands as ({" union all ".join(f"select index, Dealer, Vul, strain, '{d}' as dir, Hand_{d} as hand from deals" for d in "NESW")})"""
+
+#: Whether the declarer's side is vulnerable.
+VUL_SQL = "(Vul = 'Both' or (Vul = 'N_S' and decl in ('N', 'S')) or (Vul = 'E_W' and decl in ('E', 'W')))"

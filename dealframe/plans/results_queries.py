@@ -10,8 +10,8 @@ from dealframe.functions import hand as H
 from dealframe.functions import scoring as S
 from dealframe.operators import tournament
 from dealframe.plans.bridge_queries import AUC, DECL, HCP, LEN, SCORE_SQL, SUIT, W
-from dealframe.plans.deals import deals
-from dealframe.plans.registry import query, sample
+from dealframe.plans.deals import VUL_SQL, deals, hands
+from dealframe.plans.registry import query
 from dealframe.session import table
 from dealframe.sources import boards
 
@@ -39,13 +39,13 @@ GRID = "select l.v::int as level, s.v::int as strain from range(1, 8) l(v), rang
 
 @query(
     "best_contract",
-    f"""{W}, x as (select d.index, g.level, g.strain, 0 as dbl, d.Vul in ('Both', 'N_S') as v, ((d.index * (g.strain + 3)) % 14)::int as tricks from deals d, ({GRID}) g where d.index % 10 = 0),
+    f"""{W}, x as (select d.index, g.level, g.strain, 0 as dbl, {VUL_SQL} as v, ((d.index * (g.strain + 3)) % 14)::int as tricks from deals d, ({GRID}) g),
       s as (select index, level, strain, ({SCORE_SQL})::int as sc from x), r as (select *, row_number() over (partition by index order by sc desc, level, strain) as r from s)
     select index, sc as best_score, level::varchar || substr('CDHSN', strain + 1, 1) as best_contract from r where r = 1""",
 )
-def best_contract(spark, sf_dir, whole=False):
-    d = sample(deals(spark, sf_dir), "index % 10 = 0", whole)
-    v = A.side_vulnerable(F.col("Vul"), F.lit("N"))
+def best_contract(spark, sf_dir):
+    d = deals(spark, sf_dir)
+    v = A.side_vulnerable(F.col("Vul"), F.col("decl"))
     # The best of all 35 contracts within the row: an array's maximum, not a join and a sort.
     cells = [
         F.struct(S.score(F.lit(lv), F.lit(s), F.lit(0), v, ((F.col("index") * (s + 3)) % 14).cast("int")).alias("sc"), F.lit(-lv).alias("l"), F.lit(-s).alias("s"), F.lit(f"{lv}{'CDHSN'[s]}").alias("name"))
@@ -68,31 +68,28 @@ def role_columns(spark, sf_dir):
 
 @query(
     "suit_quality",
-    f"""{W}, s as (select index, i.v::int as i, ({SUIT})[i.v::int] as s from deals, range(1, 5) i(v) where index % 4 = 0), q as (select *, length(s) as n, 4 * contains(s, 'A')::int + 3 * contains(s, 'K')::int + 2 * contains(s, 'Q')::int + contains(s, 'J')::int as h from s)
-    select i, count(*) filter (where n >= 5 or (n = 4 and h >= 3)) as biddable, count(*) filter (where n >= 6 or (n = 5 and h >= 3)) as rebiddable, count(*) filter (where contains(s, 'A') or (contains(s, 'K') and n >= 2) or (contains(s, 'Q') and n >= 3)) as stopped from q group by 1""",
+    f"""{W}, s as (select dir, i.v::int as i, string_split(hand, '.')[i.v::int] as s from hands, range(1, 5) i(v)), q as (select *, length(s) as n, 4 * contains(s, 'A')::int + 3 * contains(s, 'K')::int + 2 * contains(s, 'Q')::int + contains(s, 'J')::int as h from s)
+    select dir, i, count(*) filter (where n >= 5 or (n = 4 and h >= 3)) as biddable, count(*) filter (where n >= 6 or (n = 5 and h >= 3)) as rebiddable, count(*) filter (where contains(s, 'A') or (contains(s, 'K') and n >= 2) or (contains(s, 'Q') and n >= 3)) as stopped from q group by 1, 2""",
 )
-def suit_quality(spark, sf_dir, whole=False):
-    d = sample(deals(spark, sf_dir), "index % 4 = 0", whole).select(F.posexplode(H.suits(F.col("Hand_N"))).alias("p", "s"))
-    s, n, h = F.col("s"), F.length("s"), H.suit_hcp(F.col("s"))
-    return d.groupBy((F.col("p") + 1).alias("i")).agg(
-        F.count_if((n >= 5) | ((n == 4) & (h >= 3))).alias("biddable"),
-        F.count_if((n >= 6) | ((n == 5) & (h >= 3))).alias("rebiddable"),
-        F.count_if(s.contains("A") | (s.contains("K") & (n >= 2)) | (s.contains("Q") & (n >= 3))).alias("stopped"),
-    )
+def suit_quality(spark, sf_dir):
+    d = hands(spark, sf_dir).select("dir", F.posexplode(H.suits(F.col("hand"))).alias("p", "s"))
+    quality = H.suit_qualities(F.col("s"))
+    return d.groupBy("dir", (F.col("p") + 1).alias("i")).agg(*[F.count_if(quality[q]).alias(q) for q in ("biddable", "rebiddable", "stopped")])
 
 
 @query(
     "board_results",
-    f"""{W}, x as (select *, Vul in ('Both', 'N_S') as v from deals), s as (select index, (index // 16)::bigint as board, ({SCORE_SQL})::int as score from x),
+    f"""{W}, x as (select *, {VUL_SQL} as v from deals), s as (select index, (index // 16)::bigint as board, coalesce(case when decl in ('N', 'S') then ({SCORE_SQL}) else -({SCORE_SQL}) end, 0)::int as score from x),
       m as (select *, rank() over (partition by board order by score) + (count(*) over (partition by board, score) - 1) / 2.0 - 1 as mp, count(*) over (partition by board) - 1 as top from s)
     select index, board, score, mp::double as mp, round(case when top > 0 then least(mp / top, 1) end, 6)::double as pct from m""",
 )
 def board_results(spark, sf_dir):
-    v = A.side_vulnerable(F.col("Vul"), F.lit("N"))
-    d = deals(spark, sf_dir).select("index", F.floor(F.col("index") / 16).alias("board"), S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, F.col("tricks")).alias("score"))
-    d = tournament.matchpoints(d, ["board"], "score", "mp")
-    top = d.groupBy("board").agg((F.count("*") - 1).alias("top"))
-    return d.join(top, "board").select("index", "board", "score", "mp", F.round(tournament.percentage(F.col("mp"), F.col("top")), 6).alias("pct"))
+    v = A.side_vulnerable(F.col("Vul"), F.col("decl"))
+    sc = S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, F.col("tricks"))
+    ns = F.coalesce(F.when(F.col("decl").isin("N", "S"), sc).otherwise(-sc), F.lit(0))
+    d = deals(spark, sf_dir).select("index", F.floor(F.col("index") / 16).alias("board"), ns.alias("score"))
+    d = tournament.matchpoints(d, ["board"], "score", "mp", "top")
+    return d.select("index", "board", "score", "mp", F.round(tournament.percentage(F.col("mp"), F.col("top")), 6).alias("pct"))
 
 
 @query("critical_mistakes", "select l_orderkey, max(l_extendedprice) - min(l_extendedprice) as loss, count(*) as steps from lineitem group by 1 order by loss desc, 1 limit 20")
@@ -101,19 +98,19 @@ def critical_mistakes(spark, sf_dir):
     return g.orderBy(F.desc("loss"), "l_orderkey").limit(20)
 
 
-@query("explain_text", f"{W} select index, 'North holds ' || ({HCP})::int || ' points and ' || (({LEN})[1])::int || ' spades' as text from deals where index % 50 = 0")
-def explain_text(spark, sf_dir, whole=False):
+@query("explain_text", f"{W} select index, 'North holds ' || ({HCP})::int || ' points and ' || (({LEN})[1])::int || ' spades' as text from deals")
+def explain_text(spark, sf_dir):
     s = H.suits(F.col("Hand_N"))
-    return sample(deals(spark, sf_dir), "index % 50 = 0", whole).select("index", F.format_string("North holds %d points and %d spades", H.hcp(s).cast("int"), F.element_at(H.lengths(s), 1)).alias("text"))
+    return deals(spark, sf_dir).select("index", F.format_string("North holds %d points and %d spades", H.points(F.col("Hand_N")).cast("int"), F.element_at(H.lengths(s), 1)).alias("text"))
 
 
-@query("belief_trace", f"{W}, a as (select i.v::int as step, array_to_string(string_split(auction, '-')[1:i.v::int], '-') as node, ({HCP})::int as hcp from deals, range(1, 5) i(v) where len(string_split(auction, '-')) >= i.v) select step, node, count(*) as n, round(avg(hcp), 4) as hcp_mean, min(hcp) as lo, max(hcp) as hi from a group by 1, 2")
-def belief_trace(spark, sf_dir, whole=False):
+@query("belief_trace", f"{W}, a as (select i.v::int as step, array_to_string(string_split(auction, '-')[1:i.v::int], '-') as node, ({HCP})::int as hcp from deals, range(1, 16) i(v) where len(string_split(auction, '-')) >= i.v) select step, node, count(*) as n, round(avg(hcp), 4) as hcp_mean, min(hcp) as lo, max(hcp) as hi from a group by 1, 2")
+def belief_trace(spark, sf_dir):
     s = H.suits(F.col("Hand_N"))
-    d = deals(spark, sf_dir).select(A.tokens(F.col("auction")).alias("t"), H.hcp(s).cast("int").alias("hcp"))
+    d = deals(spark, sf_dir).select(A.tokens(F.col("auction")).alias("t"), H.points(F.col("Hand_N")).cast("int").alias("hcp"))
     # Hands are counted by auction and value before the steps are expanded.
     d = d.groupBy("t", "hcp").agg(F.count("*").alias("n"))
-    e = d.select("t", "hcp", "n", F.explode(F.sequence(F.lit(1), F.size("t") if whole else F.least(F.size("t"), F.lit(4)))).alias("step"))
+    e = d.select("t", "hcp", "n", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("step"))
     e = e.select("step", F.array_join(F.slice("t", F.lit(1), F.col("step")), "-").alias("node"), "hcp", "n")
     return e.groupBy("step", "node").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("hcp") * F.col("n")) / F.sum("n"), 4).alias("hcp_mean"), F.min("hcp").alias("lo"), F.max("hcp").alias("hi"))
 
@@ -124,9 +121,9 @@ def sql_facade(spark, sf_dir):
     return sqlapi.execute(spark, "select o_orderstatus, count(*) as n from facade_orders where o_totalprice > 100000 group by 1 order by n desc, 1;", 5)
 
 
-@query("lin_round_trip", f"{W} select index, Hand_N, Hand_E, Hand_S, Hand_W, auction from deals where index % 25 = 0")
-def lin_round_trip(spark, sf_dir, whole=False):
-    d = sample(deals(spark, sf_dir), "index % 25 = 0", whole)
+@query("lin_round_trip", f"{W} select index, Hand_N, Hand_E, Hand_S, Hand_W, auction from deals")
+def lin_round_trip(spark, sf_dir):
+    d = deals(spark, sf_dir)
     hand = lambda x: F.concat(*[F.concat(F.lit(s), F.get(F.split(F.col(f"Hand_{x}"), r"\.", -1), F.lit(i))) for i, s in enumerate("SHDC")])
     calls = F.array_join(F.transform(F.split("auction", "-"), lambda t: F.concat(F.lit("mb|"), t, F.lit("|"))), "")
     lin = F.concat(F.lit("st||md|3"), hand("S"), F.lit(","), hand("W"), F.lit(","), hand("N"), F.lit("|sv|o|ah|Board 1|"), calls, F.lit("pg||"))
@@ -135,7 +132,7 @@ def lin_round_trip(spark, sf_dir, whole=False):
 
 @query("wrong_seat_first", f"{W}, h as (select index, list_transform([Hand_N, Hand_E, Hand_S, Hand_W], lambda h: list_sum(list_transform(string_split(h, '.'), lambda s: 4 * contains(s, 'A')::int + 3 * contains(s, 'K')::int + 2 * contains(s, 'Q')::int + contains(s, 'J')::int))::int) as p from deals) select case when p[1] < 8 then 1 when p[2] > 14 then 2 when p[3] < 5 then 3 when p[4] > 16 then 4 end as seat, count(*) as n from h group by 1")
 def wrong_seat_first(spark, sf_dir):
-    p = [H.hcp(H.suits(F.col(f"Hand_{d}"))) for d in "NESW"]
+    p = [H.points(F.col(f"Hand_{d}")) for d in "NESW"]
     wrong = [p[0] < 8, p[1] > 14, p[2] < 5, p[3] > 16]
     first = F.coalesce(*[F.when(w, F.lit(i + 1)) for i, w in enumerate(wrong)])
     return deals(spark, sf_dir).groupBy(first.alias("seat")).agg(F.count("*").alias("n"))

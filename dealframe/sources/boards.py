@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,14 +66,19 @@ def parse_pbn(df: DataFrame, value: str = "value") -> DataFrame:
     first = F.instr(F.lit(SEATS), F.upper(F.substring(deal, 1, 1))) - 1
     hands = F.split(F.substring(deal, F.lit(3), F.length(deal)), " ")
     body = F.regexp_extract(b, r'\[Auction "[^"]*"\]\s*([^\[]*)', 1)
-    calls = F.regexp_replace(F.regexp_replace(body, r"\{[^}]*\}|=\d+=|\$\d+|[!?]", " "), r"\*|\bAP\b", " ")
+    calls = F.regexp_replace(body, r"\{[^}]*\}|=\d+=|\$\d+|[!?*]", " ")
+    # AP: all pass. Three passes end an auction with a call, four one without.
+    said = tokens(F.regexp_replace(calls, r"\bAP\b.*", " "))
+    spoken = F.exists(said, lambda t: t != "P")
+    trailing = F.aggregate(said, F.lit(0), lambda n, t: F.when(t == "P", n + 1).otherwise(0))
+    closing = F.when(calls.rlike(r"\bAP\b"), F.array_repeat(F.lit("P"), F.greatest(F.when(spoken, 3).otherwise(4) - trailing, F.lit(0)))).otherwise(F.array().cast("array<string>"))
     return boards.select(
         *[c for c in df.columns if c != value],
         tag("Board").try_cast("int").alias("board"),
         tag("Dealer").alias("dealer"),
         tag("Vulnerable").alias("vul"),
         *[F.get(hands, F.pmod(F.lit(i) - first, F.lit(4))).alias(f"Hand_{d}") for i, d in enumerate(SEATS)],
-        F.array_join(tokens(calls), "-").alias("auction"),
+        F.array_join(F.concat(said, closing), "-").alias("auction"),
         F.nullif(tag("Contract"), F.lit("")).alias("contract"),
         tag("Result").try_cast("int").alias("tricks"),
     )
@@ -100,10 +107,11 @@ def read_overlay(spark: SparkSession, path: str) -> DataFrame:
 def apply_overlay(nodes: DataFrame, overlay: DataFrame, auction: str = "auction", criteria: str = "criteria") -> DataFrame:
     """Criteria of each node with the overlay's added (kept distinct, in order) or, on its exact node, replaced.
 
-    The overlay is a hand-written file; it is broadcast.
+    A rule holds on whole calls: it meets the prefixes of each auction by equality.
     """
     keys = nodes.select(auction).distinct()
-    hit = keys.join(F.broadcast(overlay), F.col(auction).startswith(F.col("partial")))
+    steps = F.transform(F.sequence(F.lit(1), F.size(F.split(auction, "-"))), lambda n: F.array_join(F.slice(F.split(auction, "-"), F.lit(1), n), "-"))
+    hit = keys.select(auction, F.explode(steps).alias("partial")).join(overlay, "partial")
     add = hit.groupBy(auction).agg(
         F.flatten(F.collect_list(F.when(~F.col("replace"), F.col("criteria")))).alias("_add"),
         F.flatten(F.collect_list(F.when(F.col("replace") & (F.col("partial") == F.col(auction)), F.col("criteria")))).alias("_new"),
@@ -114,10 +122,26 @@ def apply_overlay(nodes: DataFrame, overlay: DataFrame, auction: str = "auction"
 
 
 def write_with_manifest(df: DataFrame, path: str, **facts) -> DataFrame:
-    """Write Parquet (zstd) and a one-row JSON manifest of rows and schema beside it."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Write Parquet (zstd) beside the old table, swap it in by renaming, and write a manifest of it.
+
+    The manifest has one JSON row: rows, schema, newest modification time, and a SHA-256
+    over the files' own digests in order of name; ``facts`` are added.
+    """
     spark = df.sparkSession
+    new, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    df.write.option("compression", "zstd").parquet(new)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, at = hadoop(path).getFileSystem(conf), hadoop(path)
+    if fs.exists(at):
+        fs.rename(at, hadoop(old))
+    if not fs.rename(hadoop(new), at):
+        fs.rename(hadoop(old), at)
+        raise OSError(f"could not put {new} at {path}")
+    fs.delete(hadoop(old), True)
     done = spark.read.parquet(path)
-    manifest = done.agg(F.count("*").alias("rows")).select("rows", F.lit(df.schema.json()).alias("schema"), *[F.lit(v).alias(k) for k, v in facts.items()])
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    each = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.sha2("content", 256).alias("sha"), "modificationTime")
+    whole = each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha"))), lambda x: x["sha"]), ""), 256).alias("sha256"), F.max("modificationTime").alias("modified"))
+    manifest = done.agg(F.count("*").alias("rows")).join(F.broadcast(whole)).select("rows", "sha256", "modified", F.lit(df.schema.json()).alias("schema"), *[F.lit(v).alias(k) for k, v in facts.items()])
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}.manifest")
     return done

@@ -36,5 +36,5 @@ def test_query(spark, duck, sf, name):
     assert got == sorted((tuple(norm(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
-def test_every_query_but_the_fold_has_an_oracle():
-    assert set(registry.queries()) - set(registry.oracle_sql()) <= {"elo_fold"}
+def test_every_query_has_an_oracle():
+    assert set(registry.queries()) == set(registry.oracle_sql())

@@ -22,7 +22,7 @@ def test_pbn(spark):
     r = boards.parse_pbn(spark.createDataFrame([(PBN + PBN,)], "value string")).collect()
     assert len(r) == 2
     assert (r[0]["board"], r[0]["Hand_E"], r[0]["Hand_S"], r[0]["Hand_N"], r[0]["tricks"]) == (5, "AKQJ.T98.765.432", "T98.AKQJ.T98.765", "432.432.432.AKQJ", 9)
-    assert r[0]["auction"] == "1N-P-3N"
+    assert r[0]["auction"] == "1N-P-3N-P-P-P"
 
 
 def test_overlay(spark, tmp_path):

@@ -29,7 +29,7 @@ def test_bucket_range_match_whole_reads_all_rows(spark, sf):
     for b, s in table(spark, sf, "part").select("p_partkey", "p_size").collect():
         if k := [k for k, q, n in rows if s <= q <= s + 5 and b % 5 <= n <= b % 5 + 2]:
             want[b] = (len(k), min(k), max(k))
-    got = registry.queries()["bucket_range_match_whole"](spark, sf).collect()
+    got = registry.queries()["bucket_range_match"](spark, sf).collect()
     assert {r["bt"]: (r["n"], r["first_k"], r["last_k"]) for r in got} == want
     assert max(want) > 60
 
@@ -40,7 +40,7 @@ EACH = {"seat_rotation": 16, "expected_values": 1, "result_from_score": 1, "best
 @pytest.mark.parametrize("name", EACH)
 def test_every_deal_has_its_rows(spark, sf, name):
     deals = {r[0]: EACH[name] for r in table(spark, sf, "orders").select("o_orderkey").collect()}
-    got = registry.queries()[f"{name}_whole"](spark, sf).groupBy("index").count().collect()
+    got = registry.queries()[f"{name}"](spark, sf).groupBy("index").count().collect()
     assert {r["index"]: r["count"] for r in got} == deals
 
 
@@ -49,7 +49,7 @@ def test_sequences_hold_every_event(spark, sf):
     for r in sorted(table(spark, sf, "events").select("ts", "event_id", "user_id", "event_type").collect()):
         seqs.setdefault(r["user_id"], []).append(r["event_type"])
     want = {s for s in map("-".join, seqs.values()) if s[0] in "cv"}
-    got = [r["seq"] for r in registry.queries()["group_by_sequence_whole"](spark, sf).collect()]
+    got = [r["seq"] for r in registry.queries()["group_by_sequence"](spark, sf).collect()]
     assert len(got) == min(25, len(want)) and set(got) <= want
 
 
@@ -58,13 +58,13 @@ def test_loosest_bounds_of_all_rows(spark, sf):
     for k, n, p, v in table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", "l_partkey", "l_quantity").collect():
         at = (k, ["HCP", "SL_S", "TP"][n % 3], [">=", "<=", ">", "<"][p % 4])
         want[at] = (min if at[2][0] == ">" else max)(v, want.get(at, v))
-    got = {(r["k"], r["name"], r["op"]): r["v"] for r in registry.queries()["dedupe_bounds_whole"](spark, sf).collect()}
+    got = {(r["k"], r["name"], r["op"]): r["v"] for r in registry.queries()["dedupe_bounds"](spark, sf).collect()}
     assert got and all(want[at] == v for at, v in got.items())
     new = {}
     for (k, name, op), v in want.items():
         if k % 2:
             new[name, op] = max(v, new.get((name, op), v))
-    learned = {(r["name"], r["op"]): r["value"] for r in registry.queries()["rule_merge_whole"](spark, sf).where("learned").collect()}
+    learned = {(r["name"], r["op"]): r["value"] for r in registry.queries()["rule_merge"](spark, sf).where("learned").collect()}
     assert learned == {at: v for at, v in new.items() if at in learned} and learned
 
 
@@ -79,17 +79,17 @@ def test_steps_of_all_events(spark, sf):
             want[at] = want.get(at, 0) + 1
             if u in rich:
                 lift[at] = lift.get(at, 0) + 1
-    got = {(r["prefix"], r["next_bid"]): r["n"] for r in registry.queries()["prefix_explode_whole"](spark, sf).collect()}
+    got = {(r["prefix"], r["next_bid"]): r["n"] for r in registry.queries()["prefix_explode"](spark, sf).collect()}
     assert got == want and max(p.count("-") for p, _ in got) > 3
-    rows = registry.queries()["prefix_lift_whole"](spark, sf).where("criterion = 'rich'").collect()
+    rows = registry.queries()["prefix_lift"](spark, sf).where("criterion = 'rich'").collect()
     assert {(r["prefix"], r["next_bid"]): r["pos_count"] for r in rows} == lift
 
 
 def test_every_step_of_an_auction(spark, sf):
     want = {"-".join(t[: i + 1]) for a in AUCTIONS for t in [a.split("-")] for i in range(len(t))}
-    assert {r["node"] for r in registry.queries()["belief_trace_whole"](spark, sf).collect()} == want
+    assert {r["node"] for r in registry.queries()["belief_trace"](spark, sf).collect()} == want
     calls = {(n.rpartition("-")[0], n.rpartition("-")[2]) for n in want}
-    assert {(r["parent"], r["call"]) for r in registry.queries()["list_next_bids_whole"](spark, sf).collect()} == calls
+    assert {(r["parent"], r["call"]) for r in registry.queries()["list_next_bids"](spark, sf).collect()} == calls
 
 
 def test_elo_carries_ratings_across_event_types(spark, sf):
