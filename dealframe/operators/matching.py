@@ -54,6 +54,23 @@ def _hits(buckets: DataFrame, ranges: DataFrame, dims: list[str], count: int | N
     return hit, bounds
 
 
+def seat_boxes(deals: DataFrame, boxes: DataFrame, first: list[str], rest: list[str], key: str, box: str) -> DataFrame:
+    """(key, box) of every deal within every box of many dims.
+
+    Equal boxes are one. The dims of ``first`` (one seat's) name the candidates, by
+    distinct values against distinct bounds as in ``bucket_range_match``; the ``rest``
+    are then compared pair by pair, on candidates alone.
+    """
+    bounds = [f"{d}_{e}" for d in (*first, *rest) for e in ("min", "max")]
+    group = boxes.groupBy(*bounds).agg(F.collect_set(box).alias("_boxes"))
+    hit, near = _hits(deals.select(*first).distinct(), group, first, None)
+    inside = F.lit(True)
+    for d in rest:
+        inside = inside & F.col(d).between(F.col(f"{d}_min"), F.col(f"{d}_max"))
+    pairs = deals.select(key, *first, *rest).join(hit, first).join(group, near).where(inside)
+    return pairs.select(key, F.explode("_boxes").alias(box))
+
+
 def template_division(pairs: DataFrame, required: DataFrame, item: str, template: str, prop: str) -> DataFrame:
     """(item, template) of the items that have every property that a template asks for.
 
