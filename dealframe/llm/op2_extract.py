@@ -1,29 +1,36 @@
 """HTML extraction by minimum-cut labelling of text blocks.
 
-A page is cut into text blocks at block-level tags. A log-linear classifier (fixed
-weights: the pages carry no labels to train on) gives each block the costs of being
-content and boilerplate; they are its capacities to the two terminals. Smoothness
-edges join neighbouring blocks and, through one node for each enclosing element,
-blocks that are close in the document tree. The maximum flow gives the labelling of
-least total cost; blocks on the source side are the main text, in page order.
+A page is cut into text blocks at block-level tags. A log-linear classifier gives each
+block the log-odds of being content from its length, links, sentence end, neighbours,
+tag and place, with class names as a weak hint. Its costs are fitted on a bounded sample
+of the table's own pages, whose blocks label themselves: those in an article are content,
+those in menus, footers, forms and the like, and those beside an article, are not.
+Log-odds and the tags' own word become the capacities to the two terminals. Smoothness
+edges join neighbouring blocks and, through one node for each enclosing element, blocks
+that are close in the document tree. The maximum flow gives the labelling of least total
+cost; blocks on the source side are the main text, in page order.
 
 Defined cases: null and empty pages give empty text; scripts, styles, comments and
 the head are never text; character references are decoded, white space inside a
 block is one space, blocks are joined by one space; unclosed tags end with their
 parent, a tag that never ends is dropped; a tie of costs counts as boilerplate;
 repeated rows are extracted each; other columns are ignored; an empty table gives
-no rows.
+no rows; a table whose pages don't label themselves is read with fixed costs.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import deque
+from dataclasses import dataclass
 from math import exp, log1p
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dealframe.llm._common import append_columns, table
@@ -50,49 +57,59 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = frozenset("html body table ul ol dl div section article main aside nav header footer form td".split())
 NEVER = frozenset("head noscript template svg math select button option audio video object canvas".split())
 BOILER = frozenset("nav aside footer form menu dialog fieldset".split())
-BAD = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side rail menu nav navbar "
-    "navigation breadcrumb breadcrumbs footer foot masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations trending widget "
-    "widgets toolbar pagination pager comment comments commentlist disqus reply replies respond discussion legal copyright search hidden skip".split()
-)
+#: Class words that hint at what isn't content, or is: a weak feature, where the fit starts.
+HINTS_BAD = frozenset("ad ads advert advertisement banner sponsored promo sidebar nav menu breadcrumb footer cookie cookies consent notice popup newsletter subscribe share sharing social related widget comment comments reply".split())
+HINTS_GOOD = frozenset("article content post entry story body text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-GOOD = frozenset("article content post entry story body main text".split())
 
 
 class Element:
-    __slots__ = ("name", "parent", "depth", "never", "boiler", "good", "link", "node")
+    """An open element: what it and its ancestors say by their own meaning (tags, roles, hidden), and their class words."""
+
+    __slots__ = ("name", "parent", "depth", "never", "boiler", "article", "nested", "link", "words", "below")
 
     def __init__(self, name: str, parent: Element | None, attrs: str) -> None:
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
         self.never = bool(parent and parent.never) or name in NEVER
         self.boiler = bool(parent and parent.boiler) or name in BOILER
-        self.good = bool(parent and parent.good) or name in ("article", "main")
+        self.article = bool(parent and parent.article) or name in ("article", "main")
+        # An article within an article is a reader's comment or a teaser, by the meaning of HTML.
+        self.nested = bool(parent and parent.nested) or (name == "article" and parent is not None and parent.inside("article"))
         self.link = bool(parent and parent.link) or name == "a"
-        self.node = -1
-        if name == "header" and not (parent and parent.good):
+        self.words: frozenset[str] = parent.words if parent else frozenset()
+        # Words of elements within the article.
+        self.below: frozenset[str] = parent.below if parent else frozenset()
+        if name == "header" and not (parent and parent.article):
             self.boiler = True
-        if attrs and "=" in attrs and name not in ("html", "body"):
+        if attrs and name not in ("html", "body"):
             self._read(attrs)
-        elif attrs and re.search(r"(^|\s)hidden(\s|/|$)", attrs):
-            self.boiler = True
+
+    def inside(self, name: str) -> bool:
+        e: Element | None = self
+        while e is not None:
+            if e.name == name:
+                return True
+            e = e.parent
+        return False
 
     def _read(self, attrs: str) -> None:
+        if "=" not in attrs:
+            self.boiler = self.boiler or bool(re.search(r"(^|\s)hidden(\s|/|$)", attrs))
+            return
         for m in ATTR.finditer(attrs):
             key = m[1].lower()
             value = m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                words = {w.lower() for w in WORD.findall(value)}
-                if words & BAD or ("header" in words and not self.good):
-                    self.boiler = self.boiler or self.name != "main"
-                elif words & GOOD:
-                    self.good = True
+                own = {w.lower() for w in WORD.findall(value)}
+                self.words = self.words | own
+                if self.parent is not None and self.parent.article:
+                    self.below = self.below | own
             elif key == "role":
                 self.boiler = self.boiler or value.lower() in ROLES
-                self.good = self.good or value.lower() in ("main", "article")
+                self.article = self.article or value.lower() in ("main", "article")
             elif key == "itemprop" and value.lower() == "articlebody":
-                self.good = True
+                self.article = True
             elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)):
                 self.boiler = True
 
@@ -180,23 +197,132 @@ def parse(page: str) -> list[Block]:
     return out
 
 
-def evidence(b: Block) -> float:
-    """Log-odds that a block is content."""
-    e = b.at
-    words = b.text.count(" ") + 1
-    z = min(2.0, words / 10) - 4.0 * b.linked / len(b.text) - 0.5
-    if b.text[-1] in ".!?\"”»":
-        z += 0.5
-    if e.good:
-        z += 3.0
-    elif words <= 3:
-        z -= 1.0
-    if e.name in ("h1", "h2", "p", "blockquote", "pre"):
-        z += 0.5
-    elif e.name in ("li", "td", "th", "dt", "dd") and not e.good:
-        z -= 0.5
-    if e.boiler:
-        z -= 12.0
+#: Numbers of a block's own feature vector; a bias and the hashed class words follow.
+SHAPE = 16
+WORD_SLOTS = 512
+
+
+def vectors(blocks: list[Block]) -> tuple[np.ndarray, list[list[int]]]:
+    """Features of a page's blocks (shape, neighbours, tag, place) and the slots of their class words.
+
+    Whether a block stands in an article or in a menu by its tags isn't among them: that
+    is what the costs are fitted to, and enters the terminal capacities by itself.
+    """
+    n = len(blocks)
+    x = np.zeros((n, SHAPE + 1))
+    size = np.array([b.text.count(" ") + 1 for b in blocks], float)
+    chars = np.array([len(b.text) for b in blocks], float)
+    linked = np.array([b.linked for b in blocks], float) / chars
+    x[:, 0] = 1
+    x[:, 1] = np.log1p(size) / 3
+    x[:, 2] = linked
+    x[:, 3] = [b.text[-1] in ".!?\"”»" for b in blocks]
+    x[:, 4] = size <= 3
+    x[:, 5] = [sum(c.isdigit() for c in b.text) / len(b.text) for b in blocks]
+    x[:, 6] = [sum(c in "|©·•»>" for c in b.text) / (b.text.count(" ") + 1) for b in blocks]
+    x[:, 7] = [b.at.name in ("h1", "h2", "h3", "h4") for b in blocks]
+    x[:, 8] = [b.at.name in ("p", "blockquote", "pre") for b in blocks]
+    x[:, 9] = [b.at.name in ("li", "td", "th", "dt", "dd", "label") for b in blocks]
+    x[1:, 10] = x[:-1, 1]
+    x[:-1, 11] = x[1:, 1]
+    x[1:, 12] = linked[:-1]
+    x[:-1, 13] = linked[1:]
+    total = np.cumsum(chars)
+    x[:, 14] = np.minimum(1.0, chars / max(1.0, total[-1] if n else 1.0))
+    x[:, 15] = [min(b.at.depth, 20) / 20 for b in blocks]
+    x[:, 16] = size >= 12
+    return x, [sorted({zlib.crc32(w.encode()) % WORD_SLOTS for w in b.at.words}) for b in blocks]
+
+
+def own_label(b: Block) -> int | None:
+    """What the tags around a block say: 1 article, 0 boilerplate, None nothing (also within an article, below a name that hints at other things)."""
+    if b.at.boiler or b.at.nested:
+        return 0
+    return 1 if b.at.article and not b.at.below & HINTS_BAD else None
+
+
+@dataclass
+class Costs:
+    """Weights of a log-linear classifier of blocks."""
+
+    shape: np.ndarray
+    words: np.ndarray
+
+    def log_odds(self, x: np.ndarray, words: list[list[int]]) -> np.ndarray:
+        z = x @ self.shape
+        for i, w in enumerate(words):
+            if w:
+                # Words vote together: many names on the way down don't add up to more than one.
+                z[i] += self.words[w].mean()
+        return z
+
+
+def _hints() -> np.ndarray:
+    out = np.zeros(WORD_SLOTS)
+    for words, v in ((HINTS_BAD, -5.0), (HINTS_GOOD, 1.0)):
+        for w in words:
+            out[zlib.crc32(w.encode()) % WORD_SLOTS] = v
+    return out
+
+
+#: Used where no page labels itself, and where the fit starts: long, sentence-like, unlinked blocks are content.
+PRIOR = Costs(np.array([-1.0, 2.0, -4.0, 1.0, -1.0, -1.0, -1.0, 0.7, 0.7, -0.7, 0.3, 0.3, -0.5, -0.5, 0.5, 0.0, 1.0]), _hints())
+
+
+def fit(pages: list[str], rounds: int = 300) -> Costs:
+    """Costs from blocks that label themselves by their tags; on pages with an article, blocks outside it are boilerplate too.
+
+    A penalty draws the weights to PRIOR. Each kind weighs the same. Blocks of an article
+    below a name that hints at other things teach nothing.
+    """
+    xs, ws, ys = [], [], []
+    for page in pages:
+        found = parse(page)
+        if not found:
+            continue
+        labels = [own_label(b) for b in found]
+        if 1 in labels:
+            labels = [0 if v is None and not b.at.article else v for v, b in zip(labels, found, strict=True)]
+        x, w = vectors(found)
+        use = [i for i, v in enumerate(labels) if v is not None]
+        xs.append(x[use])
+        ws += [w[i] for i in use]
+        ys += [labels[i] for i in use]
+    y = np.asarray(ys, float)
+    if not len(y) or y.min() == y.max():
+        return PRIOR
+    x = np.vstack(xs)
+    rows = np.repeat(np.arange(len(ws)), [len(w) for w in ws])
+    slots = np.concatenate([np.asarray(w, np.int64) for w in ws]) if len(rows) else np.zeros(0, np.int64)
+    share = 1 / np.maximum(np.array([len(w) for w in ws]), 1)[rows]
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    a, b = PRIOR.shape.copy(), PRIOR.words.copy()
+    ma, mb, va, vb = np.zeros_like(a), np.zeros_like(b), np.zeros_like(a), np.zeros_like(b)
+    for t in range(1, rounds + 1):
+        z = x @ a + np.bincount(rows, weights=b[slots] * share, minlength=len(y))
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
+        for p, grad, m, v in ((a, x.T @ g + 0.002 * (a - PRIOR.shape), ma, va), (b, np.bincount(slots, weights=g[rows] * share, minlength=WORD_SLOTS) + 0.01 * (b - PRIOR.words), mb, vb)):
+            m += 0.1 * (grad - m)
+            v += 0.01 * (grad * grad - v)
+            p -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    return Costs(a, b)
+
+
+#: Log-odds that a block's own tags are worth, beside the fitted ones, and most that the fitted ones count.
+TAGS, MOST = 3.0, 4.0
+
+
+def evidence(blocks: list[Block], costs: Costs) -> np.ndarray:
+    """Log-odds that each block is content."""
+    x, words = vectors(blocks)
+    z = np.clip(costs.log_odds(x, words), -MOST, MOST)
+    for i, b in enumerate(blocks):
+        v = own_label(b)
+        if v == 0:
+            # Tags say menu, footer, form or comment outright; an article's word is weaker, as it holds such things.
+            z[i] -= TAGS + MOST
+        elif v == 1:
+            z[i] += TAGS
     return z
 
 
@@ -268,43 +394,77 @@ def softplus(z: float) -> float:
     return z + log1p(exp(-z)) if z > 0 else log1p(exp(z))
 
 
-ADJACENT, PROXIMITY = 0.6, 0.5
+#: Smoothness: between neighbouring blocks, and from a block to its element and up; both scale with the blocks' doubt.
+ADJACENT, PROXIMITY = 1.5, 1.0
 
 
-def main_text(page: str | None) -> str:
-    """The content blocks of a page, joined by one space."""
-    blocks = parse(page or "")
-    if not blocks:
-        return ""
-    containers: list[Element] = []
+def label(blocks: list[Block], z: np.ndarray) -> list[bool]:
+    """The minimum cut of a page's blocks for given log-odds: True is content."""
+    node: dict[Element, int] = {}
     for b in blocks:
         e = b.at
-        while e is not None and e.node < 0:
-            e.node = len(blocks) + 2 + len(containers)
-            containers.append(e)
+        while e is not None and e not in node:
+            node[e] = len(blocks) + 2 + len(node)
             e = e.parent
-    g = Flow(2 + len(blocks) + len(containers))
+    g = Flow(2 + len(blocks) + len(node))
     for i, b in enumerate(blocks):
-        z = evidence(b)
-        g.edge(0, i + 2, softplus(z))
-        g.edge(i + 2, 1, softplus(-z))
-        g.edge(i + 2, b.at.node, PROXIMITY, PROXIMITY)
+        v = float(z[i])
+        g.edge(0, i + 2, softplus(v))
+        g.edge(i + 2, 1, softplus(-v))
+        g.edge(i + 2, node[b.at], PROXIMITY, PROXIMITY)
         if i:
-            near = ADJACENT if b.at.parent is blocks[i - 1].at.parent else ADJACENT / 3
+            near = ADJACENT if b.at.parent is blocks[i - 1].at.parent and own_label(b) == own_label(blocks[i - 1]) else ADJACENT / 4
             g.edge(i + 1, i + 2, near, near)
-    for e in containers:
+    for e in node:
         if e.parent is not None:
-            g.edge(e.node, e.parent.node, PROXIMITY / 2, PROXIMITY / 2)
+            # Content keeps together within an element, and less so across it.
+            g.edge(node[e], node[e.parent], PROXIMITY / 2, PROXIMITY / 2)
     side = g.source_side()
-    return " ".join(b.text for i, b in enumerate(blocks) if side[i + 2])
+    return [side[i + 2] for i in range(len(blocks))]
+
 
+def main_text(page: str | None, costs: Costs = PRIOR) -> str:
+    """The content blocks of a page, joined by one space.
 
-def with_main_text(pages: DataFrame, keep: list[str] | None = None, out: str = "text", chars: str = "n_chars") -> DataFrame:
+    A page on which nothing is content has its blocks that no tag condemns, where there
+    are any: there is no article to tell them from.
+    """
+    blocks = parse(page or "")
+    if not blocks:
+        return ""
+    keep = label(blocks, evidence(blocks, costs))
+    if not any(keep):
+        keep = [own_label(b) != 0 for b in blocks]
+    return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+
+
+#: Pages, and bytes of them, that the costs are fitted on at most (the first by hash of id).
+MAX_PAGES, MAX_BYTES = 400, 20_000_000
+
+
+def train(pages: DataFrame, max_pages: int = MAX_PAGES, max_bytes: int = MAX_BYTES) -> Costs:
+    """Costs from a bounded sample of the table's own pages: ids and lengths are ranked, then the pages fetched."""
+    size = F.octet_length("html").cast("long").alias("_len")
+    ranked = pages.where("html is not null and page_id is not null").select("page_id", size, F.xxhash64("html").alias("_h"))
+    ranked = ranked.orderBy(F.xxhash64("page_id"), "page_id", "_h").limit(max_pages).collect()
+    picked, room = {}, max_bytes
+    for r in ranked:
+        if r["_len"] <= room:
+            picked[r["page_id"], r["_h"]] = r["_len"]
+            room -= r["_len"]
+    if not picked:
+        return PRIOR
+    want = pages.sparkSession.createDataFrame(list(picked), f"page_id {dict(pages.dtypes)['page_id']}, _h long")
+    rows = pages.select("page_id", F.xxhash64("html").alias("_h"), "html").join(F.broadcast(want), ["page_id", "_h"]).groupBy("page_id", "_h").agg(F.min("html").alias("html")).collect()
+    return fit([r["html"] for r in sorted(rows, key=lambda r: (r["page_id"], r["_h"]))])
+
+
+def with_main_text(pages: DataFrame, costs: Costs, keep: list[str] | None = None, out: str = "text", chars: str = "n_chars") -> DataFrame:
     """``keep`` (default: all columns), the main text and its code points."""
 
     def make():
         def batch(b: pa.RecordBatch) -> list[pa.Array]:
-            got = [main_text(x.as_py()) for x in b.column("html")]
+            got = [main_text(x.as_py(), costs) for x in b.column("html")]
             return [pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())]
 
         return batch
@@ -313,4 +473,5 @@ def with_main_text(pages: DataFrame, keep: list[str] | None = None, out: str = "
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id", "url"])
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return with_main_text(pages, train(pages), ["page_id", "url"])

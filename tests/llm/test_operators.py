@@ -74,7 +74,7 @@ def test_marginals_are_those_of_all_paths():
 PAGES = [
     (None, ""),
     ("", ""),
-    ("<p>x<", ""),
+    ("<p>x<", "x<"),
     ("<html><body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>One&nbsp;two &lt;b&gt;<p>three<b>four</b> is a good long sentence here.</article><footer>f</footer></body>", "T One two <b> threefour is a good long sentence here."),
     ("<body><div class='cookie-notice'>We use cookies, please accept all of them now, thank you.</div><main><p>Real text that goes on for a while, as it should.</p><form><label>Name</label><button>Go</button></form><section id=comments><article class=comment><p>I think that this is a great article, my friend.</p></article></section></main><aside>Other things</aside><script>'<p>'</script>", "Real text that goes on for a while, as it should."),
 ]
@@ -102,8 +102,46 @@ def test_extract_flow_is_a_minimum_cut():
         assert cost(g.source_side()) == best
 
 
+SIDE = "This is a long paragraph of an article that goes on for a good while, as articles do."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<nav><a href=x>Home</a> <a href=y>News</a></nav><div class='content has-sidebar'><p>{SIDE}</p></div><footer>Copyright us</footer>",
+        f"<div class='page no-sidebar'><article><p>{SIDE}</p></article></div>",
+        f"<article class='post share-story'><p>{SIDE}</p></article>",
+        f"<article class='legal-news'><p>{SIDE}</p></article>",
+        f"<div id='search-results-page'><main><p>{SIDE}</p></main></div>",
+    ],
+)
+def test_extract_keeps_articles_under_odd_names(page):
+    costs = op2_extract.fit([f"<body><nav><a href=x>A</a></nav><div class=ad>Buy it.</div><article><p>{SIDE}</p></article><footer>f</footer></body>"] * 5)
+    assert op2_extract.main_text(page) == SIDE == op2_extract.main_text(page, costs)
+    assert op2_extract.main_text("<p>Hello world.</p>") == "Hello world."
+
+
+def test_extract_cut_mends_what_the_sign_gets_wrong():
+    """A word between paragraphs is content, and a long sentence among links isn't: by themselves they look otherwise."""
+    page = f"<div><p>{SIDE}</p><p>No</p><p>{SIDE}</p><p>{SIDE}</p></div>"
+    blocks = op2_extract.parse(page)
+    z = op2_extract.evidence(blocks, op2_extract.PRIOR)
+    assert z[1] < 0 and op2_extract.label(blocks, z) == [True] * 4
+    assert op2_extract.label(blocks, np.array([-3.0, 1.0, -3.0, -3.0])) == [False] * 4
+    assert op2_extract.label(blocks, np.array([3.0, -0.8, 3.0, -9.0])) == [True, True, True, False]
+
+
+def test_extract_odd_tables(spark):
+    rows = [(1, "u", None, "t", 5), (1, "u", None, "t", 5), (None, None, f"<p>{SIDE}</p>", None, None), (2, "v", f"<article><p>{SIDE} " + "word " * 200_000 + "</p></article>", "x", 1), (3, "", "", "", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = op2_extract.with_main_text(df, op2_extract.train(df)).collect()
+    assert len(got) == 5 and got[0].asDict().keys() == {"page_id", "url", "html", "text", "n_chars"}
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, len(SIDE)), (1, 0), (1, 0), (2, len(SIDE) + 1 + 200_000 * 5 - 1), (3, 0)]
+    assert op2_extract.with_main_text(df.where("page_id = -1"), op2_extract.train(df.where("page_id = -1"))).collect() == []
+
+
 def test_extract_table(spark, sf):
-    got = op2_extract.with_main_text(table(spark, sf, "pages"), ["page_id", "url"]).collect()
+    got = op2_extract.query(spark, sf).collect()
     pages = {r["page_id"]: r["html"] for r in table(spark, sf, "pages").collect()}
     assert len(got) == len(pages)
     import html
