@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dealframe.functions.auction import SEATS
-from dealframe.functions.hand import balanced, distribution_points, lengths, points, suits
+from dealframe.functions.hand import balanced, points, suits
 
 # The metrics that a range is kept for, and their widest bounds.
 METRICS = {"HCP": (0, 37), "SL_S": (0, 13), "SL_H": (0, 13), "SL_D": (0, 13), "SL_C": (0, 13), "Total_Points": (0, 50)}
@@ -44,11 +44,17 @@ def parts(text: Column) -> Column:
     return F.struct(got(1).alias("name"), got(2).alias("op"), got(3).try_cast("double").alias("value"), F.when(got(3).try_cast("double").isNull(), got(3)).alias("other"))
 
 
-def features(hand: Column) -> Column:
-    """map of a hand's metrics by name, as doubles."""
+def metrics(hand: Column) -> dict[str, Column]:
+    """A hand's metrics by name, as integers."""
     s = suits(hand)
-    n = lengths(s)
-    cells = [("HCP", points(hand)), *[(f"SL_{x}", F.get(n, F.lit(i))) for i, x in enumerate("SHDC")], ("Total_Points", points(hand) + distribution_points(s)), ("Balanced", balanced(s).cast("int"))]
+    out = {"HCP": points(hand), **{f"SL_{x}": F.length(F.get(s, F.lit(i))) for i, x in enumerate("SHDC")}}
+    short = sum((F.greatest(3 - out[f"SL_{x}"], F.lit(0)) for x in "HDC"), F.greatest(3 - out["SL_S"], F.lit(0)))
+    return out | {"Total_Points": out["HCP"] + short}
+
+
+def features(hand: Column) -> Column:
+    """map of a hand's metrics by name, as doubles; Balanced is 1 or 0."""
+    cells = [*metrics(hand).items(), ("Balanced", balanced(suits(hand)).cast("int"))]
     return F.create_map(*[x for k, v in cells for x in (F.lit(k), v.cast("double"))])
 
 

@@ -88,10 +88,10 @@ def _boxes(spark, sf_dir):
 def _points(spark, sf_dir):
     """A deal with the 24 metrics of its seats, the dealer's first."""
     d = deals(spark, sf_dir)
-    own = F.map_from_arrays(F.array(*[F.lit(x) for x in "NESW"]), F.array(*[F.col(f"Hand_{x}") for x in "NESW"]))
-    d = d.select("index", *[F.element_at(own, C.seat_direction(F.col("Dealer"), s)).alias(f"_h{s}") for s in (1, 2, 3, 4)])
-    d = d.withColumns({f"_f{s}": C.features(F.col(f"_h{s}")) for s in (1, 2, 3, 4)})
-    return d.select("index", *[F.element_at(f"_f{s}", F.lit(m)).cast("int").alias(f"{m}_{s}") for s in (1, 2, 3, 4) for m in C.METRICS])
+    own = F.array(*[F.col(f"Hand_{x}") for x in "NESW"])
+    first = F.instr(F.lit("NESW"), F.col("Dealer")) - 1
+    d = d.select("index", *[F.get(own, F.pmod(first + s - 1, F.lit(4))).alias(f"_h{s}") for s in (1, 2, 3, 4)])
+    return d.select("index", *[c.cast("int").alias(f"{m}_{s}") for s in (1, 2, 3, 4) for m, c in C.metrics(F.col(f"_h{s}")).items()])
 
 
 def _hand_sql(h: str) -> str:
