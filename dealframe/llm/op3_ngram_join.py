@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealframe.llm._common import Written, append_columns, bound_batches, parts, table
+from dealframe.llm._common import Scratch, append_columns, bound_batches, parts, table
 from dealframe.llm._graph import components
 from dealframe.llm._text import Words, blocks, mix, shingles
 
@@ -43,6 +43,8 @@ EXTRA = 2
 #: Rows (a text in a block of comparisons) that may be broadcast, some 40 bytes each; the count is checked.
 UNITS_MAX = 1_000_000
 BLOCK_ROWS = 512
+#: Keys of more rows are joined by broadcast, so that none lands in one task; there are at most rows / HOT of them, each some 40 bytes.
+HOT = 2000
 SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -185,7 +187,19 @@ def _live(batches):
         yield flush(held)
 
 
-def qualify(seen: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """An inner join on keys that one row of ``table`` each has; ``weight``: how many rows a key stands for, about.
+
+    Keys of more than HOT rows are broadcast and leave the shuffle.
+    """
+    data = [c for c in table.columns if c not in keys]
+    big = table.where(F.col(weight) > HOT).select(*keys, F.struct(*data).alias("_hot"))
+    flagged = rows.join(F.broadcast(big), keys, "left")
+    cold = flagged.where("_hot is null").drop("_hot").join(table.where(F.col(weight) <= HOT), keys)
+    return cold.unionByName(flagged.where("_hot is not null").select(*rows.columns, "_hot.*").select(cold.columns))
+
+
+def qualify(seen: DataFrame, reps: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     """(doc, g): representatives and the other groups that they must open, by the token-group matrix.
 
     Tokens of all rows are dealt out once, packed; copies change nothing in which
@@ -198,8 +212,8 @@ def qualify(seen: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     live = post.mapInArrow(_live, "token long, doc long, g long")
     sizes = reps.groupBy("g").agg(F.count("*").alias("members"))
     extra = F.expr(f"least({EXTRA}, ({percent} * n + 99) div 100 - 1)").cast("int")
-    rows = live.join(reps.select(F.col("doc_id").alias("doc"), "g", "n"), ["doc", "g"]).join(sizes, "g").withColumn("e", extra)
-    rows = Written(rows.distinct()).df
+    rows = live.join(reps.select(F.col("doc_id").alias("doc"), "g", "n"), ["doc", "g"])
+    rows = tmp.keep(spread_join(rows, sizes, ["g"], "members").withColumn("e", extra).distinct())
     matrix = rows.groupBy("token", "g", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("e").alias("ge"))
     q, m = rows.alias("q"), matrix.alias("m")
     hit = q.join(m, "token").where("(q.members, q.g) < (m.members, m.g)")
@@ -216,13 +230,13 @@ def _units(reps: DataFrame, opened: DataFrame) -> DataFrame:
     size = reps.groupBy("g").agg(F.count("*").alias("members"))
     asked = opened.groupBy("g").agg(F.count("*").alias("asked"))
     plan = size.join(asked, "g", "left").where("members > 1 or asked > 0")
-    plan = plan.select("g", F.ceil(F.col("members") / BLOCK_ROWS).cast("int").alias("nb"), F.ceil(F.coalesce("asked", F.lit(0)) / BLOCK_ROWS).cast("int").alias("nq"), "members")
+    plan = plan.select("g", F.ceil(F.col("members") / BLOCK_ROWS).cast("int").alias("nb"), F.ceil(F.coalesce("asked", F.lit(0)) / BLOCK_ROWS).cast("int").alias("nq"), "members", F.coalesce("asked", F.lit(0)).alias("queries"))
     at = F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int")
-    own = reps.select("g", F.col("doc_id").alias("doc")).join(plan, "g").withColumn("b", at)
+    own = spread_join(reps.select("g", F.col("doc_id").alias("doc")), plan, ["g"], "members").withColumn("b", at)
     inner = own.where("members > 1").withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
     inner = inner.select("g", F.least("b", "o").alias("mb"), F.greatest("b", "o").alias("qb"), (F.col("b") > F.col("o")).cast("int").alias("side"), "doc")
     member = own.where("nq > 0").select("g", F.col("b").alias("mb"), F.explode(F.expr("sequence(0, nq - 1)")).alias("qb"), F.lit(2).alias("side"), "doc")
-    asks = opened.join(plan, "g")
+    asks = spread_join(opened, plan, ["g"], "queries")
     asks = asks.select("g", F.explode(F.expr("sequence(0, nb - 1)")).alias("mb"), F.pmod(F.xxhash64("doc"), F.col("nq")).cast("int").alias("qb"), F.lit(3).alias("side"), "doc")
     return inner.unionByName(member).unionByName(asks)
 
@@ -316,10 +330,10 @@ def _links(k: int, percent: int):
     return run
 
 
-def links(docs: DataFrame, seen: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, seen: DataFrame, reps: DataFrame, k: int, percent: int, tmp: Scratch) -> DataFrame:
     """(a, b): links between representatives that span every component."""
-    units = Written(_units(reps, qualify(seen, reps, percent)))
-    texts, where = docs.withColumnRenamed("doc_id", "doc"), units.df
+    where = tmp.keep(_units(reps, qualify(seen, reps, percent, tmp)))
+    texts = docs.withColumnRenamed("doc_id", "doc")
     if where.count() <= UNITS_MAX:
         # Few texts are compared: they go straight to their units. With more rows texts and units meet by a shuffle.
         where = F.broadcast(where)
@@ -331,16 +345,17 @@ def links(docs: DataFrame, seen: DataFrame, reps: DataFrame, k: int, percent: in
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     bound_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    seen = Written(describe(docs, k, percent)).df
+    tmp, docs = Scratch(), docs.select("doc_id", "text")
+    seen = tmp.keep(describe(docs, k, percent))
     valid = seen.where("n > 0 and doc_id is not null")
-    rep = valid.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("g").alias("g"))
-    reps = Written(rep.select(F.col("rep").alias("doc_id"), "n", "g")).df
-    same = valid.select("doc_id", "d1", "d2", "n").join(rep, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links(docs, seen, reps, k, percent).unionByName(same)).df
+    rep = tmp.keep(valid.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("g").alias("g"), F.count("*").alias("copies")))
+    reps = rep.select(F.col("rep").alias("doc_id"), "n", "g")
+    many = rep.where("copies > 1").select("d1", "d2", "n", "rep", "copies")
+    same = spread_join(valid.select("doc_id", "d1", "d2", "n"), many, ["d1", "d2", "n"], "copies").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = tmp.keep(components(links(docs, seen, reps, k, percent, tmp).unionByName(same)))
     out = seen.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
     out = out.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return tmp.result(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
