@@ -25,15 +25,15 @@ from pyspark.sql import types as T
 from dealframe.llm._common import append_columns, table
 from dealframe.llm._pieces import Pieces, load, original, segments
 
-#: Segments remembered by a task at most; when full the memory starts anew.
-MEMORY = 200_000
+#: Bytes of segments and their ids remembered by a task at most; when full the memory starts anew.
+MEMORY_BYTES = 64_000_000
 
 
 class Encoder:
     def __init__(self, vocab: Pieces) -> None:
         import ahocorasick
 
-        self.vocab, self.known = vocab, {}
+        self.vocab, self.known, self.used = vocab, {}, 0
         self.automaton = ahocorasick.Automaton()
         for piece, (i, score) in vocab.normal.items():
             self.automaton.add_word(piece, (len(piece), i, score))
@@ -99,9 +99,14 @@ class Encoder:
         for s in segments(text or "", self.vocab):
             ids = known.get(s)
             if ids is None:
-                if len(known) >= MEMORY:
+                ids = self.segment(s)
+                size = 4 * len(s) + len(ids) + 150
+                if self.used + size > MEMORY_BYTES:
                     known.clear()
-                ids = known[s] = self.segment(s)
+                    self.used = 0
+                if size <= MEMORY_BYTES // 64:
+                    known[s] = ids
+                    self.used += size
             out.append(ids)
         return b"".join(out)
 

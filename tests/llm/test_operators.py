@@ -190,6 +190,9 @@ def test_join_is_exact(spark, sf, k, percent, monkeypatch):
     # Small blocks, so that groups are cut up.
     monkeypatch.setattr(op3_ngram_join, "BLOCK_ROWS", 8)
     monkeypatch.setattr(op3_ngram_join, "HEAVY_TEXTS", 4)
+    # Hot keys and the shuffle of texts to units are met too.
+    monkeypatch.setattr(op3_ngram_join, "HOT", 2 if k == 4 else 10**9)
+    monkeypatch.setattr(op3_ngram_join, "UNITS_MAX", 0 if k == 4 else 10**9)
     got = op3_ngram_join.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), k, percent).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs, k, percent)
 
