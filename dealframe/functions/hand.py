@@ -95,3 +95,19 @@ def suit_qualities(s: Column) -> dict[str, Column]:
         "rebiddable": (n >= 6) | ((n == 5) & (h >= 3)),
         "stopped": s.contains("A") | (s.contains("K") & (n >= 2)) | (s.contains("Q") & (n >= 3)),
     }
+
+
+def encode_bits(hand: Column) -> Column:
+    """A hand as 52 bits: the ace of spades is the highest, the two of clubs the lowest."""
+    out = F.lit(0).cast("long")
+    s = suits(hand)
+    for i in range(4):
+        for j, r in enumerate(RANKS):
+            out = out + F.when(F.get(s, F.lit(i)).contains(r), F.lit(1 << (51 - 13 * i - j)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return out
+
+
+def decode_bits(bits: Column) -> Column:
+    """The S.H.D.C string of ``encode_bits``."""
+    held = F.array(*[F.lit("".join(r for j, r in enumerate(RANKS) if m >> (12 - j) & 1)) for m in range(1 << 13)])
+    return F.concat_ws(".", *[F.get(held, F.shiftright(bits, 39 - 13 * i).bitwiseAND(F.lit(8191)).cast("int")) for i in range(4)])

@@ -79,3 +79,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float])
     out = cum.groupBy(*keys, "_t").agg(*ends)
     part = lambda p: p - F.floor(p)
     return out.select(*keys, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part(p)).alias(f"q{round(q * 100)}") for i, (q, p) in enumerate(zip(qs, at, strict=True))])
+
+
+def scaled(df: DataFrame, params: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns less their means, divided by their deviations (``scaling``); NaN counts as 0, infinities as plus or minus a million."""
+    one = params.groupBy().pivot("name", columns).agg(F.first("mean").alias("m"), F.first("std").alias("s"))
+    clean = lambda c: F.when(F.isnan(c), 0.0).when(c == float("inf"), 1e6).when(c == float("-inf"), -1e6).otherwise(c)
+    # One row of parameters.
+    j = df.join(F.broadcast(one))
+    return j.select(*[((clean(F.col(c).cast("double")) - F.col(f"{c}_m")) / F.col(f"{c}_s")).alias(c) if c in columns else F.col(c) for c in df.columns])

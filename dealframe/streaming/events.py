@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -19,3 +21,27 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 m
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         .select(F.col("window.start").alias("start"), "event_type", "n", "total")
     )
+
+
+def sliding_counts(events: DataFrame, key: str, size: str, slide: str, late: str) -> DataFrame:
+    """(window, key, n, total): overlapping windows; rows later than the watermark are left out."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def session_counts(events: DataFrame, key: str, gap: str, late: str) -> DataFrame:
+    """(session_window, key, n): a key's runs of events without a gap of that length."""
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n"))
+
+
+def running_state(events: DataFrame, key: str) -> DataFrame:
+    """(key, n, total) after each batch: a count and a sum that live in the stream's state."""
+
+    def step(k, frames, state):
+        n, total = state.get if state.exists else (0, 0.0)
+        for f in frames:
+            n, total = n + len(f), total + float(f["value"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({key: [k[0]], "n": [n], "total": [total]})
+
+    kind = dict(events.dtypes)[key]
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
