@@ -43,3 +43,22 @@ def test_empty(spark, sf):
     docs = table(spark, sf, "documents").where("doc_id < 0")
     for _, stage in P.STAGES:
         assert stage(spark, docs, sf).collect() == []
+
+
+def test_odd_rows(spark, tmp_path, sf):
+    """Null and empty texts, null and repeated ids, columns named as the stages name theirs, and empty labels and benchmark."""
+    docs = table(spark, sf, "documents")
+    more = spark.createDataFrame([(None, None, "en", "a", 0), (None, "", None, "a", 0), (90_001, "", "en", "a", 0), (90_002, None, None, None, None), (90_003, "same text here " * 30, "en", "b", 1), (90_003, "same text here " * 30, "en", "b", 1)], docs.schema)
+    clash = docs.unionByName(more).selectExpr("*", "1.5d as score", "'x' as lang_pred", "7L as component_id", "n_chars as n", "'q' as _pipeline_score")
+    n = clash.count()
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, clash, sf)
+        assert out.columns == clash.columns, name
+        assert 0 < out.count() <= n
+    at = str(tmp_path)
+    clash.write.parquet(f"{at}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        table(spark, sf, t).limit(0).write.parquet(f"{at}/{t}.parquet")
+    assert P.decontaminate(spark, clash, at).count() == n
+    assert P.tokens(spark, clash, at).count() == n
+    assert P.quality(spark, clash, at).count() == 0
