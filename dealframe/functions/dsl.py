@@ -169,6 +169,15 @@ def compile_criteria(text: str, columns: list[str], rename=lambda n: n, on_missi
     return F.coalesce(compile_filter(text, columns, rename, on_missing), F.lit(False))
 
 
+def fault(text: str, columns: list[str]) -> str | None:
+    """What is wrong with a text of criteria over these columns; null where it is valid."""
+    try:
+        compile_criteria(text, columns, on_missing="error")
+    except CriteriaError as e:
+        return str(e)
+    return None
+
+
 def failed(criteria: list[str], columns: list[str], **kw) -> Column:
     """The criteria that a row fails, in order."""
     return F.array_compact(F.array(*[F.when(~compile_criteria(c, columns, **kw), F.lit(c)) for c in criteria]))

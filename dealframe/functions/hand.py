@@ -109,5 +109,5 @@ def encode_bits(hand: Column) -> Column:
 
 def decode_bits(bits: Column) -> Column:
     """The S.H.D.C string of ``encode_bits``."""
-    held = F.array(*[F.lit("".join(r for j, r in enumerate(RANKS) if m >> (12 - j) & 1)) for m in range(1 << 13)])
+    held = F.split(F.lit(",".join("".join(r for j, r in enumerate(RANKS) if m >> (12 - j) & 1) for m in range(1 << 13))), ",", -1)
     return F.concat_ws(".", *[F.get(held, F.shiftright(bits, 39 - 13 * i).bitwiseAND(F.lit(8191)).cast("int")) for i in range(4)])

@@ -121,6 +121,22 @@ def apply_overlay(nodes: DataFrame, overlay: DataFrame, auction: str = "auction"
     return j.withColumn(criteria, F.array_distinct(F.concat(base, F.coalesce("_add", F.array().cast("array<string>"))))).drop("_add", "_new")
 
 
+def pbn_of(first: Column, hands: dict[str, Column]) -> Column:
+    """PBN of a deal, ``N:hand hand hand hand``, from the direction named first onwards."""
+    own = F.array(*[hands[d] for d in SEATS])
+    at = F.instr(F.lit(SEATS), first) - 1
+    return F.concat(first, F.lit(":"), F.concat_ws(" ", *[F.get(own, (at + i) % 4) for i in range(4)]))
+
+
+def normal_pbn(text: Column) -> Column:
+    """The same deal from North onwards, in upper case; null for what is no PBN deal."""
+    t = F.upper(F.trim(text))
+    four = F.split(F.substring(t, F.lit(3), F.length(t)), " +", -1)
+    first = F.instr(F.lit(SEATS), F.substring(t, 1, 1)) - 1
+    hands = {d: F.get(four, F.pmod(i - first, F.lit(4))) for i, d in enumerate(SEATS)}
+    return F.when(t.rlike(f"^[{SEATS}]:") & (F.size(four) == 4), pbn_of(F.lit("N"), hands))
+
+
 def write_with_manifest(df: DataFrame, path: str, **facts) -> DataFrame:
     """Write Parquet (zstd) beside the old table, swap it in by renaming, and write a manifest of it.
 
