@@ -43,6 +43,7 @@ def cleaned(results: DataFrame) -> DataFrame:
     c = F.upper(F.regexp_replace("contract", r"\s", ""))
     part = lambda i: F.nullif(F.regexp_extract(c, CONTRACT, i), F.lit(""))
     level = part(1).cast("int")
+    share = F.col("pct").try_cast("double") / 100
     over = F.when(level.isNotNull(), result_of(F.col("result")))
     return results.withColumns(
         {
@@ -53,7 +54,7 @@ def cleaned(results: DataFrame) -> DataFrame:
             "declarer": part(4),
             "over": over,
             "tricks": level + 6 + over,
-            "pct": F.least(F.col("pct").try_cast("double") / 100, F.lit(1.0)),
+            "pct": F.when(share.isNotNull(), F.least(share, F.lit(1.0))),
         }
     )
 
