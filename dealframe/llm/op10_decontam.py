@@ -29,6 +29,7 @@ window; other columns are ignored; empty tables give no rows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealframe.llm._common import bound_batches, table
+from dealframe.llm._common import append_columns, bound_batches, table
 from dealframe.llm._text import Words, blocks, mix, shingles
 
 SHINGLE = 5
@@ -228,16 +229,21 @@ def _ranges(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
 SCHEMA = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, items_max: int = ITEMS_MAX, items_bytes: int = ITEMS_BYTES) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word, n_words): the best window of every contaminated pair."""
+def _portions(benchmark: DataFrame, items_max: int, items_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items (id, text) in portions that a task can hold; one portion as a rule, and one, empty, of an empty benchmark."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("b")).first()
     passes = max(1, -(-size["n"] // items_max), -(-size["b"] // items_bytes))
-    schema = T.StructType([docs.schema["doc_id"], *SCHEMA.fields])
-    out = None
     for p in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
-        rows = sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, items_max: int = ITEMS_MAX, items_bytes: int = ITEMS_BYTES) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, n_words): the best window of every contaminated pair."""
+    schema = T.StructType([docs.schema["doc_id"], *SCHEMA.fields])
+    out = None
+    for rows in _portions(benchmark, items_max, items_bytes):
         found = _pass(docs, rows, k, threshold, schema)
         out = found if out is None else out.unionByName(found)
     return out
@@ -255,16 +261,17 @@ def _indexes(name: str, rows: list[tuple[int, str]], k: int, threshold: float) -
     return _BUILT[key]
 
 
-def _pass(docs: DataFrame, rows: list[tuple[int, str]], k: int, threshold: float, schema: T.StructType) -> DataFrame:
+def _finder(docs: DataFrame, rows: list[tuple[int, str]], k: int, threshold: float):
+    """Makes, once a task, the function from an array of texts to (row, item_id, similarity, first word, words) of their hits."""
     bound_batches(docs.sparkSession)
     name, held = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(rows)
 
-    def run(batches):
+    def make():
         indexes = _indexes(name, held.value, k, threshold)
         words = word_reader()
-        for b in batches:
-            at, cols = [], [[], [], [], []]
-            for i, _, data, offs in blocks(normal(b.column(1))) if indexes else ():
+
+        def find(texts: pa.Array):
+            for i, _, data, offs in blocks(normal(texts)) if indexes else ():
                 st, en, first = words.spans(data, offs)
                 h = words.hashes(data, st, en)
                 for index in indexes:
@@ -274,20 +281,52 @@ def _pass(docs: DataFrame, rows: list[tuple[int, str]], k: int, threshold: float
                     own = np.searchsorted(first, maybe, "right") - 1
                     for d in np.unique(np.concatenate([own, short])).tolist():
                         for item, (sim, w, n) in sorted(index.search(h[first[d] : first[d + 1]]).items()):
-                            at.append(i + d)
-                            for c, v in zip(cols, (index.ids[item], sim, w, n), strict=True):
-                                c.append(v)
-            if at:
+                            yield i + d, index.ids[item], sim, w, n
+
+        return find
+
+    return make
+
+
+def _pass(docs: DataFrame, rows: list[tuple[int, str]], k: int, threshold: float, schema: T.StructType) -> DataFrame:
+    make = _finder(docs, rows, k, threshold)
+
+    def run(batches):
+        find = make()
+        for b in batches:
+            found = list(find(b.column(1)))
+            if found:
+                at, item, sim, w, n = zip(*found, strict=True)
                 ids = b.column(0).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array(sim, pa.float64()), pa.array(w, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that hold a benchmark passage."""
-    bad = hits(docs, benchmark, k, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, items_max: int = ITEMS_MAX, items_bytes: int = ITEMS_BYTES) -> DataFrame:
+    """The rows of docs whose own text holds no benchmark passage; rows are judged where they are, without a shuffle."""
+    columns, flag, out = docs.columns, "_contaminated", docs
+    while flag in columns:
+        flag += "_"
+
+    def marks(rows):
+        make = _finder(docs, rows, k, threshold)
+
+        def begin():
+            find = make()
+
+            def batch(b: pa.RecordBatch) -> list[pa.Array]:
+                bad = np.zeros(b.num_rows, bool)
+                bad[sorted({hit[0] for hit in find(b.column("text"))})] = True
+                return [pa.array(bad)]
+
+            return batch
+
+        return begin
+
+    for rows in _portions(benchmark, items_max, items_bytes):
+        out = append_columns(out, columns, [(flag, T.BooleanType())], marks(rows)).where(~F.col(flag)).select(*columns)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

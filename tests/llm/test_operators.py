@@ -383,6 +383,11 @@ def test_decontamination(spark, sf, odd, none):
     jaccard = sum((a & b).values()) / sum((a | b).values())
     assert ((2, 1) in got) == (jaccard >= 0.8)
     assert ids_of(op10_decontam.clean(docs, bench)) == sorted({i for i, _ in rows} - {i for i, _ in got})
+    # Rows are judged by their own text, in one portion of the items or in several; the column of marks may clash.
+    shared = spark.createDataFrame([(None, item, 1), (None, "clean", 2), (9, "clean", 3), (9, f"and {item}", 4), (9, None, 5), (8, "", 6)], "doc_id long, text string, _contaminated int")
+    for most in (op10_decontam.ITEMS_MAX, 1):
+        left = op10_decontam.clean(shared, bench, items_max=most)
+        assert left.columns == shared.columns and sorted(r[2] for r in left.collect()) == [2, 3, 5, 6]
     assert op10_decontam.hits(none, bench).collect() == []
     assert op10_decontam.hits(odd, bench.where("item_id = -1")).collect() == []
     assert op10_decontam.hits(odd, bench).collect() == []
