@@ -37,7 +37,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least doc_id, of each component of five-word shingle links at 80 %."""
     found = op3_ngram_join.classes(docs, 5, 80).where("doc_id <> component_id")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # Written, so that the size of the ids alone decides how they meet the texts.
+    copies = Written(found.select("doc_id").distinct()).df
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
