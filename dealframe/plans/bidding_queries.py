@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dealframe.functions import auction as A
 from dealframe.functions import categories as C
 from dealframe.functions import hand as H
+from dealframe.functions import meanings as M
 from dealframe.functions import scoring as S
 from dealframe.functions.shape import shape_filter, sorted_shape_filter
 from dealframe.operators import matching
@@ -165,3 +166,42 @@ def contract_score_summary(spark, sf_dir):
     sc = S.score(F.col("level"), F.col("strain"), F.col("dbl"), A.side_vulnerable(F.col("Vul"), F.col("decl")), F.col("tricks"))
     d = deals(spark, sf_dir).select("level", "strain", "tricks", sc.alias("sc"))
     return d.groupBy("level", "strain").agg(F.count("*").alias("n"), F.count_if(F.col("tricks") >= F.col("level") + 6).alias("made"), F.round(F.avg("sc"), 4).alias("avg_score"), F.max("sc").alias("best"))
+
+
+def _last(side: str, what: str = "t[j]") -> str:
+    """SQL: of the earlier calls j for which ``side`` holds, the latest, by positions in the list of calls."""
+    return f"(select {what} from (select list_max(list_filter(range(1, depth), lambda j: {side})) as j))"
+
+
+_IS_BID = "t[j] similar to '[1-7].*'"
+_STRAINS = "list_distinct(list_transform(list_filter(range(1, depth), lambda j: {}), lambda j: t[j][2]))"
+_MINE, _PARTNER, _THEIRS = "(depth - j) % 4 = 0", "(depth - j) % 4 = 2", "(depth - j) % 2 = 1"
+FACT_SQL = {
+    "call": "call", "lv": "case when call similar to '[1-7].*' then call[1]::int end", "st": "case when call similar to '[1-7].*' then call[2] end", "turn": "depth - 1",
+    "prev": "t[depth - 1]", "prev2": "case when depth > 2 then t[depth - 2] end", "pcall": "case when depth > 2 then t[depth - 2] end",
+    "pl": _last(f"{_IS_BID} and {_PARTNER}", "t[j][1]::int"), "ps": _last(f"{_IS_BID} and {_PARTNER}", "t[j][2]"), "p_turns": "depth // 4 + (case when depth % 4 = 3 then 1 else 0 end)",
+    "p_strains": f"len({_STRAINS.format(f'{_IS_BID} and {_PARTNER}')})", "p_named": f"list_contains({_STRAINS.format(f'{_IS_BID} and {_PARTNER}')}, call[2])",
+    "own_call": "case when depth > 4 then t[depth - 4] end", "own_s": _last(f"{_IS_BID} and {_MINE}", "t[j][2]"), "one_s": _last(f"t[j] similar to '1.*' and {_MINE}", "t[j][2]"),
+    "own_passed": f"len(list_filter(range(1, depth), lambda j: t[j] = 'P' and {_MINE})) > 0", "ours": f"len(list_filter(range(1, depth), lambda j: {_IS_BID} and (depth - j) % 2 = 0)) > 0",
+    "ol": _last(f"{_IS_BID} and {_THEIRS}", "t[j][1]::int"), "os": _last(f"{_IS_BID} and {_THEIRS}", "t[j][2]"), "strains": f"len({_STRAINS.format(_IS_BID)})", "named": f"list_contains({_STRAINS.format(_IS_BID)}, call[2])",
+    "ll": _last(_IS_BID, "t[j][1]::int"), "ls": _last(_IS_BID, "t[j][2]"),
+}
+
+
+def _meanings_sql() -> str:
+    # The facts are SQL of their own; the rules, plain conditions, are those of the library and tested by cases.
+    facts = ", ".join(f'{v} as "{k}"' for k, v in FACT_SQL.items())
+    steps = [f"f0 as (select node, {facts} from (select *, string_split(node, '-') as t from nodes))"]
+    for i, layer in enumerate([*M.LAYERS, M.SAME]):
+        steps.append(f"f{i + 1} as (select *, " + ", ".join(f"coalesce({v}, false) as {k}" for k, v in layer.items()) + f" from f{i})")
+    names = ", ".join(f"'{n}'" for n in M.NAMES)
+    counts = ", ".join(f"count(*) filter (where {n})" for n in M.NAMES)
+    return f"{W}, {NODES}, {', '.join(steps)} select unnest([{names}]) as meaning, unnest([{counts}]) as calls from f{len(M.LAYERS) + 1}"
+
+
+@query("call_meanings", _meanings_sql())
+def call_meanings(spark, sf_dir):
+    """How many calls of the derived bidding tree have each meaning."""
+    calls = M.with_meanings(_nodes(spark, sf_dir).select("node"), A.tokens(F.col("node")))
+    counted = calls.agg(*[F.count_if(n).alias(n) for n in M.NAMES])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("meaning"), F.col(n).alias("calls")) for n in M.NAMES])).alias("r")).select("r.*")

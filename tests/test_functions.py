@@ -141,3 +141,70 @@ def test_categories(spark, auction, some):
 
     got = set(one(spark, categories.names(A.tokens(F.lit(auction)))))
     assert some <= got
+
+
+MEANINGS = {
+    "": set(),
+    "P": {"is_pass", "is_sign_off", "is_conservative"},
+    "2H": {"is_opening", "is_preempt", "is_weak", "is_jump", "is_jump_shift", "is_long_suit_showing"},
+    "2C": {"is_strong", "is_game_forcing", "is_artificial", "is_conventional"},
+    "3N": {"is_gambling", "is_destructive", "is_game_level"},
+    "2C-P-2D": {"is_negative_response", "is_waiting_bid", "is_relay", "is_response"},
+    "2C-P-2H": {"is_positive_response"},
+    "1N-P-2H": {"is_transfer", "is_artificial", "is_captain", "is_alertable", "is_natural"},
+    "1N-P-2H-P-2S": {"is_transfer_completion", "is_rebid"},
+    "1N-P-2H-P-3S": {"is_super_accept", "is_maximum_showing", "is_jump"},
+    "1N-P-2C": {"is_relay", "is_asking", "is_captain"},
+    "1S-P-2N": {"is_jacoby_2nt", "is_raise", "is_game_forcing", "is_fit_established"},
+    "1H-P-3C": {"is_bergen", "is_raise", "is_splinter", "is_jump_shift"},
+    "P-P-1S-P-2C": {"is_drury", "is_passed_hand", "is_raise"},
+    "1S-P-1N": {"is_semi_forcing", "is_limit_bid", "is_telling", "is_describer"},
+    "1S-P-2D": {"is_game_forcing", "is_new_suit", "is_minimum"},
+    "1S-P-4S": {"is_game_try", "is_raise", "is_jump"},
+    "1S-P-3S": {"is_invitational", "is_part_score"},
+    "1S-P-2S-P-4N": {"is_notrump", "is_rebid"},
+    "1S-P-4N": {"is_notrump"},
+    "1D-P-1H-P-2S": {"is_reverse", "is_extra_values", "is_jump_shift"},
+    "1D-P-1S-P-1N-P-2C": {"is_checkback", "is_rebid"},
+    "1D-P-1H-P-1S-P-2C": {"is_fourth_suit", "is_forcing", "is_artificial"},
+    "1C-P-1H-P-1S-P-2C": {"is_preference", "is_correction", "is_non_forcing"},
+    "1H-2H": {"is_cuebid", "is_two_suited", "is_overcall", "is_aggressive"},
+    "1H-2N": {"is_two_suited", "is_weak", "is_destructive"},
+    "1H-P-P-1S": {"is_balancing", "is_reopening", "is_free_bid"},
+    "1S-X": {"is_takeout"},
+    "4S-X": {"is_penalty"},
+    "4H-X": {"is_penalty", "is_lead_directing_double"},
+    "1D-1S-X": {"is_negative_double"},
+    "1H-X-2H-X": {"is_responsive_double", "is_takeout"},
+    "1D-3S-X": {"is_negative_double", "is_optional_double"},
+    "1S-X-XX": {"is_escape", "is_redouble"},
+    "1S-X-2H": {"is_escape", "is_new_suit"},
+    "1S-P-2S-4H-4S": {"is_competitive", "is_vulnerability_action", "is_long_suit_showing"},
+    "4H": {"is_high_preempt", "is_preempt"},
+}
+NOT = {
+    "1H-P-P-1S": {"is_direct", "is_opening"},
+    "2C": {"is_preempt", "is_natural"},
+    "1H-P-2H": {"is_jump", "is_new_suit"},
+    "1S-P-4N": {"is_key_card_ask", "is_raise"},
+    "1D-P-1H-P-1S-P-2C": {"is_natural", "is_preference"},
+    "1S-X": {"is_negative_double", "is_penalty", "is_overcall"},
+    "1N-P-2C": {"is_conventional"},
+    "1C-P-1H-P-1S-P-2C": {"is_raise", "is_new_suit"},
+}
+
+
+def test_meanings(spark):
+    from dealframe.functions import meanings
+
+    auctions = sorted(set(MEANINGS) | set(NOT)) + [None]
+    df = spark.createDataFrame([(a, 1) for a in auctions], "auction string, lv int")
+    toks = F.when(F.col("auction") == "", F.array().cast("array<string>")).otherwise(F.split("auction", "-"))
+    rows = meanings.with_meanings(df, toks).collect()
+    got = {r["auction"]: {n for n in meanings.NAMES if r[n]} for r in rows}
+    assert all(r[n] is not None for r in rows for n in meanings.NAMES)
+    assert got[""] == got[None] == set()
+    for a, some in MEANINGS.items():
+        assert some <= got[a], (a, some - got[a])
+    for a, none in NOT.items():
+        assert not none & got.get(a, set()), (a, none & got[a])
