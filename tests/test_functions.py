@@ -102,8 +102,17 @@ def test_compiler_agrees_with_python(spark, rule):
     ("text", "want"),
     [
         ("12-14 HCP; 5+ !S", ["HCP >= 12", "HCP <= 14", "SL_S >= 5"]),
-        ("8- total points, stop in !H", ["Total_Points <= 8", "Stop_H"]),
-        ("balanced; !S >= !H; 4 !C; odd words", ["Balanced", "SL_S >= SL_H", "SL_C >= 4", "SL_C <= 4", "odd words"]),
+        ("8- total points, stop in !H", ["Total_Points <= 8", "Stop_In_H"]),
+        ("balanced; !S >= !H; 4 !C; odd words", ["Balanced", "SL_S >= SL_H", "SL_C == 4", "odd words"]),
+        ("12; 12-; 12+; 12-14", ["HCP == 12", "HCP <= 12", "HCP >= 12", "HCP >= 12", "HCP <= 14"]),
+        ("7 losers; 6- losers; 5-7 losers; 11 HCP; 9+ total_points", ["Losers == 7", "Losers <= 6", "Losers >= 5", "Losers <= 7", "HCP == 11", "Total_Points >= 9"]),
+        ("6-card !D; at_best 3-card !H; 4-5 !S; no !C", ["SL_D == 6", "SL_H <= 3", "SL_S >= 4", "SL_S <= 5", "SL_C == 0"]),
+        ("AK+_in !S; !HAQ; SK; no !DA", ["C_SA", "C_SK", "C_HA", "C_HQ", "C_SK", "C_DA == False"]),
+        ("at_best_stop_in !C; at_best_likely_stop_in !D; at_best_partial_stop_in !H", ["At_Best_Stop_In_C", "At_Best_Likely_Stop_In_D", "At_Best_Partial_Stop_In_H"]),
+        ("likely_stop-stop_in !S; partial_stop-stop_in !S; partial_stop-likely_stop_in !S", ["Likely_Stop_In_S", "Partial_Stop_In_S", "Partial_Stop_Likely_Stop_In_S"]),
+        ("biddable !C; rebiddable !D; strong_rebiddable !H; twice_rebiddable !S; two_stops_in !H", ["Biddable_C", "Rebiddable_D", "Strong_Rebiddable_H", "Twice_Rebiddable_S", "Two_Stops_In_H"]),
+        ("solid 7-card !S; forcing; forcing_to 3N; opponents_cannot_play_undoubled_below 2S", ["Solid_S", "SL_S >= 7", "Forcing_One_Round", "Forcing_To_3N", "Opponents_Cannot_Play_Undoubled_Below_2S"]),
+        ("12 hats; stop in hand; ;,", ["12 hats", "stop in hand"]),
     ],
 )
 def test_phrases(text, want):
