@@ -15,6 +15,7 @@ from dealframe.llm import (
     op8_chat,
     op9_token_counts,
     op10_decontam,
+    op12_whitening,
     oracles,
 )
 
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable] = {
     "op8_chat_format": op8_chat.query,
     "op9_token_counts": op9_token_counts.query,
     "op10_decontamination": op10_decontam.query,
+    "op12_embedding_whitening": op12_whitening.query,
 }
 ORACLE: dict[str, str] = {
     "op3_ngram_jaccard": oracles.JACCARD,
