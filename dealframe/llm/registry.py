@@ -16,6 +16,7 @@ from dealframe.llm import (
     op9_token_counts,
     op10_decontam,
     op12_whitening,
+    op13_repeats,
     oracles,
 )
 
@@ -31,11 +32,13 @@ QUERIES: dict[str, Callable] = {
     "op9_token_counts": op9_token_counts.query,
     "op10_decontamination": op10_decontam.query,
     "op12_embedding_whitening": op12_whitening.query,
+    "op13_suffix_dedup": op13_repeats.query,
 }
 ORACLE: dict[str, str] = {
     "op3_ngram_jaccard": oracles.JACCARD,
     "op4_embedding_dedup": oracles.COSINE,
     "op8_chat_format": op8_chat.ORACLE,
+    "op13_suffix_dedup": op13_repeats.ORACLE,
 }
 
 

@@ -1,9 +1,12 @@
 """Alignment, whitening and repeated substrings against brute force, and their defined odd cases."""
 
+import collections
+import hashlib
+
 import numpy as np
 import pytest
 
-from dealframe.llm import op12_whitening
+from dealframe.llm import op12_whitening, op13_repeats
 from dealframe.llm._common import table
 
 
@@ -69,3 +72,59 @@ def test_block_lanczos(d, rank, basis):
     got, v, worst = op12_whitening.lanczos(lambda p: a @ p, d, 8, basis=basis)
     assert np.abs(got - e[:8]).max() < 1e-12 and worst < 1e-11
     assert np.abs(v.T @ v - np.eye(8)).max() < 1e-12
+
+
+def cut_by_force(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    seen = collections.Counter(r[i : i + length] for r in raw for i in range(len(r) - length + 1))
+    out = []
+    for r in raw:
+        gone = np.zeros(len(r) + 1, bool)
+        for i in range(len(r) - length + 1):
+            if seen[r[i : i + length]] > 1:
+                gone[i : i + length] = True
+        spans = int((np.diff(np.r_[False, gone].astype(int)) == 1).sum())
+        out.append((len(r), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(r, gone[:-1]) if not g)).hexdigest()))
+    return out
+
+
+def cut_rows(df, size=None):
+    got = op13_repeats.without_repeats(df, size).collect()
+    return sorted(((r["doc_id"] is None, r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str)
+
+
+@pytest.mark.parametrize("size", [op13_repeats.Sizes(), op13_repeats.Sizes(40, 4, 32, (8, 2, 1)), op13_repeats.Sizes(24, 16, 8, (1,))])
+def test_repeats_by_brute_force(spark, monkeypatch, size):
+    """Passages cut, shifted and joined in every way; runs of one byte; pieces smaller than a text."""
+    monkeypatch.setattr(op13_repeats, "PIECE", 1000)
+    rng = np.random.default_rng(size.length)
+    word = lambda: "".join(rng.choice(list("abcdé"), rng.integers(2, 9)))
+    passage = lambda n: " ".join(word() for _ in range(n))
+    kept = [passage(int(size.length * f / 4)) for f in (0.7, 1, 1.5, 3)]
+    texts = [None, "", "short", "short", "z" * (3 * size.length), "z" * (size.length + 7), passage(60), kept[3], kept[3], "ab" * size.length]
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.integers(1, 5)):
+            k = kept[rng.integers(0, 4)]
+            a = rng.integers(0, len(k) // 2)
+            parts += [k[a : a + rng.integers(size.length // 2, 2 * size.length)], passage(int(rng.integers(0, 30)))]
+        texts.append("".join(parts))
+    rows = [(i % 45 if i else None, t, "x", 3) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_spans int").repartition(3)
+    want = sorted(((i is None, i, *w) for (i, *_), w in zip(rows, cut_by_force(texts, size.length))), key=str)
+    assert any(0 < w[3] < w[2] for w in want)
+    assert cut_rows(df, size) == want
+    assert not cut_rows(df.where("doc_id = -1"), size)
+
+
+def test_pointers_are_the_leftmost_least():
+    h = np.random.default_rng(3).integers(0, 5, 500).astype(np.uint64) << np.uint64(40)
+    assert op13_repeats.pointers(h, 16).tolist() == [i + int(h[i : i + 16].argmin()) for i in range(485)]
+
+
+def test_repeats_of_a_very_long_text(spark):
+    """Ten million bytes on one line, half of them a copy of the other half."""
+    half = np.random.default_rng(7).integers(97, 123, 5_000_000, dtype=np.uint8).tobytes().decode()
+    df = spark.createDataFrame([(1, half + "|" + half), (2, "x" + half[:1000])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in op13_repeats.without_repeats(df).collect()}
+    assert got == {1: (10_000_000, 2), 2: (1000, 1)}
