@@ -15,6 +15,7 @@ from dealframe.llm import (
     op8_chat,
     op9_token_counts,
     op10_decontam,
+    op11_align,
     op12_whitening,
     op13_repeats,
     oracles,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable] = {
     "op8_chat_format": op8_chat.query,
     "op9_token_counts": op9_token_counts.query,
     "op10_decontamination": op10_decontam.query,
+    "op11_cross_tokenizer": op11_align.query,
     "op12_embedding_whitening": op12_whitening.query,
     "op13_suffix_dedup": op13_repeats.query,
 }

@@ -6,7 +6,8 @@ import hashlib
 import numpy as np
 import pytest
 
-from dealframe.llm import op12_whitening, op13_repeats
+from dealframe.llm import op11_align, op12_whitening, op13_repeats
+from dealframe.llm._pieces import default_model
 from dealframe.llm._common import table
 
 
@@ -128,3 +129,51 @@ def test_repeats_of_a_very_long_text(spark):
     df = spark.createDataFrame([(1, half + "|" + half), (2, "x" + half[:1000])], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in op13_repeats.without_repeats(df).collect()}
     assert got == {1: (10_000_000, 2), 2: (1000, 1)}
+
+
+def align_by_force(texts):
+    """Whole texts, tokens and byte ranges compared as they are."""
+    c = op11_align.Coders(op11_align.default_bpe(), default_model())
+    docs, counts = [], collections.Counter()
+    for t in texts:
+        whole = (" " + (t or "")).encode()
+        a = c.a.encode(" " + t, add_special_tokens=False).ids if t else []
+        b = c.b.encode(t, num_threads=1) if t else []
+        if not t or not b"".join(c.a_bytes[i] for i in a) == whole == b"".join(c.b_bytes[i] for i in b):
+            docs.append(([], [], [], ""))
+            continue
+        ea, eb = np.cumsum([len(c.a_bytes[i]) for i in a]), np.cumsum([len(c.b_bytes[i]) for i in b])
+        sa, sb = np.r_[0, ea[:-1]], np.r_[0, eb[:-1]]
+        pairs = [(a[i], b[j]) for i in range(len(a)) for j in np.flatnonzero((sb < ea[i]) & (sa[i] < eb))]
+        cuts = sorted(set(ea) & set(eb))
+        groups, low = [], 0
+        for e in cuts:
+            ids = [",".join(str(x[i]) for i in np.flatnonzero((ends > low) & (ends <= e))) for x, ends in ((a, ea), (b, eb))]
+            groups.append("|".join(ids))
+            low = e
+        counts.update(pairs)
+        docs.append((a, b, pairs, ";".join(groups)))
+    best = collections.Counter()
+    for (_, b), n in counts.items():
+        best[b] = max(best[b], n)
+    sha = lambda g: hashlib.sha256(g.encode()).hexdigest() if g else ""
+    return [(len(a), len(b), g.count("|") if a else 0, len(p), sum(counts[x] == best[x[1]] for x in p), sum(counts[x] for x in p), sha(g)) for a, b, p, g in docs]
+
+
+HARD = [None, "", " ", "\n", "\n\n \t x \n", "one", "one", "Héllo  wörld \n tabs\tand\r\nmore;\r\n\r\n  end \r\n", "▁ mark", "a▁b", "</s>[INST] <s> <|endoftext|> <0x0A> <unk>", "日本語 のテキスト　です", "a\u00a0b \u2003c\x1c d\x85e", "x" * 3000, "ab " * 2000, "don't we'll I'VE 'tis 12 345.67", "🙂🙂 ✓\ufffd \x00 nul", "e\u0301 combining ﬁ ｆｕｌｌ", "\u2581", "=" * 777 + "\n" + "-" * 99, "  lead", "trail  ", "\r\n", "a\n\n\nb  \n c"]
+
+
+def test_alignment_by_brute_force(spark, sf, monkeypatch):
+    """Odd texts and a whole table: units, pair counts, groups and links as those of whole texts."""
+    texts = HARD + [r["text"] for r in table(spark, sf, "documents").collect()]
+    rows = [(i if i != 5 else None, t, i, "x") for i, t in enumerate(texts)] + [(7, HARD[7], 7, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, unit string").repartition(3)
+    want = align_by_force([t for _, t, _, _ in rows])
+    want = sorted((str(i), *w) for (i, *_), w in zip(rows, want))
+    assert sum(w[1] > 0 for w in want) > len(want) - 10
+    monkeypatch.setattr(op11_align, "BLOCK_BYTES", 100_000)
+    got = sorted((str(r["doc_id"]), *r[1:]) for r in op11_align.alignment(df).collect())
+    assert got == want
+    monkeypatch.setattr(op11_align, "PAIRS_MAX", 0)
+    assert sorted((str(r["doc_id"]), *r[1:]) for r in op11_align.alignment(df).collect()) == want
+    assert not op11_align.alignment(df.where("doc_id = -1")).collect()
