@@ -21,38 +21,42 @@ def _tag(value: Column, tag: str, i: int = 1) -> Column:
     return F.regexp_extract(value, rf"(?:^|\|){tag}\|([^|]*)\|", i)
 
 
-def _lin_hand(text: Column) -> Column:
-    """S.H.D.C of SAKHQDJC2 style text, ranks from ace down."""
+_ORDER = "abcdefghijklm"
 
-    def suit(letter: str, rest: str) -> Column:
-        held = F.regexp_extract(F.upper(text), f"{letter}([AKQJT0-9]*)", 1)
-        return F.array_join(F.filter(F.array(*[F.lit(r) for r in RANKS]), lambda r: F.contains(held, r)), "")
 
-    return F.concat_ws(".", *[suit(s, "") for s in "SHDC"])
+def _lin_suit(text: Column, letter: str) -> Column:
+    """A suit's ranks from ace down, out of SAKHQDJC2 style text."""
+    held = F.regexp_extract(text, f"{letter}([AKQJT2-9]*)", 1)
+    # Letters in the order of the ranks sort as text.
+    return F.translate(F.array_join(F.array_sort(F.split(F.translate(held, RANKS, _ORDER), "")), ""), _ORDER, RANKS)
 
 
 def parse_lin(df: DataFrame, value: str = "value") -> DataFrame:
-    """Boards of LIN text: board, dealer, vul, three given hands, auction; the fourth hand is what is left."""
-    v = F.col(value)
-    deal = _tag(v, "md")
-    dealer_no = F.substring(deal, 1, 1).try_cast("int")
-    hands = F.split(F.substring(deal, F.lit(2), F.length(deal)), ",", -1)
-    south, west, north = (_lin_hand(F.get(hands, F.lit(i))) for i in range(3))
-
-    def left(k: int) -> Column:
-        used = F.concat(*[F.get(F.split(h, r"\.", -1), F.lit(k)) for h in (south, west, north)])
-        return F.array_join(F.filter(F.array(*[F.lit(r) for r in RANKS]), lambda r: ~F.contains(used, r)), "")
+    """Boards of LIN text: board, dealer, vul, three given hands, auction; the fourth hand is what is left.
 
+    Each step's values are columns before the next step reads them, so that none is
+    worked out more than once a record.
+    """
+    rest = [c for c in df.columns if c != value]
+    v = F.col(value)
+    parts = df.select(*rest, v.alias("_value"), _tag(v, "md").alias("_md"))
+    given = F.regexp_replace(F.upper(F.substring("_md", F.lit(2), F.length("_md"))), "10", "T")
+    parts = parts.select(*rest, "_value", F.substring("_md", 1, 1).try_cast("int").alias("_dealer"), F.split(given, ",", -1).alias("_given"))
+    suits = {f"_{d}{s}": _lin_suit(F.get("_given", F.lit(i)), s) for i, d in enumerate("SWN") for s in "SHDC"}
+    parts = parts.select(*rest, "_value", "_dealer", *[c.alias(n) for n, c in suits.items()])
+    hand = lambda d: F.concat_ws(".", *[F.col(f"_{d}{s}") for s in "SHDC"])
+    left = [F.call_function("translate", F.lit(RANKS), F.concat(*[F.col(f"_{d}{s}") for d in "SWN"]), F.lit("")) for s in "SHDC"]
+    v = F.col("_value")
     calls = F.regexp_extract_all(v, F.lit(r"(?:^|\|)mb\|([^|!]*)"), F.lit(1))
-    return df.select(
-        *[c for c in df.columns if c != value],
+    return parts.select(
+        *rest,
         F.regexp_extract(_tag(v, "ah"), r"(\d+)", 1).try_cast("int").alias("board"),
-        F.substring(F.lit("SWNE"), dealer_no, F.lit(1)).alias("dealer"),
+        F.substring(F.lit("SWNE"), F.col("_dealer"), F.lit(1)).alias("dealer"),
         F.element_at(F.create_map(*[F.lit(x) for x in ("o", "None", "n", "N_S", "e", "E_W", "b", "Both", "0", "None")]), F.lower(_tag(v, "sv"))).alias("vul"),
-        north.alias("Hand_N"),
-        F.concat_ws(".", *[left(k) for k in range(4)]).alias("Hand_E"),
-        south.alias("Hand_S"),
-        west.alias("Hand_W"),
+        hand("N").alias("Hand_N"),
+        F.concat_ws(".", *left).alias("Hand_E"),
+        hand("S").alias("Hand_S"),
+        hand("W").alias("Hand_W"),
         F.array_join(tokens(F.array_join(calls, "-")), "-").alias("auction"),
     )
 
