@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dealframe.functions.auction import SEATS, side_vulnerable
-from dealframe.functions.scoring import score
+from dealframe.functions.scoring import doubled_if_down_scores
 
 #: Beyond any score: no bid left.
 NONE = 99999
@@ -21,34 +23,38 @@ def best_tricks(tricks: Column, side: str) -> Column:
     return F.zip_with(*own, lambda a, b: F.greatest(a, b))
 
 
-def doubled_score(level: Column, strain: Column, vul: Column, tricks: Column) -> Column:
-    """The score of a contract that is doubled where it fails."""
-    return score(level, strain, F.when(tricks >= level + 6, 0).otherwise(1), vul, tricks)
+def _folded(sides: np.ndarray, vul: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """sides: boards x (NS, EW) x tricks in five strains; vul: boards x (NS, EW); first: whether NS bid first."""
+    table = np.array(doubled_if_down_scores(), np.int32).reshape(2, 35, 14)
+    ns, ew = np.full(len(sides), -NONE, np.int32), np.full(len(sides), NONE, np.int32)
+    for b in range(34, -1, -1):
+        up, down = table[vul[:, 0], b, sides[:, 0, b % 5]], -table[vul[:, 1], b, sides[:, 1, b % 5]]
+        ns, ew = np.maximum(ns, np.minimum(up, ew)), np.minimum(ew, np.maximum(down, ns))
+    return np.where(first, np.maximum(ns, np.minimum(0, ew)), np.minimum(ew, np.maximum(0, ns)))
 
 
 def par(tricks: Column, vul: Column, dealer: Column) -> Column:
-    """North-South's score when both sides bid as well as they can, the dealer's side first.
+    """North-South's score when both sides bid as well as they can, the dealer's side first; null without all tricks.
 
     From the highest bid down, each side's best of bidding at least this high: its bid
-    stands at its score unless the other side has a better one above it.
+    stands at its score unless the other side has a better one above it. Scores are
+    looked up in the table of all that there are. The fold runs over a batch of boards
+    at once: as a fold of columns it took 13 seconds for 150,000 boards on 8 threads.
     """
-    start = F.struct(F.lit(-NONE).alias("ns"), F.lit(NONE).alias("ew"))
-    # Everything that the score reads more than once is a field of the bid, worked out once.
-    known = F.array(F.struct(best_tricks(tricks, "NS").alias("ns"), best_tricks(tricks, "EW").alias("ew"), side_vulnerable(vul, F.lit("N")).alias("vn"), side_vulnerable(vul, F.lit("E")).alias("ve")))
 
-    def bid(b: Column, k: Column) -> Column:
-        strain = (b % 5).cast("int")
-        return F.struct((F.floor(b / 5) + 1).cast("int").alias("level"), strain.alias("strain"), F.get(k["ns"], strain).alias("ns"), F.get(k["ew"], strain).alias("ew"), k["vn"].alias("vn"), k["ve"].alias("ve"))
-
-    bids = F.flatten(F.transform(known, lambda k: F.transform(F.sequence(F.lit(34), F.lit(0), F.lit(-1)), lambda b: bid(b, k))))
-
-    def step(s: Column, x: Column) -> Column:
-        ns = F.least(doubled_score(x["level"], x["strain"], x["vn"], x["ns"]), s["ew"])
-        ew = F.greatest(-doubled_score(x["level"], x["strain"], x["ve"], x["ew"]), s["ns"])
-        return F.struct(F.greatest(s["ns"], ns).alias("ns"), F.least(s["ew"], ew).alias("ew"))
-
-    def end(s: Column) -> Column:
-        first = F.greatest(s["ns"], F.least(F.lit(0), s["ew"]))
-        return F.when(dealer.isin("N", "S"), first).otherwise(F.least(s["ew"], F.greatest(F.lit(0), s["ns"])))
-
-    return F.aggregate(bids, start, step, end)
+    @F.pandas_udf("int")
+    def fold(sides: pd.Series, ns: pd.Series, ew: pd.Series, first: pd.Series) -> pd.Series:
+        if not len(sides):
+            return pd.Series([], dtype="int32")
+        vul = np.stack([ns.to_numpy(int), ew.to_numpy(int)], 1)
+        return pd.Series(_folded(np.stack(sides.to_numpy()).reshape(-1, 2, 5), vul, first.to_numpy(bool)))
+
+    both = F.concat(best_tricks(tricks, "NS"), best_tricks(tricks, "EW"))
+    whole = F.size(tricks) == 20
+    for i in range(20):
+        whole = whole & F.get(tricks, F.lit(i)).between(0, 13)
+    whole = F.coalesce(whole, F.lit(False))
+    known = F.when(whole, both).otherwise(F.lit([0] * 10))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    out = fold(known, flag(side_vulnerable(vul, F.lit("N"))).cast("int"), flag(side_vulnerable(vul, F.lit("E"))).cast("int"), flag(dealer.isin("N", "S")))
+    return F.when(whole, out)

@@ -35,6 +35,23 @@ def score(level: Column, strain: Column, dbl: Column, vul: Column, tricks: Colum
     return F.when(over >= 0, made).otherwise(-F.when(dbl == 0, plain).otherwise(doubled * dbl)).cast("int")
 
 
+def doubled_if_down(level: int, strain: int, vul: bool, tricks: int) -> int:
+    """The score of a contract that is doubled where it fails, as a number."""
+    over = tricks - level - 6
+    if over < 0:
+        return 100 + 300 * over if vul else 100 + 200 * over if over >= -3 else 400 + 300 * over
+    minor = strain <= 1
+    points = level * (20 if minor else 30) + (10 if strain == 4 else 0)
+    bonus = (500 if vul else 300) if points >= 100 else 50
+    slam = {6: (500, 750), 7: (1000, 1500)}.get(level, (0, 0))[vul]
+    return points + bonus + slam + over * (20 if minor else 30)
+
+
+def doubled_if_down_scores() -> list[int]:
+    """All of them: for not vulnerable and vulnerable, bids 1C to 7N, and tricks 0 to 13."""
+    return [doubled_if_down(b // 5 + 1, b % 5, vul, t) for vul in (False, True) for b in range(35) for t in range(14)]
+
+
 def expected_value(probs: Column, scores: Column) -> Column:
     """Sum of probability times score, over tricks 0 to 13."""
     return F.aggregate(F.zip_with(probs, scores, lambda p, s: p * s), F.lit(0.0), lambda a, x: a + x)
