@@ -217,7 +217,7 @@ def _refined(rows: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
     many = classes.where("n > 1 and need").select(*_CORE, *_HULL)
     settled = rows.where("need").join(many, _CORE + _HULL).select("tid", (F.col("p") - F.col("hi")).alias("first"), (F.col("p") - F.col("lo")).alias("last"))
     left = F.col("need") & (F.col("n") == 1)
-    buckets = classes.groupBy(*_CORE).agg(F.sum("n").alias("rows"), F.max(left).alias("left")).where("rows > 1 and left").select(*_CORE)
+    buckets = tmp.keep(classes.groupBy(*_CORE).agg(F.sum("n").alias("rows"), F.max(left).alias("left")).where("rows > 1 and left").select(*_CORE))
     down = classes.join(buckets, _CORE).select("one.tid", "one.p", "lo", "hi", left.alias("need"))
     return settled, down
 
@@ -226,7 +226,8 @@ def repeated(texts: DataFrame, tmp: Scratch, size: Sizes) -> DataFrame:
     """(tid, first, last): runs of windows of distinct texts (tid, text) whose bytes also start elsewhere."""
     spark = texts.sparkSession
     rows = tmp.keep(_whole_runs(texts, size))
-    buckets = rows.groupBy("c1").count().where("count > 1").select("c1")
+    # Counts are written first: a join of two plain exchanges is what Spark can split at a hot bucket.
+    buckets = tmp.keep(rows.groupBy("c1").count().where("count > 1").select("c1"))
     rows = tmp.keep(rows.join(buckets, "c1").select(*_NAMES))
     settled, down = _refined(rows, tmp)
     found, down = [tmp.keep(settled)], tmp.keep(down)
