@@ -231,7 +231,7 @@ def repeated(texts: DataFrame, tmp: Scratch, size: Sizes) -> DataFrame:
     rows = tmp.keep(rows.join(buckets, "c1").select(*_NAMES))
     settled, down = _refined(rows, tmp)
     found, down = [tmp.keep(settled)], tmp.keep(down)
-    contexts = tmp.keep(_contexts(down, texts, size))
+    contexts = tmp.keep(_contexts(down, texts, size), compression="zstd")
     tmp.settle(spark)
     for block in size.blocks:
         rows = tmp.keep(_smaller(down, contexts, block, size))
@@ -279,7 +279,7 @@ def without_repeats(docs: DataFrame, size: Sizes | None = None) -> DataFrame:
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(13), text).alias("k2"), F.octet_length(text).cast("long").alias("n_bytes"))
     long = docs.where(F.col("n_bytes") >= size.length).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("text").alias("text"))
     # Ids are settled by being written.
-    texts = tmp.keep(long.select(F.monotonically_increasing_id().alias("tid"), "*"))
+    texts = tmp.keep(long.select(F.monotonically_increasing_id().alias("tid"), "*"), compression="zstd")
     tmp.settle(spark)
     found = repeated(texts, tmp, size)
     of = found.groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
