@@ -37,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dealframe.llm._common import Scratch, bound_batches, parts, table
+from dealframe.llm._common import Scratch, Written, bound_batches, parts, table
 from dealframe.llm._pieces import SPACE, default_model
 
 #: Bytes of text in a block of documents, about; rows of pair counts that are broadcast at most; distinct units held by a task.
-BLOCK_BYTES, PAIRS_MAX, HELD = 16_000_000, 1_000_000, 300_000
+BLOCK_BYTES, PAIRS_MAX, HELD = 16_000_000, 1_000_000, 800_000
+PACKED = {"compression": "zstd"}
 STATS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in STATS) + ", groups_sha256 string"
 
@@ -210,17 +211,18 @@ def _groups_text(rows: Column) -> Column:
     return F.aggregate(rows, start, step, lambda s: s["done"])
 
 
-def aligned(tokens: DataFrame, tmp: Scratch) -> DataFrame:
+def aligned(tokens: DataFrame) -> Written:
     """(key, STATS, groups) of each key of tokens (key, n, a_ids, a_lens, b_ids, b_lens); n: how often it stands in the corpus."""
-    spark = tokens.sparkSession
-    found = tmp.keep(links(tokens, parts(spark)))
-    pairs = tmp.keep(_pairs(found))
-    if pairs.count() <= PAIRS_MAX:
-        pairs = F.broadcast(pairs)
+    found = Written(links(tokens, parts(tokens.sparkSession)), **PACKED)
+    counts = Written(_pairs(found.df))
+    pairs = F.broadcast(counts.df) if counts.df.count() <= PAIRS_MAX else counts.df
     ends = F.array_sort(F.collect_list(F.struct("end", "a_end", "b_end")))
     sums = [F.count("a_end"), F.count("b_end"), F.max("ga"), F.count("*"), F.sum("best"), F.sum("count")]
-    out = found.join(pairs, ["a", "b"]).groupBy("key").agg(*(s.cast("long").alias(c) for s, c in zip(sums, STATS, strict=True)), ends.alias("ends"))
-    return tmp.keep(out.select("key", *STATS, _groups_text(F.col("ends")).alias("groups")))
+    out = found.df.join(pairs, ["a", "b"]).groupBy("key").agg(*(s.cast("long").alias(c) for s, c in zip(sums, STATS, strict=True)), ends.alias("ends"))
+    out = Written(out.select("key", *STATS, _groups_text(F.col("ends")).alias("groups")), **PACKED)
+    found.drop()
+    counts.drop()
+    return out
 
 
 def _summed(rows: DataFrame, files: tuple[str, str]) -> DataFrame:
@@ -261,15 +263,24 @@ def alignment(docs: DataFrame, bpe: str | None = None, model: str | None = None)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
-    held = tmp.keep(_counted(docs, files))
-    units = held.groupBy("unit").agg(F.sum("n").alias("n"))
+    # Each table goes, and its shuffle files with it, as soon as the next is written.
+    held = Written(_counted(docs, files), **PACKED)
+    tmp.settle(spark)
+    units = held.df.groupBy("unit").agg(F.sum("n").alias("n"))
     # Keys are settled by being written.
-    tokens = tmp.keep(_tokenized(units, files).select(F.monotonically_increasing_id().alias("key"), "*"))
+    tokens = Written(_tokenized(units, files).select(F.monotonically_increasing_id().alias("key"), "*"), **PACKED)
+    tmp.settle(spark)
+    done = aligned(tokens.df.drop("unit"))
+    tmp.settle(spark)
+    known = Written(tokens.df.select("key", "unit").join(done.df, "key").select("unit", F.array(*STATS).alias("stats"), "groups"), **PACKED)
+    tokens.drop()
+    done.drop()
     tmp.settle(spark)
-    done = aligned(tokens.drop("unit"), tmp)
+    given = held.df.join(known.df, "unit").select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.col("unit").alias("text"), "stats", "groups")
+    given = tmp.keep(given, **PACKED)
+    known.drop()
+    held.drop()
     tmp.settle(spark)
-    known = tmp.keep(tokens.select("key", "unit").join(done, "key").select("unit", F.array(*STATS).alias("stats"), "groups"))
-    given = held.join(known, "unit").select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.col("unit").alias("text"), "stats", "groups")
     asked = docs.select("block", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("array<long>").alias("stats"), F.lit(None).cast("string").alias("groups"))
     rows = given.unionByName(asked).repartition(n, "block").sortWithinPartitions("block", "kind")
     return tmp.result(_summed(rows, files))
