@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealframe.functions.auction import SEATS
@@ -58,26 +58,35 @@ def features(hand: Column) -> Column:
     return F.create_map(*[x for k, v in cells for x in (F.lit(k), v.cast("double"))])
 
 
-def holds(text: Column, known: Column, missing: bool = False) -> Column:
-    """Whether a criterion holds for a map of metrics. A name alone is a flag. ``missing`` stands for what can't be told."""
-    p = parts(text)
-    left = F.try_element_at(known, F.coalesce(p["name"], F.trim(text)))
+def told(p: Column, known: Column) -> Column:
+    """Whether a ``parsed`` criterion holds for a map of metrics; null where that can't be told. A name alone is a flag."""
+    left = F.try_element_at(known, F.coalesce(p["name"], p["text"]))
     right = F.coalesce(p["value"], F.try_element_at(known, p["other"]))
-    told = (
-        F.when(p["op"].isNull(), left != 0)
-        .when(p["op"] == ">=", left >= right)
-        .when(p["op"] == "<=", left <= right)
-        .when(p["op"] == ">", left > right)
-        .when(p["op"] == "<", left < right)
-        .when(p["op"] == "==", left == right)
-    )
-    return F.coalesce(told, F.lit(missing))
+    op = p["op"]
+    return F.when(op.isNull(), left != 0).when(op == ">=", left >= right).when(op == "<=", left <= right).when(op == ">", left > right).when(op == "<", left < right).when(op == "==", left == right)
+
+
+def holds(text: Column, known: Column, missing: bool = False) -> Column:
+    """Whether a criterion holds for a map of metrics. ``missing`` stands for what can't be told."""
+    return F.coalesce(told(_parsed(text), known), F.lit(missing))
 
 
 def failing(criteria: Column, known: Column, missing: bool = False) -> Column:
     return F.filter(criteria, lambda c: ~holds(c, known, missing))
 
 
+def failing_parsed(criteria: Column, known: Column, missing: bool = False) -> Column:
+    """The texts of the criteria that don't hold, out of a ``parsed`` list: nothing is parsed beside a hand."""
+    return F.transform(F.filter(criteria, lambda p: ~F.coalesce(told(p, known), F.lit(missing))), lambda p: p["text"])
+
+
+def compounds(rows: DataFrame, lists: list[str]) -> list[str]:
+    """The distinct texts of compound criteria (neither a comparison nor a name) in columns of lists: a table's dictionary of them, not its rows."""
+    every = rows.select(F.explode(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in lists])).alias("c")).distinct()
+    odd = every.where(parts(F.col("c"))["op"].isNull() & ~F.col("c").rlike(r"^\s*[A-Za-z_]\w*\s*$"))
+    return sorted(r["c"] for r in odd.collect())
+
+
 def annotated(text: Column, known: Column) -> Column:
     """A criterion with the value that its left side has: ``HCP >= 12 [9]``."""
     p = parts(text)
@@ -85,16 +94,27 @@ def annotated(text: Column, known: Column) -> Column:
     return F.concat(text, F.lit(" ["), F.coalesce(F.format_string("%.0f", value), F.lit("?")), F.lit("]"))
 
 
-def bounds(criteria: Column, metric: str) -> tuple[Column, Column]:
-    """(lo, hi) of a metric in a list of criteria: the highest lower and the lowest upper bound; strict ones move by 1, == is both.
+def _parsed(text: Column) -> Column:
+    p = parts(text)
+    return F.struct(F.trim(text).alias("text"), *[p[n].alias(n) for n in ("name", "op", "value", "other")])
+
+
+def parsed(criteria: Column) -> Column:
+    """A list of criteria as struct(text, name, op, value, other): made once a table row, so that deals meet no texts."""
+    return F.transform(criteria, _parsed)
+
+
+def bounds_of(name: str, metric: str) -> tuple[Column, Column]:
+    """(lo, hi) of a metric in the ``parsed`` list of column ``name``: the highest lower and the lowest upper bound; strict ones move by 1, == is both.
 
-    Without a bound: the metric's widest. Comparisons of two names are no ranges.
+    Without a bound: the metric's widest. Comparisons of two names are no ranges. As
+    text, since plans hold dozens of them.
     """
-    own = F.filter(F.transform(criteria, parts), lambda p: (p["name"] == metric) & p["value"].isNotNull())
-    low = F.array_max(F.transform(own, lambda p: F.when(p["op"].isin(">=", "=="), p["value"]).when(p["op"] == ">", p["value"] + 1)))
-    high = F.array_min(F.transform(own, lambda p: F.when(p["op"].isin("<=", "=="), p["value"]).when(p["op"] == "<", p["value"] - 1)))
+    own = f"filter({name}, p -> p.name = '{metric}' and p.value is not null)"
+    low = f"array_max(transform({own}, p -> case when p.op in ('>=', '==') then p.value when p.op = '>' then p.value + 1 end))"
+    high = f"array_min(transform({own}, p -> case when p.op in ('<=', '==') then p.value when p.op = '<' then p.value - 1 end))"
     lo, hi = METRICS[metric]
-    return F.coalesce(low, F.lit(float(lo))).cast("int"), F.coalesce(high, F.lit(float(hi))).cast("int")
+    return F.expr(f"cast(coalesce({low}, {lo}) as int)"), F.expr(f"cast(coalesce({high}, {hi}) as int)")
 
 
 def loosest(criteria: Column) -> Column:

@@ -52,6 +52,12 @@ def doubled_if_down_scores() -> list[int]:
     return [doubled_if_down(b // 5 + 1, b % 5, vul, t) for vul in (False, True) for b in range(35) for t in range(14)]
 
 
+def undoubled_scores() -> list[int]:
+    """Scores undoubled: for not vulnerable and vulnerable, bids 1C to 7N, and tricks 0 to 13."""
+    down = lambda vul, over: over * (100 if vul else 50)
+    return [down(vul, t - b // 5 - 7) if t < b // 5 + 7 else doubled_if_down(b // 5 + 1, b % 5, vul, t) for vul in (False, True) for b in range(35) for t in range(14)]
+
+
 def expected_value(probs: Column, scores: Column) -> Column:
     """Sum of probability times score, over tricks 0 to 13."""
     return F.aggregate(F.zip_with(probs, scores, lambda p, s: p * s), F.lit(0.0), lambda a, x: a + x)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealframe.functions import criteria as C
+from dealframe.functions import dsl
+from dealframe.functions.hand import balanced, suits
 from dealframe.operators.relational import with_row_index
 
 
@@ -43,17 +45,27 @@ def overlaid(table: DataFrame, auction: str, criteria: str, rules: DataFrame) ->
     return j.withColumn(criteria, C.loosest(F.concat(criteria, F.coalesce("_more", F.array().cast("array<string>"))))).drop("_more")
 
 
-def wrong_bids(joined: DataFrame, hands: dict[int, Column], criteria: dict[int, Column]) -> DataFrame:
-    """The rows with Wrong_Bid_S1..4, Invalid_Criteria_S1..4 (JSON arrays) and first_wrong_seat (null: none).
+def wrong_bids(joined: DataFrame, hands: dict[int, Column], criteria: dict[int, Column], compounds: list[str] = (), as_json: bool = True) -> DataFrame:
+    """The rows with Wrong_Bid_S1..4, Invalid_Criteria_S1..4 (JSON arrays, or lists) and first_wrong_seat (null: none).
 
-    hands: the hand of each seat; criteria: its list. A seat without criteria isn't wrong.
+    hands: the hand of each seat; criteria: its ``parsed`` list. A seat without criteria
+    isn't wrong. compounds: the texts among them that are compound; each is compiled
+    once. What can't be told (a name that no hand has) isn't held against a seat.
     """
-    known = joined.withColumns({f"_known{s}": C.features(h) for s, h in hands.items()})
-    bad = known.withColumns({f"_bad{s}": F.coalesce(C.failing(criteria[s], F.col(f"_known{s}"), missing=True), F.array().cast("array<string>")) for s in hands})
+    metric = {s: {k: v.cast("double") for k, v in [*C.metrics(h).items(), ("Balanced", balanced(suits(h)).cast("int"))]} for s, h in hands.items()}
+    known = joined.withColumns({f"_{k}_{s}": v for s, m in metric.items() for k, v in m.items()})
+
+    def of(s: int) -> Column:
+        cells = {k: F.col(f"_{k}_{s}") for k in metric[s]}
+        cells |= {c.strip(): dsl.compile_criteria(c, known.columns, rename=lambda n: f"_{n}_{s}" if n in metric[s] else n).cast("int").cast("double") for c in compounds}
+        return F.create_map(*[x for k, v in cells.items() for x in (F.lit(k), v)])
+
+    known = known.withColumns({f"_known{s}": of(s) for s in hands})
+    bad = known.withColumns({f"_bad{s}": F.coalesce(C.failing_parsed(criteria[s], F.col(f"_known{s}"), missing=True), F.array().cast("array<string>")) for s in hands})
     wrong = {s: F.size(f"_bad{s}") > 0 for s in hands}
-    out = bad.withColumns({f"Wrong_Bid_S{s}": w for s, w in wrong.items()} | {f"Invalid_Criteria_S{s}": F.to_json(f"_bad{s}") for s in hands})
+    out = bad.withColumns({f"Wrong_Bid_S{s}": w for s, w in wrong.items()} | {f"Invalid_Criteria_S{s}": F.to_json(f"_bad{s}") if as_json else F.col(f"_bad{s}") for s in hands})
     first = F.coalesce(*[F.when(wrong[s], F.lit(s)) for s in sorted(hands)])
-    return out.withColumn("first_wrong_seat", first).drop(*[f"_{k}{s}" for s in hands for k in ("known", "bad")])
+    return out.withColumn("first_wrong_seat", first).drop(*[f"_{k}{s}" for s in hands for k in ("known", "bad")], *[f"_{k}_{s}" for s in hands for k in metric[s]])
 
 
 def compile_rules(table: DataFrame, rules: DataFrame, node: str, criteria: str) -> DataFrame:
@@ -73,9 +85,10 @@ def compile_rules(table: DataFrame, rules: DataFrame, node: str, criteria: str)
 
 def audit(table: DataFrame, criteria: str, call: str) -> DataFrame:
     """(…, flag, severity): what is doubtful about a row's criteria; passes are exempt."""
+    table = table.withColumn("_parsed", C.parsed(F.col(criteria)))
     lo, hi = {}, {}
     for m in ("HCP", "Total_Points"):
-        lo[m], hi[m] = C.bounds(F.col(criteria), m)
+        lo[m], hi[m] = C.bounds_of("_parsed", m)
     named = F.transform(criteria, lambda c: C.parts(c)["name"])
     has = lambda pattern: F.exists(named, lambda n: F.coalesce(n.rlike(pattern), F.lit(False)))
     bounded = lambda m: F.exists(criteria, lambda c: (C.parts(c)["name"] == m) & C.parts(c)["op"].isin("<=", "<", "=="))
@@ -90,13 +103,14 @@ def audit(table: DataFrame, criteria: str, call: str) -> DataFrame:
         ("NO_SUIT_LENGTH", "medium", ~none & ~has("^SL_")),
     ]
     found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("flag"), F.lit(s).alias("severity"))) for n, s, c in flags]))
-    keep = [c for c in table.columns if c not in ("flag", "severity")]
+    keep = [c for c in table.columns if c not in ("flag", "severity", "_parsed")]
     return table.where(F.col(call) != "P").select(*keep, F.inline(found))
 
 
 def contradictions(table: DataFrame, criteria: str) -> DataFrame:
     """(…, kind): how a row's bounds contradict each other or the 13 cards; rows without a fault are left out."""
-    b = {m: C.bounds(F.col(criteria), m) for m in C.METRICS}
+    table = table.withColumn("_parsed", C.parsed(F.col(criteria)))
+    b = {m: C.bounds_of("_parsed", m) for m in C.METRICS}
     least = sum((b[f"SL_{s}"][0] for s in "HDC"), b["SL_S"][0])
     most = sum((F.least(b[f"SL_{s}"][1], F.lit(13)) for s in "HDC"), F.least(b["SL_S"][1], F.lit(13)))
     empty = F.lit(False)

@@ -25,6 +25,16 @@ def with_row_index(df: DataFrame, order: list[str], name: str = "index", start:
     return j.withColumn(name, (F.col("_before") + F.col("_at") - 1 + start).cast("long")).drop("_part", "_at", "_before")
 
 
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """The sum of ``value`` over a row and all before it in ``order``, a range of rows at a time as in ``with_row_index``."""
+    ranged = Written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())).df
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    j = ranged.withColumn("_at", own).join(F.broadcast(sums.select("_part", before.alias("_before"))), "_part")
+    return j.withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def hstack(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
     """Rows side by side by their places in two orders; the shorter side is padded with nulls."""
     a, b = with_row_index(left, left_order, "_i"), with_row_index(right, right_order, "_i")

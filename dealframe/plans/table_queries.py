@@ -8,11 +8,12 @@ from dealframe.functions import auction as A
 from dealframe.functions import criteria as C
 from dealframe.functions import dsl
 from dealframe.functions import hand as H
-from dealframe.operators import bidding, matching, relational
+from dealframe.operators import bidding, boxes, relational
 from dealframe.plans.bridge_queries import DP, HCP, LEN, SUIT, TOK, W
 from dealframe.plans.deals import AUCTIONS, deals
 from dealframe.plans.registry import query
 from dealframe.session import table
+from dealframe.written import Written
 
 
 def bidding_table(spark, sf_dir):
@@ -64,9 +65,14 @@ rg as (select b.bt_index, st.seat, mt.metric, coalesce(max(case when op in ('>='
   from bt b, st, mt left join pr p on p.bt_index = b.bt_index and p.seat = st.seat and p.name = mt.metric group by 1, 2, 3)"""
 
 
+def _parsed_table(spark, sf_dir):
+    """(bt_index, Auction, _e1.._e4): the lists parsed, as columns that all bounds read."""
+    return bidding_table(spark, sf_dir).select("bt_index", "Auction", *[C.parsed(F.col(f"Agg_Expr_Seat_{s}")).alias(f"_e{s}") for s in (1, 2, 3, 4)])
+
+
 def _ranges(spark, sf_dir):
-    bt = bidding_table(spark, sf_dir)
-    cells = [F.struct(F.lit(s).alias("seat"), F.lit(m).alias("metric"), *[x.alias(n) for n, x in zip(("lo", "hi"), C.bounds(F.col(f"Agg_Expr_Seat_{s}"), m), strict=True)]) for s in (1, 2, 3, 4) for m in C.METRICS]
+    bt = _parsed_table(spark, sf_dir)
+    cells = [F.struct(F.lit(s).alias("seat"), F.lit(m).alias("metric"), *[x.alias(n) for n, x in zip(("lo", "hi"), C.bounds_of(f"_e{s}", m), strict=True)]) for s in (1, 2, 3, 4) for m in C.METRICS]
     return bt.select("bt_index", F.inline(F.array(*cells)))
 
 
@@ -80,8 +86,8 @@ DIMS = {s: [f"{m}_{s}" for m in C.METRICS] for s in (1, 2, 3, 4)}
 
 def _boxes(spark, sf_dir):
     """A row of the table with the 48 bounds of its 24 dims."""
-    bt = bidding_table(spark, sf_dir)
-    cols = [x.alias(f"{m}_{s}_{e}") for s in (1, 2, 3, 4) for m in C.METRICS for e, x in zip(("min", "max"), C.bounds(F.col(f"Agg_Expr_Seat_{s}"), m), strict=True)]
+    bt = _parsed_table(spark, sf_dir)
+    cols = [x.alias(f"{m}_{s}_{e}") for s in (1, 2, 3, 4) for m in C.METRICS for e, x in zip(("min", "max"), C.bounds_of(f"_e{s}", m), strict=True)]
     return bt.select("bt_index", *cols)
 
 
@@ -108,8 +114,8 @@ INSIDE = " and ".join(f"{m}_{s} between {m}_{s}_lo and {m}_{s}_hi" for s in (1,
 @query("deals_matching_table", f"{W}, {RANGES}, {SEATED}, {WIDE} select bt_index, count(*) as n, min(index) as first_deal, max(index) as last_deal from pt join wd on {INSIDE} group by 1")
 def deals_matching_table(spark, sf_dir):
     """All deals against all rows of the table, by six metrics of four seats."""
-    m = matching.seat_boxes(_points(spark, sf_dir), _boxes(spark, sf_dir), DIMS[1], [d for s in (2, 3, 4) for d in DIMS[s]], "index", "bt_index")
-    return m.groupBy("bt_index").agg(F.count("*").alias("n"), F.min("index").alias("first_deal"), F.max("index").alias("last_deal"))
+    m = boxes.summary(_points(spark, sf_dir), _boxes(spark, sf_dir), list(DIMS.values()), "index", "bt_index")
+    return m.select("bt_index", "n", F.col("first").alias("first_deal"), F.col("last").alias("last_deal"))
 
 
 @query("bt_range_groups", f"with {RANGES}, {WIDE} select min(bt_index) as first_bt, count(*) as n, max(bt_index) as last_bt from wd group by " + ", ".join(f"{m}_{s}_{e}" for s in (1, 2, 3, 4) for m in C.METRICS for e in ("lo", "hi")))
@@ -160,10 +166,13 @@ def _checked(spark, sf_dir):
     first = bt.groupBy("Auction").agg(F.min_by(F.struct(*[c for c in bt.columns if c != "Auction"]), "bt_index").alias("b")).select(F.col("Auction").alias("auction"), "b.*")
     first = bidding.overlaid(first, "auction", "Agg_Expr_Seat_1", _overlay_rows(spark))
     first = first.withColumns({f"Agg_Expr_Seat_{s}": C.loosest(F.col(f"Agg_Expr_Seat_{s}")) for s in (2, 3, 4)})
+    lists = [f"Agg_Expr_Seat_{s}" for s in (1, 2, 3, 4)]
+    # Written, so that each of its rows is parsed once and not beside every deal.
+    first = Written(first.withColumns({c: C.parsed(F.col(c)) for c in lists})).df
     d = deals(spark, sf_dir).select("index", "auction", "Dealer", *[f"Hand_{x}" for x in "NESW"]).join(first, "auction")
     own = F.map_from_arrays(F.array(*[F.lit(x) for x in "NESW"]), F.array(*[F.col(f"Hand_{x}") for x in "NESW"]))
     seats = (1, 2, 3, 4)
-    return bidding.wrong_bids(d, {s: F.element_at(own, C.seat_direction(F.col("Dealer"), s)) for s in seats}, {s: F.col(f"Agg_Expr_Seat_{s}") for s in seats})
+    return bidding.wrong_bids(d, {s: F.element_at(own, C.seat_direction(F.col("Dealer"), s)) for s in seats}, {s: F.col(f"Agg_Expr_Seat_{s}") for s in seats}, as_json=False)
 
 
 WRONG = f"""{W}, {MERGED}, {SEAT_HANDS},
@@ -176,7 +185,7 @@ bad as (select index, h.seat, list_sort(list(c)) as failed from (select h.index,
 )
 def wrong_bids_by_seat(spark, sf_dir):
     w = _checked(spark, sf_dir)
-    return w.select("index", *[F.array_join(F.array_sort(F.from_json(f"Invalid_Criteria_S{s}", "array<string>")), "; ").alias(f"failed_s{s}") for s in (1, 2, 3, 4)], "first_wrong_seat")
+    return w.select("index", *[F.array_join(F.array_sort(f"Invalid_Criteria_S{s}"), "; ").alias(f"failed_s{s}") for s in (1, 2, 3, 4)], "first_wrong_seat")
 
 
 @query("wrong_bid_rates", f"{WRONG} select s.seat, count(distinct d.index) as boards, round(count(bad.index) / count(*), 6) as rate from deals d join fb on fb.Auction = d.auction cross join (values (1), (2), (3), (4)) s(seat) left join bad on bad.index = d.index and bad.seat = s.seat group by 1")
@@ -189,7 +198,7 @@ def wrong_bid_rates(spark, sf_dir):
 def annotated_failures(spark, sf_dir):
     w = _checked(spark, sf_dir)
     own = F.map_from_arrays(F.array(*[F.lit(x) for x in "NESW"]), F.array(*[F.col(f"Hand_{x}") for x in "NESW"]))
-    cells = F.array(*[F.struct(F.lit(s).alias("seat"), F.element_at(own, C.seat_direction(F.col("Dealer"), s)).alias("hand"), F.from_json(f"Invalid_Criteria_S{s}", "array<string>").alias("bad")) for s in (1, 2, 3, 4)])
+    cells = F.array(*[F.struct(F.lit(s).alias("seat"), F.element_at(own, C.seat_direction(F.col("Dealer"), s)).alias("hand"), F.col(f"Invalid_Criteria_S{s}").alias("bad")) for s in (1, 2, 3, 4)])
     e = w.select(F.inline(cells)).where(F.size("bad") > 0).select("seat", C.features(F.col("hand")).alias("known"), F.explode("bad").alias("c"))
     return e.groupBy("seat", C.annotated(F.col("c"), F.col("known")).alias("text")).agg(F.count("*").alias("n"))
 
