@@ -41,7 +41,7 @@ from dealframe.llm._common import Scratch, Written, bound_batches, parts, table
 from dealframe.llm._pieces import SPACE, default_model
 
 #: Bytes of text in a block of documents, about; rows of pair counts that are broadcast at most; distinct units held by a task.
-BLOCK_BYTES, PAIRS_MAX, HELD = 16_000_000, 1_000_000, 800_000
+BLOCK_BYTES, PAIRS_MAX, HELD = 32_000_000, 1_000_000, 600_000
 PACKED = {"compression": "zstd"}
 STATS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in STATS) + ", groups_sha256 string"
@@ -102,10 +102,19 @@ class Coders:
         b = [([self.mark] if u == " " else x) if u[0] == " " else x[1:] for u, x in zip(units, b, strict=True)]
         return list(zip(a, b, strict=True))
 
+    def _kept(self, text: str) -> bool:
+        return self.b.normalize(text) == SPACE + text.replace(" ", SPACE)
+
+    @cached_property
+    def plain(self) -> bool:
+        """Whether B's normaliser changes no character and no run of spaces; if so, no text is normalised to see that."""
+        every = "".join(chr(i) for i in range(1, 0x30000) if not 0xD800 <= i < 0xE000 and chr(i) != SPACE)
+        return self._kept(every) and self._kept("  a  b  ")
+
     def lossless(self, text: str) -> bool:
         """Whether both sides give back a space and the text."""
         if self.exact and self.falls_back:
-            return SPACE not in text and self.b.normalize(text) == SPACE + text.replace(" ", SPACE)
+            return SPACE not in text and (self.plain or self._kept(text))
         a, b = self.tokens([" " + text])[0]
         whole = (" " + text).encode()
         return b"".join(self.a_bytes[i] for i in a) == whole == b"".join(self.b_bytes[i] for i in b)
@@ -229,29 +238,32 @@ def _summed(rows: DataFrame, files: tuple[str, str]) -> DataFrame:
     """SCHEMA from rows (block, kind, doc_id, text, stats, groups) in order: the units of a block before its documents."""
 
     def run(batches):
-        coders, block, at, groups, stats, table_of = Coders(*files), None, {}, [], [], None
+        coders, block, at, groups, stats, sums = Coders(*files), None, {}, [], [], None
+        kinds = [pa.int64()] * (1 + len(STATS)) + [pa.string()]
         for b in batches:
-            out = []
-            for k, kind, doc, text, nums, group in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != block:
-                    block, at, groups, stats, table_of = k, {}, [], [], None
-                if not kind:
-                    at[text] = len(groups)
-                    groups.append(group)
-                    stats.append(nums)
+            blocks, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cut = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kind) != 0)) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(blocks)], strict=True):
+                part = b.slice(i, j - i)
+                if blocks[i] != block:
+                    block, at, groups, stats, sums = blocks[i], {}, [], [], None
+                if not kind[i]:
+                    at.update(zip(part.column(3).to_pylist(), range(len(groups), len(groups) + j - i), strict=True))
+                    groups += part.column(5).to_pylist()
+                    stats.append(part.column(4).flatten().to_numpy().reshape(-1, len(STATS)))
                     continue
-                if table_of is None:
-                    table_of = np.array(stats, np.int64).reshape(-1, len(STATS))
-                if text and coders.lossless(text):
-                    where = [at[u] for u in coders.units(text)]
-                    digest = hashlib.sha256(";".join([groups[i] for i in where]).encode()).hexdigest()
-                    out.append((doc, *table_of[where].sum(0).tolist(), digest))
-                else:
-                    out.append((doc, *[0] * len(STATS), ""))
-            if out:
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int64()] * (1 + len(STATS)) + [pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+                if sums is None:
+                    sums = np.concatenate(stats) if stats else np.zeros((0, len(STATS)), np.int64)
+                found, digest = np.zeros((j - i, len(STATS)), np.int64), []
+                for k, text in enumerate(part.column(3)):
+                    # A unit of a text that isn't given back stands in no other text either.
+                    where = list(map(at.get, coders.units(text))) if (text := text.as_py()) else []
+                    if where and None not in where:
+                        found[k] = sums[where].sum(0)
+                        digest.append(hashlib.sha256(";".join(map(groups.__getitem__, where)).encode()).hexdigest())
+                    else:
+                        digest.append("")
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([part.column(2), *found.T, digest], kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return rows.mapInArrow(run, SCHEMA)
 
