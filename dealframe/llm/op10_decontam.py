@@ -1,8 +1,10 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming search.
 
 For every distinct item length (in words) a window of that many words slides over
-each text. A window's fingerprint is a 128-bit SimHash of its weighted five-word
-shingles (weight: the times it occurs). The 128 bits are cut into 4 blocks of 32; a
+each text. A window's fingerprint is a 128-bit SimHash of its five-word shingles, where
+the n-th occurrence of a shingle is a token of its own: the weighted Jaccard
+similarity of shingles is the plain one of such tokens, and no repeated shingle
+outweighs the rest. The 128 bits are cut into 4 blocks of 32; a
 fingerprint within RADIUS of an item differs from it by at most RADIUS // 4 bits in
 one block at least, so the blocks find all items within the radius, and let by 0.4 %
 of the pairs of a window and an item that have nothing in common. Candidates are
@@ -57,16 +59,39 @@ def signs(tokens: np.ndarray) -> np.ndarray:
     return 2 * np.unpackbits(raw, axis=1).astype(np.int32) - 1
 
 
+def numbered(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The token of the n-th occurrence (from 1) of a shingle."""
+    return np.where(n == 1, tokens, mix(tokens + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def fingerprint(tokens: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """BITS bits, packed, of weighted shingle hashes."""
-    return np.packbits((weights @ signs(tokens)) > 0)
+    """BITS bits, packed, of shingle hashes that occur ``weights`` times."""
+    w = weights.astype(np.int64)
+    n = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + 1
+    return np.packbits(signs(numbered(np.repeat(tokens, w), n)).sum(0) > 0)
 
 
 def fingerprints(s: np.ndarray, width: int) -> np.ndarray:
-    """Those of all windows of ``width`` shingles of s; an occurrence weighs one."""
-    run = np.zeros((len(s) + 1, BITS), np.int32)
-    np.cumsum(signs(s), axis=0, out=run[1:])
-    return np.packbits(run[width:] - run[:-width] > 0, axis=1)
+    """Those of all windows of ``width`` shingles of s."""
+    size = len(s)
+    of = np.unique(s, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    keys = of[order] * (size + 1) + order
+    close = np.diff(keys) < width
+    if not close.any():
+        run = np.zeros((size + 1, BITS), np.int32)
+        np.cumsum(signs(s), axis=0, out=run[1:])
+        return np.packbits(run[width:] - run[:-width] > 0, axis=1)
+    # A window's first shingle goes as the last of its occurrences there; the next one comes as one more.
+    at = np.empty(size, np.int64)
+    at[order] = np.arange(size)
+    here = np.arange(size)
+    behind = at - np.searchsorted(keys, of * (size + 1) + np.maximum(here - width + 1, 0)) + 1
+    ahead = np.searchsorted(keys, of * (size + 1) + np.minimum(here + width, size)) - at
+    run = np.empty((size - width + 1, BITS), np.int32)
+    run[0] = signs(numbered(s[:width], behind[:width])).sum(0)
+    run[1:] = signs(numbered(s[width:], behind[width:])) - signs(numbered(s[: size - width], ahead[: size - width]))
+    return np.packbits(np.cumsum(run, axis=0) > 0, axis=1)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

@@ -139,3 +139,38 @@ def test_passes_of_a_large_benchmark_agree(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     one, rows, size = (sorted(tuple(r) for r in op10_decontam.hits(docs, bench, **k).collect()) for k in ({}, {"items_max": 7}, {"items_bytes": 300}))
     assert one == rows == size and [r[:2] for r in one] == [(i, i) for i, _ in items]
+
+
+def test_fingerprints_of_windows_with_repeated_shingles():
+    rng = np.random.default_rng(1)
+    for kinds in (2, 9, 400):
+        s = rng.integers(1, 1 << 63, kinds, dtype=np.uint64)[rng.integers(0, kinds, 300)]
+        for width in (1, 7, 60, 300):
+            want = [op10_decontam.fingerprint(*op10_decontam.bag(s[i : i + width])) for i in range(300 - width + 1)]
+            assert (op10_decontam.fingerprints(s, width) == np.array(want)).all()
+
+
+def test_items_with_repeated_words_are_found():
+    """Items with a word said many times, against windows whose weighted similarity is just above the threshold."""
+    rng = np.random.default_rng(6)
+    hit = tried = 0
+    for n in range(300):
+        plain, again = int(rng.integers(60, 200)), int(rng.integers(5, 40))
+        item = [f"w{n}_{i}" for i in range(plain)] + [f"r{n}"] * again
+        text = list(item)
+        index = op10_decontam.Index([1], [" ".join(item)], 5, 0.8)
+        want = index.bags[0]
+        # Words change from the end until the similarity would fall below the threshold.
+        read = lambda words: op10_decontam.shingles(index.words.hashes(*(lambda d, o: (d, *index.words.spans(d, o)[:2]))(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]))), 5)
+        for i in range(len(text) - 1, -1, -1):
+            new = text[:i] + [f"o{n}"] + text[i + 1 :]
+            if op10_decontam.similarity(op10_decontam.bag(read(new)), want) < 0.8:
+                break
+            text = new
+        s = op10_decontam.similarity(op10_decontam.bag(read(text)), want)
+        if 0.8 <= s <= 0.82:
+            tried += 1
+            words = np.frombuffer(" ".join(text).encode(), np.uint8)
+            st, en, _ = index.words.spans(words, np.array([0, len(words)]))
+            hit += bool(index.search(index.words.hashes(words, st, en)))
+    assert tried > 150 and hit >= 0.99 * tried
