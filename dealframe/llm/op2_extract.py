@@ -23,7 +23,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 from math import exp, log1p
 
@@ -56,17 +56,25 @@ CLOSES_P = BLOCK - {"br", "button", "option", "body", "html", "head"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body table ul ol dl div section article main aside nav header footer form td".split())
 NEVER = frozenset("head noscript template svg math select button option audio video object canvas".split())
-BOILER = frozenset("nav aside footer form menu dialog fieldset".split())
+BOILER = frozenset("nav aside footer menu dialog fieldset".split())
+CONTROLS = frozenset("input select textarea button".split())
+#: Class words of notices and adverts outside an article, and of readers' comments.
+NOTICES = frozenset("cookie cookies consent gdpr newsletter popup advert advertisement sponsored".split())
+COMMENTS = frozenset("comment comments reply replies respond responses discussion".split())
+#: A form with fewer words than FORM_WORDS, and as many more for each control, is a form and not a page in one.
+FORM_WORDS = 40
 #: Class words that hint at what isn't content, or is: a weak feature, where the fit starts.
 HINTS_BAD = frozenset("ad ads advert advertisement banner sponsored promo sidebar nav menu breadcrumb footer cookie cookies consent notice popup newsletter subscribe share sharing social related widget comment comments reply".split())
 HINTS_GOOD = frozenset("article content post entry story body text".split())
+#: Elements that an article or page part never stands in, where they weren't closed.
+UNCLOSED = ("nav", "head", "form", "ul", "select")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 
 class Element:
     """An open element: what it and its ancestors say by their own meaning (tags, roles, hidden), and their class words."""
 
-    __slots__ = ("name", "parent", "depth", "never", "boiler", "article", "nested", "link", "words", "below")
+    __slots__ = ("name", "parent", "depth", "never", "boiler", "article", "outer", "nest", "form", "above", "controls", "size", "link", "words", "below")
 
     def __init__(self, name: str, parent: Element | None, attrs: str) -> None:
         self.name, self.parent = name, parent
@@ -74,8 +82,20 @@ class Element:
         self.never = bool(parent and parent.never) or name in NEVER
         self.boiler = bool(parent and parent.boiler) or name in BOILER
         self.article = bool(parent and parent.article) or name in ("article", "main")
-        # An article within an article is a reader's comment or a teaser, by the meaning of HTML.
-        self.nested = bool(parent and parent.nested) or (name == "article" and parent is not None and parent.inside("article"))
+        # The outermost article element, the article within it (a comment or teaser, or a part), and the form around.
+        self.outer: Element | None = parent.outer if parent else None
+        self.nest: Element | None = parent.nest if parent else None
+        if name == "article":
+            if self.outer is None:
+                self.outer = self
+            elif self.nest is None:
+                self.nest = self
+        self.form: Element | None = parent.form if parent else None
+        self.above = self.form
+        if name == "form":
+            self.form = self
+        #: Controls of a form; words of a form, or of an article but for those of articles within it.
+        self.controls = self.size = 0
         self.link = bool(parent and parent.link) or name == "a"
         self.words: frozenset[str] = parent.words if parent else frozenset()
         # Words of elements within the article.
@@ -85,14 +105,19 @@ class Element:
         if attrs and name not in ("html", "body"):
             self._read(attrs)
 
-    def inside(self, name: str) -> bool:
-        e: Element | None = self
-        while e is not None:
-            if e.name == name:
+    def is_form(self) -> bool:
+        """Whether some form around is one, and not the frame of a page."""
+        f = self.form
+        while f is not None:
+            if f.size < FORM_WORDS * (1 + f.controls):
                 return True
-            e = e.parent
+            f = f.above
         return False
 
+    def is_aside(self) -> bool:
+        """Whether the article within an article is a comment or a teaser: by its names, or outweighed by the text around."""
+        return self.nest is not None and (bool(self.nest.words & COMMENTS) or self.outer.size >= self.nest.size)
+
     def _read(self, attrs: str) -> None:
         if "=" not in attrs:
             self.boiler = self.boiler or bool(re.search(r"(^|\s)hidden(\s|/|$)", attrs))
@@ -128,6 +153,14 @@ def parse(page: str) -> list[Block]:
     held: list[str] = []
     linked, owner = 0, top
     pos, n = 0, len(page)
+    # How many elements of a name are open: what isn't open is not looked for.
+    open_names: Counter[str] = Counter()
+
+    def close(e: Element) -> None:
+        nonlocal here
+        while here is not e:
+            open_names[here.name] -= 1
+            here = here.parent
 
     def flush() -> None:
         nonlocal linked
@@ -135,6 +168,13 @@ def parse(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
                 out.append(Block(text, min(linked, len(text)), owner))
+                size = text.count(" ") + 1
+                if (a := owner.nest or owner.outer) is not None:
+                    a.size += size
+                f = owner.form
+                while f is not None:
+                    f.size += size
+                    f = f.above
             held.clear()
         linked = 0
 
@@ -158,17 +198,19 @@ def parse(page: str) -> list[Block]:
         if closing:
             if name in BLOCK:
                 flush()
-            e = here
+            e = here if open_names[name] > 0 else top
             while e.parent and e.name != name:
                 if e.name in SCOPE and name not in SCOPE:
                     e = top
                     break
                 e = e.parent
             if e.parent:
-                here = e.parent
+                close(e.parent)
             continue
         if name in BLOCK:
             flush()
+        if name in CONTROLS and here.form is not None:
+            here.form.controls += 1
         if name in RAW:
             stop = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, pos)
             pos = stop.end() if stop else n
@@ -178,21 +220,24 @@ def parse(page: str) -> list[Block]:
         attrs = (m["attrs"] if m["name"] else m["attrs2"]) or ""
         if name in CLOSES_P or name in SAME:
             wanted = SAME.get(name, set())
-            e = here
+            e = here if open_names["p"] > 0 or any(open_names[w] > 0 for w in wanted) else top
             while e.parent and e.name not in SCOPE and e.name not in wanted and e.name != "p":
                 e = e.parent
             if e.parent and (e.name in wanted or e.name == "p"):
-                here = e.parent
+                close(e.parent)
         if name in ("article", "main", "body", "footer"):
             # These never stand inside a menu or a form that wasn't closed.
-            e = here
-            while e.parent:
-                if e.name in ("nav", "head", "form", "ul", "select"):
-                    here = e.parent
+            e, last = here, None
+            while e.parent and any(open_names[x] > 0 for x in UNCLOSED):
+                if e.name in UNCLOSED:
+                    last = e
                 e = e.parent
+            if last is not None:
+                close(last.parent)
         if attrs.rstrip().endswith("/") and name not in BLOCK:
             continue
         here = Element(name, here, attrs)
+        open_names[name] += 1
     flush()
     return out
 
@@ -236,7 +281,7 @@ def vectors(blocks: list[Block]) -> tuple[np.ndarray, list[list[int]]]:
 
 def own_label(b: Block) -> int | None:
     """What the tags around a block say: 1 article, 0 boilerplate, None nothing (also within an article, below a name that hints at other things)."""
-    if b.at.boiler or b.at.nested:
+    if b.at.boiler or b.at.is_aside() or b.at.is_form() or (b.at.below if b.at.article else b.at.words) & NOTICES:
         return 0
     return 1 if b.at.article and not b.at.below & HINTS_BAD else None
 
