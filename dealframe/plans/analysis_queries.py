@@ -48,9 +48,10 @@ def id_intersection(spark, sf_dir):
     return relational.common_items(t, "l_returnflag", "l_suppkey")
 
 
-@query("anti_join", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("anti_join", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 450000)")
 def anti_join(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select("o_custkey")
+    """Customers without a large order."""
+    c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").where("o_totalprice > 450000").select("o_custkey")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti")
 
 
@@ -141,12 +142,15 @@ def opening_seat_and_leader(spark, sf_dir):
 
 @query(
     "vulnerability_codes",
-    """select v, k, kk, b from (values ('None', 'None', 0, 'NV'), ('ns', 'N_S', 1, 'V'), ('E-W', 'E_W', 2, 'NV'), ('All', 'Both', 3, 'V'), ('?', null, null, 'NV')) t(v, k, kk, b)""",
+    f"""{W}, t(v, k, kk) as (values ('None', 'None', 0), ('ns', 'N_S', 1), ('E-W', 'E_W', 2), ('All', 'Both', 3), ('?', null, null)), x as (select (['None', 'ns', 'E-W', 'All', '?'])[(index % 5 + 1)::int] as v, Dealer from deals)
+    select x.v, x.Dealer as dealer, k, kk, case when k = 'Both' or (k = 'N_S' and x.Dealer in ('N', 'S')) or (k = 'E_W' and x.Dealer in ('E', 'W')) then 'V' else 'NV' end as b, count(*) as n from x join t on x.v = t.v group by all""",
 )
 def vulnerability_codes(spark, sf_dir):
-    t = spark.createDataFrame([("None",), ("ns",), ("E-W",), ("All",), ("?",)], "v string")
+    """Vulnerability as written in several ways, its code, and the bucket of the dealer's side, over all deals."""
+    v = F.get(F.array(*[F.lit(x) for x in ("None", "ns", "E-W", "All", "?")]), (F.col("index") % 5).cast("int"))
+    t = deals(spark, sf_dir).groupBy(v.alias("v"), F.col("Dealer").alias("dealer")).agg(F.count("*").alias("n"))
     k = A.normal_vul(F.col("v"))
-    return t.select("v", A.decode_vul(A.encode_vul(k)).alias("k"), A.encode_vul(k).alias("kk"), A.vul_bucket(k, F.lit("N")).alias("b"))
+    return t.select("v", "dealer", A.decode_vul(A.encode_vul(k)).alias("k"), A.encode_vul(k).alias("kk"), A.vul_bucket(k, F.col("dealer")).alias("b"), "n")
 
 
 @query(
@@ -280,9 +284,15 @@ def arena_running_imps(spark, sf_dir):
     return analysis.running_board_totals(a, "match", "index", "imps", "total").select("index", "match", "total")
 
 
-@query("bidding_models", "select unnest(['Actual', 'Passive']) as name")
+@query("bidding_models", f"{W} select m.name, count(*) as n, count(*) filter (where case m.name when 'Actual' then level is not null else regexp_matches(auction, '^((P|X|XX)-)*[1-7][CDHSN]') end) as n_contracts from deals, (values ('Actual'), ('Passive')) m(name) group by 1")
 def bidding_models(spark, sf_dir):
-    return spark.createDataFrame([(m,) for m in analysis.models()], "name string")
+    """Each registered model, the deals that it bids, and how many of them it brings to a contract."""
+    d = deals(spark, sf_dir)
+    out = None
+    for name in analysis.models():
+        bid = analysis.run_model(name, d).select(F.lit(name).alias("name"), A.contract(A.tokens(F.col("auction_model"))).rlike("^[1-7]").alias("c"))
+        out = bid if out is None else out.unionByName(bid)
+    return out.groupBy("name").agg(F.count("*").alias("n"), F.count_if("c").alias("n_contracts"))
 
 
 @query(

@@ -114,21 +114,13 @@ end"""
 
 @query(
     "score_table",
-    f"""with g as (select l.v::int as level, s.v::int as strain, d.v::int as dbl, b.v = 1 as v, t.v::int as tricks
-      from range(1, 8) l(v), range(5) s(v), range(3) d(v), range(2) b(v), range(14) t(v))
-    select level, strain, dbl, v as vul, tricks, ({SCORE_SQL})::int as score from g""",
+    f"""{W}, x as (select level, strain, dbl, {VUL_SQL} as v, tricks from deals where level is not null) select level, strain, dbl, v as vul, tricks, ({SCORE_SQL})::int as score, count(*) as n from x group by all""",
 )
 def score_table(spark, sf_dir):
-    g = spark.range(7 * 5 * 3 * 2 * 14)
-    i = F.col("id")
-    g = g.select(
-        (i % 7 + 1).cast("int").alias("level"),
-        (F.floor(i / 7) % 5).cast("int").alias("strain"),
-        (F.floor(i / 35) % 3).cast("int").alias("dbl"),
-        (F.floor(i / 105) % 2 == 1).alias("vul"),
-        F.floor(i / 210).cast("int").alias("tricks"),
-    )
-    return g.withColumn("score", S.score(*[F.col(c) for c in ("level", "strain", "dbl", "vul", "tricks")]))
+    """The score of every kind of result that the deals have, with how often it comes."""
+    d = deals(spark, sf_dir).where("level is not null").select("level", "strain", "dbl", A.side_vulnerable(F.col("Vul"), F.col("decl")).alias("vul"), "tricks")
+    g = d.groupBy("level", "strain", "dbl", "vul", "tricks").agg(F.count("*").alias("n"))
+    return g.select("level", "strain", "dbl", "vul", "tricks", S.score(F.col("level"), F.col("strain"), F.col("dbl"), F.col("vul"), F.col("tricks")).alias("score"), "n")
 
 
 @query("contract_scores", f"{W}, x as (select *, {VUL_SQL} as v from deals) select index, ({SCORE_SQL})::int as score, tricks - level - 6 as result from x")
@@ -142,9 +134,11 @@ IMP_ROWS = [(lo, hi - 1, i) for i, (lo, hi) in enumerate(zip([0, *S.IMP_LOWER],
 IMP_VALUES = ", ".join(map(str, IMP_ROWS))
 
 
-@query("imp_scale", f"select d.v::int as diff, imp as imp from range(0, 6000, 7) d(v), (values {IMP_VALUES}) t(lo, hi, imp) where d.v between lo and hi")
+@query("imp_scale", f"select d as diff, imp, n from (select abs(floor(l_extendedprice)::bigint % 6000) as d, count(*) as n from lineitem group by 1) x, (values {IMP_VALUES}) t(lo, hi, imp) where d between lo and hi")
 def imp_scale(spark, sf_dir):
-    return spark.range(0, 6000, 7).select(F.col("id").cast("int").alias("diff"), S.imp(F.col("id")).alias("imp"))
+    """IMPs of every difference that the lines have."""
+    d = table(spark, sf_dir, "lineitem").groupBy(F.abs(F.floor("l_extendedprice") % 6000).alias("diff")).agg(F.count("*").alias("n"))
+    return d.select("diff", S.imp(F.col("diff")).alias("imp"), "n")
 
 
 @query(
@@ -237,12 +231,13 @@ def seat_directions(spark, sf_dir):
 
 @query(
     "board_schedule",
-    f"""select b.v::int as board, substr('NESW', ((b.v - 1) % 4 + 1)::int, 1) as dealer, case when (b.v - 1) % 16 + 1 in {tuple(set(A.SCHEDULE_NS) & set(A.SCHEDULE_EW))} then 'Both'
-      when (b.v - 1) % 16 + 1 in {tuple(A.SCHEDULE_NS)} then 'N_S' when (b.v - 1) % 16 + 1 in {tuple(A.SCHEDULE_EW)} then 'E_W' else 'None' end as vul from range(1, 65) b(v)""",
+    f"""select b as board, substr('NESW', ((b - 1) % 4 + 1)::int, 1) as dealer, case when (b - 1) % 16 + 1 in {tuple(set(A.SCHEDULE_NS) & set(A.SCHEDULE_EW))} then 'Both'
+      when (b - 1) % 16 + 1 in {tuple(A.SCHEDULE_NS)} then 'N_S' when (b - 1) % 16 + 1 in {tuple(A.SCHEDULE_EW)} then 'E_W' else 'None' end as vul, n from (select (o_orderkey % 64 + 1)::int as b, count(*) as n from orders group by 1) x""",
 )
 def board_schedule(spark, sf_dir):
-    b = spark.range(1, 65)
-    return b.select(F.col("id").cast("int").alias("board"), A.board_dealer(F.col("id").cast("int")).alias("dealer"), A.board_vul(F.col("id").cast("int")).alias("vul"))
+    """Dealer and vulnerability of the boards that the orders are played on."""
+    b = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 64 + 1).cast("int").alias("board")).agg(F.count("*").alias("n"))
+    return b.select("board", A.board_dealer(F.col("board")).alias("dealer"), A.board_vul(F.col("board")).alias("vul"), "n")
 
 
 @query("contract_types", f"{W} select case when level is null then 'Pass' when level = 7 then 'GSlam' when level = 6 then 'SSlam' when level = 5 or (level = 4 and strain >= 2) or (level = 3 and strain = 4) then 'Game' else 'Partial' end as kind, count(*) as n from deals group by 1")

@@ -14,7 +14,7 @@ from dealframe.operators import bidding
 from dealframe.plans.bridge_queries import LEN, SCORE_SQL, SUIT, TOK, W
 from dealframe.plans.deals import AUCTIONS, VUL_SQL, contract_of, deals
 from dealframe.plans.registry import query
-from dealframe.plans.table_queries import FIRST, HOLDS, METRIC_CASE, NODE_SQL, SEAT_HANDS, SEATED, _points, _table, bidding_table
+from dealframe.plans.table_queries import BT, FIRST, HOLDS, METRIC_CASE, NODE_SQL, SEAT_HANDS, SEATED, _points, _table, bidding_table
 from dealframe.session import table
 from dealframe.sources import boards, club
 from dealframe.written import Written
@@ -371,10 +371,20 @@ def glob_scan(spark, sf_dir):
     return n.groupBy("file").agg(F.count("*").alias("n"), F.max("n_name").alias("last_name"))
 
 
-CHECKED = [("HCP >= 12", True), ("SL_S >= SL_H & HCP > 3", True), ("HCP >=", False), ("Nothing > 2", False), ("(HCP > 1", False)]
-
-
-@query("criteria_validate", "select * from (values " + ", ".join(f"('{t}', {ok})" for t, ok in CHECKED) + ") t(text, ok)")
+@query(
+    "criteria_validate",
+    f"""with {BT}, t as (select case when bt_index % 10 = 0 then '(' || c when bt_index % 10 = 1 then replace(c, 'HCP', 'Points') else c end as text from (select bt_index, unnest(e1) as c from bt) x)
+    select text, count(*) as n, not starts_with(text, '(') and not contains(text, 'Points >') and not contains(text, 'Points <') and not contains(text, 'Points =') or starts_with(text, 'Total_Points') as ok from t group by 1""",
+)
 def criteria_validate(spark, sf_dir):
-    """Which texts of a request are criteria over the known metrics."""
-    return spark.createDataFrame([(t, dsl.fault(t, list(C.METRICS)) is None) for t, _ in CHECKED], "text string, ok boolean")
+    """Which of the table's criteria, some of them broken by key, are criteria over the known metrics.
+
+    Distinct texts are a dictionary; each is compiled once.
+    """
+    k = F.col("bt_index") % 10
+    c = bidding_table(spark, sf_dir).select("bt_index", F.explode("Agg_Expr_Seat_1").alias("c"))
+    text = F.when(k == 0, F.concat(F.lit("("), "c")).when(k == 1, F.replace("c", F.lit("HCP"), F.lit("Points"))).otherwise(F.col("c"))
+    texts = c.groupBy(text.alias("text")).agg(F.count("*").alias("n"))
+    known = [*C.METRICS, "Balanced"]
+    told = spark.createDataFrame([(r["text"], dsl.fault(r["text"], known) is None) for r in texts.select("text").collect()], "text string, ok boolean")
+    return texts.join(told, "text")
