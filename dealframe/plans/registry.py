@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from dealframe.plans import analysis_queries, analytics_queries, augment_queries, bidding_queries, bridge_queries, core_queries, results_queries, search_queries, service_queries, table_queries  # noqa: F401
+    from dealframe.plans import analysis_queries, analytics_queries, augment_queries, bidding_queries, bridge_queries, core_queries, learning_queries, results_queries, search_queries, service_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,21 @@ def session_counts(events: DataFrame, key: str, gap: str, late: str) -> DataFram
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n"))
 
 
+def sessions_once(events: DataFrame, key: str, event: str, gap: str, late: str) -> DataFrame:
+    """(key, start, end, n): sessions over events that each count once, whichever of their copies comes first within the watermark."""
+    once = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([event])
+    runs = once.groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n"))
+    return runs.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def finished(stream: DataFrame, at: str) -> DataFrame:
+    """What a stream appends until it has read all that is there now, as a table below the shared folder ``at``."""
+    spark, out = stream.sparkSession, f"{at}/dealframe/{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def running_state(events: DataFrame, key: str) -> DataFrame:
     """(key, n, total) after each batch: a count and a sum that live in the stream's state."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dealframe.functions import criteria as C
 from dealframe.functions import par, scoring
-from dealframe.operators import bidding, boxes, relational, tree
+from dealframe.operators import bidding, boxes, posteriors, relational, rules, tree
 from dealframe.plans import search_queries as Q
 
 
@@ -112,3 +112,36 @@ def test_compound_criteria_are_told(spark):
     df = df.withColumns({f"c{s}": C.parsed(F.col(f"c{s}")) for s in (1, 2)})
     got = bidding.wrong_bids(df, {s: F.col(f"h{s}") for s in (1, 2)}, {s: F.col(f"c{s}") for s in (1, 2)}, odd, as_json=False).first()
     assert got["Invalid_Criteria_S1"] == [texts[1]] and got["Invalid_Criteria_S2"] == [texts[0]] and got["first_wrong_seat"] == 1
+
+
+def test_counted_bits_are_plain_counts(spark):
+    """130 candidates over three words, the sign bits among them, nulls as false."""
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(3), [rng.choice([True, False, None]) for _ in range(130)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, g int, f array<boolean>").repartition(3)
+    bits = df.select("g", rules.packed([F.get("f", F.lit(i)) for i in range(130)]).alias("bits"))
+    got = {r["g"]: (r["rows"], r["counts"]) for r in rules.counted_bits(bits, ["g"], "bits", 130).collect()}
+    assert got == {g: (sum(r[1] == g for r in rows), [sum(bool(r[2][i]) for r in rows if r[1] == g) for i in range(130)]) for g in range(3)}
+
+
+def test_partner_fit_is_the_convolution(spark):
+    rng = random.Random(1)
+    rows = [("x" if i % 3 else "y", rng.randrange(14), rng.randrange(9)) for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, a int, b int")
+    got = {r["k"]: r for r in posteriors.partner_fit(df, ["k"], "a", "b", 13, 8).collect()}
+    for k in "xy":
+        a, b = [r[1] for r in rows if r[0] == k], [r[2] for r in rows if r[0] == k]
+        every = [x + y for x, y in itertools.product(a, b)]
+        assert got[k]["p_fit"] == pytest.approx(np.mean([v >= 8 for v in every])) and got[k]["mean_fit"] == pytest.approx(np.mean(every))
+        assert got[k]["p_fit_seen"] == pytest.approx(np.mean([x + y >= 8 for x, y in zip(a, b)])) and got[k]["n"] == len(a)
+
+
+def test_sessions_count_copies_once(spark, tmp_path):
+    from dealframe.streaming import events
+
+    rows = [(1, 7, "2024-01-01 00:00:00"), (1, 7, "2024-01-01 00:00:00"), (2, 7, "2024-01-01 01:00:00"), (3, 7, "2024-01-01 09:00:00"), (4, 8, "2024-01-03 00:00:00")]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(str(tmp_path / "e"))
+    stream = events.event_stream(spark, str(tmp_path / "e"), df.schema)
+    got = events.finished(events.sessions_once(stream, "user_id", "event_id", "2 hours", "1 hour"), str(tmp_path)).orderBy("start").collect()
+    assert [(r["user_id"], r["n"]) for r in got] == [(7, 2), (7, 1)]
