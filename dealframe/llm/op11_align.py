@@ -41,7 +41,7 @@ from dealframe.llm._common import Scratch, Written, bound_batches, parts, table
 from dealframe.llm._pieces import SPACE, default_model
 
 #: Bytes of text in a block of documents, about; rows of pair counts that are broadcast at most; distinct units held by a task.
-BLOCK_BYTES, PAIRS_MAX, HELD = 32_000_000, 1_000_000, 600_000
+BLOCK_BYTES, PAIRS_MAX, HELD = 16_000_000, 1_000_000, 600_000
 PACKED = {"compression": "zstd"}
 STATS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in STATS) + ", groups_sha256 string"
@@ -95,11 +95,13 @@ class Coders:
         return [b"" if self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_unused(i) else text(i) for i in range(self.b.get_piece_size())]
 
     def tokens(self, units: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both sides for strings that begin with a space or line break."""
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        """Ids of both sides for units as ``units`` writes them."""
+        whole = [u if u[0] in " \n" else " " + u for u in units]
+        fast = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
+        a = [e.ids for e in fast(whole, add_special_tokens=False)]
+        b = self.b.encode([u[1:] if u[0] == " " else u for u in whole], num_threads=1)
         # A lone space is B's mark; the mark that B puts before a line break is not part of it.
-        b = [([self.mark] if u == " " else x) if u[0] == " " else x[1:] for u, x in zip(units, b, strict=True)]
+        b = [([self.mark] if u == " " else x) if u[0] == " " else x[1:] for u, x in zip(whole, b, strict=True)]
         return list(zip(a, b, strict=True))
 
     def _kept(self, text: str) -> bool:
@@ -120,18 +122,17 @@ class Coders:
         return b"".join(self.a_bytes[i] for i in a) == whole == b"".join(self.b_bytes[i] for i in b)
 
     def units(self, text: str) -> list[str]:
-        """The units of a space and the text."""
-        text = " " + text
+        """The units of a space and the text, each without its leading space where no space or line break follows that."""
         if not self.cuttable:
-            return [text]
-        if _ODD.search(text) or text[-1].isspace():
-            return _UNIT.findall(text)
+            return [" " + text]
+        if _ODD.search(text) or text[0].isspace() or text[-1].isspace():
+            return [u[1:] if u[0] == " " and u[1:2] not in ("", " ", "\n") else u for u in _UNIT.findall(" " + text)]
         lines = text.split("\n")
-        out = [" " + w for w in lines[0][1:].split(" ")]
+        out = lines[0].split(" ")
         for line in lines[1:]:
-            w = line.split(" ")
-            out.append("\n" + w[0])
-            out += [" " + x for x in w[1:]]
+            words = line.split(" ")
+            words[0] = "\n" + words[0]
+            out += words
         return out
 
 
