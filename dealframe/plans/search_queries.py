@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dealframe.functions import auction as A
 from dealframe.functions import scoring as S
-from dealframe.operators import boxes, tree
+from dealframe.operators import boxes, divergence, tree
 from dealframe.plans.bridge_queries import SCORE_SQL, TOK, W
 from dealframe.plans.deals import deals
 from dealframe.plans.registry import query
@@ -82,17 +82,25 @@ def bids_of_parts(spark, sf_dir):
     b3 = b2 + 1 + F.floor(k / 54) % 5
     b4 = b3 + 1 + F.floor(k / 270) % 7
     ends = table(spark, sf_dir, "part").select(F.slice(F.array(*[b.cast("int") for b in (b1, b2, b3, b4)]), F.lit(1), (k % 3 + 2).cast("int")).alias("bids")).distinct()
-    text = F.transform("bids", lambda b: F.concat((F.floor(b / 5) + 1).cast("string"), F.substring(F.lit("CDHSN"), b % 5 + 1, F.lit(1))))
-    return ends.select(F.concat(F.array_join(text, "-P-"), F.lit("-P-P-P")).alias("node"), "bids")
+    return ends.select(_text("bids").alias("node"), "bids")
 
 
-def search_tree(spark, sf_dir):
-    """Nodes with the number of their last bid, the seat that called, the signature of an end, and the signatures below."""
-    ends = bids_of_parts(spark, sf_dir)
+def _signature():
+    """Of an auction's bids: the last one, and whether opener or responder declares it."""
     last = F.element_at("bids", -1)
     # Declarer: the first of the side to name the strain, opener 0 or responder 1; both are the dealer's side.
     first = F.array_position(F.transform("bids", lambda b: b % 5), last % 5)
-    ends = Written(ends.select("node", (last + 35 * ((first - 1) % 2)).cast("int").alias("signature"))).df
+    return (last + 35 * ((first - 1) % 2)).cast("int")
+
+
+def _text(bids):
+    """An uncontested auction with these bids, each followed by a pass."""
+    return F.concat(F.array_join(F.transform(bids, lambda b: F.concat((F.floor(b / 5) + 1).cast("string"), F.substring(F.lit("CDHSN"), b % 5 + 1, F.lit(1)))), "-P-"), F.lit("-P-P-P"))
+
+
+def search_tree(spark, sf_dir):
+    """Nodes with the number of their last bid, the seat that called, the signature of an end, and the signatures below."""
+    ends = Written(bids_of_parts(spark, sf_dir).select("node", _signature().alias("signature"))).df
     t = F.split("node", "-")
     steps = ends.select("signature", F.explode(F.sequence(F.lit(1), F.size(t))).alias("depth"), t.alias("t"))
     steps = steps.select("signature", "depth", F.array_join(F.slice("t", F.lit(1), F.col("depth")), "-").alias("node"), F.get("t", F.col("depth") - 1).alias("call"))
@@ -120,10 +128,15 @@ def search_deals(spark, sf_dir):
     """(index, opener's and responder's points and lengths S H D C, scores by signature for the dealer's side)."""
     p = _points(spark, sf_dir)
     hands = p.select("index", *[F.col(f"HCP_{s}").alias(f"h{s}") for s in (1, 3)], *[F.array(*[F.col(f"SL_{x}_{s}") for x in "SHDC"]).alias(f"l{s}") for s in (1, 3)])
+    return scores_by_signature(spark, sf_dir).join(hands, "index")
+
+
+def scores_by_signature(spark, sf_dir):
+    """(index, scores): of the 35 contracts by the dealer, then by the dealer's partner."""
     scores = F.lit(S.undoubled_scores())
     d = deals(spark, sf_dir).select("index", _tricks().alias("dd"), (F.instr(F.lit("NESW"), F.col("Dealer")) - 1).alias("first"), A.side_vulnerable(F.col("Vul"), F.col("Dealer")).cast("int").alias("v"))
     of = lambda s: F.get(scores, (F.col("v") * 35 + s % 35) * 14 + F.get("dd", (F.col("first") + 2 * F.floor(s / 35).cast("int")) % 4 * 5 + s % 5))
-    return d.select("index", F.transform(F.lit(list(range(70))), of).alias("scores")).join(hands, "index")
+    return d.select("index", F.transform(F.lit(list(range(70))), of).alias("scores"))
 
 
 def auction_search(spark, sf_dir, best: int = 3) -> tuple[tree.Search, object]:
@@ -148,3 +161,59 @@ def best_auctions_search(spark, sf_dir):
     """The three best ends that each deal's hands may reach, by a search of the tree round by round."""
     search, _ = auction_search(spark, sf_dir)
     return search.run(search_deals(spark, sf_dir))
+
+
+# The auction that each deal's dealer and partner bid, by arithmetic on the order's key; some of it lies in the tree.
+SAID_SQL = """sb as (select index, index % 9 as b1, index % 9 + 1 + index // 9 % 7 as b2, index % 9 + 2 + index // 9 % 7 + index // 63 % 6 as b3, index % 9 + 3 + index // 9 % 7 + index // 63 % 6 + index // 378 % 7 as b4, 2 + index % 3 as n from deals),
+sd as (select index, ([b1, b2, b3, b4])[:n] as bids from sb),
+sa as (select index, bids, array_to_string(list_transform(bids, lambda b: (b // 5 + 1)::text || substr('CDHSN', b % 5 + 1, 1)), '-P-') || '-P-P-P' as auction from sd)"""
+SIGNATURE_SQL = "(bids[-1] + 35 * ((list_position(list_transform(bids, lambda v: v % 5), bids[-1] % 5) - 1) % 2))::int"
+
+
+def said(spark, sf_dir):
+    """(index, auction, signature) of each deal's own auction."""
+    k = F.col("index")
+    b1 = k % 9
+    b2 = b1 + 1 + F.floor(k / 9) % 7
+    b3 = b2 + 1 + F.floor(k / 63) % 6
+    b4 = b3 + 1 + F.floor(k / 378) % 7
+    d = deals(spark, sf_dir).select("index", F.slice(F.array(*[b.cast("int") for b in (b1, b2, b3, b4)]), F.lit(1), (k % 3 + 2).cast("int")).alias("bids"))
+    return d.select("index", _text("bids").alias("auction"), _signature().alias("signature"))
+
+
+def whole_tree(spark, sf_dir):
+    """(node, signatures) of every prefix of the tree's auctions, the root's node being ''."""
+    ends = bids_of_parts(spark, sf_dir).select(F.split("node", "-").alias("t"), _signature().alias("signature"))
+    steps = ends.select("signature", "t", F.explode(F.sequence(F.lit(0), F.size("t"))).alias("n"))
+    node = F.array_join(F.slice("t", F.lit(1), F.col("n")), "-")
+    return steps.groupBy(node.alias("node")).agg(F.array_sort(F.collect_set("signature")).alias("signatures"))
+
+
+@query(
+    "auction_losses",
+    f"""{PAR_SQL}, {BIDS_SQL}, {SAID_SQL}, es as (select string_split(node, '-') as t, {SIGNATURE_SQL} as sg from ev),
+    tn as (select array_to_string(t[1:i], '-') as node, list(distinct sg) as sgs from es, range(0, 40) r(i) where i <= len(t) group by 1),
+    ds as (select index, s.v::int as sg, (s.v % 35 // 5 + 1)::int as level, (s.v % 5)::int as strain, 0 as dbl, Vul = 'Both' or (Vul = 'N_S' and Dealer in ('N', 'S')) or (Vul = 'E_W' and Dealer in ('E', 'W')) as v,
+      ((index * (((instr('NESW', Dealer) - 1 + 2 * (s.v // 35)) % 4) * 5 + s.v % 5 + 3)) % 14)::int as tricks from deals, range(70) s(v)),
+    sv as (select index, sg, ({SCORE_SQL})::int as score from ds),
+    ow as (select sa.index, auction, score from sa join sv on sv.index = sa.index and sv.sg = {SIGNATURE_SQL}),
+    px as (select auction, i::int as step, array_to_string(string_split(auction, '-')[1:i], '-') as node from (select distinct auction from sa), range(0, 40) r(i) where i <= len(string_split(auction, '-'))),
+    sh as (select auction, step, px.node, sgs from px join tn on tn.node = px.node),
+    bd as (select ow.index, sh.auction, sh.step, sh.node, max(sv.score) as best from ow join sh using (auction), unnest(sh.sgs) g(x) join sv on sv.index = ow.index and sv.sg = g.x group by all),
+    ls as (select index, max(step) as depth, arg_max(node, step) as node, arg_max(best, step) as best from bd group by 1),
+    rc as (select index, step, best from bd union all select index, depth + 1, score from ls join ow using (index) where depth < len(string_split(auction, '-'))),
+    fl as (select index, step, lag(best) over (partition by index order by step) - best as fall from rc),
+    cr as (select index, arg_max(step, fall * 100 - step) as step, max(fall) as fall from fl where fall > 0 group by 1)
+    select index, auction, case when depth < len(string_split(auction, '-')) then depth + 1 end as step, node, best, score, case when Dealer in ('N', 'S') then par else -par end as par, best - score as loss, cr.step as critical_step, cr.fall as critical_loss
+    from ow join ls using (index) join (select index, Dealer from deals) d using (index) join pr using (index) left join cr using (index)""",
+)
+def auction_losses(spark, sf_dir):
+    """Where each deal's auction leaves the tree, what could still be reached there, and the call that lost most; par for the dealer's side."""
+    nodes = Written(whole_tree(spark, sf_dir)).df
+    d = deals(spark, sf_dir)
+    own = F.when(F.col("Dealer").isin("N", "S"), F.col("_par")).otherwise(-F.col("_par"))
+    pars = d.select("index", "Dealer", par(_tricks(), F.col("Vul"), F.col("Dealer")).alias("_par")).select("index", own.alias("par"))
+    told = said(spark, sf_dir).join(scores_by_signature(spark, sf_dir), "index").join(pars, "index").withColumn("score", F.get("scores", F.col("signature")))
+    shared = divergence.shared_nodes(divergence.longest_prefix(told.select("auction"), nodes), nodes)
+    out = divergence.losses(told, shared)
+    return out.select("index", "auction", "step", "node", "best", "score", "par", "loss", "critical_step", "critical_loss")

@@ -29,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
 class Written:
     """A table in the shared folder. It can be dropped early, and goes at the end of the application otherwise."""
 
-    def __init__(self, df: DataFrame, kind: str = "parquet", **options):
-        """kind: the format; options: of its writer and reader."""
+    def __init__(self, df: DataFrame, kind: str = "parquet", by: tuple[str, ...] | list[str] = (), **options):
+        """kind: the format; by: columns with few values, a folder each; options: of its writer and reader."""
         spark = df.sparkSession
         self.spark, self.path = spark, f"{shared_dir(spark)}/dealframe/{uuid.uuid4().hex}"
-        df.write.format(kind).options(**options).save(self.path)
+        df.write.format(kind).options(**options).partitionBy(*by).save(self.path)
         fs, path = self._place()
         fs.deleteOnExit(path)
         self.df = spark.read.format(kind).options(**options).schema(df.schema).load(self.path)

@@ -145,3 +145,49 @@ def test_sessions_count_copies_once(spark, tmp_path):
     stream = events.event_stream(spark, str(tmp_path / "e"), df.schema)
     got = events.finished(events.sessions_once(stream, "user_id", "event_id", "2 hours", "1 hour"), str(tmp_path)).orderBy("start").collect()
     assert [(r["user_id"], r["n"]) for r in got] == [(7, 2), (7, 1)]
+
+
+def test_longest_prefix_by_bits(spark):
+    """Random trees and auctions up to 21 calls: as many shared calls as a plain loop finds."""
+    from dealframe.operators import divergence
+
+    rng = random.Random(11)
+    said = lambda n: "-".join(rng.choice("PXA") for _ in range(n))
+    tree_ends = [said(rng.randint(1, 21)) for _ in range(60)]
+    nodes = {"-".join(e.split("-")[:i]) for e in tree_ends for i in range(1, e.count("-") + 2)}
+    auctions = [said(rng.randint(1, 23)) for _ in range(80)] + tree_ends[:9] + [e + "-A-A" for e in tree_ends[9:30]] + ["", "Z", tree_ends[0]]
+    n = spark.createDataFrame([(x,) for x in nodes] + [("",), (tree_ends[0],)], "node string")
+    a = spark.createDataFrame([(x,) for x in auctions] + [(None,)], "auction string").repartition(3)
+    got = {r["auction"]: r["depth"] for r in divergence.longest_prefix(a, n).collect()}
+    depth = lambda x: max((i for i in range(1, x.count("-") + 2) if "-".join(x.split("-")[:i]) in nodes), default=0)
+    assert got == {x: depth(x) for x in set(auctions)}
+    assert {r["depth"] for r in divergence.longest_prefix(a, n.where("false")).collect()} == {0}
+    assert not divergence.longest_prefix(a.where("false"), n).collect()
+
+
+def test_losses_find_the_call_that_lost_most(spark):
+    from dealframe.operators import divergence
+
+    nodes = spark.createDataFrame([("", [0, 1, 2]), ("A", [0, 1]), ("B", [2]), ("A-A", [0]), ("A-B", [1])], "node string, signatures array<int>")
+    scores = [10, 50, 90]
+    rows = [(1, "A-A", 10), (2, "A-C-D", -20), (3, "B", 90), (4, "", 5), (5, "C", 200), (6, None, 0)]
+    d = spark.createDataFrame([(i, a, scores, s) for i, a, s in rows], "index long, auction string, scores array<int>, score int")
+    shared = divergence.shared_nodes(divergence.longest_prefix(d.select("auction"), nodes), nodes)
+    got = {r["index"]: tuple(r)[4:] for r in divergence.losses(d, shared).collect()}
+    assert got == {
+        1: (None, "A-A", 10, 0, 1, 40),
+        2: (2, "A", 50, 70, 2, 70),
+        3: (None, "B", 90, 0, None, None),
+        4: (None, "", 90, 85, None, None),
+        5: (1, "", 90, -110, None, None),
+        6: (None, None, None, None, None, None),
+    }
+
+
+def test_par_contracts(spark):
+    from dealframe.operators import divergence
+
+    df = spark.createDataFrame([("4SX-N-1, 4HN=; 5cx EW -2,3NT,junk,,8S",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(divergence.par_contracts(F.col("t"))).collect()]
+    assert [tuple(x) for x in got[0]] == [(4, 3, 1, "N", -1), (4, 2, 0, "N", 0), (5, 0, 1, "EW", -2), (3, 4, 0, None, None)]
+    assert got[1] == [] and got[2] is None
