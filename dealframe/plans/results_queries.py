@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dealframe import sqlapi
@@ -14,6 +16,8 @@ from dealframe.plans.deals import VUL_SQL, deals, hands
 from dealframe.plans.registry import query
 from dealframe.session import table
 from dealframe.sources import boards
+from dealframe.sources.ledger import LinStore
+from dealframe.written import shared_dir
 
 DD = [(d, s) for d in "NESW" for s in "CDHSN"]
 
@@ -136,3 +140,66 @@ def wrong_seat_first(spark, sf_dir):
     wrong = [p[0] < 8, p[1] > 14, p[2] < 5, p[3] > 16]
     first = F.coalesce(*[F.when(w, F.lit(i + 1)) for i, w in enumerate(wrong)])
     return deals(spark, sf_dir).groupBy(first.alias("seat")).agg(F.count("*").alias("n"))
+
+
+# Files of LIN records: some boards lack their vulnerability or their dealer; a board has up to ten cards played.
+FILE_SQL = "fi as (select index, index // 400 as file, index % 37 = 0 or index % 41 = 0 as bad, (index % 11)::int as played, auction from deals)"
+
+_STORES: dict[tuple[str, str], LinStore] = {}
+
+
+def _lin_files(d):
+    """(file, value): a LIN text for every 400 keys."""
+    k = F.col("index")
+    hand = lambda x: F.concat(*[F.concat(F.lit(s), F.get(F.split(F.col(f"Hand_{x}"), r"\.", -1), F.lit(i))) for i, s in enumerate("SHDC")])
+    calls = F.array_join(F.transform(F.split("auction", "-"), lambda t: F.concat(F.lit("mb|"), t, F.lit("|"))), "")
+    plays = F.array_join(F.array_repeat(F.lit("pc|SA|"), (k % 11).cast("int")), "")
+    dealer = F.when(k % 41 == 0, "").otherwise(F.instr(F.lit("SWNE"), F.col("Dealer")).cast("string"))
+    vul = F.when(k % 37 == 0, "").otherwise(F.element_at(F.create_map(*[F.lit(x) for x in ("None", "o", "N_S", "n", "E_W", "e", "Both", "b")]), F.col("Vul")))
+    text = F.concat(F.lit("qx|o1|md|"), dealer, hand("S"), F.lit(","), hand("W"), F.lit(","), hand("N"), F.lit("|sv|"), vul, F.lit("|ah|Board "), k.cast("string"), F.lit("|"), calls, F.lit("pg||"), plays)
+    return d.select(F.floor(k / 400).alias("file"), "index", text.alias("t")).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "t"))), lambda x: x["t"]), "\n").alias("value"))
+
+
+def lin_store(spark, sf_dir) -> LinStore:
+    """Two of three files, then all of them, then nothing new: three runs into one store, once a session and table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        at = f"{shared_dir(spark)}/dealframe/{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        files, store = _lin_files(deals(spark, sf_dir)), LinStore(spark, f"{at}/store")
+        for part in (F.col("file") % 3 != 0, F.col("file") % 3 == 0, None):
+            if part is not None:
+                # One file a row: a folder each.
+                files.where(part).repartition("file").write.mode("append").partitionBy("file").text(f"{at}/files")
+            store.ingest(f"{at}/files", "*.txt")
+        _STORES[key] = store
+    return _STORES[key]
+
+
+@query(
+    "lin_ingestion",
+    f"""{W}, {FILE_SQL}, r as (select * from range(1, 4) t(run)), c as (select run, count(distinct file) filter (where run > 1 or file % 3 <> 0) as files, count(distinct file) filter (where (run = 1 and file % 3 <> 0) or (run = 2 and file % 3 = 0)) as new_files,
+    count(*) filter (where not bad and ((run = 1 and file % 3 <> 0) or (run = 2 and file % 3 = 0))) as boards, count(*) filter (where bad and ((run = 1 and file % 3 <> 0) or (run = 2 and file % 3 = 0))) as rejected from r, fi group by 1)
+    select run, files, new_files, files - new_files as skipped_files, boards, rejected from c""",
+)
+def lin_ingestion(spark, sf_dir):
+    """What each of three runs over a growing folder of LIN files saw, read, skipped and rejected."""
+    return lin_store(spark, sf_dir).runs()
+
+
+@query(
+    "lin_boards",
+    f"""{W}, {FILE_SQL} select d.index::int as board, Dealer as dealer, Vul as vul, Hand_N, Hand_E, Hand_S, Hand_W, d.auction, len(string_split(d.auction, '-'))::int as n_calls, played as n_plays, (case when played > 0 then (played - 1) // 4 + 1 end)::int as last_trick
+    from deals d join fi using (index) where not bad""",
+)
+def lin_boards(spark, sf_dir):
+    """Every board of the store, with its nested calls and plays."""
+    b = lin_store(spark, sf_dir).boards()
+    return b.select("board", "dealer", "vul", *[f"Hand_{d}" for d in "NESW"], "auction", F.size("calls").alias("n_calls"), F.size("plays").alias("n_plays"), F.array_max(F.transform("plays", lambda p: p["trick"])).alias("last_trick"))
+
+
+@query("lin_rejects", f"{W}, {FILE_SQL} select case when index % 41 = 0 then 'no dealer' else 'no vulnerability' end as reason, count(*) as n from fi where bad group by 1")
+def lin_rejects(spark, sf_dir):
+    """Records that are no boards, by reason."""
+    return lin_store(spark, sf_dir).rejects().groupBy("reason").agg(F.count("*").alias("n"))

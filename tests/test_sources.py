@@ -59,3 +59,50 @@ def test_stream(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) as n from counts").first()["n"] == e.count()
+
+
+def test_lin_store_reads_new_files_only(spark, tmp_path):
+    """Added, changed, touched and put-back files, two boards in a file, rejects, Latin-1, an empty file."""
+    import os
+
+    from dealframe.sources.ledger import LinStore
+
+    src = tmp_path / "in"
+    src.mkdir()
+    deal = "SAKQJHT98D765C432,ST98HAKQJDT98C765,S765H765DAKQJCT98"
+    board = lambda n, calls="mb|1N!|an|strong|mb|p|mb|p|mb|p|", vul="n", dealer="3": f"qx|o{n}|md|{dealer}{deal}|sv|{vul}|ah|Board {n}|{calls}pg||pc|s10|pc|S2|pc|x|mc|9|"
+    (src / "a.lin").write_text("vg|x|pn|a,b,c,d|" + board(1) + board(2, vul="q"))
+    (src / "b.lin").write_bytes(("pn|é,b,c,d|" + board(3)).encode("latin-1"))
+    (src / "c.lin").write_text(" \n")
+    (src / "none.lin").write_text("")
+    (src / "d.lin").write_text(board(4, dealer="") + board(5).replace("SAKQJ", "SAKQJT"))
+    (src / "e.txt").write_text(board(9))
+    store = LinStore(spark, str(tmp_path / "store"), files=3)
+    assert not store.boards().collect() and not store.rejects().collect()
+
+    def run():
+        n = store.ingest(str(src))
+        return tuple(store.runs().where(f"run = {n}").first())
+
+    assert run() == (1, 4, 4, 0, 2, 4)
+    assert sorted((os.path.basename(r["path"]), r["record"], r["reason"]) for r in store.rejects().collect()) == [("a.lin", 2, "no vulnerability"), ("c.lin", 1, "no deal"), ("d.lin", 1, "no dealer"), ("d.lin", 2, "cards")]
+    one = store.boards().where("board = 1").first()
+    assert [tuple(c) for c in one["calls"]][:2] == [(1, "1N", True, "strong"), (2, "P", False, None)]
+    assert [tuple(c) for c in one["plays"]] == [(1, 1, "ST"), (2, 1, "S2")]
+    assert (one["dealer"], one["vul"], one["auction"], one["claim"], one["Hand_E"]) == ("N", "N_S", "1N-P-P-P", 9, "432.432.432.AKQJ")
+    assert run() == (2, 4, 0, 4, 0, 0)
+    old = (src / "a.lin").read_text()
+    os.utime(src / "b.lin", (1, 1))
+    (src / "a.lin").write_text(board(7) + board(8))
+    (src / "f.lin").write_text(board(6))
+    assert run() == (3, 5, 2, 3, 3, 0)
+    assert sorted(r["board"] for r in store.boards().collect()) == [3, 6, 7, 8]
+    (src / "a.lin").write_text(old)
+    os.utime(src / "a.lin", (5, 5))
+    assert run() == (4, 5, 0, 5, 0, 0)
+    assert sorted(r["board"] for r in store.boards().collect()) == [1, 3, 6]
+    assert run()[2:] == (0, 5, 0, 0)
+    # A chunk whose ledger rows were never written doesn't count.
+    store.boards().select("path", "board").limit(1).selectExpr("*", "'lost' as chunk", "1 as extra").write.mode("append").partitionBy("chunk").parquet(str(tmp_path / "store" / "boards"))
+    assert sorted(r["board"] for r in store.boards().collect()) == [1, 3, 6]
+    assert "extra" in store.boards().columns
