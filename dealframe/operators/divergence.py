@@ -80,9 +80,11 @@ def losses(deals: DataFrame, shared: DataFrame) -> DataFrame:
     size = _calls(F.col("auction"))
     best = F.transform("below", lambda s: F.array_max(F.transform(s, lambda i: F.get(F.col("scores"), i))))
     j = deals.join(shared, "auction", "left").withColumn("_best", best).withColumn("_left", F.col("depth") < size)
-    reached = F.when(F.col("_left"), F.concat("_best", F.array("score"))).otherwise(F.col("_best"))
-    j = j.withColumn("_falls", F.zip_with(F.slice(reached, F.lit(1), F.size(reached) - 1), F.slice(reached, F.lit(2), F.size(reached) - 1), lambda a, b: a - b))
-    most = F.array_max("_falls")
+    # A column each, so that none is worked out anew where the next reads it twice.
+    j = j.withColumn("_reached", F.when(F.col("_left"), F.concat("_best", F.array("score"))).otherwise(F.col("_best")))
+    falls = lambda a, i: F.get(F.col("_reached"), i) - a
+    j = j.withColumn("_falls", F.transform(F.slice("_reached", 2, 1 << 20), falls)).withColumn("_most", F.array_max("_falls"))
+    most = F.col("_most")
     falls = most > 0
     at = F.element_at("_best", -1)
     return j.select(
