@@ -11,7 +11,8 @@ on the same sample.
 Defined cases: null or empty text is one empty line and gets a score as any other;
 an empty table gives no rows; with no usable labels every score is 0.5; a null or
 repeated doc_id is scored row by row; an input column with an output's name is
-replaced. Ties need no rule, as a score depends on its own text alone.
+replaced. Ties need no rule, as a score depends on its own text alone. Very long texts,
+in one line or in millions, are scored whole: features by pieces, the chain by links.
 """
 
 from __future__ import annotations
@@ -31,6 +32,13 @@ from dealframe.llm._text import Words, blocks
 MAX_TRAIN_DOCS = 3000
 #: Bytes of text that it is fitted on at most.
 MAX_TRAIN_BYTES = 50_000_000
+#: Lines that it is fitted on at most; a text that would go beyond them teaches nothing.
+MAX_TRAIN_LINES = 1_000_000
+#: Lines of a text that are walked one after the other; longer texts go in links of so many.
+CHAIN = 1024
+#: A text of more bytes has its features worked out for at most so many bytes (a line at least) and lines at a time.
+PIECE_BYTES = 1 << 20
+PIECE_LINES = 1 << 16
 PENALTY = 1e-3
 THRESHOLD = 0.7
 
@@ -115,36 +123,81 @@ class LineFeatures:
         return x, size, first
 
 
+def _links(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts cut into links of at most ``CHAIN`` lines: first line, number of lines, and place within the text of each."""
+    lines = np.diff(first)
+    links = np.maximum(-(-lines // CHAIN), 1)
+    rank = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
+    start = np.repeat(first[:-1], links) + rank * CHAIN
+    return start, np.minimum(np.repeat(first[1:], links) - start, CHAIN), rank
+
+
+def _borders(e: np.ndarray, t: np.ndarray, start: np.ndarray, active: np.ndarray, rank: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What reaches each link from the lines before it, and from those behind it, from the products of its steps.
+
+    link: the place in this order of each link in order of lines; a text's links follow each other.
+    """
+    m = np.empty((len(start), 2, 2))
+    for s, k in enumerate(active):
+        at = e[start[:k] + s][:, None, :]
+        m[:k] = (m[:k] @ t if s else np.where(rank[:, None, None] > 0, t, np.eye(2))) * at
+        m[:k] /= m[:k].sum((1, 2), keepdims=True)
+    enter, leave = np.ones((len(start), 2)), np.ones((len(start), 2))
+    chain = rank[link]
+    for r in range(1, chain.max() + 1):
+        now, before = link[chain == r], link[np.flatnonzero(chain == r) - 1]
+        v = (enter[before][:, None, :] @ m[before])[:, 0]
+        enter[now] = v / v.sum(1, keepdims=True)
+    for r in range(chain.max(), 0, -1):
+        now, before = link[chain == r], link[np.flatnonzero(chain == r) - 1]
+        v = (m[now] @ leave[now][:, :, None])[:, :, 0]
+        leave[before] = v / v.sum(1, keepdims=True)
+    return enter, leave
+
+
 def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """P(line is good) by forward-backward, the expected transitions (2 x 2), and the sum of the texts' log partition functions.
 
     emit: the log-odds of good of each line. Texts advance together, longest first,
-    so that a step costs as many rows as there are texts of that length or more.
+    so that a step costs as many rows as there are texts of that length or more. Texts of
+    more than ``CHAIN`` lines go in links that advance together too: the product of a
+    link's steps carries the chain across it in both directions, which tells each link
+    what its neighbours say before its own lines are walked.
     """
     n = len(emit)
-    size = np.diff(first)
+    start, size, rank = _links(first)
     order = np.argsort(-size, kind="stable")
-    start, size = first[:-1][order], size[order]
+    link = np.empty(len(order), np.int64)
+    link[order] = np.arange(len(order))
+    start, size, rank = start[order], size[order], rank[order]
     active = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")
     e = np.zeros((n, 2))
     e[:, 1] = emit
     e = np.exp(e - np.maximum(emit, 0)[:, None])
     t = np.exp(trans - trans.max())
     fw, bw = np.empty((n, 2)), np.ones((n, 2))
-    logz = np.maximum(emit, 0).sum() + trans.max() * (size - 1).sum()
+    logz = np.maximum(emit, 0).sum() + trans.max() * (np.diff(first) - 1).sum()
+    later = rank > 0
+    if later.any():
+        enter, leave = _borders(e, t, start, active, rank, link)
+        bw[start + size - 1] = leave
     for s, k in enumerate(active):
         at = start[:k] + s
         v = e[at] if not s else (fw[at - 1] @ t) * e[at]
+        if not s and later.any():
+            v[later] = (enter[later] @ t) * e[at[later]]
         total = v.sum(1, keepdims=True)
         fw[at] = v / total
         logz += np.log(total).sum()
     pairs = np.zeros((2, 2))
-    for s in range(len(active) - 1, 0, -1):
+    for s in range(len(active) - 1, -1, -1):
         at = start[: active[s]] + s
+        at = at if s else at[later]
         m = e[at] * bw[at]
-        v = m @ t.T
-        v /= v.sum(1, keepdims=True)
-        bw[at - 1] = v
+        if s:
+            v = m @ t.T
+            v /= v.sum(1, keepdims=True)
+            bw[at - 1] = v
         joint = fw[at - 1][:, :, None] * t[None] * m[:, None, :]
         pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
     post = fw * bw
@@ -159,10 +212,27 @@ class QualityModel:
 
     def documents(self, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The length-weighted mean marginal of each text."""
-        good, _, _ = marginals(x @ self.weights, first, self.trans)
+        return self._means(x @ self.weights, size, first)
+
+    def _means(self, emit: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+        good, _, _ = marginals(emit, first, self.trans)
         w = size + 1
         return np.add.reduceat(good * w, first[:-1]) / np.add.reduceat(w, first[:-1])
 
+    def document(self, feats: LineFeatures, data: np.ndarray) -> np.ndarray:
+        """``documents`` of one long text: features of a run of lines at a time, each with the lines beside it; only log-odds and lengths are kept."""
+        nl = np.flatnonzero(data == 10)
+        lo, hi = np.concatenate([[0], nl + 1]), np.concatenate([nl, [len(data)]])
+        emits, sizes, a = [], [], 0
+        while a < len(lo):
+            b = min(a + PIECE_LINES, max(a + 1, int(np.searchsorted(hi, lo[a] + PIECE_BYTES, "right"))), len(lo))
+            c, d = max(a - 1, 0), min(b + 1, len(lo))
+            x, size, _ = feats(data[lo[c] : hi[d - 1]], np.array([0, hi[d - 1] - lo[c]]))
+            emits.append((x @ self.weights)[a - c : b - c])
+            sizes.append(size[a - c : b - c])
+            a = b
+        return self._means(np.concatenate(emits), np.concatenate(sizes), np.array([0, len(lo)]))
+
     def scores(self, mean: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.curve[0] * (mean - 0.5) + self.curve[1])))
 
@@ -230,7 +300,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 200) -> QualityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_bytes: int = MAX_TRAIN_BYTES) -> QualityModel:
-    """Fit on at most ``max_docs`` labelled documents of ``max_bytes`` in all, outside the held-out fold (crc32 mod 4 = 2).
+    """Fit on at most ``max_docs`` labelled documents of ``max_bytes`` and ``MAX_TRAIN_LINES`` in all, outside the held-out fold (crc32 mod 4 = 2).
 
     An id with both labels teaches nothing; of an id's rows the shortest (then least) text teaches.
     """
@@ -250,7 +320,12 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_len", F.octet_length("text").cast("long"))
     rows = text.join(F.broadcast(want), ["doc_id", "_len"]).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_label").alias("_label")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [r["_label"] for r in rows])
+    taught, room = [], MAX_TRAIN_LINES
+    for r in rows:
+        if (lines := r["text"].count("\n") + 1) <= room:
+            taught.append(r)
+            room -= lines
+    return fit([r["text"] for r in taught], [r["_label"] for r in taught])
 
 
 def with_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, out: str = "score") -> DataFrame:
@@ -260,7 +335,8 @@ def with_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None =
         feats = LineFeatures()
 
         def batch(b: pa.RecordBatch) -> list[pa.Array]:
-            got = [model.scores(model.documents(*feats(data, offs))) for _, _, data, offs in blocks(b.column("text"))]
+            means = [model.document(feats, data) if len(offs) == 2 and len(data) > PIECE_BYTES else model.documents(*feats(data, offs)) for _, _, data, offs in blocks(b.column("text"))]
+            got = [model.scores(m) for m in means]
             return [pa.array(np.concatenate(got), pa.float64())]
 
         return batch
