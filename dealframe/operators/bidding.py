@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,13 @@ def nodes(auctions: DataFrame, tokens: str) -> DataFrame:
     return with_row_index(every, ["node"], "bt_index")
 
 
+def once_each(rows: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    """rows with columns that depend on the keys alone, worked out once for each distinct combination of keys and joined back; null keys too."""
+    known = rows.select(*keys).distinct().withColumns(columns).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return rows.join(known, reduce(Column.__and__, same), "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def edges(table: DataFrame) -> DataFrame:
     """(parent_index, bt_index, call): the table joined to itself by node; the root's parent is null."""
     up = table.select(F.col("bt_index").alias("parent_index"), F.col("node").alias("parent"))

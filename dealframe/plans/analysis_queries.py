@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from dealframe.functions import auction as A
 from dealframe.functions import hand as H
 from dealframe.functions import scoring as S
-from dealframe.operators import analysis, relational, stats, tournament
+from dealframe.operators import analysis, bidding, relational, stats, tournament
 from dealframe.plans.bridge_queries import HCP, IMP_VALUES, LEN, SCORE_SQL, SUIT, TOK, W
-from dealframe.plans.deals import AUCTIONS, VUL_SQL, contract_of, deals, hands
+from dealframe.plans.deals import AUCTIONS, VUL_SQL, bids, contract_of, deals, hands
 from dealframe.plans.registry import query
 from dealframe.session import table
 
@@ -137,7 +137,8 @@ def french_dates(spark, sf_dir):
 )
 def opening_seat_and_leader(spark, sf_dir):
     t, d = A.tokens(F.col("auction")), F.col("Dealer")
-    return deals(spark, sf_dir).select("index", A.opener(t, d).alias("opener"), A.leader(t, d).alias("leader"), A.bid_at_seat(t, 3).alias("third_call"), A.opens_at_seat(t, 2).alias("opened_second"))
+    told = {"opener": A.opener(t, d), "leader": A.leader(t, d), "third_call": A.bid_at_seat(t, 3), "opened_second": A.opens_at_seat(t, 2)}
+    return bidding.once_each(bids(spark, sf_dir).select("index", "auction", "Dealer"), ["auction", "Dealer"], told).select("index", *told)
 
 
 @query(
@@ -148,7 +149,7 @@ def opening_seat_and_leader(spark, sf_dir):
 def vulnerability_codes(spark, sf_dir):
     """Vulnerability as written in several ways, its code, and the bucket of the dealer's side, over all deals."""
     v = F.get(F.array(*[F.lit(x) for x in ("None", "ns", "E-W", "All", "?")]), (F.col("index") % 5).cast("int"))
-    t = deals(spark, sf_dir).groupBy(v.alias("v"), F.col("Dealer").alias("dealer")).agg(F.count("*").alias("n"))
+    t = bids(spark, sf_dir).groupBy(v.alias("v"), F.col("Dealer").alias("dealer")).agg(F.count("*").alias("n"))
     k = A.normal_vul(F.col("v"))
     return t.select("v", "dealer", A.decode_vul(A.encode_vul(k)).alias("k"), A.encode_vul(k).alias("kk"), A.vul_bucket(k, F.col("dealer")).alias("b"), "n")
 
@@ -202,7 +203,7 @@ def hand_codes(spark, sf_dir):
 )
 def dd_scores(spark, sf_dir):
     """Of the 35 contracts of each declarer the best by double-dummy score, within the row."""
-    d = deals(spark, sf_dir).select("index", "Vul", F.explode(F.array(*[F.lit(x) for x in "NESW"])).alias("dir"))
+    d = bids(spark, sf_dir).select("index", "Vul", F.explode(F.array(*[F.lit(x) for x in "NESW"])).alias("dir"))
     seat = F.instr(F.lit("NESW"), F.col("dir")) - 1
     v = A.side_vulnerable(F.col("Vul"), F.col("dir"))
     d = d.select("index", "dir", v.alias("v"), *[((F.col("index") * (seat * 5 + s + 3)) % 14).cast("int").alias(f"t{s}") for s in range(5)])
@@ -220,7 +221,7 @@ er as (select *, case when score < par then case when level is not null and not
 
 
 def _judged(spark, sf_dir):
-    d = deals(spark, sf_dir)
+    d = bids(spark, sf_dir)
     k = F.col("index")
     v = A.side_vulnerable(F.col("Vul"), F.col("decl"))
     sc = S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, F.col("tricks"))
@@ -264,7 +265,7 @@ ar as (select index, score_1, score_2, score_1 - score_2 as diff, (sign(score_1
 
 
 def _arena(spark, sf_dir):
-    return analysis.arena(deals(spark, sf_dir), "Actual", "Passive", "index", F.col("tricks"))
+    return analysis.arena(bids(spark, sf_dir), "Actual", "Passive", "index", F.col("tricks"))
 
 
 @query("model_arena", f"{W}, {ARENA_SQL} select index, score_1, score_2, diff, imps from ar")
@@ -287,7 +288,7 @@ def arena_running_imps(spark, sf_dir):
 @query("bidding_models", f"{W} select m.name, count(*) as n, count(*) filter (where case m.name when 'Actual' then level is not null else regexp_matches(auction, '^((P|X|XX)-)*[1-7][CDHSN]') end) as n_contracts from deals, (values ('Actual'), ('Passive')) m(name) group by 1")
 def bidding_models(spark, sf_dir):
     """Each registered model, the deals that it bids, and how many of them it brings to a contract."""
-    d = deals(spark, sf_dir)
+    d = bids(spark, sf_dir)
     out = None
     for name in analysis.models():
         bid = analysis.run_model(name, d).select(F.lit(name).alias("name"), A.contract(A.tokens(F.col("auction_model"))).rlike("^[1-7]").alias("c"))
@@ -305,7 +306,7 @@ def rank_next_bids(spark, sf_dir):
     v = A.side_vulnerable(F.col("Vul"), F.col("decl"))
     sc = S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, F.col("tricks"))
     score = F.coalesce(F.when(F.col("decl").isin("N", "S"), sc).otherwise(-sc), F.lit(0))
-    d = deals(spark, sf_dir).select("Dealer", "Vul", ((F.col("index") * 37) % 1200 - 600).alias("par"), score.alias("score"), A.tokens(F.col("auction")).alias("t"))
+    d = bids(spark, sf_dir).select("Dealer", "Vul", ((F.col("index") * 37) % 1200 - 600).alias("par"), score.alias("score"), A.tokens(F.col("auction")).alias("t"))
     e = d.select("Dealer", "Vul", "par", "score", "t", F.posexplode("t").alias("i", "call"))
     node = F.array_join(F.slice("t", F.lit(1), F.col("i")), "-")
     vul = A.side_vulnerable(F.col("Vul"), A.next_direction(F.col("Dealer"), F.col("i")))
@@ -317,7 +318,7 @@ def rank_next_bids(spark, sf_dir):
 @query("auction_divergence", f"{W} select auction, case when auction = '1N-P-3N-P-P-P' then null else list_position(list_transform(range(1, greatest(len({TOK}), 6) + 1), lambda i: ({TOK})[i] is not null and ['1N', 'P', '3N', 'P', 'P', 'P'][i] is not null and ({TOK})[i] = ['1N', 'P', '3N', 'P', 'P', 'P'][i]), false)::int end as step, count(*) as n from deals group by 1, 2")
 def auction_divergence(spark, sf_dir):
     want = F.array(*[F.lit(c) for c in "1N-P-3N-P-P-P".split("-")])
-    a = deals(spark, sf_dir).groupBy("auction").agg(F.count("*").alias("n"))
+    a = bids(spark, sf_dir).groupBy("auction").agg(F.count("*").alias("n"))
     return a.select("auction", analysis.divergence(A.tokens(F.col("auction")), want).alias("step"), "n")
 
 

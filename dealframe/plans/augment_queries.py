@@ -11,7 +11,7 @@ from dealframe.functions import par
 from dealframe.functions import scoring as S
 from dealframe.operators import relational, tournament
 from dealframe.plans.bridge_queries import HCP, IMP_VALUES, SCORE_SQL, W
-from dealframe.plans.deals import VUL_SQL, deals
+from dealframe.plans.deals import VUL_SQL, bids, deals
 from dealframe.plans.registry import query
 from dealframe.plans.service_queries import PAR_SQL, _tricks, _tricks_of
 
@@ -27,7 +27,7 @@ def _for_ns(tricks):
 
 
 def _scored(spark, sf_dir):
-    d = deals(spark, sf_dir).withColumn("dd", _tricks())
+    d = bids(spark, sf_dir).withColumn("dd", _tricks())
     d = d.withColumn("dd_tricks", _tricks_of(F.col("decl"), F.col("strain")))
     return d.withColumns({"board": F.floor(F.col("index") / 16), "score": _for_ns(F.col("tricks")), "dd_score": _for_ns(F.col("dd_tricks"))})
 
@@ -66,7 +66,7 @@ def trick_flags(spark, sf_dir):
 @query("trick_probabilities", f"{W}, g as (select decl, strain, count(*) as t from deals where decl is not null group by 1, 2) select g.decl, g.strain, t.v::int as tricks, count(d.index) as n, round(count(d.index) / any_value(g.t), 6) as share from g cross join range(14) t(v) left join deals d on d.decl = g.decl and d.strain = g.strain and d.tricks = t.v group by 1, 2, 3")
 def trick_probabilities(spark, sf_dir):
     """Shares of 0 to 13 tricks by declarer and strain, those never taken too."""
-    d = deals(spark, sf_dir).where("decl is not null").select("decl", "strain", "tricks")
+    d = bids(spark, sf_dir).where("decl is not null").select("decl", "strain", "tricks")
     s = relational.value_shares(d, ["decl", "strain"], "tricks", list(range(14)))
     return s.select("decl", "strain", "tricks", "n", F.round("share", 6).alias("share"))
 
@@ -83,7 +83,7 @@ def _player(d: str, row: str = "") -> str:
 )
 def player_roles(spark, sf_dir):
     ids = {d: F.expr(_player(d)) for d in "NESW"}
-    d = deals(spark, sf_dir).select("index", "decl", *[c.alias(f"id_{x}") for x, c in ids.items()])
+    d = bids(spark, sf_dir).select("index", "decl", *[c.alias(f"id_{x}") for x, c in ids.items()])
     ids = {x: F.col(f"id_{x}") for x in "NESW"}
     names = {x: F.concat(F.lit("P"), c.cast("string")) for x, c in ids.items()}
     who = D.roles(names, F.col("decl"))
@@ -99,7 +99,7 @@ def metric_by_suits(spark, sf_dir):
 
 @query("auctions_at_seats", f"{W}, a as (select auction, count(*) as n from deals group by 1) select repeat('P-', (s.v - 1)::int) || regexp_replace(auction, '^(P-)+', '') as shown, s.v::int as seat, sum(n)::bigint as n from a, range(1, 5) s(v) group by 1, 2")
 def auctions_at_seats(spark, sf_dir):
-    a = deals(spark, sf_dir).groupBy("auction").agg(F.count("*").alias("n")).withColumn("seat", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    a = bids(spark, sf_dir).groupBy("auction").agg(F.count("*").alias("n")).withColumn("seat", F.explode(F.sequence(F.lit(1), F.lit(4))))
     return a.groupBy(D.at_seat(F.col("auction"), F.col("seat")).alias("shown"), "seat").agg(F.sum("n").alias("n"))
 
 

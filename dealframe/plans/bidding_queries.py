@@ -12,7 +12,7 @@ from dealframe.functions import scoring as S
 from dealframe.functions.shape import shape_filter, sorted_shape_filter
 from dealframe.operators import matching
 from dealframe.plans.bridge_queries import DP, HCP, IMP_VALUES, LEN, LTC, SCORE_SQL, TOK, W
-from dealframe.plans.deals import VUL_SQL, deals
+from dealframe.plans.deals import VUL_SQL, bids, deals
 from dealframe.plans.registry import query
 from dealframe.session import table
 
@@ -20,7 +20,7 @@ NODES = f"nodes as (select distinct array_to_string({TOK}[1:i], '-') as node, i:
 
 
 def _nodes(spark, sf_dir):
-    auctions = deals(spark, sf_dir).select("auction").distinct().select(A.tokens(F.col("auction")).alias("t"))
+    auctions = bids(spark, sf_dir).select("auction").distinct().select(A.tokens(F.col("auction")).alias("t"))
     e = auctions.select("t", F.posexplode("t").alias("i", "call"))
     join = lambda n: F.array_join(F.slice("t", 1, n), "-")
     return e.select(join(F.col("i") + 1).alias("node"), (F.col("i") + 1).alias("depth"), "call", join(F.col("i")).alias("parent")).distinct()
@@ -46,7 +46,7 @@ def resolve_auction_path(spark, sf_dir):
     path = "1S-P-2S-P-4S-P-P-P".split("-")
     steps = ["-".join(path[: i + 1]) for i in range(len(path))]
     # Auctions are counted first: every later step has one row an auction.
-    auctions = deals(spark, sf_dir).groupBy("auction").agg(F.count("*").alias("n"))
+    auctions = bids(spark, sf_dir).groupBy("auction").agg(F.count("*").alias("n"))
     cells = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("depth"), F.lit(s).alias("node"), F.lit(path[i]).alias("call")) for i, s in enumerate(steps)])).alias("s")
     j = auctions.select("auction", "n", cells).where(F.concat("auction", F.lit("-")).startswith(F.concat("s.node", F.lit("-"))))
     return j.groupBy("s.depth", "s.node", "s.call").agg(F.sum("n").alias("reached"))
@@ -58,7 +58,7 @@ def resolve_auction_path(spark, sf_dir):
     select sum(n) filter (where len(bids) = 0)::bigint as passed_out, sum(n) filter (where list_contains(t, 'X'))::bigint as doubled, sum(n) filter (where bids[1] = '1N')::bigint as notrump_opened from b""",
 )
 def bid_categories(spark, sf_dir):
-    a = deals(spark, sf_dir).groupBy("auction").agg(F.count("*").alias("n")).withColumn("t", A.tokens(F.col("auction")))
+    a = bids(spark, sf_dir).groupBy("auction").agg(F.count("*").alias("n")).withColumn("t", A.tokens(F.col("auction")))
     steps = F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: C.names(F.slice("t", 1, i)))
     a = a.select("n", F.flatten(steps).alias("c"), F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: C.flags(F.slice("t", 1, i))["is_notrump_opening"] & (F.element_at("t", i) == "1N")).alias("o"))
     return a.agg(
@@ -119,7 +119,7 @@ def custom_criteria_impact(spark, sf_dir):
     select index, diff::bigint as diff, (sign(diff) * imp)::int as imps from d join (values {IMP_VALUES}) t(lo, hi, imp) on abs(diff) between lo and hi""",
 )
 def imp_vs_par(spark, sf_dir):
-    d = deals(spark, sf_dir)
+    d = bids(spark, sf_dir)
     sc = S.score(F.col("level"), F.col("strain"), F.col("dbl"), A.side_vulnerable(F.col("Vul"), F.col("decl")), F.col("tricks"))
     ns = F.coalesce(F.when(F.col("decl").isin("N", "S"), sc).otherwise(-sc), F.lit(0))
     d = d.select("index", (ns - ((F.col("index") * 37) % 1200 - 600)).cast("long").alias("diff"))
@@ -164,7 +164,7 @@ def loser_profile(spark, sf_dir):
 )
 def contract_score_summary(spark, sf_dir):
     sc = S.score(F.col("level"), F.col("strain"), F.col("dbl"), A.side_vulnerable(F.col("Vul"), F.col("decl")), F.col("tricks"))
-    d = deals(spark, sf_dir).select("level", "strain", "tricks", sc.alias("sc"))
+    d = bids(spark, sf_dir).select("level", "strain", "tricks", sc.alias("sc"))
     return d.groupBy("level", "strain").agg(F.count("*").alias("n"), F.count_if(F.col("tricks") >= F.col("level") + 6).alias("made"), F.round(F.avg("sc"), 4).alias("avg_score"), F.max("sc").alias("best"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from dealframe.functions import auction as A
 from dealframe.functions import hand as H
 from dealframe.functions import scoring as S
-from dealframe.plans.deals import DEALS_SQL, VUL_SQL, deals, hands
+from dealframe.operators import bidding
+from dealframe.plans.deals import DEALS_SQL, VUL_SQL, bids, deals, hands
 from dealframe.plans.registry import query
 from dealframe.session import table
 
@@ -118,14 +119,14 @@ end"""
 )
 def score_table(spark, sf_dir):
     """The score of every kind of result that the deals have, with how often it comes."""
-    d = deals(spark, sf_dir).where("level is not null").select("level", "strain", "dbl", A.side_vulnerable(F.col("Vul"), F.col("decl")).alias("vul"), "tricks")
+    d = bids(spark, sf_dir).where("level is not null").select("level", "strain", "dbl", A.side_vulnerable(F.col("Vul"), F.col("decl")).alias("vul"), "tricks")
     g = d.groupBy("level", "strain", "dbl", "vul", "tricks").agg(F.count("*").alias("n"))
     return g.select("level", "strain", "dbl", "vul", "tricks", S.score(F.col("level"), F.col("strain"), F.col("dbl"), F.col("vul"), F.col("tricks")).alias("score"), "n")
 
 
 @query("contract_scores", f"{W}, x as (select *, {VUL_SQL} as v from deals) select index, ({SCORE_SQL})::int as score, tricks - level - 6 as result from x")
 def contract_scores(spark, sf_dir):
-    d = deals(spark, sf_dir)
+    d = bids(spark, sf_dir)
     v = A.side_vulnerable(F.col("Vul"), F.col("decl"))
     return d.select("index", S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, F.col("tricks")).alias("score"), (F.col("tricks") - F.col("level") - 6).alias("result"))
 
@@ -165,7 +166,8 @@ DECL = "substr('NESW', ((instr('NESW', Dealer) - 1 + (list_filter(bids, lambda x
 )
 def auction_contract(spark, sf_dir):
     t, dealer = A.tokens(F.col("auction")), F.col("Dealer")
-    return deals(spark, sf_dir).select("index", A.contract(t).alias("contract"), A.declarer(t, dealer).alias("declarer"), A.ai_contract(t, dealer).alias("full_contract"))
+    told = {"contract": A.contract(t), "declarer": A.declarer(t, dealer), "full_contract": A.ai_contract(t, dealer)}
+    return bidding.once_each(bids(spark, sf_dir).select("index", "auction", "Dealer"), ["auction", "Dealer"], told).select("index", *told)
 
 
 @query(
@@ -175,7 +177,8 @@ def auction_contract(spark, sf_dir):
 )
 def auction_seat1(spark, sf_dir):
     a = F.col("auction")
-    return deals(spark, sf_dir).select("index", A.seat1_view(a).alias("seat1"), A.leading_passes(a).alias("passes"), A.seat_to_act(A.tokens(a), F.col("Dealer")).alias("to_act"))
+    told = {"seat1": A.seat1_view(a), "passes": A.leading_passes(a), "to_act": A.seat_to_act(A.tokens(a), F.col("Dealer"))}
+    return bidding.once_each(bids(spark, sf_dir).select("index", "auction", "Dealer"), ["auction", "Dealer"], told).select("index", *told)
 
 
 @query(
@@ -184,7 +187,7 @@ def auction_seat1(spark, sf_dir):
       when regexp_matches(tok, '^[1-7][CDHSN]$') then 3 + (substr(tok, 1, 1)::int - 1) * 5 + instr('CDHSN', substr(tok, 2, 1)) else 0 end)::int as code, count(*) as n from t group by all""",
 )
 def auction_bid_codes(spark, sf_dir):
-    t = deals(spark, sf_dir).select(F.explode(A.tokens(F.col("auction"))).alias("tok"))
+    t = bids(spark, sf_dir).select(F.explode(A.tokens(F.col("auction"))).alias("tok"))
     return t.groupBy("tok").count().select("tok", A.bid_code(F.col("tok")).cast("int").alias("code"), F.col("count").alias("n"))
 
 
@@ -201,12 +204,13 @@ last as (select st.auction, ok, done from st join tk using (auction) where st.i
 @query("auction_legality", f"{W.replace('with ', 'with recursive ', 1)}, {LEGAL_SQL} select index, ok as legal, ok and done as complete from deals join last using (auction)")
 def auction_legality(spark, sf_dir):
     t = A.tokens(F.col("auction"))
-    return deals(spark, sf_dir).select("index", A.valid(t).alias("legal"), A.complete(t).alias("complete"))
+    told = {"legal": A.valid(t), "complete": A.complete(t)}
+    return bidding.once_each(bids(spark, sf_dir).select("index", "auction"), ["auction"], told).select("index", *told)
 
 
 @query("auction_competitive", f"{W} select auction, (len(list_filter(list_transform({TOK}, lambda t, i: case when t <> 'P' then i % 2 end), lambda x: x = 0)) > 0 and len(list_filter(list_transform({TOK}, lambda t, i: case when t <> 'P' then i % 2 end), lambda x: x = 1)) > 0) as competitive, count(*) as n from deals group by all")
 def auction_competitive(spark, sf_dir):
-    g = deals(spark, sf_dir).groupBy("auction").agg(F.count("*").alias("n"))
+    g = bids(spark, sf_dir).groupBy("auction").agg(F.count("*").alias("n"))
     return g.select("auction", A.competitive(A.tokens(F.col("auction"))).alias("competitive"), "n")
 
 
@@ -214,7 +218,7 @@ def auction_competitive(spark, sf_dir):
 def auction_pattern_counts(spark, sf_dir):
     a = F.col("auction")
     pats = {"nt_prefix": "1n-p", "major_raise": "1[HS]-P-.*", "doubled": ".*X.*-P-P-P"}
-    return deals(spark, sf_dir).agg(*[F.count_if(A.matches(a, p)).alias(n) for n, p in pats.items()])
+    return bids(spark, sf_dir).agg(*[F.count_if(A.matches(a, p)).alias(n) for n, p in pats.items()])
 
 
 @query(
@@ -224,7 +228,7 @@ def auction_pattern_counts(spark, sf_dir):
     from deals, range(1, 5) s(v) group by all""",
 )
 def seat_directions(spark, sf_dir):
-    e = deals(spark, sf_dir).select("Dealer", "Vul", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("seat"))
+    e = bids(spark, sf_dir).select("Dealer", "Vul", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("seat"))
     e = e.withColumn("dir", F.substring(F.lit("NESW"), (F.instr(F.lit("NESW"), F.col("Dealer")) - 1 + F.col("seat") - 1) % 4 + 1, F.lit(1)))
     return e.groupBy("Dealer", "seat", "dir").agg(F.count("*").alias("n"), F.count_if(A.side_vulnerable(F.col("Vul"), F.col("dir"))).alias("vulnerable"))
 
@@ -242,13 +246,13 @@ def board_schedule(spark, sf_dir):
 
 @query("contract_types", f"{W} select case when level is null then 'Pass' when level = 7 then 'GSlam' when level = 6 then 'SSlam' when level = 5 or (level = 4 and strain >= 2) or (level = 3 and strain = 4) then 'Game' else 'Partial' end as kind, count(*) as n from deals group by 1")
 def contract_types(spark, sf_dir):
-    return deals(spark, sf_dir).groupBy(S.contract_type(F.col("level"), F.col("strain")).alias("kind")).agg(F.count("*").alias("n"))
+    return bids(spark, sf_dir).groupBy(S.contract_type(F.col("level"), F.col("strain")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("contract_keys", f"{W} select (((level * 5 + strain) * 3 + dbl) * 2 + index % 2)::bigint as key, count(*) as n from deals group by 1")
 def contract_keys(spark, sf_dir):
     key = A.contract_key(F.col("level"), F.col("strain"), F.col("dbl"), F.col("index") % 2)
-    return deals(spark, sf_dir).groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+    return bids(spark, sf_dir).groupBy(key.alias("key")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -258,7 +262,7 @@ def contract_keys(spark, sf_dir):
     select index, round(sum(w * score)::double / sum(w), 4) as ev from s group by index""",
 )
 def expected_values(spark, sf_dir):
-    d = deals(spark, sf_dir)
+    d = bids(spark, sf_dir)
     v = A.side_vulnerable(F.col("Vul"), F.col("decl"))
     tricks = F.sequence(F.lit(0), F.lit(13))
     weights = F.transform(tricks, lambda t: (1 + (F.col("index") * (t + 3)) % 17).cast("double"))
@@ -273,7 +277,7 @@ def expected_values(spark, sf_dir):
     select index, tricks - level - 6 as result, score from s""",
 )
 def result_from_score(spark, sf_dir):
-    d = deals(spark, sf_dir)
+    d = bids(spark, sf_dir)
     v = A.side_vulnerable(F.col("Vul"), F.col("decl"))
     scores = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda t: S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, t))
     d = d.select("index", "level", S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, F.col("tricks")).alias("score"), scores.alias("_all"))

@@ -6,6 +6,9 @@ arithmetic key and dealt out; small lists of auctions are dealt out by key too.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,10 +56,16 @@ def contract_of(auction: str) -> tuple[int | None, int | None, int | None, int |
 _DEALT: dict[tuple[str, str], Written] = {}
 
 
+def bids(spark, sf_dir: str) -> DataFrame:
+    """index, Dealer, Vul, auction, its level, strain, dbl and decl, and tricks: a deal without its hands, so no card is dealt and nothing is written."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
+    return _bids(spark, o).select("index", *_FACTS)
+
+
 def deals(spark, sf_dir: str) -> DataFrame:
     """index, Dealer, Vul, Hand_N..Hand_W (S.H.D.C), auction, its level, strain, dbl and decl, and tricks.
 
-    Dealt once a session and table, and read back.
+    Dealt once a session and table, and read back. ``bids`` has all but the hands.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _DEALT:
@@ -64,38 +73,48 @@ def deals(spark, sf_dir: str) -> DataFrame:
     return _DEALT[key].df
 
 
-def _deal(spark, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
+_FACTS = ["Dealer", "Vul", "auction", "level", "strain", "dbl", "decl", "tricks"]
+
+
+def _bids(spark, o: DataFrame) -> DataFrame:
+    """o (index, ...) with the columns of ``_FACTS``."""
     k = F.col("index")
-    mixed = F.transform(F.sequence(F.lit(0), F.lit(51)), lambda c: (((k % 100003) * (c * 7919 + 104729) + c * c * 31) % 10007) * 64 + c)
-    o = o.withColumn("_p", F.array_sort(mixed))
-    # A hand is a set of bits, one a card; a suit's 13 bits name its string in a fixed table.
-    bits = F.array(*[F.lit(1 << c).cast("long") for c in range(52)])
-    hand = lambda h: F.aggregate(F.slice("_p", 13 * h + 1, 13), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.get(bits, (x % 64).cast("int"))))
-    o = o.select("index", *[hand(h).alias(f"_{d}") for h, d in enumerate("NESW")])
-    # One literal, folded before the run: 8,192 literals a suit took most of a short session's time.
-    held = F.split(F.lit(",".join("".join(r for i, r in enumerate(RANKS) if m >> i & 1) for m in range(1 << 13))), ",", -1)
-    suit = lambda d, s: F.get(held, F.shiftright(f"_{d}", 13 * s).bitwiseAND(F.lit(8191)).cast("int"))
     said = spark.createDataFrame(list(enumerate(AUCTIONS)), "_k long, auction string")
     t = A.tokens(F.col("auction"))
     strain = (F.instr(F.lit("CDHSN"), F.substring(A.contract(t), 2, 1)) - 1).cast("int")
     said = said.select("_k", "auction", F.substring(A.contract(t), 1, 1).cast("int").alias("level"), strain.alias("strain"), F.length(A.doubling(t)).alias("dbl"), A.declarer(t, F.lit("N")).alias("_decl"))
     o = o.join(F.broadcast(said), F.pmod(k, F.lit(len(AUCTIONS))) == F.col("_k"))
     dealer = F.substring(F.lit("NESW"), (k % 4 + 1).cast("int"), F.lit(1))
-    return o.select(
-        "index",
-        dealer.alias("Dealer"),
-        F.element_at(F.array(*[F.lit(v) for v in ("None", "N_S", "E_W", "Both")]), (F.floor(k / 4) % 4 + 1).cast("int")).alias("Vul"),
-        *[F.concat_ws(".", *[suit(d, s) for s in range(4)]).alias(f"Hand_{d}") for d in "NESW"],
-        "auction",
-        "level",
-        "strain",
-        "dbl",
-        A.next_direction(dealer, F.instr(F.lit("NESW"), F.col("_decl")) - 1).alias("decl"),
-        (F.floor(k / 11) % 14).cast("int").alias("tricks"),
+    return o.withColumns(
+        {
+            "Dealer": dealer,
+            "Vul": F.element_at(F.array(*[F.lit(v) for v in ("None", "N_S", "E_W", "Both")]), (F.floor(k / 4) % 4 + 1).cast("int")),
+            "decl": A.next_direction(dealer, F.instr(F.lit("NESW"), F.col("_decl")) - 1),
+            "tricks": (F.floor(k / 11) % 14).cast("int"),
+        }
     )
 
 
+def _hands(batches):
+    """index -> its four hands: the cards in the order of their keys, thirteen to a hand, whose bits name its suits."""
+    c = np.arange(52)
+    names = pa.array(["".join(r for i, r in enumerate(RANKS) if m >> i & 1) for m in range(1 << 13)])
+    for batch in batches:
+        k = batch.column(0).to_numpy()[:, None]
+        cards = np.sort((((k % 100003) * (c * 7919 + 104729) + c * c * 31) % 10007 * 64 + c).astype(np.int32), axis=1) % 64
+        bits = (np.int64(1) << cards.astype(np.int64)).reshape(-1, 4, 13).sum(2)
+        suits = lambda h: [names.take(pa.array(bits[:, h] >> 13 * s & 8191)) for s in range(4)]  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pc.binary_join_element_wise(*suits(h), ".") for h in range(4)]], names=["index", *[f"Hand_{d}" for d in "NESW"]])
+
+
+def _deal(spark, sf_dir: str) -> DataFrame:
+    # Keys are dealt round first: a file of few row groups is no reason for few tasks.
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    o = o.mapInArrow(_hands, "index long, " + ", ".join(f"Hand_{d} string" for d in "NESW"))
+    return _bids(spark, o).select("index", "Dealer", "Vul", *[f"Hand_{d}" for d in "NESW"], *_FACTS[2:])
+
+
 def hands(spark, sf_dir: str) -> DataFrame:
     """The four hands of every deal as rows: index, Dealer, Vul, dir, hand, strain."""
     four = F.array(*[F.struct(F.lit(d).alias("dir"), F.col(f"Hand_{d}").alias("hand")) for d in "NESW"])

@@ -12,7 +12,7 @@ from dealframe.functions import dsl
 from dealframe.functions.hand import balanced, suits
 from dealframe.operators import posteriors, rules
 from dealframe.plans.bridge_queries import TOK, W
-from dealframe.plans.deals import deals
+from dealframe.plans.deals import bids, deals
 from dealframe.plans.registry import query
 from dealframe.plans.table_queries import CRIT, HOLDS, METRIC_CASE, SEATED, SEAT_HANDS, _points, bidding_table
 from dealframe.session import table
@@ -68,7 +68,7 @@ c as (select auction, suit, sum(case when a + b >= 8 then na * nb else 0 end) /
 )
 def partner_fit_posteriors(spark, sf_dir):
     """The chance of an eight-card fit in each suit given the auction, from the opener's and the responder's histograms."""
-    p = _points(spark, sf_dir).join(deals(spark, sf_dir).select("index", "auction"), "index")
+    p = _points(spark, sf_dir).join(bids(spark, sf_dir).select("index", "auction"), "index")
     cells = F.array(*[F.struct(F.lit(x).alias("suit"), F.col(f"SL_{x}_1").alias("a"), F.col(f"SL_{x}_3").alias("b")) for x in "SHDC"])
     out = posteriors.partner_fit(p.select("auction", F.inline(cells)), ["auction", "suit"], "a", "b", 13, 8)
     return out.select("auction", "suit", "n", *[F.round(c, 6).alias(c) for c in ("p_fit", "p_fit_seen", "mean_fit")])

@@ -12,7 +12,7 @@ from dealframe.functions import hand as H
 from dealframe.functions import scoring as S
 from dealframe.operators import tournament
 from dealframe.plans.bridge_queries import AUC, DECL, HCP, LEN, SCORE_SQL, SUIT, W
-from dealframe.plans.deals import VUL_SQL, deals, hands
+from dealframe.plans.deals import VUL_SQL, bids, deals, hands
 from dealframe.plans.registry import query
 from dealframe.session import table
 from dealframe.sources import boards
@@ -34,7 +34,7 @@ def _dd(k):
 )
 def dd_tricks_pick(spark, sf_dir):
     t = A.tokens(F.col("auction"))
-    d = deals(spark, sf_dir).select("index", A.declarer(t, F.col("Dealer")).alias("decl"), F.substring(A.contract(t), 2, 1).alias("strain"))
+    d = bids(spark, sf_dir).select("index", A.declarer(t, F.col("Dealer")).alias("decl"), F.substring(A.contract(t), 2, 1).alias("strain"))
     return d.select("index", "decl", "strain", F.element_at(_dd(F.col("index")), F.concat("decl", "strain")).alias("tricks"))
 
 
@@ -48,7 +48,7 @@ GRID = "select l.v::int as level, s.v::int as strain from range(1, 8) l(v), rang
     select index, sc as best_score, level::varchar || substr('CDHSN', strain + 1, 1) as best_contract from r where r = 1""",
 )
 def best_contract(spark, sf_dir):
-    d = deals(spark, sf_dir)
+    d = bids(spark, sf_dir)
     v = A.side_vulnerable(F.col("Vul"), F.col("decl"))
     # The best of all 35 contracts within the row: an array's maximum, not a join and a sort.
     cells = [
@@ -65,7 +65,7 @@ def best_contract(spark, sf_dir):
     select index, decl, substr('NESW', instr('NESW', decl) % 4 + 1, 1) as leader, substr('NESW', (instr('NESW', decl) + 1) % 4 + 1, 1) as dummy, substr('NESW', (instr('NESW', decl) + 2) % 4 + 1, 1) as other, case when decl in ('N', 'S') then 'NS' else 'EW' end as pair from x""",
 )
 def role_columns(spark, sf_dir):
-    d = deals(spark, sf_dir).select("index", A.declarer(A.tokens(F.col("auction")), F.col("Dealer")).alias("decl")).where("decl is not null")
+    d = bids(spark, sf_dir).select("index", A.declarer(A.tokens(F.col("auction")), F.col("Dealer")).alias("decl")).where("decl is not null")
     turn = lambda n: F.substring(F.lit("NESW"), (F.instr(F.lit("NESW"), F.col("decl")) - 1 + n) % 4 + 1, F.lit(1))
     return d.select("index", "decl", turn(1).alias("leader"), turn(2).alias("dummy"), turn(3).alias("other"), F.when(F.col("decl").isin("N", "S"), "NS").otherwise("EW").alias("pair"))
 
@@ -91,7 +91,7 @@ def board_results(spark, sf_dir):
     v = A.side_vulnerable(F.col("Vul"), F.col("decl"))
     sc = S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, F.col("tricks"))
     ns = F.coalesce(F.when(F.col("decl").isin("N", "S"), sc).otherwise(-sc), F.lit(0))
-    d = deals(spark, sf_dir).select("index", F.floor(F.col("index") / 16).alias("board"), ns.alias("score"))
+    d = bids(spark, sf_dir).select("index", F.floor(F.col("index") / 16).alias("board"), ns.alias("score"))
     d = tournament.matchpoints(d, ["board"], "score", "mp", "top")
     return d.select("index", "board", "score", "mp", F.round(tournament.percentage(F.col("mp"), F.col("top")), 6).alias("pct"))
 

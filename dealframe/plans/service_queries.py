@@ -12,7 +12,7 @@ from dealframe.functions import hand as H
 from dealframe.functions import scoring as S
 from dealframe.operators import bidding
 from dealframe.plans.bridge_queries import LEN, SCORE_SQL, SUIT, TOK, W
-from dealframe.plans.deals import AUCTIONS, VUL_SQL, contract_of, deals
+from dealframe.plans.deals import AUCTIONS, VUL_SQL, bids, contract_of, deals
 from dealframe.plans.registry import query
 from dealframe.plans.table_queries import BT, FIRST, HOLDS, METRIC_CASE, NODE_SQL, SEAT_HANDS, SEATED, _points, _table, bidding_table
 from dealframe.session import table
@@ -47,7 +47,7 @@ pr as (select index, (case when Dealer in ('N', 'S') then greatest(a, least(0, b
 
 @query("par_scores", f"{PAR_SQL} select index, par from pr")
 def par_scores(spark, sf_dir):
-    return deals(spark, sf_dir).select("index", par.par(_tricks(), F.col("Vul"), F.col("Dealer")).alias("par"))
+    return bids(spark, sf_dir).select("index", par.par(_tricks(), F.col("Vul"), F.col("Dealer")).alias("par"))
 
 
 @query(
@@ -56,7 +56,7 @@ def par_scores(spark, sf_dir):
     select index, tricks as dd_tricks, ({SCORE_SQL})::int as dd_score from x""",
 )
 def dd_score_by_auction(spark, sf_dir):
-    d = deals(spark, sf_dir).where("level is not null").select("index", "level", "strain", "dbl", "decl", "Vul", _tricks().alias("dd"))
+    d = bids(spark, sf_dir).where("level is not null").select("index", "level", "strain", "dbl", "decl", "Vul", _tricks().alias("dd"))
     t = _tricks_of(F.col("decl"), F.col("strain"))
     return d.select("index", t.alias("dd_tricks"), S.score(F.col("level"), F.col("strain"), F.col("dbl"), A.side_vulnerable(F.col("Vul"), F.col("decl")), t).alias("dd_score"))
 
@@ -86,7 +86,7 @@ def total_tricks(spark, sf_dir):
 def random_auctions(spark, sf_dir):
     """A seeded sample of twelve whole auctions with the nodes that lead to them."""
     t = A.tokens(F.col("auction"))
-    d = deals(spark, sf_dir).select("index", t.alias("t")).where(A.complete(F.col("t")))
+    d = bids(spark, sf_dir).select("index", t.alias("t")).where(A.complete(F.col("t")))
     s = d.orderBy(F.md5(F.concat(F.lit("7|"), F.col("index").cast("string"))), "index").limit(12)
     e = s.select("index", "t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("step"))
     return e.select("index", "step", F.array_join(F.slice("t", F.lit(1), F.col("step")), "-").alias("node"))
@@ -102,7 +102,7 @@ def auctions_by_index(spark, sf_dir):
 
 @query("bt_dd_mean_tricks", f"{W} select auction, Dealer, count(*) as n, round(avg((index * ((instr('NESW', decl) - 1) * 5 + strain + 3)) % 14), 4) as dd_mean, round(avg(tricks), 4) as mean from deals where level is not null group by 1, 2")
 def bt_dd_mean_tricks(spark, sf_dir):
-    d = deals(spark, sf_dir).where("level is not null").select("auction", "Dealer", "decl", "strain", "tricks", _tricks().alias("dd"))
+    d = bids(spark, sf_dir).where("level is not null").select("auction", "Dealer", "decl", "strain", "tricks", _tricks().alias("dd"))
     return d.groupBy("auction", "Dealer").agg(F.count("*").alias("n"), F.round(F.avg(_tricks_of(F.col("decl"), F.col("strain"))), 4).alias("dd_mean"), F.round(F.avg("tricks"), 4).alias("mean"))
 
 
@@ -112,7 +112,7 @@ KEYS_SQL = "(values " + ", ".join(f"('{a}', {lv}, {s}, {d}, {o})" for a in WHOLE
 def _whole_auctions(spark, sf_dir):
     """The table's whole auctions with a bid: auction, opening, level, strain, dbl, steps from the dealer to the declarer."""
     t = A.tokens(F.col("auction"))
-    a = deals(spark, sf_dir).select("auction").distinct().where(A.complete(t) & A.contract(t).isNotNull())
+    a = bids(spark, sf_dir).select("auction").distinct().where(A.complete(t) & A.contract(t).isNotNull())
     return a.select(
         "auction",
         F.get(t, F.lit(0)).alias("opening"),
@@ -127,7 +127,7 @@ def _whole_auctions(spark, sf_dir):
 def auctions_by_contract(spark, sf_dir):
     """Whole auctions that end in the contract asked for, by signature."""
     k = F.col("index")
-    want = deals(spark, sf_dir).select(k, (F.floor(k / 7) % 7 + 1).cast("int").alias("level"), (F.floor(k / 3) % 5).cast("int").alias("strain"), (k % 2).cast("int").alias("dbl"))
+    want = bids(spark, sf_dir).select(k, (F.floor(k / 7) % 7 + 1).cast("int").alias("level"), (F.floor(k / 3) % 5).cast("int").alias("strain"), (k % 2).cast("int").alias("dbl"))
     # Deals are counted by signature before the join.
     want = want.groupBy("level", "strain", "dbl").agg(F.count("*").alias("n"), F.min("index").alias("first_deal"))
     return want.join(_whole_auctions(spark, sf_dir), ["level", "strain", "dbl"]).select("auction", "n", "first_deal")
@@ -142,7 +142,7 @@ def auctions_by_contract(spark, sf_dir):
 def best_auctions(spark, sf_dir):
     """For each deal the three best ends of its opening for the dealer's side, by double-dummy tricks."""
     t = A.tokens(F.col("auction"))
-    d = deals(spark, sf_dir).select("index", "Dealer", "Vul", _tricks().alias("dd"), F.get(t, F.lit(0)).alias("opening"))
+    d = bidding.once_each(bids(spark, sf_dir).select("index", "Dealer", "Vul", "auction", _tricks().alias("dd")), ["auction"], {"opening": F.get(t, F.lit(0))}).drop("auction")
     j = d.join(_whole_auctions(spark, sf_dir), "opening").withColumn("decl", A.next_direction(F.col("Dealer"), F.col("steps")))
     sc = S.score(F.col("level"), F.col("strain"), F.col("dbl"), A.side_vulnerable(F.col("Vul"), F.col("decl")), _tricks_of(F.col("decl"), F.col("strain")))
     j = j.select("index", "auction", F.when(F.col("steps") % 2 == 0, sc).otherwise(-sc).alias("score"))
@@ -173,7 +173,7 @@ def bid_features(spark, sf_dir):
     """Of each node its call's code, its seat, and its share of the auctions that reach its parent."""
     n = _table(spark, sf_dir)
     up = n.select(F.col("node").alias("parent"), F.col("complete_below").alias("above"))
-    root = deals(spark, sf_dir).agg(F.count("*").alias("above")).select(F.lit("").alias("parent"), "above")
+    root = bids(spark, sf_dir).agg(F.count("*").alias("above")).select(F.lit("").alias("parent"), "above")
     j = n.join(up.unionByName(root), "parent")
     return j.select("bt_index", A.bid_code(F.col("call")).cast("int").alias("code"), ((F.col("depth") - 1) % 4 + 1).alias("seat"), F.round(F.col("complete_below") / F.col("above"), 6).alias("share"))
 
@@ -200,7 +200,7 @@ def bt_terminals(spark, sf_dir):
 def seat1_table(spark, sf_dir):
     """One row an auction from its first call that isn't a pass, whatever the seat it opens at."""
     a = F.col("auction")
-    g = deals(spark, sf_dir).groupBy(a).agg(F.count("*").alias("n"))
+    g = bids(spark, sf_dir).groupBy(a).agg(F.count("*").alias("n"))
     p = A.leading_passes(a)
     return g.groupBy(A.seat1_view(a).alias("auction1")).agg(F.sum("n").alias("n"), F.min(p).alias("least_passes"), F.max(p).alias("most_passes"))
 
@@ -208,7 +208,7 @@ def seat1_table(spark, sf_dir):
 @query("deals_by_pattern", f"{W}, m as (select auction, index, row_number() over (partition by auction order by md5('3|' || index), index)::int as rank, count(*) over (partition by auction) as n, round(avg(tricks) over (partition by auction), 4) as mean_tricks from deals where regexp_matches(auction, '^1[NS]-P-')) select * from m where rank <= 3")
 def deals_by_pattern(spark, sf_dir):
     """Three deals by seeded hash of each auction that matches, beside statistics of all that do."""
-    m = deals(spark, sf_dir).where(A.matches(F.col("auction"), "1[NS]-P-")).select("auction", "index", "tricks")
+    m = bids(spark, sf_dir).where(A.matches(F.col("auction"), "1[NS]-P-")).select("auction", "index", "tricks")
     some = Window.partitionBy("auction").orderBy(F.md5(F.concat(F.lit("3|"), F.col("index").cast("string"))), "index")
     few = m.select("auction", "index", F.row_number().over(some).alias("rank")).where("rank <= 3")
     return few.join(m.groupBy("auction").agg(F.count("*").alias("n"), F.round(F.avg("tricks"), 4).alias("mean_tricks")), "auction")
@@ -221,7 +221,7 @@ def deals_by_pattern(spark, sf_dir):
 )
 def bidding_table_statistics(spark, sf_dir):
     """Rows of the table with statistics of the deals that had their auction; 20 deals at least."""
-    d = deals(spark, sf_dir)
+    d = bids(spark, sf_dir)
     v = F.coalesce(A.side_vulnerable(F.col("Vul"), F.col("decl")), F.lit(False))
     mean = lambda c: F.round(F.avg(F.when(c, F.col("tricks"))), 4)
     s = d.groupBy(F.col("auction").alias("Auction")).agg(F.count("*").alias("matches"), F.count_if(v).alias("matches_v"), mean(v).alias("tricks_v"), mean(~v).alias("tricks_nv")).where("matches >= 20")
@@ -235,7 +235,7 @@ STATS_SQL = " union all ".join(f"select auction, {s} as seat, '{n}' as stat, rou
 @query("seat_stats_pivot", f"{W}, {SEATED} {STATS_SQL}")
 def seat_stats_pivot(spark, sf_dir):
     """Points of the four seats by auction, from one wide aggregation to rows."""
-    p = _points(spark, sf_dir).join(deals(spark, sf_dir).select("index", "auction"), "index")
+    p = _points(spark, sf_dir).join(bids(spark, sf_dir).select("index", "auction"), "index")
     made = {(s, n): f(f"HCP_{s}") for s in (1, 2, 3, 4) for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))}
     w = p.groupBy("auction").agg(*[F.round(c, 4).cast("double").alias(f"{n}_{s}") for (s, n), c in made.items()])
     return w.select("auction", F.inline(F.array(*[F.struct(F.lit(s).alias("seat"), F.lit(n).alias("stat"), F.col(f"{n}_{s}").alias("value")) for s, n in made])))
@@ -264,7 +264,7 @@ def criterion_pass_rates(spark, sf_dir):
 def auction_dd_analysis(spark, sf_dir):
     """Double-dummy tricks of every declarer and strain over the deals of an opening's auctions."""
     cells = [(d, s) for d in range(4) for s in range(5)]
-    g = deals(spark, sf_dir).where(F.col("auction").startswith("1N")).groupBy("auction").agg(*[x for d, s in cells for x in (F.avg(_dd(d, s)).alias(f"a{d}{s}"), F.max(_dd(d, s)).alias(f"m{d}{s}"))])
+    g = bids(spark, sf_dir).where(F.col("auction").startswith("1N")).groupBy("auction").agg(*[x for d, s in cells for x in (F.avg(_dd(d, s)).alias(f"a{d}{s}"), F.max(_dd(d, s)).alias(f"m{d}{s}"))])
     return g.select("auction", F.inline(F.array(*[F.struct(F.lit("NESW"[d]).alias("decl"), F.lit(s).alias("strain"), F.round(f"a{d}{s}", 4).alias("tricks"), F.col(f"m{d}{s}").alias("most")) for d, s in cells])))
 
 
@@ -276,7 +276,7 @@ def auction_dd_analysis(spark, sf_dir):
 def contract_ev_cells(spark, sf_dir):
     """Expected value of each contract by the dealer, by vulnerability, from counts of tricks."""
     v = A.side_vulnerable(F.col("Vul"), F.col("Dealer"))
-    d = deals(spark, sf_dir).select(v.alias("v"), "Dealer", _tricks().alias("dd"))
+    d = bids(spark, sf_dir).select(v.alias("v"), "Dealer", _tricks().alias("dd"))
     e = d.select("v", F.inline(F.array(*[F.struct(F.lit(s).alias("strain"), _tricks_of(F.col("Dealer"), F.lit(s)).alias("tricks")) for s in range(5)])))
     h = e.groupBy("v", "strain", "tricks").agg(F.count("*").alias("k")).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(7))))
     sc = S.score(F.col("level"), F.col("strain"), F.lit(0), F.col("v"), F.col("tricks"))

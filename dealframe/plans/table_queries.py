@@ -10,7 +10,7 @@ from dealframe.functions import dsl
 from dealframe.functions import hand as H
 from dealframe.operators import bidding, boxes, relational
 from dealframe.plans.bridge_queries import DP, HCP, LEN, SUIT, TOK, W
-from dealframe.plans.deals import AUCTIONS, deals
+from dealframe.plans.deals import AUCTIONS, bids, deals
 from dealframe.plans.registry import query
 from dealframe.session import table
 from dealframe.written import Written
@@ -91,13 +91,13 @@ def _boxes(spark, sf_dir):
     return bt.select("bt_index", *cols)
 
 
-def _points(spark, sf_dir):
-    """A deal with the 24 metrics of its seats, the dealer's first."""
+def _points(spark, sf_dir, keep=()):
+    """A deal with the 24 metrics of its seats, the dealer's first, and those of its columns that are kept."""
     d = deals(spark, sf_dir)
     own = F.array(*[F.col(f"Hand_{x}") for x in "NESW"])
     first = F.instr(F.lit("NESW"), F.col("Dealer")) - 1
-    d = d.select("index", *[F.get(own, F.pmod(first + s - 1, F.lit(4))).alias(f"_h{s}") for s in (1, 2, 3, 4)])
-    return d.select("index", *[c.cast("int").alias(f"{m}_{s}") for s in (1, 2, 3, 4) for m, c in C.metrics(F.col(f"_h{s}")).items()])
+    d = d.select("index", *keep, *[F.get(own, F.pmod(first + s - 1, F.lit(4))).alias(f"_h{s}") for s in (1, 2, 3, 4)])
+    return d.select("index", *keep, *[c.cast("int").alias(f"{m}_{s}") for s in (1, 2, 3, 4) for m, c in C.metrics(F.col(f"_h{s}")).items()])
 
 
 def _hand_sql(h: str) -> str:
@@ -134,7 +134,7 @@ def criteria_dictionary(spark, sf_dir):
 @query("bt_join_by_auction", f"{W}, {BT} select index, auction, f.bt_index, f.n_rows from deals left join (select Auction, min(bt_index) as bt_index, count(*) as n_rows from bt group by 1) f using (auction)")
 def bt_join_by_auction(spark, sf_dir):
     bt = bidding_table(spark, sf_dir).withColumnRenamed("Auction", "auction")
-    return bidding.join_by_auction(deals(spark, sf_dir).select("index", "auction"), bt, "auction", "bt_index").select("index", "auction", "bt_index", "n_rows")
+    return bidding.join_by_auction(bids(spark, sf_dir).select("index", "auction"), bt, "auction", "bt_index").select("index", "auction", "bt_index", "n_rows")
 
 
 OVERLAY = [("1N", ["HCP >= 8", "HCP <= 17"]), ("1S-P-2S", ["SL_S >= 3"]), ("P", ["Total_Points < 14"])]
@@ -257,7 +257,7 @@ NODE_SQL = f"nd as (select node, parent, call, depth, sum(n)::bigint as complete
 
 
 def _table(spark, sf_dir):
-    return bidding.nodes(deals(spark, sf_dir).select(A.tokens(F.col("auction")).alias("t")), "t")
+    return bidding.nodes(bids(spark, sf_dir).select(A.tokens(F.col("auction")).alias("t")), "t")
 
 
 @query("bt_nodes", f"{W}, {NODE_SQL} select bt_index, node, parent, call, depth, complete_below from nx")
@@ -275,7 +275,7 @@ def bt_edges(spark, sf_dir):
 @query("bt_auction_walk", f"{W}, {NODE_SQL} select d.index, nx.bt_index, nx.depth from deals d join nx on nx.node = d.auction")
 def bt_auction_walk(spark, sf_dir):
     """Each deal's auction walked to its node."""
-    return deals(spark, sf_dir).select("index", F.col("auction").alias("node")).join(_table(spark, sf_dir), "node").select("index", "bt_index", "depth")
+    return bids(spark, sf_dir).select("index", F.col("auction").alias("node")).join(_table(spark, sf_dir), "node").select("index", "bt_index", "depth")
 
 
 LEARNED_SQL = f"lr as (select distinct array_to_string({TOK}[1:2], '-') as prefix, 'HCP >= ' || ((length(auction) * 3) % 9) as criterion from deals union select distinct {TOK}[1], 'SL_H <= ' || (length(auction) % 5 + 4) from deals)"
@@ -292,7 +292,7 @@ LEARNED_SQL = f"lr as (select distinct array_to_string({TOK}[1:2], '-') as prefi
 )
 def compiled_rules(spark, sf_dir):
     t = A.tokens(F.col("auction"))
-    a = deals(spark, sf_dir).select("auction").distinct()
+    a = bids(spark, sf_dir).select("auction").distinct()
     long = F.length("auction")
     rules = a.select(F.array_join(F.slice(t, 1, 2), "-").alias("prefix"), F.format_string("HCP >= %d", (long * 3) % 9).alias("criterion")).unionByName(a.select(F.get(t, F.lit(0)).alias("prefix"), F.format_string("SL_H <= %d", long % 5 + 4).alias("criterion")))
     out = bidding.compile_rules(bidding_table(spark, sf_dir), rules, "Auction", "Agg_Expr_Seat_1")
