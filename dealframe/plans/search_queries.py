@@ -8,7 +8,7 @@ from dealframe.functions import auction as A
 from dealframe.functions import scoring as S
 from dealframe.operators import boxes, divergence, tree
 from dealframe.plans.bridge_queries import SCORE_SQL, TOK, W
-from dealframe.plans.deals import deals
+from dealframe.plans.deals import bids
 from dealframe.plans.registry import query
 from dealframe.plans.service_queries import PAR_SQL, _tricks
 from dealframe.plans.table_queries import BT, DIMS, NODE_SQL, OVERLAY, RANGES, SEATED, WIDE, _boxes, _points, _table, bidding_table
@@ -22,7 +22,7 @@ INTERVAL_SQL = "iv as (select a.node, a.bt_index as enter, a.bt_index + (select
 @query("subtree_intervals", f"{W}, {NODE_SQL}, {INTERVAL_SQL} select node, enter, leave, leave - enter + 1 as nodes_below, complete_below from iv")
 def subtree_intervals(spark, sf_dir):
     """Each node's places in pre-order, and the deals whose auction ends at or below it, from running sums over the places."""
-    ends = deals(spark, sf_dir).groupBy(F.array_join(A.tokens(F.col("auction")), "-").alias("node")).agg(F.count("*").alias("own"))
+    ends = bids(spark, sf_dir).groupBy(F.array_join(A.tokens(F.col("auction")), "-").alias("node")).agg(F.count("*").alias("own"))
     placed = Written(tree.intervals(_table(spark, sf_dir).select("node").join(ends, "node", "left").fillna(0, ["own"]))).df
     out = tree.below(placed, "own", "complete_below")
     return out.select("node", "enter", "leave", (F.col("leave") - F.col("enter") + 1).alias("nodes_below"), "complete_below")
@@ -57,10 +57,10 @@ def custom_criteria_preview(spark, sf_dir):
 def range_statistics(spark, sf_dir):
     """Par for the dealer's side over the deals within each distinct box of the dealer's six metrics, by vulnerability."""
     dims = DIMS[1]
-    d = deals(spark, sf_dir)
-    ns = F.col("Dealer").isin("N", "S")
-    own = d.select("index", A.side_vulnerable(F.col("Vul"), F.col("Dealer")).alias("vulnerable"), ns.alias("ns"), par(_tricks(), F.col("Vul"), F.col("Dealer")).alias("par"))
-    points = _points(spark, sf_dir).select("index", *dims).join(own, "index").withColumn("own", F.when(F.col("ns"), F.col("par")).otherwise(-F.col("par")))
+    # Par is worked out on the deal's own row: deals joined to deals by key may be taken for a small side and sent to the driver.
+    points = _points(spark, sf_dir, ["Dealer", "Vul"]).select("index", "Dealer", "Vul", *dims, par(_tricks(), F.col("Vul"), F.col("Dealer")).alias("par"))
+    own = F.when(F.col("Dealer").isin("N", "S"), F.col("par")).otherwise(-F.col("par"))
+    points = points.select(*dims, A.side_vulnerable(F.col("Vul"), F.col("Dealer")).alias("vulnerable"), own.alias("own"))
     b = _boxes(spark, sf_dir)
     b = b.groupBy(*[f"{x}_{e}" for x in dims for e in ("min", "max")]).agg(F.min("bt_index").alias("first_bt"))
     out = boxes.summed_area(points, dims, ["vulnerable"], "own", b, "first_bt")
@@ -126,17 +126,21 @@ def _allowed(bid, points, lengths):
 
 def search_deals(spark, sf_dir):
     """(index, opener's and responder's points and lengths S H D C, scores by signature for the dealer's side)."""
-    p = _points(spark, sf_dir)
-    hands = p.select("index", *[F.col(f"HCP_{s}").alias(f"h{s}") for s in (1, 3)], *[F.array(*[F.col(f"SL_{x}_{s}") for x in "SHDC"]).alias(f"l{s}") for s in (1, 3)])
-    return scores_by_signature(spark, sf_dir).join(hands, "index")
+    p = _points(spark, sf_dir, ["Dealer", "Vul"])
+    hands = [*[F.col(f"HCP_{s}").alias(f"h{s}") for s in (1, 3)], *[F.array(*[F.col(f"SL_{x}_{s}") for x in "SHDC"]).alias(f"l{s}") for s in (1, 3)]]
+    return scores_by_signature(p.select("index", "Dealer", "Vul", *hands)).drop("Dealer", "Vul")
 
 
-def scores_by_signature(spark, sf_dir):
-    """(index, scores): of the 35 contracts by the dealer, then by the dealer's partner."""
+def scores_by_signature(deals):
+    """deals (index, Dealer, Vul, ...) with scores: of the 35 contracts by the dealer, then by the dealer's partner.
+
+    A column of the deal's row and no table to be joined: Spark takes an array for one
+    element, and would broadcast 70 scores of every deal as a small side.
+    """
     scores = F.lit(S.undoubled_scores())
-    d = deals(spark, sf_dir).select("index", _tricks().alias("dd"), (F.instr(F.lit("NESW"), F.col("Dealer")) - 1).alias("first"), A.side_vulnerable(F.col("Vul"), F.col("Dealer")).cast("int").alias("v"))
+    d = deals.select("*", _tricks().alias("dd"), (F.instr(F.lit("NESW"), F.col("Dealer")) - 1).alias("first"), A.side_vulnerable(F.col("Vul"), F.col("Dealer")).cast("int").alias("v"))
     of = lambda s: F.get(scores, (F.col("v") * 35 + s % 35) * 14 + F.get("dd", (F.col("first") + 2 * F.floor(s / 35).cast("int")) % 4 * 5 + s % 5))
-    return d.select("index", F.transform(F.lit(list(range(70))), of).alias("scores"))
+    return d.select(*deals.columns, F.transform(F.lit(list(range(70))), of).alias("scores"))
 
 
 def auction_search(spark, sf_dir, best: int = 3) -> tuple[tree.Search, object]:
@@ -171,14 +175,14 @@ SIGNATURE_SQL = "(bids[-1] + 35 * ((list_position(list_transform(bids, lambda v:
 
 
 def said(spark, sf_dir):
-    """(index, auction, signature) of each deal's own auction."""
+    """(index, Dealer, Vul, auction, signature) of each deal and the auction that it says."""
     k = F.col("index")
     b1 = k % 9
     b2 = b1 + 1 + F.floor(k / 9) % 7
     b3 = b2 + 1 + F.floor(k / 63) % 6
     b4 = b3 + 1 + F.floor(k / 378) % 7
-    d = deals(spark, sf_dir).select("index", F.slice(F.array(*[b.cast("int") for b in (b1, b2, b3, b4)]), F.lit(1), (k % 3 + 2).cast("int")).alias("bids"))
-    return d.select("index", _text("bids").alias("auction"), _signature().alias("signature"))
+    d = bids(spark, sf_dir).select("index", "Dealer", "Vul", F.slice(F.array(*[b.cast("int") for b in (b1, b2, b3, b4)]), F.lit(1), (k % 3 + 2).cast("int")).alias("bids"))
+    return d.select("index", "Dealer", "Vul", _text("bids").alias("auction"), _signature().alias("signature"))
 
 
 def whole_tree(spark, sf_dir):
@@ -210,10 +214,11 @@ def whole_tree(spark, sf_dir):
 def auction_losses(spark, sf_dir):
     """Where each deal's auction leaves the tree, what could still be reached there, and the call that lost most; par for the dealer's side."""
     nodes = Written(whole_tree(spark, sf_dir)).df
-    d = deals(spark, sf_dir)
+    # Dealt round: 70 scores a deal are no work for the few tasks of a file with few row groups.
+    d = said(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = F.when(F.col("Dealer").isin("N", "S"), F.col("_par")).otherwise(-F.col("_par"))
-    pars = d.select("index", "Dealer", par(_tricks(), F.col("Vul"), F.col("Dealer")).alias("_par")).select("index", own.alias("par"))
-    told = said(spark, sf_dir).join(scores_by_signature(spark, sf_dir), "index").join(pars, "index").withColumn("score", F.get("scores", F.col("signature")))
-    shared = divergence.shared_nodes(divergence.longest_prefix(told.select("auction"), nodes), nodes)
+    told = scores_by_signature(d.withColumn("_par", par(_tricks(), F.col("Vul"), F.col("Dealer"))))
+    told = told.select("index", "auction", "scores", own.alias("par"), F.get("scores", F.col("signature")).alias("score"))
+    shared = divergence.shared_nodes(divergence.longest_prefix(d.select("auction"), nodes), nodes)
     out = divergence.losses(told, shared)
     return out.select("index", "auction", "step", "node", "best", "score", "par", "loss", "critical_step", "critical_loss")

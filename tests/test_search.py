@@ -191,3 +191,39 @@ def test_par_contracts(spark):
     got = [r[0] for r in df.select(divergence.par_contracts(F.col("t"))).collect()]
     assert [tuple(x) for x in got[0]] == [(4, 3, 1, "N", -1), (4, 2, 0, "N", 0), (5, 0, 1, "EW", -2), (3, 4, 0, None, None)]
     assert got[1] == [] and got[2] is None
+
+
+def _joins(spark, sf, name):
+    """The joins in a query's plan, as its optimizer leaves them."""
+    from dealframe.plans import registry
+
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    return [x for x in plan.splitlines() if "Join" in x]
+
+
+def test_deals_are_not_joined_to_deals(spark, sf):
+    """Spark takes 70 scores of every deal for one and would broadcast them (auction_losses, range_statistics)."""
+    for name in ("auction_losses", "range_statistics"):
+        assert not [x for x in _joins(spark, sf, name) if x.count("index#") > 1], name
+
+
+def test_queries_without_hands_deal_none(spark, sf):
+    """Contracts, par and auctions are worked out from the key; no deal is written for them."""
+    from dealframe.plans import deals, registry
+
+    before = dict(deals._DEALT)
+    deals._DEALT.clear()
+    try:
+        for name in ("contract_scores", "par_scores", "auction_contract", "best_auctions", "result_from_score", "dd_score_by_auction", "auctions_by_contract", "auction_dd_analysis", "worst_mistakes", "opening_seat_and_leader"):
+            registry.queries()[name](spark, sf)
+            assert not deals._DEALT, name
+    finally:
+        deals._DEALT.update(before)
+
+
+def test_once_each_keeps_null_keys(spark):
+    from dealframe.operators.bidding import once_each
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "i int, k string")
+    got = once_each(df, ["k"], {"n": F.coalesce(F.length("k"), F.lit(-1))}).orderBy("i").collect()
+    assert [(r["i"], r["k"], r["n"]) for r in got] == [(1, "a", 1), (2, None, -1), (3, "a", 1)]
