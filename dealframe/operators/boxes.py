@@ -49,12 +49,13 @@ class Bitmaps:
         return out, place
 
 
-def _met(points: DataFrame, boxes: DataFrame, dims: list[list[str]], key: str, box: str, schema: str, answer) -> DataFrame:
-    """``answer(Bitmaps, box ids, keys, values)`` -> arrays, for every block of points beside every block of boxes.
+def _met(points: DataFrame, boxes: DataFrame, dims: list[list[str]], key: str, box: str, schema: str, answer, more: tuple[str, ...] = ()) -> DataFrame:
+    """``answer(Bitmaps, box ids, keys, values, groups, more)`` -> arrays, for every block of points beside every block of boxes.
 
     Both sides are dealt into blocks by hash, and each side goes to all blocks of the
     other: points x blocks of boxes and boxes x blocks of points rows are shuffled, and
-    only bits are compared. Null values are in no box.
+    only bits are compared. Null values are in no box. more: columns of whole numbers that
+    a point brings along.
     """
     flat = [d for g in dims for d in g]
     groups, at = [], 0
@@ -68,8 +69,8 @@ def _met(points: DataFrame, boxes: DataFrame, dims: list[list[str]], key: str, b
     block = lambda id_, n: F.pmod(F.xxhash64(id_), F.lit(max(n, 1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
     lo, hi = [f"{d}_min" for d in flat], [f"{d}_max" for d in flat]
-    b = ok(boxes, lo + hi).select(block(box, nb).alias("b"), F.lit(0).alias("kind"), F.col(box).cast("long").alias("id"), cells(lo).alias("x"), cells(hi).alias("y")).withColumn("p", every(np_))
-    p = ok(points, flat).select(block(key, np_).alias("p"), F.lit(1).alias("kind"), F.col(key).cast("long").alias("id"), cells(flat).alias("x"), none.alias("y")).withColumn("b", every(nb))
+    b = ok(boxes, lo + hi).select(block(box, nb).alias("b"), F.lit(0).alias("kind"), F.col(box).cast("long").alias("id"), cells(lo).alias("x"), cells(hi).alias("y"), F.array().cast("array<long>").alias("w")).withColumn("p", every(np_))
+    p = ok(points, flat).select(block(key, np_).alias("p"), F.lit(1).alias("kind"), F.col(key).cast("long").alias("id"), cells(flat).alias("x"), none.alias("y"), F.array(*[F.col(c).cast("long") for c in more]).cast("array<long>").alias("w")).withColumn("b", every(nb))
     units = b.unionByName(p).repartition(max(1, nb * np_), "b", "p").sortWithinPartitions("b", "p", "kind", "id")
     wide = lambda col: col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
@@ -90,15 +91,15 @@ def _met(points: DataFrame, boxes: DataFrame, dims: list[list[str]], key: str, b
                 elif ids:
                     if index is None:
                         index = Bitmaps(np.concatenate(low), np.concatenate(high)), np.concatenate(ids)
-                    yield from answer(index[0], index[1], part.column(3).to_numpy(), wide(part.column(4)), groups)
+                    yield from answer(index[0], index[1], part.column(3).to_numpy(), wide(part.column(4)), groups, wide(part.column(6)))
 
-    return units.select("b", "p", "kind", "id", "x", "y").mapInArrow(run, schema)
+    return units.select("b", "p", "kind", "id", "x", "y", "w").mapInArrow(run, schema)
 
 
 def matches(points: DataFrame, boxes: DataFrame, dims: list[list[str]], key: str, box: str) -> DataFrame:
     """(key, box) of every point within every box; boxes have ``{dim}_min`` and ``{dim}_max``; dims: by group (seat)."""
 
-    def answer(index, ids, keys, x, groups):
+    def answer(index, ids, keys, x, groups, _):
         bits, place = index.around(x, groups)
         for i in range(0, len(keys), 512):
             row, col = np.nonzero(np.unpackbits(bits[place[i : i + 512]], axis=1, count=index.n))
@@ -111,24 +112,30 @@ def matches(points: DataFrame, boxes: DataFrame, dims: list[list[str]], key: str
 def summary(points: DataFrame, boxes: DataFrame, dims: list[list[str]], key: str, box: str) -> DataFrame:
     """(box, n, first, last): how many points each box holds, and their least and greatest key; boxes without any are left out.
 
-    The same match, counted by box where the bits are, so that no pair is made.
+    The same match, counted by box where the bits are, so that no pair is made. Points
+    with the same values are in the same boxes: each distinct one goes to the blocks of
+    boxes once, with how many they are and the greatest key.
     """
+    flat = [d for g in dims for d in g]
+    points = points.dropna(subset=flat).groupBy(*flat).agg(F.min(key).alias(key), F.max(key).alias("_last"), F.count("*").alias("_n"))
+    points = Written(points).df
 
-    def answer(index, ids, keys, x, groups):
+    def answer(index, ids, keys, x, groups, more):
         bits, place = index.around(x, groups)
         n = np.zeros(index.n, np.int64)
         first, last = np.full(index.n, np.iinfo(np.int64).max), np.full(index.n, np.iinfo(np.int64).min)
         for i in range(0, len(keys), 512):
             held = np.unpackbits(bits[place[i : i + 512]], axis=1, count=index.n).view(bool)
-            hit, k = held.any(0), keys[i : i + 512]
-            n += held.sum(0)
-            # Keys of a unit come in order.
+            hit, k, (top, many) = held.any(0), keys[i : i + 512], more[i : i + 512].T
+            n[hit] += many @ held[:, hit]
+            # Least keys of a unit come in order; the greatest are put in order.
             first[hit] = np.minimum(first[hit], k[held[:, hit].argmax(0)])
-            last[hit] = np.maximum(last[hit], k[len(k) - 1 - held[::-1, hit].argmax(0)])
+            down = np.argsort(-top)
+            last[hit] = np.maximum(last[hit], top[down][held[down][:, hit].argmax(0)])
         some = n > 0
         yield pa.RecordBatch.from_arrays([pa.array(a[some]) for a in (ids, n, first, last)], names=[box, "n", "first", "last"])
 
-    part = _met(points, boxes, dims, key, box, f"`{box}` long, n long, first long, last long", answer)
+    part = _met(points, boxes, dims, key, box, f"`{box}` long, n long, first long, last long", answer, ("_last", "_n"))
     return part.groupBy(box).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 

@@ -227,3 +227,25 @@ def test_once_each_keeps_null_keys(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "i int, k string")
     got = once_each(df, ["k"], {"n": F.coalesce(F.length("k"), F.lit(-1))}).orderBy("i").collect()
     assert [(r["i"], r["k"], r["n"]) for r in got] == [(1, "a", 1), (2, None, -1), (3, "a", 1)]
+
+
+def test_summary_sends_each_distinct_point_once(spark):
+    """Repeated points are counted, and their least and greatest keys kept, but only one of them is shuffled."""
+    rng = random.Random(3)
+    rows = [(i, rng.randint(0, 3), rng.randint(0, 2)) for i in range(600)]
+    pts = spark.createDataFrame([*rows, (600, None, 1)], "k long, a int, b int")
+    bx = [(j, lo, lo + rng.randint(0, 2), m, m + rng.randint(0, 1)) for j in range(40) for lo, m in [(rng.randint(-1, 3), rng.randint(-1, 3))]]
+    box = spark.createDataFrame(bx, "j long, a_min int, a_max int, b_min int, b_max int")
+    sent = []
+    real = boxes._met
+    boxes._met = lambda p, *a, **kw: (sent.append(p.count()), real(p, *a, **kw))[1]
+    try:
+        got = {tuple(r) for r in boxes.summary(pts, box, [["a"], ["b"]], "k", "j").select("j", "n", "first", "last").collect()}
+    finally:
+        boxes._met = real
+    want = set()
+    for j, a0, a1, b0, b1 in bx:
+        ks = [k for k, a, b in rows if a0 <= a <= a1 and b0 <= b <= b1]
+        if ks:
+            want.add((j, len(ks), min(ks), max(ks)))
+    assert got == want and sent == [12]
