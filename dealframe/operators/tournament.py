@@ -74,7 +74,8 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
 def event_elo(games: DataFrame, keys: list[str], order: list[str], player: str, before: str, after: str) -> DataFrame:
     """(keys, player, elo_start, elo_end): a player's rating before the first and after the last game of each event."""
     at = F.struct(*order, before, after)
-    return games.groupBy(*keys, player).agg(F.min(at)[before].alias("elo_start"), F.max(at)[after].alias("elo_end"))
+    # Dealt out first: structs are aggregated by sorting, which else happens in the one task that rates the games.
+    return games.repartition(*keys, player).groupBy(*keys, player).agg(F.min(at)[before].alias("elo_start"), F.max(at)[after].alias("elo_end"))
 
 
 def pair_elo(

@@ -249,3 +249,11 @@ def test_summary_sends_each_distinct_point_once(spark):
         if ks:
             want.add((j, len(ks), min(ks), max(ks)))
     assert got == want and sent == [12]
+
+
+def test_ratings_by_event_are_not_sorted_in_the_rating_task(spark, sf):
+    """Between the fold of all games and the aggregation by sorting lies an exchange."""
+    from dealframe.plans import registry
+
+    plan = registry.queries()["event_elo"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("RepartitionByExpression") < plan.index("MapInPandas")
