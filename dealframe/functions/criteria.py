@@ -101,7 +101,12 @@ def _parsed(text: Column) -> Column:
 
 def parsed(criteria: Column) -> Column:
     """A list of criteria as struct(text, name, op, value, other): made once a table row, so that deals meet no texts."""
-    return F.transform(criteria, _parsed)
+    got = lambda c, i: F.regexp_extract(c, BOUND, i)
+    # Matched first and read after: within one lambda every mention of a part would match the text again.
+    raw = F.transform(criteria, lambda c: F.struct(F.trim(c).alias("text"), *[got(c, i).alias(f"_{i}") for i in (1, 2, 3)]))
+    some = lambda x: F.nullif(x, F.lit(""))
+    read = F.transform(raw, lambda r: F.struct(r["text"].alias("text"), some(r["_1"]).alias("name"), some(r["_2"]).alias("op"), r["_3"].try_cast("double").alias("value"), some(r["_3"]).alias("other")))
+    return F.transform(read, lambda r: F.struct(r["text"].alias("text"), r["name"].alias("name"), r["op"].alias("op"), r["value"].alias("value"), F.when(r["value"].isNull(), r["other"]).alias("other")))
 
 
 def bounds_of(name: str, metric: str) -> tuple[Column, Column]:

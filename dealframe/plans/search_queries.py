@@ -60,9 +60,10 @@ def range_statistics(spark, sf_dir):
     # Par is worked out on the deal's own row: deals joined to deals by key may be taken for a small side and sent to the driver.
     points = _points(spark, sf_dir, ["Dealer", "Vul"]).select("index", "Dealer", "Vul", *dims, par(_tricks(), F.col("Vul"), F.col("Dealer")).alias("par"))
     own = F.when(F.col("Dealer").isin("N", "S"), F.col("par")).otherwise(-F.col("par"))
-    points = points.select(*dims, A.side_vulnerable(F.col("Vul"), F.col("Dealer")).alias("vulnerable"), own.alias("own"))
+    # Both sides are read more than once, and their metrics and bounds again and again: written once.
+    points = Written(points.select(*dims, A.side_vulnerable(F.col("Vul"), F.col("Dealer")).alias("vulnerable"), own.alias("own"))).df
     b = _boxes(spark, sf_dir)
-    b = b.groupBy(*[f"{x}_{e}" for x in dims for e in ("min", "max")]).agg(F.min("bt_index").alias("first_bt"))
+    b = Written(b.groupBy(*[f"{x}_{e}" for x in dims for e in ("min", "max")]).agg(F.min("bt_index").alias("first_bt"))).df
     out = boxes.summed_area(points, dims, ["vulnerable"], "own", b, "first_bt")
     return out.select("first_bt", "vulnerable", "n", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"))
 

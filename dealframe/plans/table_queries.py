@@ -67,7 +67,9 @@ rg as (select b.bt_index, st.seat, mt.metric, coalesce(max(case when op in ('>='
 
 def _parsed_table(spark, sf_dir):
     """(bt_index, Auction, _e1.._e4): the lists parsed, as columns that all bounds read."""
-    return bidding_table(spark, sf_dir).select("bt_index", "Auction", *[C.parsed(F.col(f"Agg_Expr_Seat_{s}")).alias(f"_e{s}") for s in (1, 2, 3, 4)])
+    # Dealt out: a file of one row group is no reason to parse its lists in one task.
+    bt = bidding_table(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bt_index")
+    return bt.select("bt_index", "Auction", *[C.parsed(F.col(f"Agg_Expr_Seat_{s}")).alias(f"_e{s}") for s in (1, 2, 3, 4)])
 
 
 def _ranges(spark, sf_dir):
