@@ -58,8 +58,7 @@ _DEALT: dict[tuple[str, str], Written] = {}
 
 def bids(spark, sf_dir: str) -> DataFrame:
     """index, Dealer, Vul, auction, its level, strain, dbl and decl, and tricks: a deal without its hands, so no card is dealt and nothing is written."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
-    return _bids(spark, o).select("index", *_FACTS)
+    return _bids(spark, _keys(spark, sf_dir)).select("index", *_FACTS)
 
 
 def deals(spark, sf_dir: str) -> DataFrame:
@@ -76,10 +75,18 @@ def deals(spark, sf_dir: str) -> DataFrame:
 _FACTS = ["Dealer", "Vul", "auction", "level", "strain", "dbl", "decl", "tricks"]
 
 
+def _keys(spark, sf_dir: str) -> DataFrame:
+    """index: the orders' keys, dealt out: a file of few row groups is no reason for few tasks."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
+    return o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "index")
+
+
 def _bids(spark, o: DataFrame) -> DataFrame:
     """o (index, ...) with the columns of ``_FACTS``."""
     k = F.col("index")
-    said = spark.createDataFrame(list(enumerate(AUCTIONS)), "_k long, auction string")
+    # As SQL the list stays in the JVM; a frame made of Python rows starts a Python worker a task.
+    rows = ", ".join(f"({i}L, '{a}')" for i, a in enumerate(AUCTIONS))
+    said = spark.sql(f"select * from values {rows} as said(_k, auction)")
     t = A.tokens(F.col("auction"))
     strain = (F.instr(F.lit("CDHSN"), F.substring(A.contract(t), 2, 1)) - 1).cast("int")
     said = said.select("_k", "auction", F.substring(A.contract(t), 1, 1).cast("int").alias("level"), strain.alias("strain"), F.length(A.doubling(t)).alias("dbl"), A.declarer(t, F.lit("N")).alias("_decl"))
@@ -108,10 +115,7 @@ def _hands(batches):
 
 
 def _deal(spark, sf_dir: str) -> DataFrame:
-    # Keys are dealt round first: a file of few row groups is no reason for few tasks.
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"))
-    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    o = o.mapInArrow(_hands, "index long, " + ", ".join(f"Hand_{d} string" for d in "NESW"))
+    o = _keys(spark, sf_dir).mapInArrow(_hands, "index long, " + ", ".join(f"Hand_{d} string" for d in "NESW"))
     return _bids(spark, o).select("index", "Dealer", "Vul", *[f"Hand_{d}" for d in "NESW"], *_FACTS[2:])
 
 

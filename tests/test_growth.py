@@ -21,3 +21,11 @@ def test_lists_are_parsed_in_many_tasks(spark, sf):
     from dealframe.plans.table_queries import _parsed_table
 
     assert "REPARTITION_BY_NUM" in _plan(_parsed_table(spark, sf))
+
+
+def test_bids_are_worked_out_in_many_tasks_without_python(spark, sf):
+    from dealframe.plans.deals import bids
+
+    plan = _plan(bids(spark, sf))
+    assert "REPARTITION_BY_NUM" in plan
+    assert "ExistingRDD" not in plan
