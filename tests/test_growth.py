@@ -29,3 +29,17 @@ def test_bids_are_worked_out_in_many_tasks_without_python(spark, sf):
     plan = _plan(bids(spark, sf))
     assert "REPARTITION_BY_NUM" in plan
     assert "ExistingRDD" not in plan
+
+
+def test_par_is_folded_once_for_equal_boards(spark, monkeypatch):
+    import numpy as np
+
+    from dealframe.functions import par
+
+    rows = [(i, [(i % 3 + d * s) % 14 for d in range(4) for s in range(5)], v, d) for i in range(30) for v in ("None", "N_S", "E_W", "Both") for d in "NE"] + [(99, None, "None", "N"), (98, [1] * 19, "None", "N"), (97, [14] * 20, "None", "N")]
+    df = spark.createDataFrame(rows, "i int, t array<int>, Vul string, Dealer string")
+    got = [r.par for r in df.select(par.par(F.col("t"), F.col("Vul"), F.col("Dealer")).alias("par")).collect()]
+    for (_, t, v, d), p in zip(rows[:-3], got, strict=False):
+        hands = np.array(t).reshape(1, 2, 2, 5).max(1)
+        assert p == par._folded(hands, np.array([[int(v in ("N_S", "Both")), int(v in ("E_W", "Both"))]]), np.array([d == "N"]))[0]
+    assert got[-3:] == [None, None, None]
