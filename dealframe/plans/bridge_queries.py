@@ -277,10 +277,11 @@ def expected_values(spark, sf_dir):
     select index, tricks - level - 6 as result, score from s""",
 )
 def result_from_score(spark, sf_dir):
-    d = bids(spark, sf_dir)
-    v = A.side_vulnerable(F.col("Vul"), F.col("decl"))
-    scores = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda t: S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, t))
-    d = d.select("index", "level", S.score(F.col("level"), F.col("strain"), F.col("dbl"), v, F.col("tricks")).alias("score"), scores.alias("_all"))
+    d = bids(spark, sf_dir).select("index", "level", "strain", "dbl", A.side_vulnerable(F.col("Vul"), F.col("decl")).alias("v"), "tricks")
+    # All scores of a contract are worked out once a contract.
+    scores = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda t: S.score(F.col("level"), F.col("strain"), F.col("dbl"), F.col("v"), t))
+    d = bidding.once_each(d, ["level", "strain", "dbl", "v"], {"_all": scores})
+    d = d.select("index", "level", F.get("_all", F.col("tricks")).alias("score"), "_all")
     # The tricks are read back from the score's place among all scores of the contract.
     return d.select("index", (F.array_position("_all", F.col("score")).cast("int") - 1 - F.col("level") - 6).alias("result"), "score")
 
