@@ -57,8 +57,9 @@ def par_scores(spark, sf_dir):
 )
 def dd_score_by_auction(spark, sf_dir):
     d = bids(spark, sf_dir).where("level is not null").select("index", "level", "strain", "dbl", "decl", "Vul", _tricks().alias("dd"))
-    t = _tricks_of(F.col("decl"), F.col("strain"))
-    return d.select("index", t.alias("dd_tricks"), S.score(F.col("level"), F.col("strain"), F.col("dbl"), A.side_vulnerable(F.col("Vul"), F.col("decl")), t).alias("dd_score"))
+    # A column before the score reads it: a score mentions its tricks many times.
+    d = d.select("*", _tricks_of(F.col("decl"), F.col("strain")).alias("dd_tricks"))
+    return d.select("index", "dd_tricks", S.score(F.col("level"), F.col("strain"), F.col("dbl"), A.side_vulnerable(F.col("Vul"), F.col("decl")), F.col("dd_tricks")).alias("dd_score"))
 
 
 def _fit_sql(a: str, b: str) -> str:
