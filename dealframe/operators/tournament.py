@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def places(df: DataFrame, keys: list[str], score: str, asked: DataFrame | None = None) -> DataFrame:
+def places(df: DataFrame, keys: list[str], score: str, asked: list[str] = (), parts: int | None = None) -> DataFrame:
     """(keys, _x, _below, _same, _all, _kinds, _distinct): how many scores of a group lie below and at each value.
 
-    Values are the group's distinct scores and, where given, those of ``asked`` (keys, _x).
+    Values are the group's distinct scores and those of the columns ``asked``; parts: into
+    how many tasks the groups are dealt (by default as many as the session has).
     Scores are counted by value first, so a running sum sorts a group's values and not its
     rows. _kinds: distinct scores below; _distinct: of the group.
     """
-    hist = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_x")).agg(F.count("*").alias("_same"))
-    if asked is not None:
-        hist = hist.unionByName(asked.select(*keys, "_x", F.lit(0).cast("long").alias("_same"))).groupBy(*keys, "_x").agg(F.sum("_same").alias("_same"))
+    values = F.array(*[F.struct(F.col(c).alias("_x"), F.lit(int(c == score)).cast("long").alias("_one")) for c in [score, *asked]])
+    hist = df.select(*keys, F.inline(values)) if asked else df.select(*keys, F.col(score).alias("_x"), F.lit(1).cast("long").alias("_one"))
+    hist = hist.where("_x is not null")
+    if parts:
+        hist = hist.repartition(parts, *keys)
+    hist = hist.groupBy(*keys, "_x").agg(F.sum("_one").alias("_same"))
     w = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     run = hist.withColumns({"_below": F.coalesce(F.sum("_same").over(w), F.lit(0)), "_kinds": F.coalesce(F.sum((F.col("_same") > 0).cast("int")).over(w), F.lit(0))})
     total = hist.groupBy(*keys).agg(F.sum("_same").alias("_all"), F.count_if(F.col("_same") > 0).alias("_distinct"))
@@ -34,21 +38,29 @@ def matchpoints(df: DataFrame, keys: list[str], score: str, out: str, top: str |
     return df.join(p, [*keys, score], "left")
 
 
-def hypothetical_matchpoints(df: DataFrame, keys: list[str], actual: str, columns: list[str]) -> DataFrame:
-    """For each column, the row's points against all actual scores of its group: one a win, half a tie."""
-    asked = df.select(*keys, F.explode(F.array(*columns)).alias("_x")).where("_x is not null").distinct()
-    p = places(df, keys, actual, asked).select(*keys, "_x", (F.col("_below") + F.col("_same") * 0.5).alias("_p"))
+def _met(df: DataFrame, p: DataFrame, keys: list[str], column: str, parts: int | None) -> DataFrame:
+    """df joined to p (keys, _x, ...) where _x is the column; in ``parts`` tasks where that is given, which else are as many as the session has, whatever the rows."""
+    on = [*keys, "_x"]
+    df = df.withColumn("_x", F.col(column).cast(p.schema["_x"].dataType))
+    if parts:
+        df, p = df.repartition(parts, *on), p.repartition(parts, *on)
+    return df.join(p, on, "left").drop("_x")
+
+
+def hypothetical_matchpoints(df: DataFrame, keys: list[str], actual: str, columns: list[str], parts: int | None = None) -> DataFrame:
+    """For each column, the row's points against all actual scores of its group: one a win, half a tie. parts: of the joins."""
+    p = places(df, keys, actual, columns, parts).select(*keys, "_x", (F.col("_below") + F.col("_same") * 0.5).alias("_p"))
     out = df
     for c in columns:
-        out = out.join(p.withColumnsRenamed({"_x": c, "_p": f"MP_{c}"}), [*keys, c], "left")
+        out = _met(out, p.withColumnRenamed("_p", f"MP_{c}"), keys, c, parts)
     return out
 
 
-def distinct_score_percentage(df: DataFrame, keys: list[str], actual: str, column: str, out: str) -> DataFrame:
-    """Share of a group's distinct scores that ``column`` beats, ties counting half."""
-    p = places(df, keys, actual, df.select(*keys, F.col(column).alias("_x")).where("_x is not null").distinct())
+def distinct_score_percentage(df: DataFrame, keys: list[str], actual: str, column: str, out: str, parts: int | None = None) -> DataFrame:
+    """Share of a group's distinct scores that ``column`` beats, ties counting half. parts: of the join."""
+    p = places(df, keys, actual, [column], parts)
     share = (F.col("_kinds") + 0.5 * (F.col("_same") > 0).cast("int")) / F.col("_distinct")
-    return df.join(p.select(*keys, F.col("_x").alias(column), share.alias(out)), [*keys, column], "left")
+    return _met(df, p.select(*keys, "_x", share.alias(out)), keys, column, parts)
 
 
 def percentage(mp: Column, top: Column) -> Column:

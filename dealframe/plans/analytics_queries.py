@@ -28,6 +28,18 @@ def matchpoint_window(spark, sf_dir):
     return tournament.matchpoints(o, ["o_orderpriority", "o_orderstatus"], "o_totalprice", "mp").select("o_orderkey", "mp")
 
 
+#: Lines of a task.
+LINES = 1 << 19
+
+
+def _best_lines(spark, sf_dir):
+    """(l_orderkey, l_linenumber, q, h) dealt out, and in how many parts: their number grows with the table, so that a task's memory doesn't."""
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-t.count() // LINES))
+    t = t.repartition(parts, "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    return t.withColumn("h", F.col("l_linenumber") * 7), parts
+
+
 @query(
     "hypothetical_mp",
     """with t as (select l_orderkey, l_linenumber, max(l_quantity) as q from lineitem group by 1, 2)
@@ -35,8 +47,8 @@ def matchpoint_window(spark, sf_dir):
     from t a join t b on a.l_orderkey = b.l_orderkey group by 1, 2""",
 )
 def hypothetical_mp(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q")).withColumn("h", F.col("l_linenumber") * 7)
-    return tournament.hypothetical_matchpoints(t, ["l_orderkey"], "q", ["h"]).select("l_orderkey", "l_linenumber", "MP_h")
+    t, parts = _best_lines(spark, sf_dir)
+    return tournament.hypothetical_matchpoints(t, ["l_orderkey"], "q", ["h"], parts).select("l_orderkey", "l_linenumber", "MP_h")
 
 
 @query(
@@ -45,8 +57,8 @@ def hypothetical_mp(spark, sf_dir):
     select l_orderkey, l_linenumber, round((count(*) filter (where l_linenumber * 7 > s) + 0.5 * count(*) filter (where l_linenumber * 7 = s)) / count(*), 5)::double as pct from t join d using (l_orderkey) group by 1, 2""",
 )
 def distinct_score_pct(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q")).withColumn("h", F.col("l_linenumber") * 7)
-    return tournament.distinct_score_percentage(t, ["l_orderkey"], "q", "h", "pct").select("l_orderkey", "l_linenumber", F.round("pct", 5).alias("pct"))
+    t, parts = _best_lines(spark, sf_dir)
+    return tournament.distinct_score_percentage(t, ["l_orderkey"], "q", "h", "pct", parts).select("l_orderkey", "l_linenumber", F.round("pct", 5).alias("pct"))
 
 
 @query("group_mean_over", "select l_orderkey, l_linenumber, round(avg(l_discount) over (partition by l_suppkey), 6) as rating from lineitem")

@@ -43,3 +43,21 @@ def test_par_is_folded_once_for_equal_boards(spark, monkeypatch):
         hands = np.array(t).reshape(1, 2, 2, 5).max(1)
         assert p == par._folded(hands, np.array([[int(v in ("N_S", "Both")), int(v in ("E_W", "Both"))]]), np.array([d == "N"]))[0]
     assert got[-3:] == [None, None, None]
+
+
+def test_tasks_of_percentages_grow_with_the_rows(spark, monkeypatch, sf):
+    from dealframe.operators import tournament
+    from dealframe.plans import analytics_queries
+
+    df = spark.createDataFrame([(1, 2.5, 2), (1, 2.5, None), (1, 4.0, 4), (1, None, 9), (2, 1.0, 0)], "g int, q double, h int")
+    got = tournament.distinct_score_percentage(df, ["g"], "q", "h", "pct", 5)
+    assert "hashpartitioning(g" in _plan(got) and ", 5)" in _plan(got)
+    assert sorted((r.g, r.h or 0, r.pct) for r in got.collect()) == [(1, 0, None), (1, 2, 0.0), (1, 4, 0.75), (1, 9, 1.0), (2, 0, 0.0)]
+    monkeypatch.setattr(analytics_queries, "LINES", 100)
+    assert analytics_queries._best_lines(spark, sf)[1] > 50
+
+
+def test_criteria_are_parsed_once_a_row_of_the_table(spark, sf):
+    from dealframe.plans.registry import queries
+
+    assert "regexp_extract" not in _plan(queries()["criterion_pass_rates"](spark, sf))
