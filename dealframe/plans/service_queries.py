@@ -253,12 +253,16 @@ def criterion_pass_rates(spark, sf_dir):
     """How many of the deals of its auction pass each criterion of the table's first row there."""
     bt = bidding_table(spark, sf_dir).withColumnRenamed("Auction", "auction")
     lists = [f"Agg_Expr_Seat_{s}" for s in (1, 2, 3, 4)]
-    d = bidding.join_by_auction(deals(spark, sf_dir), bt, "auction", "bt_index", lists)
+    first = bt.groupBy("auction").agg(F.min(F.struct("bt_index", *lists)).alias("_f")).select("auction", "_f.*")
+    # Parsed once a row of the table and not beside every hand; written, so that it stays so.
+    first = Written(first.withColumns({c: C.parsed(F.col(c)) for c in lists})).df
+    d = deals(spark, sf_dir).select("auction", "Dealer", *[f"Hand_{x}" for x in "NESW"]).join(first, "auction")
     own = F.map_from_arrays(F.array(*[F.lit(x) for x in "NESW"]), F.array(*[F.col(f"Hand_{x}") for x in "NESW"]))
     cells = [F.struct(F.lit(s).alias("seat"), F.element_at(own, C.seat_direction(F.col("Dealer"), s)).alias("hand"), F.col(f"Agg_Expr_Seat_{s}").alias("cs")) for s in (1, 2, 3, 4)]
-    e = d.where("bt_index is not null").select("auction", F.inline(F.array(*cells)))
-    e = e.select("auction", "seat", C.features(F.col("hand")).alias("known"), F.explode("cs").alias("criterion"))
-    return e.groupBy("auction", "seat", "criterion").agg(F.count("*").alias("n"), F.count_if(C.holds(F.col("criterion"), F.col("known"))).alias("passed"))
+    e = d.select("auction", F.inline(F.array(*cells)))
+    e = e.select("auction", "seat", C.features(F.col("hand")).alias("known"), F.explode("cs").alias("c"))
+    e = e.select("auction", "seat", F.col("c.text").alias("criterion"), C.told(F.col("c"), F.col("known")).alias("told"))
+    return e.groupBy("auction", "seat", "criterion").agg(F.count("*").alias("n"), F.count_if("told").alias("passed"))
 
 
 @query("auction_dd_analysis", f"{W} select auction, substr('NESW', (d.v + 1)::int, 1) as decl, s.v::int as strain, round(avg((index * (d.v * 5 + s.v + 3)) % 14), 4) as tricks, max((index * (d.v * 5 + s.v + 3)) % 14)::int as most from deals, range(4) d(v), range(5) s(v) where starts_with(auction, '1N') group by 1, 2, 3")
