@@ -17,18 +17,43 @@ def read_lin(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def _tag(value: Column, tag: str, i: int = 1) -> Column:
-    return F.regexp_extract(value, rf"(?:^|\|){tag}\|([^|]*)\|", i)
+def _tag(value: Column, tag: str) -> Column:
+    """The first value of a tag, which a bar closes; empty without one. Found as plain text: a regular expression is tried at every character."""
+    text = F.concat(F.lit("|"), value)
+    at = F.instr(text, f"|{tag}|")
+    rest = F.substring(text, at + len(tag) + 2, F.length(text))
+    return F.when((at > 0) & rest.contains("|"), F.substring_index(rest, "|", 1)).when(value.isNotNull(), "")
+
+
+def tag_texts(value: Column, tag: str) -> Column:
+    """What follows each occurrence of a tag, up to the next one: its value, a bar and more, or its value alone at the end."""
+    # A mark that texts can't hold once it is taken out of them.
+    text = F.replace(F.concat(F.lit("|"), value), F.lit("\x01"), F.lit(""))
+    return F.slice(F.split(F.replace(text, F.lit(f"|{tag}|"), F.lit("\x01")), "\x01", -1), F.lit(2), F.length(value) + 1)
 
 
 _ORDER = "abcdefghijklm"
+_DOWN, _UP = ("?".join(r) + "?" for r in (RANKS, RANKS[::-1]))
+_WHOLE = "^" + "".join(s + _DOWN for s in "SHDC") + r"\z"
+_CALL = "(?:P|XX?|[1-7][CDHSN])"
 
 
 def _lin_suit(text: Column, letter: str) -> Column:
-    """A suit's ranks from ace down, out of SAKHQDJC2 style text."""
+    """A suit's ranks from ace down, out of SAKHQDJC2 style text. Those that stand in order, either way, aren't sorted."""
     held = F.regexp_extract(text, f"{letter}([AKQJT2-9]*)", 1)
     # Letters in the order of the ranks sort as text.
-    return F.translate(F.array_join(F.array_sort(F.split(F.translate(held, RANKS, _ORDER), "")), ""), _ORDER, RANKS)
+    ordered = F.translate(F.array_join(F.array_sort(F.split(F.translate(held, RANKS, _ORDER), "")), ""), _ORDER, RANKS)
+    return F.when(held.rlike(f"^{_DOWN}$"), held).when(held.rlike(f"^{_UP}$"), F.reverse(held)).otherwise(ordered)
+
+
+def _lin_hand(text: Column) -> Column:
+    """S.H.D.C of a hand's text; one whose suits and ranks all stand in this order isn't taken apart."""
+    return F.when(text.rlike(_WHOLE), F.translate(F.substring(text, F.lit(2), F.length(text)), "HDC", "...")).otherwise(F.concat_ws(".", *[_lin_suit(text, s) for s in "SHDC"]))
+
+
+def lin_call(text: Column) -> Column:
+    """The first canonical token of a call's text, null without one; a text that is one already isn't taken apart."""
+    return F.when(text.rlike(rf"^{_CALL}\z"), text).otherwise(F.get(tokens(text), F.lit(0)))
 
 
 def parse_lin(df: DataFrame, value: str = "value") -> DataFrame:
@@ -39,25 +64,27 @@ def parse_lin(df: DataFrame, value: str = "value") -> DataFrame:
     """
     rest = [c for c in df.columns if c != value]
     v = F.col(value)
-    parts = df.select(*rest, v.alias("_value"), _tag(v, "md").alias("_md"))
+    # A call's text ends before its alert.
+    said = F.array_join(F.transform(tag_texts(v, "mb"), lambda x: F.substring_index(F.substring_index(x, "|", 1), "!", 1)), "-")
+    parts = df.select(*rest, v.alias("_value"), _tag(v, "md").alias("_md"), said.alias("_said"))
     given = F.regexp_replace(F.upper(F.substring("_md", F.lit(2), F.length("_md"))), "10", "T")
-    parts = parts.select(*rest, "_value", F.substring("_md", 1, 1).try_cast("int").alias("_dealer"), F.split(given, ",", -1).alias("_given"))
-    suits = {f"_{d}{s}": _lin_suit(F.get("_given", F.lit(i)), s) for i, d in enumerate("SWN") for s in "SHDC"}
-    parts = parts.select(*rest, "_value", "_dealer", *[c.alias(n) for n, c in suits.items()])
-    hand = lambda d: F.concat_ws(".", *[F.col(f"_{d}{s}") for s in "SHDC"])
-    left = [F.call_function("translate", F.lit(RANKS), F.concat(*[F.col(f"_{d}{s}") for d in "SWN"]), F.lit("")) for s in "SHDC"]
+    parts = parts.select(*rest, "_value", "_said", F.substring("_md", 1, 1).try_cast("int").alias("_dealer"), F.split(given, ",", -1).alias("_given"))
+    parts = parts.select(*rest, "_value", "_said", "_dealer", *[F.get("_given", F.lit(i)).alias(f"_{d}") for i, d in enumerate("SWN")])
+    parts = parts.select(*rest, "_value", "_said", "_dealer", *[_lin_hand(F.col(f"_{d}")).alias(f"_{d}") for d in "SWN"])
+    held = lambda i: F.concat(*[F.split_part(F.nullif(F.col(f"_{d}"), F.lit("")), F.lit("."), F.lit(i)) for d in "SWN"])
+    left = [F.call_function("translate", F.lit(RANKS), held(i), F.lit("")) for i in range(1, 5)]
     v = F.col("_value")
-    calls = F.regexp_extract_all(v, F.lit(r"(?:^|\|)mb\|([^|!]*)"), F.lit(1))
+    auction = F.when(F.col("_said").rlike(rf"^{_CALL}(?:-{_CALL})*\z"), F.col("_said")).otherwise(F.array_join(tokens(F.col("_said")), "-"))
     return parts.select(
         *rest,
         F.regexp_extract(_tag(v, "ah"), r"(\d+)", 1).try_cast("int").alias("board"),
         F.substring(F.lit("SWNE"), F.col("_dealer"), F.lit(1)).alias("dealer"),
         F.element_at(F.create_map(*[F.lit(x) for x in ("o", "None", "n", "N_S", "e", "E_W", "b", "Both", "0", "None")]), F.lower(_tag(v, "sv"))).alias("vul"),
-        hand("N").alias("Hand_N"),
+        F.col("_N").alias("Hand_N"),
         F.concat_ws(".", *left).alias("Hand_E"),
-        hand("S").alias("Hand_S"),
-        hand("W").alias("Hand_W"),
-        F.array_join(tokens(F.array_join(calls, "-")), "-").alias("auction"),
+        F.col("_S").alias("Hand_S"),
+        F.col("_W").alias("Hand_W"),
+        auction.alias("auction"),
     )
 
 

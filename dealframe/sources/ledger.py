@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dealframe.functions.auction import tokens
 from dealframe.operators.relational import with_row_index
-from dealframe.sources.boards import _tag, parse_lin
+from dealframe.sources.boards import _tag, lin_call, parse_lin, tag_texts
 from dealframe.written import Scratch
 
 #: Files of one chunk: the names of so many are on the driver at a time.
@@ -39,22 +38,23 @@ def lin_records(files: DataFrame, value: str = "value") -> DataFrame:
 
 
 def _calls(text: Column) -> Column:
-    form = F.lit(r"(?:^|\|)mb\|([^|]*)(?:\|an\|([^|]*))?")
-    said, told = (F.regexp_extract_all(text, form, F.lit(i)) for i in (1, 2))
-    both = F.filter(F.arrays_zip(said.alias("said"), told.alias("told")), lambda x: F.size(tokens(F.replace(x["said"], F.lit("!"), F.lit("")))) > 0)
-    return F.transform(
-        both,
-        lambda x, i: F.struct(
-            (i + 1).alias("ordinal"),
-            F.get(tokens(F.replace(x["said"], F.lit("!"), F.lit(""))), F.lit(0)).alias("call"),
-            x["said"].contains("!").alias("alert"),
-            F.nullif(x["told"], F.lit("")).alias("announcement"),
+    each = F.transform(tag_texts(text, "mb"), lambda x: F.struct(F.substring_index(x, "|", 1).alias("said"), x.alias("x")))
+    # A call's text is taken apart once; an announcement stands right after it.
+    after = lambda e, start: F.substring(e["x"], F.length(e["said"]) + start, F.length(e["x"]))
+    each = F.transform(
+        each,
+        lambda e: F.struct(
+            lin_call(F.replace(e["said"], F.lit("!"), F.lit(""))).alias("call"),
+            e["said"].contains("!").alias("alert"),
+            F.when(after(e, 1).startswith("|an|"), F.nullif(F.substring_index(after(e, 5), "|", 1), F.lit(""))).alias("announcement"),
         ),
     )
+    each = F.filter(each, lambda x: x["call"].isNotNull())
+    return F.transform(each, lambda x, i: F.struct((i + 1).alias("ordinal"), x["call"].alias("call"), x["alert"].alias("alert"), x["announcement"].alias("announcement")))
 
 
 def _plays(text: Column) -> Column:
-    cards = F.regexp_extract_all(text, F.lit(r"(?:^|\|)pc\|([^|]*)"), F.lit(1))
+    cards = F.transform(tag_texts(text, "pc"), lambda x: F.substring_index(x, "|", 1))
     cards = F.filter(F.transform(cards, lambda c: F.regexp_replace(F.upper(F.trim(c)), "10$", "T")), lambda c: c.rlike("^[SHDC][AKQJT2-9]$"))
     return F.transform(cards, lambda c, i: F.struct((i + 1).alias("ordinal"), (F.floor(i / 4) + 1).cast("int").alias("trick"), c.alias("card")))
 
@@ -139,13 +139,24 @@ class LinStore:
         tmp.drop()
         return run
 
+    def _opened(self, paths: list[str]) -> DataFrame:
+        """Files by their names, looked up in as many tasks as a shuffle has: Spark's default is a task a name."""
+        name, conf = "spark.sql.sources.parallelPartitionDiscovery.parallelism", self.spark.conf
+        had = conf.get(name, None)
+        conf.set(name, conf.get("spark.sql.shuffle.partitions"))
+        try:
+            return self.spark.read.format("binaryFile").load(paths)
+        finally:
+            conf.unset(name) if had is None else conf.set(name, had)
+
     def _chunk(self, paths: list[str], run: int) -> None:
         tmp, chunk = Scratch(), f"{run:06d}-{uuid.uuid4().hex}"
-        raw = self.spark.read.format("binaryFile").load(paths)
+        raw = self._opened(paths)
         raw = tmp.keep(raw.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("digest"), _text(F.col("content")).alias("value")))
         had = self.ledger().select("path", "digest", F.col("chunk").alias("_chunk")).dropDuplicates(["path", "digest"])
         facts = raw.select("path", "length", "modified", "digest").join(had, ["path", "digest"], "left")
-        fresh = raw.join(had, ["path", "digest"], "left_anti").select("path", "digest", "value")
+        # Dealt out: what a task reads of the few files of a table says nothing of the records in it.
+        fresh = raw.join(had, ["path", "digest"], "left_anti").select("path", "digest", "value").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "path")
         read = tmp.keep(read_records(lin_records(fresh)).withColumn("chunk", F.lit(chunk)))
         read.where("reason is null").drop("reason", "text").write.mode("append").partitionBy("chunk").option("compression", "zstd").parquet(f"{self.path}/boards")
         read.where("reason is not null").select("path", "digest", "record", "text", "reason", "chunk").write.mode("append").partitionBy("chunk").option("compression", "zstd").parquet(f"{self.path}/rejects")

@@ -61,3 +61,32 @@ def test_criteria_are_parsed_once_a_row_of_the_table(spark, sf):
     from dealframe.plans.registry import queries
 
     assert "regexp_extract" not in _plan(queries()["criterion_pass_rates"](spark, sf))
+
+
+def test_lin_records_are_searched_as_plain_text(spark):
+    from dealframe.sources import ledger
+
+    deal = "qx|o1|md|3SAKQJT98765432,HAKQJT98765432,D2345678910jqka|sv|o|ah|Board 4|mb|1n|an|12-14|mb|D!|mb|P|mb|p|mb|p|pg||pc|SA|pc|h10|pc|x|"
+    mixed = "mb|1C|md|1S2AH3KDC98765432A,,|sv|e|mb|2NT"
+    out = ledger.read_records(spark.createDataFrame([(1, deal), (2, mixed), (3, None)], "i int, text string"))
+    assert "regexp_extract_all" not in _plan(out)
+    a, b, c = sorted(out.collect(), key=lambda r: r.i)
+    assert (a.board, a.dealer, a.vul, a.Hand_S, a.Hand_W, a.Hand_N, a.Hand_E) == (4, "N", "None", "AKQJT98765432...", ".AKQJT98765432..", "..AKQJT98765432.", "...AKQJT98765432")
+    assert a.auction == "1N-X-P-P-P" and [tuple(x) for x in a.calls][:2] == [(1, "1N", False, "12-14"), (2, "X", True, None)]
+    assert [tuple(p) for p in a.plays] == [(1, 1, "SA"), (2, 1, "HT")] and a.reason is None
+    assert (b.Hand_S, b.auction, b.reason) == ("A2.K3..A98765432", "1C-2N", "cards")
+    assert (c.auction, c.reason) == (None, "no deal")
+
+
+def test_lin_files_are_looked_up_in_few_tasks(spark, tmp_path):
+    from dealframe.sources.ledger import LinStore
+
+    for i in range(40):
+        (tmp_path / f"{i}.lin").write_text(f"qx|o{i}|md|3SA,HA,DA|")
+    spark.sparkContext.setJobGroup("looked up", "")
+    LinStore(spark, str(tmp_path / "store"))._opened([str(tmp_path / f"{i}.lin") for i in range(40)])
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    stages = [s for j in told.getJobIdsForGroup("looked up") for s in told.getJobInfo(j).stageIds]
+    assert sum(told.getStageInfo(s).numTasks for s in stages) <= 4
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
