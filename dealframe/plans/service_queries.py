@@ -344,9 +344,8 @@ def club_json_results(spark, sf_dir):
     pair = lambda s, p: F.struct(s.alias("section"), p.alias("pair"), F.concat_ws("-", F.col("event_id").cast("string"), s, p.cast("string")).alias("names"))
     pairs = F.flatten(F.transform(F.array(*[F.lit(s) for s in "ANR"]), lambda s: F.transform(numbers, lambda p: pair(s, p))))
     texts = e.select(F.to_json(F.struct("event_id", pairs.alias("pairs"), "results")).alias("text"))
-    # Written once: pairs and results are two reads of the same texts.
-    t = club.event_tables(Written(texts).df, "text")
-    r = club.cleaned(club.with_names(t))
+    # Written, so that the texts are read as texts.
+    r = club.cleaned(club.named_results(Written(texts).df, "text"))
     return r.select("event_id", "section", "board", "ns", "ew", "passed", "level", "strain", "dbl", "declarer", "tricks", F.round("pct", 6).alias("pct"), "names_ns", "names_ew")
 
 

@@ -29,6 +29,23 @@ def with_names(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def named_results(texts: DataFrame, text: str) -> DataFrame:
+    """``with_names`` of events that each are one text with their own pairs: read once, and no table joined.
+
+    A pair that is listed twice gives two rows, as the join does. A text's results are
+    held against its own pairs, so the work is bounded by a text's size.
+    """
+    e = texts.select(F.from_json(text, EVENT).alias("e")).select("e.*")
+    out = e.select("event_id", "pairs", F.inline("results"))
+    keep = [c for c in out.columns if c != "pairs"]
+    for side in ("ns", "ew"):
+        same = lambda p: (F.col("event_id").isNotNull()) & (p["section"] == F.col("section")) & (p["pair"] == F.col(side))  # noqa: B023, E731
+        who = F.transform(F.filter("pairs", same), lambda p: p["names"])
+        out = out.select(*keep, "pairs", F.explode_outer(who).alias(f"names_{side}"))
+        keep.append(f"names_{side}")
+    return out.select(*keep)
+
+
 def result_of(text: Column) -> Column:
     """= is 0, +n and -n as they are; null for anything else."""
     t = F.trim(text)

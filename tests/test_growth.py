@@ -90,3 +90,21 @@ def test_lin_files_are_looked_up_in_few_tasks(spark, tmp_path):
     stages = [s for j in told.getJobIdsForGroup("looked up") for s in told.getJobInfo(j).stageIds]
     assert sum(told.getStageInfo(s).numTasks for s in stages) <= 4
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
+def test_club_results_are_named_from_one_read_without_a_join(spark):
+    from dealframe.sources import club
+
+    texts = [
+        ('{"event_id": 1, "pairs": [{"section": "A", "pair": 1, "names": "x"}, {"section": "A", "pair": 1, "names": "y"}, {"section": "B", "pair": 9, "names": "z"}], "results": [{"section": "A", "board": 1, "ns": 1, "ew": 9}, {"section": "B", "board": 2, "ns": 3, "ew": 9}, {"board": 3, "ns": 1}]}',),
+        ('{"event_id": 2, "results": [{"section": "A", "board": 1, "ns": 1, "ew": 9}]}',),
+        ('{"pairs": [{"section": "A", "pair": 1, "names": "x"}], "results": [{"section": "A", "board": 1, "ns": 1, "ew": 9}]}',),
+        ('{"event_id": 3, "pairs": []}',),
+        ("no json",),
+        (None,),
+    ]
+    df = spark.createDataFrame(texts, "text string")
+    got, want = club.named_results(df, "text"), club.with_names(club.event_tables(df, "text"))
+    assert "Join" not in _plan(got) and "Exchange" not in _plan(got)
+    rows = lambda d: sorted((tuple(r[c] for c in sorted(want.columns)) for r in d.collect()), key=repr)
+    assert rows(got) == rows(want) and len(rows(got)) == 6
