@@ -8,7 +8,7 @@ from dealframe.functions import auction as A
 from dealframe.functions import scoring as S
 from dealframe.operators import boxes, divergence, tree
 from dealframe.plans.bridge_queries import SCORE_SQL, TOK, W
-from dealframe.plans.deals import bids
+from dealframe.plans.deals import bids, deals
 from dealframe.plans.registry import query
 from dealframe.plans.service_queries import PAR_SQL, _tricks
 from dealframe.plans.table_queries import BT, DIMS, NODE_SQL, OVERLAY, RANGES, SEATED, WIDE, _boxes, _points, _table, bidding_table
@@ -119,17 +119,32 @@ def _need_sql(side: str, bid: str) -> str:
     return f"{side}_h >= ({bid} * 7) % 13 and {side}_h <= ({bid} * 7) % 13 + 11 and ({bid} % 5 = 4 or {suit} >= 1 + {bid} % 3)"
 
 
-def _allowed(bid, points, lengths):
-    """The criteria of a bid: points within twelve of a lower bound, and a length of the suit; passes ask for nothing."""
-    low = (bid * 7) % 13
-    return bid.isNull() | (points.between(low, low + 11) & ((bid % 5 == 4) | (F.get(lengths, 3 - bid % 5) >= 1 + bid % 3)))
+def _asks():
+    """A bid's criteria as columns of the tree: points within eleven of a lower bound, a length of the suit (its place in S H D C; null: none); passes ask for nothing."""
+    bid = F.col("bid")
+    suit = F.when(bid % 5 < 4, 3 - bid % 5)
+    return {"low": (bid * 7) % 13, "suit": suit.cast("int"), "need": (1 + bid % 3).cast("int")}
+
+
+def _allowed():
+    """Whether the hand that is to bid meets what a node asks for."""
+    own = lambda x: F.when(F.col("depth") % 2 == 1, F.col(f"{x}1")).otherwise(F.col(f"{x}3"))
+    points, length = own("h"), F.get(own("l"), F.col("suit"))
+    return F.col("low").isNull() | (points.between(F.col("low"), F.col("low") + 11) & (F.col("suit").isNull() | (length >= F.col("need"))))
+
+
+#: Deals of a task of the search.
+DEALS = 32_768
 
 
 def search_deals(spark, sf_dir):
     """(index, opener's and responder's points and lengths S H D C, scores by signature for the dealer's side)."""
     p = _points(spark, sf_dir, ["Dealer", "Vul"])
     hands = [*[F.col(f"HCP_{s}").alias(f"h{s}") for s in (1, 3)], *[F.array(*[F.col(f"SL_{x}_{s}") for x in "SHDC"]).alias(f"l{s}") for s in (1, 3)]]
-    return scores_by_signature(p.select("index", "Dealer", "Vul", *hands)).drop("Dealer", "Vul")
+    # Dealt to tasks by index, in which they are searched. The exchange comes after the scores:
+    # joined in the same stage they would be worked out anew for each end that is reached.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-deals(spark, sf_dir).count() // DEALS))
+    return scores_by_signature(p.select("index", "Dealer", "Vul", *hands)).drop("Dealer", "Vul").repartition(tasks, "index")
 
 
 def scores_by_signature(deals):
@@ -138,19 +153,24 @@ def scores_by_signature(deals):
     A column of the deal's row and no table to be joined: Spark takes an array for one
     element, and would broadcast 70 scores of every deal as a small side.
     """
-    scores = F.lit(S.undoubled_scores())
-    d = deals.select("*", _tricks().alias("dd"), (F.instr(F.lit("NESW"), F.col("Dealer")) - 1).alias("first"), A.side_vulnerable(F.col("Vul"), F.col("Dealer")).cast("int").alias("v"))
-    of = lambda s: F.get(scores, (F.col("v") * 35 + s % 35) * 14 + F.get("dd", (F.col("first") + 2 * F.floor(s / 35).cast("int")) % 4 * 5 + s % 5))
-    return d.select(*deals.columns, F.transform(F.lit(list(range(70))), of).alias("scores"))
+    first = F.instr(F.lit("NESW"), F.col("Dealer")) - 1
+    vulnerable = A.side_vulnerable(F.col("Vul"), F.col("Dealer")).cast("int")
+    # One element, so that the lists are made once a deal: a column would be worked out anew for each of 70 scores.
+    deal = F.struct(_tricks().alias("dd"), first.alias("first"), vulnerable.alias("v"))
+    places = F.lit([s % 35 * 14 for s in range(70)])
+    # Of each contract the place in the list of tricks: the declarer's strains, the dealer's and then the partner's.
+    of = lambda d, own: F.transform(places, lambda p, i: F.get(F.lit(S.undoubled_scores()), d["v"] * 490 + p + F.get(own, i % 5 + F.when(i < 35, 0).otherwise(5))))
+    side = lambda d: F.concat(F.slice(d["dd"], d["first"] * 5 + 1, 5), F.slice(d["dd"], (d["first"] + 2) % 4 * 5 + 1, 5))
+    scores = F.transform(F.array(deal), lambda d: F.element_at(F.transform(F.array(side(d)), lambda own: of(d, own)), 1))
+    return deals.withColumn("scores", F.element_at(scores, 1))
 
 
 def auction_search(spark, sf_dir, best: int = 3) -> tuple[tree.Search, object]:
     nodes = Written(search_tree(spark, sf_dir)).df
     up = nodes.select(F.col("bt_index").alias("parent_index"), F.col("node").alias("parent"))
     edges = nodes.select("bt_index", "parent").join(up, "parent").select("parent_index", "bt_index")
-    opener = F.col("depth") % 2 == 1
-    allowed = F.when(opener, _allowed(F.col("bid"), F.col("h1"), F.col("l1"))).otherwise(_allowed(F.col("bid"), F.col("h3"), F.col("l3")))
-    return tree.Search(nodes.drop("leave", "parent"), edges, allowed, best), nodes
+    asked = nodes.withColumns(_asks()).drop("leave", "parent", "bid")
+    return tree.Search(asked, edges, _allowed(), best), nodes
 
 
 @query(

@@ -108,3 +108,33 @@ def test_club_results_are_named_from_one_read_without_a_join(spark):
     assert "Join" not in _plan(got) and "Exchange" not in _plan(got)
     rows = lambda d: sorted((tuple(r[c] for c in sorted(want.columns)) for r in d.collect()), key=repr)
     assert rows(got) == rows(want) and len(rows(got)) == 6
+
+
+def test_search_shuffles_its_deals_once(spark, sf, monkeypatch):
+    """In one pass, and as a walk that writes each round; the same ends."""
+    from dealframe.operators import tree
+    from dealframe.plans import search_queries as Q
+
+    search, nodes = Q.auction_search(spark, sf)
+    got = search.run(Q.search_deals(spark, sf))
+    plan = _plan(got)
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    assert "SortMergeJoin" not in plan and not search.rounds
+    got = sorted(map(tuple, got.collect()))
+    monkeypatch.setattr(tree, "NODES_MAX", 0)
+    deals = Q.search_deals(spark, sf)
+    assert sorted(map(tuple, search.run(deals).collect())) == got
+    assert 0 < sum(search.rounds) < 0.4 * deals.count() * nodes.where("signature is not null").count()
+
+
+def test_search_in_one_pass_goes_on_below_an_end(spark):
+    """An end that has nodes below it counts once, and so do the ends below; ties by text."""
+    from dealframe.operators import tree
+
+    rows = [(0, "A", 1, 0, [0, 1, 2], 9), (1, "A-B", 2, 1, [1, 2], 9), (2, "A-B-C", 3, 2, [2], 9), (3, "A-D", 2, 1, [1], 1), (4, "B", 1, 2, [2], 0)]
+    n = spark.createDataFrame(rows, "bt_index long, node string, depth int, signature int, signatures array<int>, ask int")
+    e = spark.createDataFrame([(0, 1), (1, 2), (0, 3)], "parent_index long, bt_index long")
+    d = spark.createDataFrame([(7, [5, 6, 6], 0), (8, [5, 6, 7], 1), (9, [5, 6, 7], 9)], "index long, scores array<int>, has int")
+    got = sorted(map(tuple, tree.Search(n, e, F.col("ask") != F.col("has"), 4).run(d).collect()))
+    want = {7: ["A-B", "A-B-C", "A-D", "A"], 8: ["A-B-C", "B", "A-B", "A"], 9: ["B"]}
+    assert [(i, r, x) for i, r, x, _ in got] == [(i, r + 1, x) for i, v in want.items() for r, x in enumerate(v)]
