@@ -134,6 +134,10 @@ def auctions_by_contract(spark, sf_dir):
     return want.join(_whole_auctions(spark, sf_dir), ["level", "strain", "dbl"]).select("auction", "n", "first_deal")
 
 
+#: Whole auctions that are broadcast at most.
+ENDS_MAX = 100_000
+
+
 @query(
     "best_auctions",
     f"""{W}, c as (select *, string_split(auction, '-')[1] as opening from {KEYS_SQL}), x as (select d.index, d.Dealer, d.Vul, c.auction, c.level, c.strain, c.dbl, c.steps, substr('NESW', ((instr('NESW', d.Dealer) - 1 + c.steps) % 4 + 1)::int, 1) as decl from deals d join c on c.opening = string_split(d.auction, '-')[1]),
@@ -142,9 +146,12 @@ def auctions_by_contract(spark, sf_dir):
 )
 def best_auctions(spark, sf_dir):
     """For each deal the three best ends of its opening for the dealer's side, by double-dummy tricks."""
-    t = A.tokens(F.col("auction"))
-    d = bidding.once_each(bids(spark, sf_dir).select("index", "Dealer", "Vul", "auction", _tricks().alias("dd")), ["auction"], {"opening": F.get(t, F.lit(0))}).drop("auction")
-    j = d.join(_whole_auctions(spark, sf_dir), "opening").withColumn("decl", A.next_direction(F.col("Dealer"), F.col("steps")))
+    # Deals lie in tasks by index, where they meet the ends of their auction's opening and are ranked: by auction they would lie in a few.
+    d = bids(spark, sf_dir).select("index", "Dealer", "Vul", F.col("auction").alias("said"), _tricks().alias("dd"))
+    said = bids(spark, sf_dir).select(F.col("auction").alias("said")).distinct().withColumn("opening", F.get(A.tokens(F.col("said")), F.lit(0)))
+    ends = Written(said.join(_whole_auctions(spark, sf_dir), "opening").drop("opening")).df
+    ends = F.broadcast(ends) if ends.count() <= ENDS_MAX else ends
+    j = d.join(ends, "said").withColumn("decl", A.next_direction(F.col("Dealer"), F.col("steps")))
     sc = S.score(F.col("level"), F.col("strain"), F.col("dbl"), A.side_vulnerable(F.col("Vul"), F.col("decl")), _tricks_of(F.col("decl"), F.col("strain")))
     j = j.select("index", "auction", F.when(F.col("steps") % 2 == 0, sc).otherwise(-sc).alias("score"))
     best = Window.partitionBy("index").orderBy(F.desc("score"), "auction")

@@ -138,3 +138,10 @@ def test_search_in_one_pass_goes_on_below_an_end(spark):
     got = sorted(map(tuple, tree.Search(n, e, F.col("ask") != F.col("has"), 4).run(d).collect()))
     want = {7: ["A-B", "A-B-C", "A-D", "A"], 8: ["A-B-C", "B", "A-B", "A"], 9: ["B"]}
     assert [(i, r, x) for i, r, x, _ in got] == [(i, r + 1, x) for i, v in want.items() for r, x in enumerate(v)]
+
+
+def test_best_auctions_ranks_deals_where_they_are(spark, sf):
+    from dealframe.plans import service_queries as Q
+
+    plan = _plan(Q.best_auctions(spark, sf))
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
