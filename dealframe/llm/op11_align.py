@@ -42,6 +42,8 @@ from dealframe.llm._pieces import SPACE, default_model
 
 #: Bytes of text in a block of documents, about; rows of pair counts that are broadcast at most; distinct units held by a task.
 BLOCK_BYTES, PAIRS_MAX, HELD = 16_000_000, 1_000_000, 600_000
+#: Units encoded at a time.
+JOINED = 64
 PACKED = {"compression": "zstd"}
 STATS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in STATS) + ", groups_sha256 string"
@@ -104,6 +106,29 @@ class Coders:
         b = [([self.mark] if u == " " else x) if u[0] == " " else x[1:] for u, x in zip(whole, b, strict=True)]
         return list(zip(a, b, strict=True))
 
+    def columns(self, units: list[str], lens: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side all ids of the units, and the bounds of each unit's.
+
+        Units that end in no white space are encoded JOINED at a time, as they may stand in
+        a text, and taken apart where their bytes end; if a token crossed such a place, one by one.
+        """
+        whole = [u if u[0] in " \n" else " " + u for u in units]
+        if self.cuttable and self.falls_back and self.plain and not any(u[-1].isspace() for u in whole):
+            texts = ["".join(whole[i : i + JOINED]) for i in range(0, len(whole), JOINED)]
+            bounds = np.cumsum([len(u.encode()) for u in whole])
+            out = []
+            for ids, n in zip(zip(*self.tokens(texts), strict=True), lens, strict=True):
+                flat = np.fromiter((i for x in ids for i in x), np.int32)
+                ends = np.cumsum(n[flat])
+                at = np.searchsorted(ends, bounds, "right")
+                if not len(ends) or ends[-1] != bounds[-1] or (at == 0).any() or (ends[at - 1] != bounds).any():
+                    break
+                out.append((flat, np.r_[0, at]))
+            if len(out) == 2:
+                return out
+        found = self.tokens(units)
+        return [(np.fromiter((i for x in found for i in x[side]), np.int32), np.r_[0, np.cumsum([len(x[side]) for x in found])]) for side in (0, 1)]
+
     def _kept(self, text: str) -> bool:
         return self.b.normalize(text) == SPACE + text.replace(" ", SPACE)
 
@@ -136,14 +161,14 @@ class Coders:
         return out
 
 
-def _counted(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
-    """(block, unit, n) of docs (block, text), summed a task at a time."""
+def _counted(docs: DataFrame, blocks: int, files: tuple[str, str]) -> DataFrame:
+    """(block, unit, n) of docs (block, text), summed a block at a time; a block of more than HELD units may have one in several rows."""
 
     def flush(held):
-        rows = [(k, u, n) for k, c in held.items() for u, n in c.items()]
-        for i in range(0, len(rows), 20_000):
-            k, u, n = zip(*rows[i : i + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(u, pa.string()), pa.array(n, pa.int64())], names=["block", "unit", "n"])
+        for k, c in held.items():
+            rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k, np.int32)), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["block", "unit", "n"])
+            for i in range(0, rows.num_rows, 20_000):
+                yield rows.slice(i, 20_000)
 
     def run(batches):
         coders, held = Coders(*files), {}
@@ -156,8 +181,8 @@ def _counted(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
                 held = {}
         yield from flush(held)
 
-    found = docs.select("block", "text").mapInArrow(run, "block int, unit string, n long")
-    return found.groupBy("block", "unit").agg(F.sum("n").alias("n"))
+    # A block's documents meet in a task, which counts them whole: its units aren't shuffled from every task.
+    return docs.select("block", "text").repartition(blocks, "block").mapInArrow(run, "block int, unit string, n long")
 
 
 def _tokenized(units: DataFrame, files: tuple[str, str]) -> DataFrame:
@@ -167,13 +192,17 @@ def _tokenized(units: DataFrame, files: tuple[str, str]) -> DataFrame:
         coders = Coders(*files)
         lens = [np.array([len(x) for x in t], np.int32) for t in (coders.a_bytes, coders.b_bytes)]
         for b in batches:
-            out = []
-            found = coders.tokens(b.column(0).to_pylist()) if b.num_rows else []
-            for side in (0, 1):
-                flat = np.fromiter((i for x in found for i in x[side]), np.int32)
-                offs = pa.array(np.r_[0, np.cumsum([len(x[side]) for x in found])].astype(np.int32))
-                out += [pa.ListArray.from_arrays(offs, pa.array(flat)), pa.ListArray.from_arrays(offs, pa.array(lens[side][flat]))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], names=["unit", "n", "a_ids", "a_lens", "b_ids", "b_lens"])
+            units = np.array(b.column(0).to_pylist(), object)
+            spaced = np.array([u[-1].isspace() for u in units], bool)
+            for some in (np.flatnonzero(~spaced), np.flatnonzero(spaced)):
+                if not len(some):
+                    continue
+                out = []
+                for (flat, offs), n in zip(coders.columns(units[some].tolist(), lens), lens, strict=True):
+                    offs = pa.array(offs.astype(np.int32))
+                    out += [pa.ListArray.from_arrays(offs, pa.array(flat)), pa.ListArray.from_arrays(offs, pa.array(n[flat]))]
+                part = b.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *out], names=["unit", "n", "a_ids", "a_lens", "b_ids", "b_lens"])
 
     kinds = ", ".join(f"{c} array<int>" for c in ("a_ids", "a_lens", "b_ids", "b_lens"))
     return units.mapInArrow(run, f"unit string, n long, {kinds}")
@@ -235,6 +264,11 @@ def aligned(tokens: DataFrame) -> Written:
     return out
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """What to_pylist gives, several times as fast."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _summed(rows: DataFrame, files: tuple[str, str]) -> DataFrame:
     """SCHEMA from rows (block, kind, doc_id, text, stats, groups) in order: the units of a block before its documents."""
 
@@ -249,8 +283,8 @@ def _summed(rows: DataFrame, files: tuple[str, str]) -> DataFrame:
                 if blocks[i] != block:
                     block, at, groups, stats, sums = blocks[i], {}, [], [], None
                 if not kind[i]:
-                    at.update(zip(part.column(3).to_pylist(), range(len(groups), len(groups) + j - i), strict=True))
-                    groups += part.column(5).to_pylist()
+                    at.update(zip(_strings(part.column(3)), range(len(groups), len(groups) + j - i), strict=True))
+                    groups += _strings(part.column(5))
                     stats.append(part.column(4).flatten().to_numpy().reshape(-1, len(STATS)))
                     continue
                 if sums is None:
@@ -277,7 +311,7 @@ def alignment(docs: DataFrame, bpe: str | None = None, model: str | None = None)
     n = max(1, -(-size // BLOCK_BYTES))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
     # Each table goes, and its shuffle files with it, as soon as the next is written.
-    held = Written(_counted(docs, files), **PACKED)
+    held = Written(_counted(docs, n, files), **PACKED)
     tmp.settle(spark)
     units = held.df.groupBy("unit").agg(F.sum("n").alias("n"))
     # Keys are settled by being written.

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -177,3 +178,18 @@ def test_alignment_by_brute_force(spark, sf, monkeypatch):
     monkeypatch.setattr(op11_align, "PAIRS_MAX", 0)
     assert sorted((str(r["doc_id"]), *r[1:]) for r in op11_align.alignment(df).collect()) == want
     assert not op11_align.alignment(df.where("doc_id = -1")).collect()
+
+
+def test_units_encoded_together_are_those_encoded_alone():
+    c = op11_align.Coders(op11_align.default_bpe(), default_model())
+    rng = random.Random(4)
+    lens = [np.array([len(x) for x in t], np.int32) for t in (c.a_bytes, c.b_bytes)]
+    units = [w for w in {u for _ in range(400) for u in c.units(" ".join("".join(rng.choice("aetns.,'0é中\U0001f600-\nX") for _ in range(rng.randint(1, 9))) for _ in range(5)).strip() or "a")}]
+    for some in ([u for u in units if not u[-1].isspace()], units[:50], ["a", "\nb", "s"], ["\n"], [" "]):
+        want = c.tokens(some)
+        for side, (flat, offs) in enumerate(c.columns(some, lens)):
+            assert [flat[i:j].tolist() for i, j in zip(offs, offs[1:])] == [x[side] for x in want]
+    calls = []
+    tokens, c.tokens = c.tokens, lambda t: calls.append(len(t)) or tokens(t)
+    c.columns(["word"] * 640, lens)
+    assert calls == [10]
